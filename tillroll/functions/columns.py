@@ -24,8 +24,8 @@ def is_cancellation(params: AnalysisParams, invoice="InvoiceNo", quantity="Quant
 
 
 def month_start(ts="InvoiceDate") -> Column:
-    """First day of the month as a date (``date_trunc`` returns a timestamp)."""
-    return F.trunc(col_(ts).cast("date"), "month")
+    """First instant of the month as ``timestamp_ntz`` (time-zone free)."""
+    return F.trunc(col_(ts).cast("date"), "month").cast("timestamp_ntz")
 
 
 def month_label(ts="InvoiceDate") -> Column:

@@ -49,7 +49,7 @@ def _check(label: str, value, lo, hi) -> F.Column:
     if hi is not None:
         ok = ok & (value <= F.lit(hi))
     return F.struct(
-        F.lit(label).alias("check"),
+        F.lit(label).alias("check_name"),
         value.cast("double").alias("value"),
         F.lit(lo).cast("double").alias("lower"),
         F.lit(hi).cast("double").alias("upper"),
@@ -73,7 +73,7 @@ def kpi_guard_rails(kpis: DataFrame, top: DataFrame, params: AnalysisParams) ->
         )
     )
     top_ok = F.struct(
-        F.lit("top_segment_share_pct").alias("check"),
+        F.lit("top_segment_share_pct").alias("check_name"),
         F.col("top").cast("double").alias("value"),
         F.lit(params.guard_top_share_min).cast("double").alias("lower"),
         F.lit(None).cast("double").alias("upper"),
@@ -92,7 +92,7 @@ def kpi_guard_rails(kpis: DataFrame, top: DataFrame, params: AnalysisParams) ->
     from pyspark.sql import Window
 
     return checks.select(
-        "check",
+        "check_name",
         "value",
         "lower",
         "upper",

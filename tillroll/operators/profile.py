@@ -1,3 +1,233 @@
+"""Stages A and B: profile and data-quality tables over the raw line items (Q1-Q11).
+
+The charts are not drawn; each function returns the table behind one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..params import AnalysisParams
+from ..sources.schema import RAW_COLUMNS
+
+
+def rows_per_month(raw: DataFrame) -> DataFrame:
+    """Q1."""
+    return raw.groupBy(C.month_label("InvoiceDate").alias("month")).agg(F.count(F.lit(1)).alias("rows")).orderBy("month")
+
+
+def top_countries_by_rows(raw: DataFrame, n: int = 8) -> DataFrame:
+    """Q2: top-k (a ``TakeOrderedAndProject``: per-partition top n, then merge)."""
+    return (
+        raw.groupBy("Country").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "Country").limit(n)
+    )
+
+
+def cardinalities(raw: DataFrame) -> DataFrame:
+    """Q3: rows, distinct invoices / stock codes / customers / countries, span in days."""
+    return raw.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("InvoiceNo").alias("distinct_invoices"),
+        F.count_distinct("StockCode").alias("distinct_stock_codes"),
+        F.count_distinct("CustomerID").alias("distinct_customers"),
+        F.count_distinct("Country").alias("countries"),
+        C.whole_days(F.min("InvoiceDate"), F.max("InvoiceDate")).cast("bigint").alias("span_days"),
+    )
+
+
+def quality_flags(raw: DataFrame, params: AnalysisParams) -> DataFrame:
+    """Q4 + F11 in one shuffle: group by all eight columns, then weigh each flag.
+
+    Every flag is a function of the row, so it is constant inside a group of exact
+    copies; the group count gives both the row count and the duplicate excess.
+    """
+    groups = raw.groupBy(*RAW_COLUMNS).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.col("_n")
+
+    def weighted(cond):
+        return F.sum(F.when(cond, n).otherwise(0)).cast("bigint")
+
+    return groups.agg(
+        F.sum(n).cast("bigint").alias("rows"),
+        weighted(C.as_text("InvoiceNo").startswith(params.cancel_prefix)).alias("cancellations"),
+        weighted(F.col("Quantity") <= 0).alias("non_positive_quantity"),
+        weighted(F.col("UnitPrice") <= 0).alias("non_positive_price"),
+        weighted(F.col("CustomerID").isNull()).alias("missing_customer"),
+        F.sum(n - 1).cast("bigint").alias("exact_duplicates"),
+    )
+
+
+def null_profile(raw: DataFrame) -> DataFrame:
+    """Q5: nulls and percent per column, ascending (ties in column order)."""
+    cols = raw.columns
+    counts = raw.agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(cols)]
+    )
+    entries = F.array(
+        *[
+            F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("column_order"), F.col(f"_n{i}").alias("null_count"))
+            for i, c in enumerate(cols)
+        ]
+    )
+    return (
+        counts.select("_rows", F.inline(entries))
+        .select(
+            "column_name",
+            "column_order",
+            F.col("null_count").cast("bigint").alias("null_count"),
+            C.percent_of("null_count", "_rows").alias("null_pct"),
+        )
+        .orderBy("null_count", "column_order")
+    )
+
+
+def date_range(raw: DataFrame) -> DataFrame:
+    """Q6."""
+    return raw.agg(F.min("InvoiceDate").alias("first_invoice"), F.max("InvoiceDate").alias("last_invoice"))
+
+
+def with_raw_revenue(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("LineRevenue", C.line_revenue())
+
+
+def monthly_net_revenue(raw: DataFrame) -> DataFrame:
+    """Q7: net revenue per month (GBP; divide by 1e6 for the chart's millions)."""
+    return (
+        with_raw_revenue(raw)
+        .groupBy(C.month_label("InvoiceDate").alias("month"))
+        .agg(F.sum("LineRevenue").cast("double").alias("revenue"))
+        .orderBy("month")
+    )
+
+
+def country_revenue(raw: DataFrame, n: int = 10) -> DataFrame:
+    """Q8: top countries by revenue with their row count, one aggregation."""
+    return (
+        with_raw_revenue(raw)
+        .groupBy("Country")
+        .agg(F.sum("LineRevenue").alias("_rev"), F.count(F.lit(1)).alias("rows"))
+        .select("Country", F.col("_rev").cast("double").alias("revenue"), "rows")
+        .orderBy(F.desc("revenue"), "Country")
+        .limit(n)
+    )
+
+
+def invoice_sizes(raw: DataFrame, positive_only: bool = True) -> DataFrame:
+    """Q10 (+F5): lines and net total per invoice; by default invoices with total > 0.
+
+    Partial aggregation before the shuffle; a hot invoice costs one row per map task.
+    """
+    inv = (
+        with_raw_revenue(raw)
+        .groupBy("InvoiceNo")
+        .agg(F.count(F.lit(1)).alias("Lines"), F.sum("LineRevenue").alias("_total"))
+        .select("InvoiceNo", "Lines", F.col("_total").cast("double").alias("Total"))
+    )
+    return inv.where(F.col("Total") > 0) if positive_only else inv
+
+
+def histogram(df: DataFrame, value_col: str, bins: int = 60) -> DataFrame:
+    """Q9: equal-width histogram on [min, max], last bin closed, all bins listed.
+
+    The two range scalars are one small aggregate read by the driver; the binning
+    is a partial-aggregated ``groupBy`` over at most ``bins`` keys.
+    """
+    v = F.col(value_col).cast("double")
+    rng = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    lo, hi = rng["lo"], rng["hi"]
+    spark = df.sparkSession
+    if lo is None:
+        return spark.createDataFrame([], "bin int, lower double, upper double, count bigint")
+    if hi == lo:
+        lo, hi = lo - 0.5, hi + 0.5
+    width = (hi - lo) / bins
+    b = F.least(F.floor((v - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)).cast("int"), F.lit(bins - 1))
+    counts = df.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return (
+        grid.join(counts, "bin", "left")
+        .select(
+            "bin",
+            (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lower"),
+            (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("upper"),
+            F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
+        )
+        .orderBy("bin")
+    )
+
+
+def quantity_histogram(raw: DataFrame, bins: int = 60) -> DataFrame:
+    """Q9 on positive quantities."""
+    return histogram(raw.where(F.col("Quantity") > 0), "Quantity", bins)
+
+
+def unit_price_histogram(raw: DataFrame, bins: int = 60) -> DataFrame:
+    """Q9 on positive unit prices."""
+    return histogram(raw.where(F.col("UnitPrice") > 0), "UnitPrice", bins)
+
+
+def invoice_lines_histogram(raw: DataFrame, bins: int = 60) -> DataFrame:
+    """Q9 on lines per positive-total invoice."""
+    return histogram(invoice_sizes(raw), "Lines", bins)
+
+
+def invoice_total_histogram(raw: DataFrame, bins: int = 60, clip: float = 2000.0) -> DataFrame:
+    """Q9 on positive invoice totals clipped at ``clip``."""
+    inv = invoice_sizes(raw).withColumn("TotalClipped", C.clip_upper("Total", clip))
+    return histogram(inv, "TotalClipped", bins)
+
+
+def purchases_vs_returns(raw: DataFrame, params: AnalysisParams) -> DataFrame:
+    """Q11: purchases and returns per month; null where a side has no row that month."""
+    cx = C.is_cancellation(params)
+    return (
+        with_raw_revenue(raw)
+        .groupBy(C.month_label("InvoiceDate").alias("month"))
+        .agg(
+            F.sum(F.when(~cx, F.col("LineRevenue"))).cast("double").alias("purchases"),
+            F.sum(F.when(cx, F.col("LineRevenue"))).cast("double").alias("returns"),
+        )
+        .orderBy("month")
+    )
+
+
+def line_features(df_clean: DataFrame, params: AnalysisParams) -> DataFrame:
+    """The scalar columns every analysis derives from a cleaned line."""
+    return df_clean.select(
+        "InvoiceNo",
+        "StockCode",
+        "InvoiceDate",
+        "CustomerID",
+        C.month_start("InvoiceDate").alias("invoice_month"),
+        C.month_label("InvoiceDate").alias("month_label"),
+        "IsCancellation",
+        F.col("LineRevenue").cast("double").alias("line_revenue"),
+        C.is_non_product(params).alias("is_non_product"),
+        C.home_flag(params).alias("is_home"),
+        C.months_between_starts("InvoiceDate", C.window_start(params)).alias("month_offset"),
+    )
+
+
 class Profile:
-    def __init__(self, raw, params):
-        self.raw = raw; self.params = params
+    """Convenience bundle of the profile tables for one raw frame."""
+
+    def __init__(self, raw: DataFrame, params: AnalysisParams):
+        self.raw = raw
+        self.params = params
+
+    def tables(self) -> dict[str, DataFrame]:
+        p = self.params
+        return {
+            "rows_per_month": rows_per_month(self.raw),
+            "top_countries_by_rows": top_countries_by_rows(self.raw, p.top_countries_by_rows),
+            "cardinalities": cardinalities(self.raw),
+            "quality_flags": quality_flags(self.raw, p),
+            "null_profile": null_profile(self.raw),
+            "date_range": date_range(self.raw),
+            "monthly_net_revenue": monthly_net_revenue(self.raw),
+            "country_revenue": country_revenue(self.raw, p.top_countries_by_revenue),
+            "invoice_sizes": invoice_sizes(self.raw),
+            "purchases_vs_returns": purchases_vs_returns(self.raw, p),
+        }

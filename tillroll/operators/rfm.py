@@ -37,8 +37,8 @@ def assign_segments(scored: DataFrame) -> DataFrame:
 
 
 def customer_frame(scored_with_segment: DataFrame) -> DataFrame:
-    """IO4 projection: the 19 customer columns in fixed order."""
-    return scored_with_segment.select(*CUSTOMER_COLUMNS)
+    """IO4 projection: the 19 customer columns in fixed order (Monetary as double)."""
+    return scored_with_segment.withColumn("Monetary", F.col("Monetary").cast("double")).select(*CUSTOMER_COLUMNS)
 
 
 def segment_map(spark: SparkSession, n_bins: int = 5) -> DataFrame:

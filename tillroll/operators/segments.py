@@ -10,15 +10,18 @@ from ..functions.segments import action_expr
 from ..params import AnalysisParams
 
 
+def segment_totals(scored: DataFrame) -> DataFrame:
+    """Exact (decimal) revenue ``rev`` and customers per segment; at most 11 rows."""
+    return scored.groupBy("Segment").agg(F.sum("Monetary").alias("rev"), F.count(F.lit(1)).alias("Customers"))
+
+
 def segment_summary(scored: DataFrame) -> DataFrame:
     """K2 + K3: revenue and customers per segment, share of net-positive revenue.
 
     At most 11 groups leave the aggregation, so the share's window over all rows
     runs on 11 rows.
     """
-    per = scored.groupBy("Segment").agg(
-        F.sum("Monetary").alias("_rev"), F.count(F.lit(1)).alias("Customers")
-    )
+    per = segment_totals(scored).withColumnRenamed("rev", "_rev")
     return per.select(
         "Segment",
         F.col("_rev").cast("double").alias("Revenue"),
@@ -51,29 +54,35 @@ def retention_targets(summary: DataFrame, params: AnalysisParams) -> DataFrame:
     )
 
 
-def target_pool(targets: DataFrame) -> DataFrame:
-    """K7: the target segments together."""
-    return targets.agg(
-        F.sum("Customers").alias("customers"),
-        F.sum("Revenue").alias("revenue"),
-        F.sum("Revenue_share").alias("revenue_share_pct"),
-        (F.sum("Revenue") / F.sum("Customers")).alias("revenue_per_customer"),
+def target_pool(scored: DataFrame, params: AnalysisParams) -> DataFrame:
+    """K7: the target segments together (sums kept in decimal, divided once)."""
+    totals = segment_totals(scored)
+    w_all = Window.partitionBy()
+    return (
+        totals.withColumn("_all", F.sum("rev").over(w_all))
+        .where(F.col("Segment").isin(*params.target_segments))
+        .agg(
+            F.sum("Customers").alias("customers"),
+            F.sum("rev").cast("double").alias("revenue"),
+            percent_of(F.sum("rev"), F.first("_all")).alias("revenue_share_pct"),
+            (F.sum("rev").cast("double") / F.sum("Customers")).alias("revenue_per_customer"),
+        )
     )
 
 
-def concentration(summary: DataFrame, top: int = 2) -> DataFrame:
+def concentration(scored: DataFrame, top: int = 2) -> DataFrame:
     """K8: share of customers and of revenue held by the top segments."""
     w_all = Window.partitionBy()
-    ranked = summary.select(
+    ranked = segment_totals(scored).select(
         "Segment",
-        "Revenue",
+        "rev",
         "Customers",
         F.sum("Customers").over(w_all).alias("_all_c"),
-        F.sum("Revenue").over(w_all).alias("_all_r"),
-        F.row_number().over(Window.orderBy(F.desc("Revenue"), "Segment")).alias("_pos"),
+        F.sum("rev").over(w_all).alias("_all_r"),
+        F.row_number().over(Window.orderBy(F.desc("rev"), "Segment")).alias("_pos"),
     )
     return ranked.where(F.col("_pos") <= top).agg(
         F.sum("Customers").alias("top_customers"),
-        (F.sum("Customers") / F.first("_all_c") * 100.0).alias("customer_share_pct"),
-        (F.sum("Revenue") / F.first("_all_r") * 100.0).alias("revenue_share_pct"),
+        percent_of(F.sum("Customers"), F.first("_all_c")).alias("customer_share_pct"),
+        percent_of(F.sum("rev"), F.first("_all_r")).alias("revenue_share_pct"),
     )

@@ -24,6 +24,19 @@ DUPLICATE_PARTKEY_MODULUS = 50
 NO_CUSTOMER_PRIORITY = "5-LOW"
 
 
+def unit_price_cents():
+    """round(l_extendedprice / l_quantity, 2) in cents, half-up on the exact quotient.
+
+    Rounding the double quotient depends on the engine (binary vs decimal view of
+    x.xx5). Prices are whole cents and quantities whole units, so the exact rule is
+    integer arithmetic: (2E + q) div 2q, with E the extended price in cents.
+    """
+    return F.expr(
+        "(2 * CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(l_quantity AS BIGINT))"
+        " div (2 * CAST(l_quantity AS BIGINT))"
+    )
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -71,7 +84,7 @@ def line_items(spark: SparkSession, sf_dir: str, params: AnalysisParams | None =
         F.lit(None).cast("string").alias("Description"),
         F.when(cancelled, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("Quantity"),
         F.expr("timestampadd(HOUR, o_orderkey % 24, o_orderdate)").alias("InvoiceDate"),
-        F.when(free, F.lit(0.0)).otherwise(F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)).alias("UnitPrice"),
+        F.when(free, F.lit(0.0)).otherwise(unit_price_cents() / F.lit(100.0)).alias("UnitPrice"),
         F.when(F.col("o_orderpriority") == F.lit(NO_CUSTOMER_PRIORITY), F.lit(None).cast("bigint"))
         .otherwise(F.col("o_custkey"))
         .alias("CustomerID"),

@@ -18,7 +18,8 @@ def customer_features(df_with_cust: DataFrame, params: AnalysisParams) -> DataFr
     pre-aggregations, which spread a hot customer over many keys.
     """
     cx = F.col("IsCancellation")
-    agg = df_with_cust.where(F.col("CustomerID").isNotNull()).groupBy("CustomerID").agg(
+    rows = df_with_cust.where(F.col("CustomerID").isNotNull())
+    agg = rows.groupBy("CustomerID").agg(
         F.min("InvoiceDate").alias("first_invoice"),  # C2, cancellations included
         F.max("InvoiceDate").alias("last_invoice"),
         F.count_distinct(F.when(~cx, F.col("InvoiceNo"))).alias("Frequency"),  # C4
@@ -29,8 +30,11 @@ def customer_features(df_with_cust: DataFrame, params: AnalysisParams) -> DataFr
         F.count_if(~cx).alias("TotalLines"),
         F.count_distinct(F.when(~cx, F.col("StockCode"))).alias("DistinctStockCodes"),  # C7
         F.avg(cx.cast("double")).alias("CancellationRate"),  # C8
-        F.mode("Country", True).alias("Country"),  # C9: most frequent, smallest on ties
     )
+    # C9 as its own two-level aggregate (the ``mode`` aggregate would push the whole
+    # customer aggregation onto the sort-based path); both sides come out
+    # hash-partitioned by CustomerID, so the join adds no shuffle
+    agg = agg.join(country_mode(rows), "CustomerID")
     return agg.withColumns(
         {
             "Recency": C.whole_days("last_invoice", C.snapshot(params)),  # C3
@@ -42,6 +46,18 @@ def customer_features(df_with_cust: DataFrame, params: AnalysisParams) -> DataFr
     ).withColumns({"Recency": F.col("Recency").cast("bigint"), "Tenure_days": F.col("Tenure_days").cast("bigint")})
 
 
+def country_mode(rows: DataFrame) -> DataFrame:
+    """Most frequent country per customer; ties go to the smallest name.
+
+    (CustomerID, Country) counts are pre-aggregated map-side, so a customer with
+    a third of all rows still yields one partial row per map task and country.
+    """
+    counts = rows.groupBy("CustomerID", "Country").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy("CustomerID").agg(
+        F.min_by("Country", F.struct((-F.col("_n")).alias("n"), F.col("Country").alias("c"))).alias("Country")
+    )
+
+
 def net_positive(features: DataFrame) -> DataFrame:
     """drop customers whose net Monetary is <= 0."""
     return features.where(F.col("Monetary") > 0)

@@ -18,9 +18,10 @@ def rfm_scores(customers: DataFrame, params: AnalysisParams) -> DataFrame:
     single-task window. The R edges come from the bounded Recency histogram.
     """
     q = params.n_bins
-    neg_rec = customers.select((-F.col("Recency")).alias("_neg_recency"))
-    r_edges = value_quantile_edges(neg_rec, "_neg_recency", q)
+    # the first rank checkpoints its input, so the upstream plan runs once; the R
+    # histogram and the second rank then read the checkpoint files
     ranked = global_rank(customers, ["Frequency", "CustomerID"], "_f_rank", "_n")
+    r_edges = value_quantile_edges(ranked.select((-F.col("Recency")).alias("_neg_recency")), "_neg_recency", q)
     ranked = global_rank(ranked, ["Monetary", "CustomerID"], "_m_rank")
     return ranked.withColumns(
         {

@@ -29,21 +29,37 @@ from ..sources import tpch_adapter
 class RetailAnalysis:
     """All operators of the study over one raw line-item DataFrame."""
 
-    def __init__(self, raw: DataFrame, params: AnalysisParams, windowed_raw: DataFrame | None = None):
-        self.raw = raw
+    def __init__(
+        self,
+        raw: DataFrame,
+        params: AnalysisParams,
+        windowed_raw: DataFrame | None = None,
+        cache: bool = True,
+        cache_raw: bool = False,
+    ):
         self.params = params
-        # same rows inside the window, but with a source-side pre-trim (pushdown)
-        self._windowed_raw = windowed_raw if windowed_raw is not None else raw
+        self.cache = cache
         self._persisted: list[DataFrame] = []
+        # a derived raw view (joins) read by many profile tables is worth keeping;
+        # a plain Parquet source is better re-scanned with column pruning
+        self.raw = self._keep(raw) if cache and cache_raw else raw
+        # same rows inside the window, but with a source-side pre-trim (pushdown)
+        if windowed_raw is None or (cache and cache_raw):
+            windowed_raw = self.raw
+        self._windowed_raw = windowed_raw
 
     @classmethod
-    def from_test_tables(cls, spark: SparkSession, sf_dir: str, params: AnalysisParams | None = None):
+    def from_test_tables(
+        cls, spark: SparkSession, sf_dir: str, params: AnalysisParams | None = None, cache: bool = True
+    ):
         configure(spark)
         params = params or test_table_params()
         return cls(
             tpch_adapter.line_items(spark, sf_dir),
             params,
             windowed_raw=tpch_adapter.line_items(spark, sf_dir, params),
+            cache=cache,
+            cache_raw=cache,
         )
 
     @property
@@ -51,6 +67,8 @@ class RetailAnalysis:
         return self.raw.sparkSession
 
     def _keep(self, df: DataFrame) -> DataFrame:
+        if not self.cache:
+            return df
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         self._persisted.append(df)
         return df

@@ -25,7 +25,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
 def _a(spark: SparkSession, sf_dir: str) -> RetailAnalysis:
-    return RetailAnalysis.from_test_tables(spark, sf_dir, test_table_params())
+    # one query = one plan: nothing is persisted across calls (the rank step still
+    # checkpoints to spark.checkpoint.dir)
+    return RetailAnalysis.from_test_tables(spark, sf_dir, test_table_params(), cache=False)
 
 
 def q_line_items(spark, sf_dir):

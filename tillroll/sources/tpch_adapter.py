@@ -41,7 +41,19 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def line_items(spark: SparkSession, sf_dir: str, params: AnalysisParams | None = None) -> DataFrame:
+def _spread(df: DataFrame, min_partitions: int | None) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than cores (one-row-group files).
+
+    A large table arrives in many splits and is left alone, so at scale this is a no-op.
+    """
+    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
+        return df.repartition(min_partitions)
+    return df
+
+
+def line_items(
+    spark: SparkSession, sf_dir: str, params: AnalysisParams | None = None, min_partitions: int | None = 0
+) -> DataFrame:
     """The raw line-item view (8 columns). With ``params`` the orders scan is pre-trimmed.
 
     ``InvoiceDate`` = ``o_orderdate`` + (0..23) hours, so the analysis window on
@@ -54,6 +66,7 @@ def line_items(spark: SparkSession, sf_dir: str, params: AnalysisParams | None =
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"
     )
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    li = _spread(li, min_partitions)
     if params is not None:
         lo = params.start_ts - dt.timedelta(days=1)
         hi = params.end_ts

@@ -23,13 +23,15 @@ def rfm_scores(customers: DataFrame, params: AnalysisParams) -> DataFrame:
     ranked = global_rank(customers, ["Frequency", "CustomerID"], "_f_rank", "_n")
     r_edges = value_quantile_edges(ranked.select((-F.col("Recency")).alias("_neg_recency")), "_neg_recency", q)
     ranked = global_rank(ranked, ["Monetary", "CustomerID"], "_m_rank")
+    # the ranks stay on the frame (F_rank, M_rank, n_customers): the model's quantile
+    # threshold reads its two bracketing rows from M_rank instead of sorting again
     return ranked.withColumns(
         {
             "R_score": value_bin(-F.col("Recency"), r_edges),
             "F_score": rank_bin("_f_rank", "_n", q),
             "M_score": rank_bin("_m_rank", "_n", q),
         }
-    ).drop("_f_rank", "_m_rank", "_n")
+    ).withColumnsRenamed({"_f_rank": "F_rank", "_m_rank": "M_rank", "_n": "n_customers"})
 
 
 def assign_segments(scored: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators import cohorts as H
 from ..operators import profile as Q
 from ..operators import rfm as W
 from ..operators import segments as S
-from ..operators.ranking import global_rank, interpolated_quantile
+from ..operators.ranking import global_rank
 from ..params import test_table_params
 from ..sources.schema import CLEAN_COLUMNS
 from .analysis import RetailAnalysis
@@ -99,10 +99,10 @@ def q_rfm_triples(spark, sf_dir):
 
 
 def q_high_value_threshold(spark, sf_dir):
+    from ..operators import ltv as M
+
     a = _a(spark, sf_dir)
-    ranked = global_rank(a.scored.select("CustomerID", "Monetary"), ["Monetary", "CustomerID"], "m_rank", "n")
-    n = a.scored.count()
-    q80 = interpolated_quantile(ranked, "Monetary", "m_rank", n, a.params.high_value_quantile)
+    q80 = M.high_value_threshold(a.scored, a.params)
     return a.scored.agg(
         F.lit(q80).alias("threshold"),
         F.count_if(F.col("Monetary").cast("double") >= F.lit(q80)).alias("high_value_customers"),
@@ -178,6 +178,64 @@ def q_retention_best_worst(spark, sf_dir):
     return H.best_worst_m1(_a(spark, sf_dir).retention_long())
 
 
+def _ltv(spark, sf_dir, with_pd: bool = False):
+    from ..operators import ltv as M
+
+    a = _a(spark, sf_dir)
+    return a, M, M.ltv_study(a.scored, a.params, with_pd=with_pd)
+
+
+def q_ltv_model_frame(spark, sf_dir):
+    from ..operators import ltv as M
+
+    a = _a(spark, sf_dir)
+    return M.model_frame(a.scored, a.params)
+
+
+def q_ltv_folds(spark, sf_dir):
+    from ..operators import ltv as M
+
+    a = _a(spark, sf_dir)
+    return M.stratified_folds(M.model_frame(a.scored, a.params), a.params).select("CustomerID", M.LABEL, "fold")
+
+
+def q_ltv_oof_predictions(spark, sf_dir):
+    _, _, r = _ltv(spark, sf_dir)
+    return r.oof
+
+
+def q_ltv_cv_metrics(spark, sf_dir):
+    _, M, r = _ltv(spark, sf_dir)
+    out = r.auc.unionByName(r.metrics, allowMissingColumns=True).unionByName(r.confusion, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
+def q_ltv_permutation_importance(spark, sf_dir):
+    _, _, r = _ltv(spark, sf_dir)
+    return r.importance
+
+
+def q_ltv_partial_dependence(spark, sf_dir):
+    _, _, r = _ltv(spark, sf_dir, with_pd=True)
+    parts = list(r.pd.values())
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_summary(spark, sf_dir):
+    from ..operators import ltv as M
+    from ..operators.summary import summary_dict, summary_frame
+
+    a = RetailAnalysis.from_test_tables(spark, sf_dir, test_table_params(), cache=True)
+    try:
+        doc = summary_dict(a, M.ltv_study(a.scored, a.params, with_pd=False))
+    finally:
+        a.close()
+    return summary_frame(spark, doc)
+
+
 QUERIES: dict[str, QueryFn] = {
     # sources and cleaning
     "line_items": q_line_items,
@@ -225,4 +283,13 @@ QUERIES: dict[str, QueryFn] = {
     "retention_matrix": q_retention_matrix,
     "retention_lines": q_retention_lines,
     "retention_best_worst": q_retention_best_worst,
+    # high-value-customer model (rows-only checks except the model frame)
+    "ltv_model_frame": q_ltv_model_frame,
+    "ltv_folds": q_ltv_folds,
+    "ltv_oof_predictions": q_ltv_oof_predictions,
+    "ltv_cv_metrics": q_ltv_cv_metrics,
+    "ltv_permutation_importance": q_ltv_permutation_importance,
+    "ltv_partial_dependence": q_ltv_partial_dependence,
+    # summary document
+    "summary": q_summary,
 }

@@ -353,6 +353,12 @@ FROM scored GROUP BY R_score, F_score, M_score""",
             f"""th AS (SELECT quantile_cont(CAST(Monetary AS DOUBLE), {p.high_value_quantile}) AS threshold FROM scored)
 SELECT threshold, count_if(CAST(Monetary AS DOUBLE) >= threshold) AS high_value_customers, count(*) AS customers
 FROM scored, th GROUP BY threshold""",
+        )
+        feats = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in p.ltv_features)
+        out["ltv_model_frame"] = W(
+            scored,
+            f"""th AS (SELECT quantile_cont(CAST(Monetary AS DOUBLE), {p.high_value_quantile}) AS q FROM scored)
+SELECT CustomerID, {feats}, CAST(CAST(Monetary AS DOUBLE) >= q AS INTEGER) AS IsTopQuintileM FROM scored, th""",
         )
         out["segment_summary"] = W(scored, "SELECT * FROM seg_summary ORDER BY Revenue DESC, Segment")
         out["headline_kpis"] = W(

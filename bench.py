@@ -26,6 +26,7 @@ HEADLINE = [
     "monthly_net_revenue",
     "invoice_sizes",
     "country_revenue",
+    "ltv_cv_metrics",
 ]
 
 

@@ -10,7 +10,7 @@ strongest non-RFM features.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import AnalysisParams
+from ..session import reliable_checkpoint
 from .ranking import global_rank, interpolated_quantile
 
 LABEL = "IsTopQuintileM"
@@ -263,18 +264,66 @@ def partial_dependence(model: PipelineModel, train: DataFrame, feature: str, par
 
 
 # ---------------------------------------------------------------- whole study
-@dataclass
-class LtvResult:
-    threshold: float
-    folded: DataFrame
-    oof: DataFrame
-    auc: DataFrame
-    metrics: DataFrame
-    confusion: DataFrame
-    importance: DataFrame
-    top3: list
-    top2_non_rfm: list
-    pd: dict
+class LtvStudy:
+    """M1-M11 over the scored customers; each part is computed on first use only
+    (the cross-validated fits for the OOF metrics, the hold-out fit for importance
+    and partial dependence)."""
+
+    def __init__(self, scored: DataFrame, params: AnalysisParams):
+        self.scored = scored
+        self.params = params
+
+    @cached_property
+    def threshold(self) -> float:
+        return high_value_threshold(self.scored, self.params)
+
+    @cached_property
+    def folded(self) -> DataFrame:
+        return stratified_folds(model_frame(self.scored, self.params, self.threshold), self.params)
+
+    @cached_property
+    def oof(self) -> DataFrame:
+        return out_of_fold(self.folded, self.params)
+
+    @property
+    def auc(self) -> DataFrame:
+        return fold_auc(self.oof)
+
+    @property
+    def metrics(self) -> DataFrame:
+        return classification_metrics(self.oof)
+
+    @property
+    def confusion(self) -> DataFrame:
+        return confusion_matrix(self.oof)
+
+    @cached_property
+    def _split(self) -> tuple[DataFrame, DataFrame]:
+        return holdout_split(self.folded, self.params)
+
+    @cached_property
+    def holdout_model(self) -> PipelineModel:
+        return fit(self._split[0], self.params)
+
+    @cached_property
+    def importance(self) -> DataFrame:
+        return reliable_checkpoint(permutation_importance(self.holdout_model, self._split[1], self.params))
+
+    @cached_property
+    def _top(self) -> tuple[list, list]:
+        return top_features(self.importance, self.params)
+
+    @property
+    def top3(self) -> list:
+        return self._top[0]
+
+    @property
+    def top2_non_rfm(self) -> list:
+        return self._top[1]
+
+    @cached_property
+    def pd(self) -> dict[str, DataFrame]:
+        return {f: partial_dependence(self.holdout_model, self._split[0], f, self.params) for f in self.top2_non_rfm}
 
     def summary(self) -> dict:
         a = self.auc.first()
@@ -284,7 +333,7 @@ class LtvResult:
             "model": "GBTClassifier",
             "target": "top quintile of customer net Monetary",
             "target_threshold_gbp": round(self.threshold, 2),
-            "cv": "5-fold stratified, seed 42",
+            "cv": f"{self.params.n_folds}-fold stratified, seed {self.params.seed}",
             "roc_auc_mean": round(float(a["roc_auc_mean"]), 4),
             "roc_auc_std": round(float(a["roc_auc_std"]), 4),
             "precision": round(float(m["precision"]), 4),
@@ -299,26 +348,5 @@ class LtvResult:
         }
 
 
-def ltv_study(scored: DataFrame, params: AnalysisParams, with_pd: bool = True) -> LtvResult:
-    """M1-M11 end to end over the scored customers."""
-    q = high_value_threshold(scored, params)
-    frame = model_frame(scored, params, q)
-    folded = stratified_folds(frame, params)
-    oof = out_of_fold(folded, params)
-    train, hold = holdout_split(folded, params)
-    model = fit(train, params)
-    importance = permutation_importance(model, hold, params)
-    top3, top2 = top_features(importance, params)
-    pd = {f: partial_dependence(model, train, f, params) for f in top2} if with_pd else {}
-    return LtvResult(
-        threshold=q,
-        folded=folded,
-        oof=oof,
-        auc=fold_auc(oof),
-        metrics=classification_metrics(oof),
-        confusion=confusion_matrix(oof),
-        importance=importance,
-        top3=top3,
-        top2_non_rfm=top2,
-        pd=pd,
-    )
+def ltv_study(scored: DataFrame, params: AnalysisParams) -> LtvStudy:
+    return LtvStudy(scored, params)

@@ -178,11 +178,11 @@ def q_retention_best_worst(spark, sf_dir):
     return H.best_worst_m1(_a(spark, sf_dir).retention_long())
 
 
-def _ltv(spark, sf_dir, with_pd: bool = False):
+def _ltv(spark, sf_dir):
     from ..operators import ltv as M
 
     a = _a(spark, sf_dir)
-    return a, M, M.ltv_study(a.scored, a.params, with_pd=with_pd)
+    return a, M, M.ltv_study(a.scored, a.params)
 
 
 def q_ltv_model_frame(spark, sf_dir):
@@ -216,7 +216,7 @@ def q_ltv_permutation_importance(spark, sf_dir):
 
 
 def q_ltv_partial_dependence(spark, sf_dir):
-    _, _, r = _ltv(spark, sf_dir, with_pd=True)
+    _, _, r = _ltv(spark, sf_dir)
     parts = list(r.pd.values())
     out = parts[0]
     for p in parts[1:]:
@@ -230,7 +230,7 @@ def q_summary(spark, sf_dir):
 
     a = RetailAnalysis.from_test_tables(spark, sf_dir, test_table_params(), cache=True)
     try:
-        doc = summary_dict(a, M.ltv_study(a.scored, a.params, with_pd=False))
+        doc = summary_dict(a, M.ltv_study(a.scored, a.params))
     finally:
         a.close()
     return summary_frame(spark, doc)

@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The study is a batch analysis: it has no watermark, event-time window, state or
+late-data logic. The stateless line operators in ``operators.clean`` (window trim,
+price filter, cancellation flag, line revenue) accept a streaming DataFrame as is.
+"""

@@ -143,3 +143,15 @@ def test_non_product_audit_counts_but_keeps(spark):
     df = CL.clean_line_items(frame(spark, rows), P)
     r = CL.non_product_audit(df, P).first()
     assert (r["rows"], r["non_product_rows"]) == (4, 3)
+
+
+def test_cardinalities_approx_close_to_exact(spark):
+    from tillroll.operators import profile as Q
+
+    rows = [line(str(i % 97), str(i % 31), 1, "2011-05-01 10:00:00", 2.0, i % 13, f"C{i % 5}") for i in range(2000)]
+    df = frame(spark, rows)
+    ex = Q.cardinalities(df).first()
+    ap = Q.cardinalities(df, exact=False).first()
+    assert (ex["distinct_invoices"], ex["distinct_stock_codes"], ex["distinct_customers"], ex["countries"]) == (97, 31, 13, 5)
+    for k in ("distinct_invoices", "distinct_stock_codes", "distinct_customers", "countries"):
+        assert abs(ap[k] - ex[k]) <= max(1, 0.05 * ex[k])

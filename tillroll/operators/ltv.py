@@ -214,8 +214,9 @@ def permutation_importance(model: PipelineModel, holdout: DataFrame, params: Ana
     )
     scored = with_probability(model.transform(shuffled)).select("feature_idx", "repeat", "pos", LABEL, "prob")
     aucs = auc_by_group(scored.unionByName(base), ["feature_idx", "repeat"], "prob", LABEL, "pos")
-    baseline = aucs.where(F.col("feature_idx") == -1).select(F.col("auc").alias("_base"))
-    drops = aucs.where(F.col("feature_idx") >= 0).join(F.broadcast(baseline), how="inner", on=F.lit(True))
+    # the unpermuted AUC is one number: read it once instead of joining a one-row frame
+    base_auc = aucs.where(F.col("feature_idx") == -1).first()["auc"]
+    drops = aucs.where(F.col("feature_idx") >= 0).withColumn("_base", F.lit(base_auc))
     names = F.array(*[F.lit(c) for c in feats])
     return (
         drops.groupBy("feature_idx")

@@ -252,7 +252,7 @@ SELECT step, CAST(rows_before AS BIGINT) AS rows_before, CAST(rows_after AS BIGI
 ) t ORDER BY step""",
         )
         out["non_product_audit"] = W(
-            clean, f"SELECT count(*) AS rows, count_if({self.non_product()}) AS non_product_rows FROM clean"
+            clean, f"SELECT count(*) AS rows, CAST(count_if({self.non_product()}) AS BIGINT) AS non_product_rows FROM clean"
         )
         out["rows_per_month"] = W(raw, f"SELECT {mlabel} AS month, count(*) AS rows FROM raw GROUP BY 1 ORDER BY 1")
         out["top_countries_by_rows"] = W(
@@ -351,7 +351,7 @@ FROM scored GROUP BY R_score, F_score, M_score""",
         out["high_value_threshold"] = W(
             scored,
             f"""th AS (SELECT quantile_cont(CAST(Monetary AS DOUBLE), {p.high_value_quantile}) AS threshold FROM scored)
-SELECT threshold, count_if(CAST(Monetary AS DOUBLE) >= threshold) AS high_value_customers, count(*) AS customers
+SELECT threshold, CAST(count_if(CAST(Monetary AS DOUBLE) >= threshold) AS BIGINT) AS high_value_customers, count(*) AS customers
 FROM scored, th GROUP BY threshold""",
         )
         feats = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in p.ltv_features)
@@ -369,7 +369,7 @@ SELECT CustomerID, {feats}, CAST(CAST(Monetary AS DOUBLE) >= q AS INTEGER) AS Is
          count(DISTINCT CustomerID) AS total_customers,
          count(DISTINCT CASE WHEN CustomerID IS NOT NULL AND NOT IsCancellation THEN InvoiceNo END) AS inv
   FROM clean),
-b AS (SELECT count_if(Frequency >= {p.repeat_min_frequency}) AS rep, count(*) AS n FROM scored)
+b AS (SELECT CAST(count_if(Frequency >= {p.repeat_min_frequency}) AS BIGINT) AS rep, count(*) AS n FROM scored)
 SELECT CAST(rev_all AS DOUBLE) AS total_revenue_gbp,
        CAST(rev_cust AS DOUBLE) AS total_revenue_customer_attributed_gbp,
        CAST(rev_cust AS DOUBLE) / inv AS aov_gbp,
@@ -395,7 +395,7 @@ SELECT *, Revenue_share / max(Revenue_share) OVER () * 100.0 AS width_pct FROM t
         out["target_pool"] = W(
             scored,
             f"""{tgt}
-SELECT sum(s.Customers) AS customers, CAST(sum(s.rev) AS DOUBLE) AS revenue,
+SELECT CAST(sum(s.Customers) AS BIGINT) AS customers, CAST(sum(s.rev) AS DOUBLE) AS revenue,
        CAST(sum(s.rev) AS DOUBLE) / CAST((SELECT sum(rev) FROM seg) AS DOUBLE) * 100.0 AS revenue_share_pct,
        CAST(sum(s.rev) AS DOUBLE) / sum(s.Customers) AS revenue_per_customer
 FROM seg s WHERE s.Segment IN (SELECT Segment FROM tgt)""",
@@ -404,7 +404,7 @@ FROM seg s WHERE s.Segment IN (SELECT Segment FROM tgt)""",
             scored,
             """r AS (SELECT *, sum(Customers) OVER () AS all_c, sum(rev) OVER () AS all_r,
                  row_number() OVER (ORDER BY rev DESC, Segment) AS pos FROM seg)
-SELECT sum(Customers) AS top_customers,
+SELECT CAST(sum(Customers) AS BIGINT) AS top_customers,
        CAST(sum(Customers) AS DOUBLE) / CAST(first(all_c) AS DOUBLE) * 100.0 AS customer_share_pct,
        CAST(sum(rev) AS DOUBLE) / CAST(first(all_r) AS DOUBLE) * 100.0 AS revenue_share_pct FROM r WHERE pos <= 2""",
         )

@@ -43,6 +43,11 @@ def test_exports_and_summary(spark):
         r = back.first()
         assert r["kpis"]["total_customers"] == doc["kpis"]["total_customers"]
         assert r["cleaning"]["03_drop_exact_duplicates"]["rows_after"] == a.clean.count()
+        from tillroll.operators.summary import guard_rails_from_summary
+
+        rails = {r["check_name"]: r["status"] for r in guard_rails_from_summary(back, a.params).collect()}
+        direct = {r["check_name"]: r["status"] for r in a.guard_rails().collect()}
+        assert rails == direct and len(rails) == 4
         top = top_segments_report(back, 6).collect()
         assert top[0]["width_pct"] == 100.0
         assert top[0]["Segment"] == doc["top_segment"]["name"]

@@ -65,7 +65,11 @@ def retention_long(cohorted: DataFrame, params: AnalysisParams) -> DataFrame:
 
 
 def retention_matrix(long: DataFrame, params: AnalysisParams, value: str = "retention_pct") -> DataFrame:
-    """H6: cohort x period matrix (pivot with explicit period values)."""
+    """H6: cohort x period matrix (pivot with explicit period values).
+
+    ``value="retained"`` gives the customer counts (missing cells 0, never masked);
+    the default gives the percentages with unobserved cells null.
+    """
     periods = list(range(params.n_periods))
     return (
         long.groupBy("cohort_month", "cohort_size")

@@ -114,3 +114,16 @@ def top_segments_report(summary: DataFrame, n: int = 6) -> DataFrame:
         ]
     )
     return S.top_n_segments(summary.select(F.inline(entries)), n)
+
+
+def guard_rails_from_summary(summary: DataFrame, params) -> DataFrame:
+    """V2 over a summary read back from JSON (IO7), as the report runs it."""
+    from .kpis import kpi_guard_rails
+
+    kpis = summary.select(
+        F.col("kpis.total_revenue_gbp").cast("double").alias("total_revenue_gbp"),
+        F.col("kpis.total_customers").alias("total_customers"),
+        F.col("kpis.repeat_purchase_rate").cast("double").alias("repeat_purchase_rate"),
+    )
+    top = summary.select(F.col("top_segment.revenue_share_pct").cast("double").alias("Revenue_share"))
+    return kpi_guard_rails(kpis, top, params)

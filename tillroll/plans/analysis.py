@@ -22,7 +22,7 @@ from ..operators import profile as Q
 from ..operators import rfm as W
 from ..operators import segments as S
 from ..params import AnalysisParams, test_table_params
-from ..session import configure
+from ..session import configure, reliable_checkpoint
 from ..sources import tpch_adapter
 
 
@@ -36,9 +36,11 @@ class RetailAnalysis:
         windowed_raw: DataFrame | None = None,
         cache: bool = True,
         cache_raw: bool = False,
+        checkpoint_clean: bool = False,
     ):
         self.params = params
         self.cache = cache
+        self.checkpoint_clean = checkpoint_clean
         self._persisted: list[DataFrame] = []
         # a derived raw view (joins) read by many profile tables is worth keeping;
         # a plain Parquet source is better re-scanned with column pruning
@@ -50,7 +52,12 @@ class RetailAnalysis:
 
     @classmethod
     def from_test_tables(
-        cls, spark: SparkSession, sf_dir: str, params: AnalysisParams | None = None, cache: bool = True
+        cls,
+        spark: SparkSession,
+        sf_dir: str,
+        params: AnalysisParams | None = None,
+        cache: bool = True,
+        checkpoint_clean: bool = False,
     ):
         configure(spark)
         params = params or test_table_params()
@@ -60,6 +67,7 @@ class RetailAnalysis:
             windowed_raw=tpch_adapter.line_items(spark, sf_dir, params),
             cache=cache,
             cache_raw=cache,
+            checkpoint_clean=checkpoint_clean,
         )
 
     @property
@@ -81,7 +89,10 @@ class RetailAnalysis:
     # ---- stage C
     @cached_property
     def clean(self) -> DataFrame:
-        return self._keep(CL.clean_line_items(self._windowed_raw, self.params))
+        df = CL.clean_line_items(self._windowed_raw, self.params)
+        if self.checkpoint_clean:
+            return reliable_checkpoint(df)
+        return self._keep(df)
 
     @property
     def with_customer(self) -> DataFrame:

@@ -24,10 +24,13 @@ from .analysis import RetailAnalysis
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
-def _a(spark: SparkSession, sf_dir: str) -> RetailAnalysis:
-    # one query = one plan: nothing is persisted across calls (the rank step still
-    # checkpoints to spark.checkpoint.dir)
-    return RetailAnalysis.from_test_tables(spark, sf_dir, test_table_params(), cache=False)
+def _a(spark: SparkSession, sf_dir: str, checkpoint_clean: bool = False) -> RetailAnalysis:
+    # one query = one plan: nothing is persisted across calls. A query that reads the
+    # cleaned lines twice writes them once to spark.checkpoint.dir instead of running
+    # the join and dedup twice (the rank step checkpoints on its own).
+    return RetailAnalysis.from_test_tables(
+        spark, sf_dir, test_table_params(), cache=False, checkpoint_clean=checkpoint_clean
+    )
 
 
 def q_line_items(spark, sf_dir):
@@ -45,7 +48,7 @@ def q_line_features(spark, sf_dir):
 
 
 def q_cleaning_log(spark, sf_dir):
-    return _a(spark, sf_dir).cleaning_log()
+    return _a(spark, sf_dir, checkpoint_clean=True).cleaning_log()
 
 
 def q_non_product_audit(spark, sf_dir):
@@ -115,7 +118,7 @@ def q_segment_summary(spark, sf_dir):
 
 
 def q_headline_kpis(spark, sf_dir):
-    return _a(spark, sf_dir).headline_kpis()
+    return _a(spark, sf_dir, checkpoint_clean=True).headline_kpis()
 
 
 def q_top_segment(spark, sf_dir):
@@ -141,7 +144,7 @@ def q_concentration(spark, sf_dir):
 
 
 def q_guard_rails(spark, sf_dir):
-    return _a(spark, sf_dir).guard_rails()
+    return _a(spark, sf_dir, checkpoint_clean=True).guard_rails()
 
 
 def _cohorted(a: RetailAnalysis) -> DataFrame:
@@ -169,6 +172,11 @@ def q_retention_matrix(spark, sf_dir):
     return H.retention_matrix(a.retention_long(), a.params)
 
 
+def q_retained_matrix(spark, sf_dir):
+    a = _a(spark, sf_dir)
+    return H.retention_matrix(a.retention_long(), a.params, value="retained")
+
+
 def q_retention_lines(spark, sf_dir):
     a = _a(spark, sf_dir)
     return H.retention_lines(a.retention_long(), a.params)
@@ -281,6 +289,7 @@ QUERIES: dict[str, QueryFn] = {
     "cohort_sizes": q_cohort_sizes,
     "retention_cells": q_retention_cells,
     "retention_matrix": q_retention_matrix,
+    "retained_matrix": q_retained_matrix,
     "retention_lines": q_retention_lines,
     "retention_best_worst": q_retention_best_worst,
     # high-value-customer model (rows-only checks except the model frame)

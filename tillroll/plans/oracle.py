@@ -450,6 +450,10 @@ SELECT check_name, value, lower, upper, CASE WHEN passed THEN 'PASS' ELSE 'REVIE
         out["retention_matrix"] = W(
             coh, f"SELECT cohort_month, cohort_size, {piv} FROM long GROUP BY cohort_month, cohort_size ORDER BY cohort_month"
         )
+        cnt = ", ".join(f"max(CASE WHEN period_n = {k} THEN retained END) AS m{k}" for k in range(p.n_periods))
+        out["retained_matrix"] = W(
+            coh, f"SELECT cohort_month, cohort_size, {cnt} FROM long GROUP BY cohort_month, cohort_size ORDER BY cohort_month"
+        )
         wins = ", ".join(str(w) for w in p.retention_windows)
         out["retention_lines"] = W(
             coh,

@@ -186,11 +186,20 @@ def q_retention_best_worst(spark, sf_dir):
     return H.best_worst_m1(_a(spark, sf_dir).retention_long())
 
 
+# Fitted models are shared by the model queries of one Spark application: the k fold
+# fits and the hold-out fit are distributed jobs worth running once per input.
+_STUDIES: dict[tuple[str, str], object] = {}
+
+
 def _ltv(spark, sf_dir):
     from ..operators import ltv as M
 
-    a = _a(spark, sf_dir)
-    return a, M, M.ltv_study(a.scored, a.params)
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    study = _STUDIES.get(key)
+    if study is None:
+        a = _a(spark, sf_dir)
+        study = _STUDIES[key] = M.ltv_study(a.scored, a.params)
+    return None, M, study
 
 
 def q_ltv_model_frame(spark, sf_dir):
@@ -233,12 +242,11 @@ def q_ltv_partial_dependence(spark, sf_dir):
 
 
 def q_summary(spark, sf_dir):
-    from ..operators import ltv as M
     from ..operators.summary import summary_dict, summary_frame
 
     a = RetailAnalysis.from_test_tables(spark, sf_dir, test_table_params(), cache=True)
     try:
-        doc = summary_dict(a, M.ltv_study(a.scored, a.params))
+        doc = summary_dict(a, _ltv(spark, sf_dir)[2])
     finally:
         a.close()
     return summary_frame(spark, doc)

@@ -61,10 +61,11 @@ class RetailAnalysis:
     ):
         configure(spark)
         params = params or test_table_params()
+        tables = tpch_adapter.read_tables(spark, sf_dir)
         return cls(
-            tpch_adapter.line_items(spark, sf_dir),
+            tpch_adapter.line_items(spark, sf_dir, tables=tables),
             params,
-            windowed_raw=tpch_adapter.line_items(spark, sf_dir, params),
+            windowed_raw=tpch_adapter.line_items(spark, sf_dir, params, tables=tables),
             cache=cache,
             cache_raw=cache,
             checkpoint_clean=checkpoint_clean,

@@ -51,8 +51,25 @@ def _spread(df: DataFrame, min_partitions: int | None) -> DataFrame:
     return df
 
 
+def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four source tables, each listed and its footer read once, pruned to the
+    columns the view uses (the scans read only these)."""
+    return {
+        "lineitem": _read(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"
+        ),
+        "orders": _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"),
+        "customer": _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
+        "nation": _read(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
+    }
+
+
 def line_items(
-    spark: SparkSession, sf_dir: str, params: AnalysisParams | None = None, min_partitions: int | None = 0
+    spark: SparkSession,
+    sf_dir: str,
+    params: AnalysisParams | None = None,
+    min_partitions: int | None = 0,
+    tables: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """The raw line-item view (8 columns). With ``params`` the orders scan is pre-trimmed.
 
@@ -62,11 +79,9 @@ def line_items(
     (row-group skipping), and Spark's runtime bloom filter can carry to the lineitem
     scan. The rows inside the window are unchanged.
     """
-    li = _read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"
-    )
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    li = _spread(li, min_partitions)
+    t = tables if tables is not None else read_tables(spark, sf_dir)
+    li = _spread(t["lineitem"], min_partitions)
+    orders = t["orders"]
     if params is not None:
         lo = params.start_ts - dt.timedelta(days=1)
         hi = params.end_ts
@@ -74,8 +89,7 @@ def line_items(
             (F.col("o_orderdate") >= F.lit(lo).cast("timestamp_ntz"))
             & (F.col("o_orderdate") <= F.lit(hi).cast("timestamp_ntz"))
         )
-    customer = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    customer, nation = t["customer"], t["nation"]
 
     # Joins are declared plainly: the planner broadcasts nation/customer only when
     # their measured size is under spark.sql.autoBroadcastJoinThreshold (AQE re-checks

@@ -52,3 +52,13 @@ def test_value_bins_raise_when_edges_coincide(spark):
     df = spark.createDataFrame([(0,)] * 10, "x long")
     with pytest.raises(ValueError):
         value_bin("x", value_quantile_edges(df, "x", 5))
+
+
+def test_value_edges_rank_fallback_equals_histogram(spark):
+    import random
+
+    rnd = random.Random(3)
+    df = spark.createDataFrame([(i, rnd.randint(-5000, 0)) for i in range(3000)], "id long, x long")
+    small = value_quantile_edges(df, "x", 5)
+    big = value_quantile_edges(df, "x", 5, id_col="id", max_distinct=10)
+    assert small == big

@@ -66,35 +66,59 @@ def rank_bin(rank: Column | str, n: Column | str, n_bins: int = 5) -> Column:
     return out.cast("int")
 
 
-def value_quantile_edges(df: DataFrame, value_col: str, n_bins: int = 5) -> list[tuple[int, int, int, int]]:
+def value_quantile_edges(
+    df: DataFrame,
+    value_col: str,
+    n_bins: int = 5,
+    id_col: str | None = None,
+    max_distinct: int = 100_000,
+) -> list[tuple[int, int, int, int]]:
     """Exact linear-interpolation quantile edges of an integer column, as rationals.
 
     Returns for each k in 0..q: (x_lo, x_hi, r, q) meaning edge = x_lo + r/q (x_hi - x_lo).
-    Works from the value histogram, so it fits integer columns with a bounded number of
-    distinct values (e.g. whole days inside the analysis window). The histogram and its
-    running count are at most one row per distinct value.
+    With few distinct values (e.g. whole days inside the analysis window) the order
+    statistics come from the value histogram, at most ``max_distinct`` rows. Beyond
+    that the 2q+2 needed rows are read by position from a ``global_rank`` over
+    (value, ``id_col``), still exact and without gathering the column anywhere.
     """
     hist = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("_c"))
-    rows = hist.orderBy(value_col).collect()
-    if not rows:
-        raise ValueError(f"no rows to bin on {value_col}")
-    n = sum(r["_c"] for r in rows)
-    values: list[tuple[int, int]] = []
-    cum = 0
-    for r in rows:
-        values.append((cum, int(r[value_col])))
-        cum += r["_c"]
-
-    def at(pos: int) -> int:
-        # value at 0-based sorted position
-        lo, hi = 0, len(values) - 1
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if values[mid][0] <= pos:
-                lo = mid
-            else:
-                hi = mid - 1
-        return values[lo][1]
+    if hist.limit(max_distinct + 1).count() <= max_distinct:
+        rows = hist.orderBy(value_col).collect()
+        if not rows:
+            raise ValueError(f"no rows to bin on {value_col}")
+        n = sum(r["_c"] for r in rows)
+        starts: list[tuple[int, int]] = []
+        cum = 0
+        for r in rows:
+            starts.append((cum, int(r[value_col])))
+            cum += r["_c"]
+
+        def at(pos: int) -> int:
+            lo, hi = 0, len(starts) - 1
+            while lo < hi:
+                mid = (lo + hi + 1) // 2
+                if starts[mid][0] <= pos:
+                    lo = mid
+                else:
+                    hi = mid - 1
+            return starts[lo][1]
+
+    else:
+        if id_col is None:
+            raise ValueError(f"{value_col} has more than {max_distinct} distinct values; pass id_col")
+        ranked = global_rank(df.select(value_col, id_col), [value_col, id_col], "_pos", "_n")
+        n = int(ranked.select("_n").first()[0])
+        wanted = set()
+        for k in range(n_bins + 1):
+            pos, rem = divmod(k * (n - 1), n_bins)
+            wanted.update({pos, pos + 1} if rem else {pos})
+        picked = {
+            int(r["_pos"]) - 1: int(r[value_col])
+            for r in ranked.where(F.col("_pos").isin(*[w + 1 for w in wanted])).select("_pos", value_col).collect()
+        }
+
+        def at(pos: int) -> int:
+            return picked[pos]
 
     edges = []
     for k in range(0, n_bins + 1):

@@ -21,7 +21,9 @@ def rfm_scores(customers: DataFrame, params: AnalysisParams) -> DataFrame:
     # the first rank checkpoints its input, so the upstream plan runs once; the R
     # histogram and the second rank then read the checkpoint files
     ranked = global_rank(customers, ["Frequency", "CustomerID"], "_f_rank", "_n")
-    r_edges = value_quantile_edges(ranked.select((-F.col("Recency")).alias("_neg_recency")), "_neg_recency", q)
+    r_edges = value_quantile_edges(
+        ranked.select((-F.col("Recency")).alias("_neg_recency"), "CustomerID"), "_neg_recency", q, id_col="CustomerID"
+    )
     ranked = global_rank(ranked, ["Monetary", "CustomerID"], "_m_rank")
     # the ranks stay on the frame (F_rank, M_rank, n_customers): the model's quantile
     # threshold reads its two bracketing rows from M_rank instead of sorting again

@@ -155,3 +155,23 @@ def test_cardinalities_approx_close_to_exact(spark):
     assert (ex["distinct_invoices"], ex["distinct_stock_codes"], ex["distinct_customers"], ex["countries"]) == (97, 31, 13, 5)
     for k in ("distinct_invoices", "distinct_stock_codes", "distinct_customers", "countries"):
         assert abs(ap[k] - ex[k]) <= max(1, 0.05 * ex[k])
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF001
+
+    def run():
+        return sorted(tuple(r) for r in E.queries()["cleaning_log"](spark, SF001).collect()) + sorted(
+            tuple(r) for r in E.queries()["retention_cells"](spark, SF001).collect()
+        )
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    base = run()
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        shifted = run()
+        assert spark.conf.get("spark.sql.session.timeZone") == "America/Los_Angeles"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert shifted == base

@@ -80,17 +80,23 @@ def home_flag(params: AnalysisParams, country="Country") -> Column:
     return (col_(country) == F.lit(params.home_country)).cast("int")
 
 
+def ntz_literal(value) -> Column:
+    """A ``timestamp_ntz`` literal from text: independent of any session time zone
+    (a Python datetime literal would be a zoned timestamp)."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+
+
 def snapshot(params: AnalysisParams) -> Column:
     """Midnight after the window end."""
-    return F.lit(params.snapshot_ts).cast("timestamp_ntz")
+    return ntz_literal(params.snapshot_ts)
 
 
 def window_start(params: AnalysisParams) -> Column:
-    return F.lit(params.start_ts).cast("timestamp_ntz")
+    return ntz_literal(params.start_ts)
 
 
 def window_end(params: AnalysisParams) -> Column:
-    return F.lit(params.end_ts).cast("timestamp_ntz")
+    return ntz_literal(params.end_ts)
 
 
 def basket_size(total_quantity="TotalQuantity", frequency="Frequency") -> Column:

@@ -29,8 +29,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Session settings the operators rely on (time zone for timestamp_ntz parity)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """What the operators need from a session: a checkpoint folder.
+
+    Timestamps are ``timestamp_ntz`` end to end and literals are built from text, so
+    results do not depend on ``spark.sql.session.timeZone``; the caller's session
+    settings are left as they are.
+    """
     ensure_checkpoint_dir(spark)
     return spark
 

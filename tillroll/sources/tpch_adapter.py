@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import ntz_literal
 from ..params import AnalysisParams
 
 # Fixed values of the derivation rules.
@@ -86,8 +87,7 @@ def line_items(
         lo = params.start_ts - dt.timedelta(days=1)
         hi = params.end_ts
         orders = orders.where(
-            (F.col("o_orderdate") >= F.lit(lo).cast("timestamp_ntz"))
-            & (F.col("o_orderdate") <= F.lit(hi).cast("timestamp_ntz"))
+            (F.col("o_orderdate") >= ntz_literal(lo)) & (F.col("o_orderdate") <= ntz_literal(hi))
         )
     customer, nation = t["customer"], t["nation"]
 

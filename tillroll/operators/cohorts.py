@@ -42,25 +42,32 @@ def retained_counts(cohorted: DataFrame) -> DataFrame:
 
 
 def retention_long(cohorted: DataFrame, params: AnalysisParams) -> DataFrame:
-    """H6-H8 in long form: every cohort x period 0..last, missing = 0, masked pct = null.
+    """H4-H8 in long form: every cohort x period 0..last, missing = 0, masked pct = null.
 
-    ``observed`` uses the real month offset of the cohort from the window start, so a
-    month with no cohort does not shift the mask. Inputs are bounded by months^2.
+    One lineage, no join: the retained counts (H5, at most months^2 rows) are folded
+    into one map per cohort, the cohort size (H4) is its period-0 cell (every customer
+    is active in its own cohort month), and the dense grid comes from
+    ``explode(sequence)``. ``observed`` uses the real month offset of the cohort from
+    the window start, so a month with no cohort does not shift the mask.
     """
-    sizes = cohort_sizes(cohorted)
-    grid = sizes.select(
-        "CohortMonth", "cohort_size", F.explode(F.sequence(F.lit(0), F.lit(params.last_observed_offset))).alias("PeriodN")
+    per_cohort = retained_counts(cohorted).groupBy("CohortMonth").agg(
+        F.map_from_entries(F.collect_list(F.struct("PeriodN", "retained"))).alias("_cells")
     )
+    cells = per_cohort.select(
+        "CohortMonth",
+        F.element_at("_cells", F.lit(0)).alias("cohort_size"),
+        "_cells",
+        F.explode(F.sequence(F.lit(0), F.lit(params.last_observed_offset))).alias("PeriodN"),
+    ).withColumn("retained", F.coalesce(F.element_at("_cells", F.col("PeriodN")), F.lit(0)))
     offset = C.month_index("CohortMonth") - F.lit(params.first_month_index)
-    cells = grid.join(retained_counts(cohorted), ["CohortMonth", "PeriodN"], "left")
     observed = (offset + F.col("PeriodN")) <= F.lit(params.last_observed_offset)
     return cells.select(
         C.month_label("CohortMonth").alias("cohort_month"),
         F.col("PeriodN").cast("int").alias("period_n"),
         F.col("cohort_size").cast("bigint").alias("cohort_size"),
-        F.coalesce("retained", F.lit(0)).cast("bigint").alias("retained"),
+        F.col("retained").cast("bigint").alias("retained"),
         observed.alias("observed"),
-        F.when(observed, C.percent_of(F.coalesce("retained", F.lit(0)), "cohort_size")).alias("retention_pct"),
+        F.when(observed, C.percent_of("retained", "cohort_size")).alias("retention_pct"),
     )
 
 

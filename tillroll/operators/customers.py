@@ -16,6 +16,9 @@ def customer_features(df_with_cust: DataFrame, params: AnalysisParams) -> DataFr
     rows still sends one partial row per map task. The two distinct counts are
     expanded by Catalyst into (CustomerID, invoice) and (CustomerID, stock code)
     pre-aggregations, which spread a hot customer over many keys.
+
+    The input is read twice (main aggregate and ``country_mode``): pass a persisted
+    or checkpointed frame, as ``RetailAnalysis`` does.
     """
     cx = F.col("IsCancellation")
     rows = df_with_cust.where(F.col("CustomerID").isNotNull())

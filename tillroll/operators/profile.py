@@ -155,14 +155,15 @@ def histogram(df: DataFrame, value_col: str, bins: int = 60) -> DataFrame:
     width = (hi - lo) / bins
     b = F.least(F.floor((v - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)).cast("int"), F.lit(bins - 1))
     counts = df.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    # at most `bins` entries: fold them into one map and list every bin, no grid join
+    folded = counts.agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_m"))
     return (
-        grid.join(counts, "bin", "left")
+        folded.select("_m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
         .select(
-            "bin",
+            F.col("bin").cast("int").alias("bin"),
             (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lower"),
             (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("upper"),
-            F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
+            F.coalesce(F.element_at("_m", F.col("bin")), F.lit(0)).cast("bigint").alias("count"),
         )
         .orderBy("bin")
     )

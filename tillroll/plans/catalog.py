@@ -24,41 +24,42 @@ from .analysis import RetailAnalysis
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
-def _a(spark: SparkSession, sf_dir: str, checkpoint_clean: bool = False) -> RetailAnalysis:
-    # one query = one plan: nothing is persisted across calls. A query that reads the
-    # cleaned lines twice writes them once to spark.checkpoint.dir instead of running
-    # the join and dedup twice (the rank step checkpoints on its own).
+def _a(spark: SparkSession, sf_dir: str, checkpoint_clean: bool = True) -> RetailAnalysis:
+    # one query = one plan: nothing is persisted across calls. Customer-level queries
+    # read the cleaned lines in two branches (main aggregate, country mode; KPI lines),
+    # so they write them once to spark.checkpoint.dir instead of running the join and
+    # dedup twice. Single-read queries pass checkpoint_clean=False.
     return RetailAnalysis.from_test_tables(
         spark, sf_dir, test_table_params(), cache=False, checkpoint_clean=checkpoint_clean
     )
 
 
 def q_line_items(spark, sf_dir):
-    return _a(spark, sf_dir).raw
+    return _a(spark, sf_dir, checkpoint_clean=False).raw
 
 
 def q_clean_line_items(spark, sf_dir):
-    a = _a(spark, sf_dir)
+    a = _a(spark, sf_dir, checkpoint_clean=False)
     return a.clean.select(*CLEAN_COLUMNS).withColumn("LineRevenue", F.col("LineRevenue").cast("double"))
 
 
 def q_line_features(spark, sf_dir):
-    a = _a(spark, sf_dir)
+    a = _a(spark, sf_dir, checkpoint_clean=False)
     return Q.line_features(a.clean, a.params)
 
 
 def q_cleaning_log(spark, sf_dir):
-    return _a(spark, sf_dir, checkpoint_clean=True).cleaning_log()
+    return _a(spark, sf_dir).cleaning_log()
 
 
 def q_non_product_audit(spark, sf_dir):
-    a = _a(spark, sf_dir)
+    a = _a(spark, sf_dir, checkpoint_clean=False)
     return CL.non_product_audit(a.clean, a.params)
 
 
 def _profile(fn):
     def run(spark, sf_dir):
-        a = _a(spark, sf_dir)
+        a = _a(spark, sf_dir, checkpoint_clean=False)  # the raw view only
         return fn(a)
 
     return run
@@ -118,7 +119,7 @@ def q_segment_summary(spark, sf_dir):
 
 
 def q_headline_kpis(spark, sf_dir):
-    return _a(spark, sf_dir, checkpoint_clean=True).headline_kpis()
+    return _a(spark, sf_dir).headline_kpis()
 
 
 def q_top_segment(spark, sf_dir):
@@ -144,46 +145,46 @@ def q_concentration(spark, sf_dir):
 
 
 def q_guard_rails(spark, sf_dir):
-    return _a(spark, sf_dir, checkpoint_clean=True).guard_rails()
+    return _a(spark, sf_dir).guard_rails()
 
 
-def _cohorted(a: RetailAnalysis) -> DataFrame:
+def _cohorted(a: RetailAnalysis) -> DataFrame:  # reads the cleaned lines once
     return H.with_cohort(H.active_months(a.with_customer))
 
 
 def q_active_months(spark, sf_dir):
-    return H.active_months(_a(spark, sf_dir).with_customer)
+    return H.active_months(_a(spark, sf_dir, checkpoint_clean=False).with_customer)
 
 
 def q_cohort_periods(spark, sf_dir):
-    return _cohorted(_a(spark, sf_dir))
+    return _cohorted(_a(spark, sf_dir, checkpoint_clean=False))
 
 
 def q_cohort_sizes(spark, sf_dir):
-    return H.cohort_sizes(_cohorted(_a(spark, sf_dir)))
+    return H.cohort_sizes(_cohorted(_a(spark, sf_dir, checkpoint_clean=False)))
 
 
 def q_retention_cells(spark, sf_dir):
-    return _a(spark, sf_dir).retention_long()
+    return _a(spark, sf_dir, checkpoint_clean=False).retention_long()
 
 
 def q_retention_matrix(spark, sf_dir):
-    a = _a(spark, sf_dir)
+    a = _a(spark, sf_dir, checkpoint_clean=False)
     return H.retention_matrix(a.retention_long(), a.params)
 
 
 def q_retained_matrix(spark, sf_dir):
-    a = _a(spark, sf_dir)
+    a = _a(spark, sf_dir, checkpoint_clean=False)
     return H.retention_matrix(a.retention_long(), a.params, value="retained")
 
 
 def q_retention_lines(spark, sf_dir):
-    a = _a(spark, sf_dir)
+    a = _a(spark, sf_dir, checkpoint_clean=False)
     return H.retention_lines(a.retention_long(), a.params)
 
 
 def q_retention_best_worst(spark, sf_dir):
-    return H.best_worst_m1(_a(spark, sf_dir).retention_long())
+    return H.best_worst_m1(_a(spark, sf_dir, checkpoint_clean=False).retention_long())
 
 
 # Fitted models are shared by the model queries of one Spark application: the k fold

@@ -175,3 +175,17 @@ def test_results_do_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert shifted == base
+
+
+def test_country_mode_operator_matches_aggregate(spark):
+    rows = [
+        line("1", "A1", 1, "2011-05-01 10:00:00", 2.0, 7, "B"),
+        line("2", "A1", 1, "2011-05-02 10:00:00", 2.0, 7, "A"),
+        line("3", "A1", 1, "2011-05-03 10:00:00", 2.0, 8, "B"),
+        line("4", "A1", 1, "2011-05-04 10:00:00", 2.0, 8, "B"),
+        line("5", "A1", 1, "2011-05-05 10:00:00", 2.0, 8, "A"),
+    ]
+    df = CL.with_customer(CL.clean_line_items(frame(spark, rows), P))
+    got = {r["CustomerID"]: r["Country"] for r in CU.country_mode(df).collect()}
+    assert got == {7: "A", 8: "B"}
+    assert got == {r["CustomerID"]: r["Country"] for r in CU.customer_features(df, P).collect()}

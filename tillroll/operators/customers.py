@@ -16,9 +16,6 @@ def customer_features(df_with_cust: DataFrame, params: AnalysisParams) -> DataFr
     rows still sends one partial row per map task. The two distinct counts are
     expanded by Catalyst into (CustomerID, invoice) and (CustomerID, stock code)
     pre-aggregations, which spread a hot customer over many keys.
-
-    The input is read twice (main aggregate and ``country_mode``): pass a persisted
-    or checkpointed frame, as ``RetailAnalysis`` does.
     """
     cx = F.col("IsCancellation")
     rows = df_with_cust.where(F.col("CustomerID").isNotNull())
@@ -33,11 +30,10 @@ def customer_features(df_with_cust: DataFrame, params: AnalysisParams) -> DataFr
         F.count_if(~cx).alias("TotalLines"),
         F.count_distinct(F.when(~cx, F.col("StockCode"))).alias("DistinctStockCodes"),  # C7
         F.avg(cx.cast("double")).alias("CancellationRate"),  # C8
+        # C9 in the same aggregate, so the lines are read once; its final stage sorts
+        # the already partially aggregated rows by CustomerID
+        F.mode("Country", True).alias("Country"),
     )
-    # C9 as its own two-level aggregate (the ``mode`` aggregate would push the whole
-    # customer aggregation onto the sort-based path); both sides come out
-    # hash-partitioned by CustomerID, so the join adds no shuffle
-    agg = agg.join(country_mode(rows), "CustomerID")
     return agg.withColumns(
         {
             "Recency": C.whole_days("last_invoice", C.snapshot(params)),  # C3
@@ -50,7 +46,7 @@ def customer_features(df_with_cust: DataFrame, params: AnalysisParams) -> DataFr
 
 
 def country_mode(rows: DataFrame) -> DataFrame:
-    """Most frequent country per customer; ties go to the smallest name.
+    """C9 on its own: most frequent country per customer; ties go to the smallest name.
 
     (CustomerID, Country) counts are pre-aggregated map-side, so a customer with
     a third of all rows still yields one partial row per map task and country.

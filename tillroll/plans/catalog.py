@@ -24,11 +24,10 @@ from .analysis import RetailAnalysis
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
-def _a(spark: SparkSession, sf_dir: str, checkpoint_clean: bool = True) -> RetailAnalysis:
-    # one query = one plan: nothing is persisted across calls. Customer-level queries
-    # read the cleaned lines in two branches (main aggregate, country mode; KPI lines),
-    # so they write them once to spark.checkpoint.dir instead of running the join and
-    # dedup twice. Single-read queries pass checkpoint_clean=False.
+def _a(spark: SparkSession, sf_dir: str, checkpoint_clean: bool = False) -> RetailAnalysis:
+    # one query = one plan: nothing is persisted across calls. A query with two
+    # consumers of the cleaned lines (line-level KPIs next to customer features) writes
+    # them once to spark.checkpoint.dir instead of running the join and dedup twice.
     return RetailAnalysis.from_test_tables(
         spark, sf_dir, test_table_params(), cache=False, checkpoint_clean=checkpoint_clean
     )
@@ -49,7 +48,7 @@ def q_line_features(spark, sf_dir):
 
 
 def q_cleaning_log(spark, sf_dir):
-    return _a(spark, sf_dir).cleaning_log()
+    return _a(spark, sf_dir, checkpoint_clean=True).cleaning_log()
 
 
 def q_non_product_audit(spark, sf_dir):
@@ -119,7 +118,7 @@ def q_segment_summary(spark, sf_dir):
 
 
 def q_headline_kpis(spark, sf_dir):
-    return _a(spark, sf_dir).headline_kpis()
+    return _a(spark, sf_dir, checkpoint_clean=True).headline_kpis()
 
 
 def q_top_segment(spark, sf_dir):
@@ -145,7 +144,7 @@ def q_concentration(spark, sf_dir):
 
 
 def q_guard_rails(spark, sf_dir):
-    return _a(spark, sf_dir).guard_rails()
+    return _a(spark, sf_dir, checkpoint_clean=True).guard_rails()
 
 
 def _cohorted(a: RetailAnalysis) -> DataFrame:  # reads the cleaned lines once

@@ -82,8 +82,9 @@ def value_quantile_edges(
     (value, ``id_col``), still exact and without gathering the column anywhere.
     """
     hist = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("_c"))
-    if hist.limit(max_distinct + 1).count() <= max_distinct:
-        rows = hist.orderBy(value_col).collect()
+    # one job: at most max_distinct + 1 histogram rows reach the driver
+    rows = hist.orderBy(value_col).limit(max_distinct + 1).collect()
+    if len(rows) <= max_distinct:
         if not rows:
             raise ValueError(f"no rows to bin on {value_col}")
         n = sum(r["_c"] for r in rows)

@@ -53,3 +53,17 @@ def test_exports_and_summary(spark):
         assert top[0]["Segment"] == doc["top_segment"]["name"]
     finally:
         a.close()
+
+
+def test_fixed_table_schemas_match_the_files(spark):
+    """The declared read schemas equal the inferred types of the columns the view uses."""
+    from pyspark.sql.types import StructType
+
+    from tillroll.sources.tpch_adapter import TABLE_SCHEMAS, read_tables
+
+    tables = read_tables(spark, SF001)
+    for name, ddl in TABLE_SCHEMAS.items():
+        declared = StructType.fromDDL(ddl)
+        inferred = spark.read.parquet(f"{SF001}/{name}.parquet").select(*declared.fieldNames()).schema
+        assert [(f.name, f.dataType) for f in declared] == [(f.name, f.dataType) for f in inferred], name
+        assert tables[name].count() == spark.read.parquet(f"{SF001}/{name}.parquet").count()

@@ -14,11 +14,15 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 def plan_text(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The executed plan; for a finished adaptive plan only its final section."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.split("== Initial Plan ==")[0]
 
 
 def stats(df) -> dict:
-    df.write.format("noop").mode("overwrite").save()  # final adaptive plan
+    # run this DataFrame's own query execution (a write would plan a separate one), so
+    # the adaptive plan is final and shows its whole-stage-codegen stages as *(n)
+    df._jdf.queryExecution().toRdd().count()
     text = plan_text(df)
     return {
         "shuffles": len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|RoundRobin)", text)),
@@ -26,7 +30,8 @@ def stats(df) -> dict:
         "broadcasts": len(re.findall(r"BroadcastExchange", text)),
         "python": len(re.findall(r"(BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas)", text)),
         "sort_merge_joins": len(re.findall(r"SortMergeJoin", text)),
-        "codegen_stages": len(re.findall(r"WholeStageCodegen", text)) + len(re.findall(r"\*\(\d+\)", text)),
+        # distinct whole-stage-codegen stage ids (*(n) prefixes in the final plan)
+        "codegen_stages": len(set(re.findall(r"\*\((\d+)\)", text))),
     }
 
 

@@ -175,7 +175,7 @@ def template_matches(
 ) -> DataFrame:
     """(row, label, score): templates whose rare words stand at one start in a file that has their key phrases."""
     spark = lines.sparkSession
-    rank = F.create_map(*[F.lit(x) for w, v in sorted(idf.items()) for x in (w, -v)]) if idf else F.lit(None)
+    rank = F.create_map(*[F.lit(x) for w, v in sorted(idf.items()) for x in (w, -v)]) if idf else F.create_map().cast("map<string,double>")
     keyed = lines.where("words IS NOT NULL")
     rarest = F.slice(F.array_sort(F.transform("found", lambda w: F.struct(rank[w].alias("k"), w.alias("w")))), 1, looked_up)
     chosen = keyed.select("row", "words", F.transform(rarest, lambda x: x["w"]).alias("chosen"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, license_scan, mixing, quality, simhash, substring, token_counts, toxicity, winnow
+from . import bpe, html_extract, license_scan, mixing, quality, simhash, substring, token_counts, toxicity, winnow
 from .common import table
 
 #: What a revision takes out of the texts.
@@ -78,6 +78,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_extract.extract(pages, html_extract.train(pages))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_token_counts,
         op5_mixing,
         op6_license_scan,
+        op7_html_extract,
         op8_toxicity,
         op9_bpe,
         op10_quality_rules,

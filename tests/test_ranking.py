@@ -1,8 +1,17 @@
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillroll.operators.ranking import global_rank, rank_bin, value_bin, value_quantile_edges
+from tillroll.operators.ranking import (
+    global_rank,
+    interpolated_quantiles,
+    rank_bin,
+    rank_score,
+    value_bin,
+    value_quantile_edges,
+)
 
 
 @pytest.mark.parametrize("parts", [1, 2, 8])
@@ -54,11 +63,32 @@ def test_value_bins_raise_when_edges_coincide(spark):
         value_bin("x", value_quantile_edges(df, "x", 5))
 
 
-def test_value_edges_rank_fallback_equals_histogram(spark):
-    import random
+def test_value_edges_with_many_distinct_values(spark):
+    """One way for any number of distinct values: positions read from ranged counts."""
+    import numpy as np
 
     rnd = random.Random(3)
-    df = spark.createDataFrame([(i, rnd.randint(-5000, 0)) for i in range(3000)], "id long, x long")
-    small = value_quantile_edges(df, "x", 5)
-    big = value_quantile_edges(df, "x", 5, id_col="id", max_distinct=10)
-    assert small == big
+    vals = [rnd.randint(-50_000, 0) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x long").repartition(7)
+    exact = [lo + r * (hi - lo) / q for lo, hi, r, q in value_quantile_edges(df, "x", 5)]
+    assert np.allclose(exact, np.quantile(vals, np.linspace(0, 1, 6)))
+
+
+def test_interpolated_quantiles(spark):
+    import numpy as np
+
+    vals = [1.5, 1.5, 2.0, 9.0, 9.5, 40.0, -3.0]
+    df = spark.createDataFrame([(v,) for v in [*vals, None]], "x double")
+    qs = [0.0, 0.05, 0.5, 0.8, 1.0]
+    assert np.allclose(interpolated_quantiles(df, "x", qs), np.quantile(vals, qs))
+    assert interpolated_quantiles(df.where("x > 100"), "x", qs) is None
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 7, 23])
+def test_rank_score_equals_rank_bin(spark, n):
+    rnd = random.Random(n)
+    df = spark.createDataFrame([(i, rnd.randint(0, 3)) for i in range(n)], "id long, v int")
+    ranked = global_rank(df, ["v", "id"], "r", "n")
+    expect = {r["id"]: r["b"] for r in ranked.select("id", rank_bin("r", "n").alias("b")).collect()}
+    got = {r["id"]: r["b"] for r in df.select("id", rank_score(df, ["v", "id"], n).alias("b")).collect()}
+    assert got == expect

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
@@ -66,69 +66,87 @@ def rank_bin(rank: Column | str, n: Column | str, n_bins: int = 5) -> Column:
     return out.cast("int")
 
 
-def value_quantile_edges(
-    df: DataFrame,
-    value_col: str,
-    n_bins: int = 5,
-    id_col: str | None = None,
-    max_distinct: int = 100_000,
-) -> list[tuple[int, int, int, int]]:
+def order_statistics(df: DataFrame, order_cols: Sequence[str], ranks: Sequence[int]) -> dict[int, Row]:
+    """The rows at the given 1-based ranks of ``order_cols`` order (which ends in a unique key).
+
+    Only ``order_cols`` are sorted and checkpointed, and only the asked rows reach the driver.
+    """
+    wanted = sorted(set(ranks))
+    if not wanted:
+        return {}
+    ranked = global_rank(df.select(*order_cols), list(order_cols), "_pos")
+    return {int(r["_pos"]): r for r in ranked.where(F.col("_pos").isin(*wanted)).collect()}
+
+
+def counted_statistics(df: DataFrame, value_col: str, positions: Sequence[int]) -> dict[int, int]:
+    """The values at 0-based positions of the sorted column, from its per-value counts.
+
+    The counts are ranged over partitions and summed up there; one row per partition gives
+    the offsets. The driver receives one row per position, whatever the number of values.
+    """
+    counts = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("_c"))
+    part = reliable_checkpoint(counts.orderBy(value_col).select("*", F.spark_partition_id().alias(_PART)))
+    offsets = part.groupBy(_PART).agg(F.sum("_c").alias("_s"))
+    # one row per non-empty partition
+    offsets = offsets.select(_PART, (F.sum("_s").over(Window.orderBy(_PART)) - F.col("_s")).alias("_off"))
+    upto = F.sum("_c").over(Window.partitionBy(_PART).orderBy(value_col)) + F.col("_off")
+    wanted = F.array(*[F.lit(int(k)).cast("long") for k in sorted(set(positions))])
+    found = (
+        part.join(F.broadcast(offsets), _PART)
+        .withColumn("_upto", upto)
+        .select(
+            F.col(value_col).alias("v"),
+            F.explode(F.filter(wanted, lambda k: (k < F.col("_upto")) & (k >= F.col("_upto") - F.col("_c")))).alias("k"),
+        )
+    )
+    return {int(r["k"]): r["v"] for r in found.collect()}
+
+
+def value_quantile_edges(df: DataFrame, value_col: str, n_bins: int = 5) -> list[tuple[int, int, int, int]]:
     """Exact linear-interpolation quantile edges of an integer column, as rationals.
 
     Returns for each k in 0..q: (x_lo, x_hi, r, q) meaning edge = x_lo + r/q (x_hi - x_lo).
-    With few distinct values (e.g. whole days inside the analysis window) the order
-    statistics come from the value histogram, at most ``max_distinct`` rows. Beyond
-    that the 2q+2 needed rows are read by position from a ``global_rank`` over
-    (value, ``id_col``), still exact and without gathering the column anywhere.
     """
-    hist = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("_c"))
-    # one job: at most max_distinct + 1 histogram rows reach the driver
-    rows = hist.orderBy(value_col).limit(max_distinct + 1).collect()
-    if len(rows) <= max_distinct:
-        if not rows:
-            raise ValueError(f"no rows to bin on {value_col}")
-        n = sum(r["_c"] for r in rows)
-        starts: list[tuple[int, int]] = []
-        cum = 0
-        for r in rows:
-            starts.append((cum, int(r[value_col])))
-            cum += r["_c"]
-
-        def at(pos: int) -> int:
-            lo, hi = 0, len(starts) - 1
-            while lo < hi:
-                mid = (lo + hi + 1) // 2
-                if starts[mid][0] <= pos:
-                    lo = mid
-                else:
-                    hi = mid - 1
-            return starts[lo][1]
-
-    else:
-        if id_col is None:
-            raise ValueError(f"{value_col} has more than {max_distinct} distinct values; pass id_col")
-        ranked = global_rank(df.select(value_col, id_col), [value_col, id_col], "_pos", "_n")
-        n = int(ranked.select("_n").first()[0])
-        wanted = set()
-        for k in range(n_bins + 1):
-            pos, rem = divmod(k * (n - 1), n_bins)
-            wanted.update({pos, pos + 1} if rem else {pos})
-        picked = {
-            int(r["_pos"]) - 1: int(r[value_col])
-            for r in ranked.where(F.col("_pos").isin(*[w + 1 for w in wanted])).select("_pos", value_col).collect()
-        }
-
-        def at(pos: int) -> int:
-            return picked[pos]
-
-    edges = []
-    for k in range(0, n_bins + 1):
-        num = k * (n - 1)
-        pos, rem = divmod(num, n_bins)
-        x_lo = at(pos)
-        x_hi = at(pos + 1) if rem else x_lo
-        edges.append((x_lo, x_hi, rem, n_bins))
-    return edges
+    n = df.where(F.col(value_col).isNotNull()).count()
+    if not n:
+        raise ValueError(f"no rows to bin on {value_col}")
+    at = [divmod(k * (n - 1), n_bins) for k in range(n_bins + 1)]
+    got = counted_statistics(
+        df.where(F.col(value_col).isNotNull()), value_col, [p for pos, rem in at for p in ((pos, pos + 1) if rem else (pos,))]
+    )
+    return [(int(got[pos]), int(got[pos + 1] if rem else got[pos]), rem, n_bins) for pos, rem in at]
+
+
+def interpolated_quantiles(df: DataFrame, value_col: str, quantiles: Sequence[float]) -> list[float] | None:
+    """Exact linear-interpolation quantiles of a numeric column; None without rows."""
+    rows = df.where(F.col(value_col).isNotNull())
+    n = rows.count()
+    if not n:
+        return None
+    at = [(int(q * (n - 1) // 1), q * (n - 1)) for q in quantiles]
+    got = counted_statistics(rows, value_col, [min(p + d, n - 1) for p, _ in at for d in (0, 1)])
+    out = []
+    for p, exact in at:
+        a, b = float(got[p]), float(got[min(p + 1, n - 1)])
+        out.append(a + (b - a) * (exact - p))
+    return out
+
+
+def rank_score(df: DataFrame, order_cols: Sequence[str], n: int, n_bins: int = 5) -> Column:
+    """W2 without carrying ranks: compare ``order_cols`` with the first row of each higher bin.
+
+    Bin k starts at the smallest rank r with q(r-1) > (k-1)(n-1), so a row's bin is 1 + the
+    number of those rows that are not after it.
+    """
+    first = [k * (n - 1) // n_bins + 2 for k in range(1, n_bins)]
+    cuts = order_statistics(df, order_cols, [r for r in first if r <= n])
+    own = F.struct(*[F.col(c) for c in order_cols])
+    out = F.lit(1)
+    for r in first:
+        if r in cuts:
+            row = F.struct(*[F.lit(cuts[r][c]).cast(df.schema[c].dataType).alias(c) for c in order_cols])
+            out = out + F.when(own >= row, 1).otherwise(0)
+    return out.cast("int")
 
 
 def value_bin(value: Column | str, edges: list[tuple[int, int, int, int]]) -> Column:
@@ -147,17 +165,3 @@ def value_bin(value: Column | str, edges: list[tuple[int, int, int, int]]) -> Co
     for num, q in exact[1:-1]:
         out = out + F.when(v.cast("long") * q > F.lit(num), 1).otherwise(0)
     return out.cast("int")
-
-
-def interpolated_quantile(ranked: DataFrame, value_col: str, rank_col: str, n: int, q: float) -> float:
-    """Linear-interpolation quantile read from two ranked rows (no value map in memory)."""
-    pos = q * (n - 1)
-    lo = int(pos // 1)
-    frac = pos - lo
-    hi = min(lo + 1, n - 1)
-    got = {
-        int(r[rank_col]) - 1: r[value_col]
-        for r in ranked.where(F.col(rank_col).isin(lo + 1, hi + 1)).select(rank_col, value_col).collect()
-    }
-    a, b = float(got[lo]), float(got[hi])
-    return a + (b - a) * frac

@@ -8,32 +8,30 @@ from pyspark.sql import functions as F
 from ..functions.segments import SEGMENT_NAMES, segment_expr
 from ..params import AnalysisParams
 from ..sources.schema import CUSTOMER_COLUMNS
-from .ranking import global_rank, rank_bin, value_bin, value_quantile_edges
+from ..session import reliable_checkpoint
+from .ranking import rank_score, value_bin, value_quantile_edges
 
 
 def rfm_scores(customers: DataFrame, params: AnalysisParams) -> DataFrame:
     """R from value quantiles of -Recency; F and M from ranks (ties by CustomerID).
 
-    Ranks run after the net-positive filter. Two range-partitioned sorts (F, M), no
-    single-task window. The R edges come from the bounded Recency histogram.
+    The customers are checkpointed once. Ranks sort (value, CustomerID) alone, and scores
+    are comparisons with the few cut rows read from them.
     """
     q = params.n_bins
-    # the first rank checkpoints its input, so the upstream plan runs once; the R
-    # histogram and the second rank then read the checkpoint files
-    ranked = global_rank(customers, ["Frequency", "CustomerID"], "_f_rank", "_n")
-    r_edges = value_quantile_edges(
-        ranked.select((-F.col("Recency")).alias("_neg_recency"), "CustomerID"), "_neg_recency", q, id_col="CustomerID"
-    )
-    ranked = global_rank(ranked, ["Monetary", "CustomerID"], "_m_rank")
-    # the ranks stay on the frame (F_rank, M_rank, n_customers): the model's quantile
-    # threshold reads its two bracketing rows from M_rank instead of sorting again
-    return ranked.withColumns(
+    customers = reliable_checkpoint(customers)
+    n = customers.count()
+    if not n:
+        none = F.lit(None).cast("int")
+        return customers.withColumns({"R_score": none, "F_score": none, "M_score": none})
+    r_edges = value_quantile_edges(customers.select((-F.col("Recency")).alias("_neg_recency")), "_neg_recency", q)
+    return customers.withColumns(
         {
             "R_score": value_bin(-F.col("Recency"), r_edges),
-            "F_score": rank_bin("_f_rank", "_n", q),
-            "M_score": rank_bin("_m_rank", "_n", q),
+            "F_score": rank_score(customers, ["Frequency", "CustomerID"], n, q),
+            "M_score": rank_score(customers, ["Monetary", "CustomerID"], n, q),
         }
-    ).withColumnsRenamed({"_f_rank": "F_rank", "_m_rank": "M_rank", "_n": "n_customers"})
+    )
 
 
 def assign_segments(scored: DataFrame) -> DataFrame:

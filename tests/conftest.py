@@ -36,7 +36,7 @@ def duck():
 
     def connect(sf_dir):
         con = duckdb.connect()
-        for t in ("lineitem", "orders", "customer", "nation"):
+        for t in ("lineitem", "orders", "customer", "nation", "part"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
         return con
 

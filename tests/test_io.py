@@ -1,9 +1,11 @@
 import tempfile
 
+from pyspark.sql import functions as F
+
 from tests.conftest import SF001
 from tests.helpers import frame, line
 from tillroll.operators.rfm import segment_map
-from tillroll.operators.summary import summary_dict, summary_frame, top_segments_report
+from tillroll.operators.summary import SUMMARY_SCHEMA, summary_frame, top_segments_report
 from tillroll.plans.analysis import RetailAnalysis
 from tillroll.sources import io
 
@@ -36,12 +38,11 @@ def test_exports_and_summary(spark):
         io.write_segment_map(segment_map(spark), f"{d}/segmap")
         sm = io.read_json_result(spark, f"{d}/segmap")
         assert sm.count() == 125
-        doc = summary_dict(a)
-        s = summary_frame(spark, doc)
-        io.write_summary(s, f"{d}/summary")
-        back = io.read_json_result(spark, f"{d}/summary", multi_line=True)
-        r = back.first()
-        assert r["kpis"]["total_customers"] == doc["kpis"]["total_customers"]
+        doc = summary_frame(a)
+        io.write_summary(doc, f"{d}/summary")
+        back = io.read_json_result(spark, f"{d}/summary", schema=SUMMARY_SCHEMA)
+        r, own = back.first(), doc.first()
+        assert r["kpis"] == own["kpis"] and r["segments"] == own["segments"]
         assert r["cleaning"]["03_drop_exact_duplicates"]["rows_after"] == a.clean.count()
         from tillroll.operators.summary import guard_rails_from_summary
 
@@ -50,7 +51,7 @@ def test_exports_and_summary(spark):
         assert rails == direct and len(rails) == 4
         top = top_segments_report(back, 6).collect()
         assert top[0]["width_pct"] == 100.0
-        assert top[0]["Segment"] == doc["top_segment"]["name"]
+        assert top[0]["Segment"] == own["top_segment"]["name"]
     finally:
         a.close()
 
@@ -69,12 +70,57 @@ def test_fixed_table_schemas_match_the_files(spark):
         assert tables[name].count() == spark.read.parquet(f"{SF001}/{name}.parquet").count()
 
 
-def test_spread_view_keeps_rows_and_hashes_on_the_join_key(spark):
-    """A scan with fewer splits than asked for is hash-spread on l_orderkey; rows are unchanged."""
+def test_window_load_prunes_months_and_keeps_the_rows(spark):
+    from tillroll.operators.clean import trim_window
+    from tillroll.params import test_table_params
     from tillroll.sources.tpch_adapter import line_items
 
-    plain = line_items(spark, SF001, min_partitions=0)
-    spread = line_items(spark, SF001, min_partitions=64)
-    plan = spread._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(l_orderkey" in plan
-    assert sorted(spread.collect()) == sorted(plain.collect())
+    d = tempfile.mkdtemp(prefix="tillroll-io-")
+    p = test_table_params()
+    io.write_line_items(line_items(spark, SF001), f"{d}/pq")
+    trimmed = trim_window(io.load_line_items(spark, f"{d}/pq", params=p), p)
+    plan = trimmed._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "invoice_month" in filters
+    whole = trim_window(io.load_line_items(spark, f"{d}/pq"), p)
+    assert sorted(map(str, trimmed.collect())) == sorted(map(str, whole.collect()))
+    files = trimmed.select(F.input_file_name()).distinct().collect()
+    months = {r[0].split("invoice_month=")[1][:7] for r in files}
+    assert months == {f"1997-{m:02d}" for m in range(1, 13)}
+
+
+def test_one_month_is_written_by_several_tasks(spark):
+    d = tempfile.mkdtemp(prefix="tillroll-io-")
+    rows = [line(str(k), f"code{k}", 1, "2011-03-05 10:00:00", 1.0, k) for k in range(4000)]
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        io.write_line_items(frame(spark, rows).repartition(16), f"{d}/pq")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    back = spark.read.parquet(f"{d}/pq")
+    assert back.count() == 4000
+    assert len(back.inputFiles()) > 1
+
+
+def test_load_widens_or_fails_but_never_narrows(spark):
+    import pytest
+
+    d = tempfile.mkdtemp(prefix="tillroll-io-")
+    df = frame(spark, [line("1", "a", 2, "2011-01-01 00:00:00", 1.0, 5)])
+    df.withColumn("Quantity", F.col("Quantity").cast("int")).write.parquet(f"{d}/int")
+    assert io.load_line_items(spark, f"{d}/int").first()["Quantity"] == 2
+    df.withColumn("Quantity", F.lit(2.0)).write.parquet(f"{d}/whole")
+    assert io.load_line_items(spark, f"{d}/whole").first()["Quantity"] == 2
+    df.withColumn("Quantity", F.lit(2.5)).write.parquet(f"{d}/fraction")
+    with pytest.raises(Exception, match="does not fit"):
+        io.load_line_items(spark, f"{d}/fraction").collect()
+
+
+def test_summary_schema_does_not_depend_on_the_data(spark):
+    a = RetailAnalysis.from_test_tables(spark, SF001, cache=False)
+    few = RetailAnalysis(a.raw.where("CustomerID < 12"), a.params, cache=False)
+    both = [summary_frame(x) for x in (a, few)]
+    assert [f.dataType for f in both[0].schema] == [f.dataType for f in SUMMARY_SCHEMA]
+    union = both[0].unionByName(both[1]).collect()
+    assert len(union[1]["segments"]) < len(union[0]["segments"])

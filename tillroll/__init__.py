@@ -1,5 +1,5 @@
 """tillroll — retail line-item analytics as Spark DataFrame operators."""
 
-from .params import AnalysisParams, reference_params, test_table_params
+from .params import AnalysisParams, test_table_params
 
-__all__ = ["AnalysisParams", "reference_params", "test_table_params"]
+__all__ = ["AnalysisParams", "test_table_params"]

@@ -14,7 +14,7 @@ def col_(c) -> Column:
 
 
 def line_revenue(quantity="Quantity", unit_price="UnitPrice") -> Column:
-    """Signed net line revenue, exact in decimal."""
+    """Signed net line revenue, exact in decimal (six places for each factor)."""
     return (col_(quantity).cast(PRICE_TYPE) * col_(unit_price).cast(PRICE_TYPE)).cast(MONEY_TYPE)
 
 
@@ -111,11 +111,6 @@ def avg_unit_price(monetary="Monetary", total_quantity="TotalQuantity") -> Colum
     )
 
 
-def to_millions(c) -> Column:
-    """P19."""
-    return col_(c).cast("double") / F.lit(1e6)
-
-
 def percent_of(part, whole) -> Column:
     """Part / whole * 100 in double."""
     return col_(part).cast("double") / col_(whole).cast("double") * F.lit(100.0)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # Fixed values that must equal the reference's for matching results.
 REFERENCE_WINDOW_START = "2010-12-01 00:00:00"
@@ -25,6 +25,10 @@ REFERENCE_LTV_FEATURES = (
 REFERENCE_RFM_FEATURES = ("Recency", "Frequency")
 
 
+#: The rule that stands in for a model where its metrics are checked: so many invoices.
+RULE_MIN_INVOICES = 2
+
+
 def _parse_ts(text: str) -> dt.datetime:
     return dt.datetime.fromisoformat(text)
 
@@ -62,13 +66,13 @@ class AnalysisParams:
     gbt_max_depth: int = 5
     gbt_step_size: float = 0.1
     gbt_max_bins: int = 255
+    gbt_min_rows_per_leaf: int = 20
     # guard rails (lower, upper); None = open
     guard_revenue: tuple[float | None, float | None] = (5_000_000.0, 15_000_000.0)
     guard_customers: tuple[float | None, float | None] = (3_000.0, 5_000.0)
     guard_repeat_rate: tuple[float | None, float | None] = (0.20, 0.80)
     guard_top_share_min: float = 0.0
     currency: str = "GBP"
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     # derived values -------------------------------------------------------
     @property
@@ -104,10 +108,6 @@ class AnalysisParams:
         return replace(self, **kw)
 
 
-def reference_params() -> AnalysisParams:
-    return AnalysisParams()
-
-
 def test_table_params() -> AnalysisParams:
     """Parameters for the line-item view derived from the driver's TPC-H-like tables."""
     return AnalysisParams(

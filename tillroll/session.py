@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", sc.master):  # one process, so its own folder is shared by all tasks
         path = tempfile.mkdtemp(prefix="tillroll-checkpoint-")
         sc.setCheckpointDir(path)
         return sc.getCheckpointDir()

@@ -10,7 +10,7 @@ LINE_ITEM_SCHEMA = T.StructType(
         T.StructField("InvoiceNo", T.StringType(), False),
         T.StructField("StockCode", T.StringType(), False),
         T.StructField("Description", T.StringType(), True),
-        T.StructField("Quantity", T.IntegerType(), False),
+        T.StructField("Quantity", T.LongType(), False),
         T.StructField("InvoiceDate", T.TimestampNTZType(), False),
         T.StructField("UnitPrice", T.DoubleType(), False),
         T.StructField("CustomerID", T.LongType(), True),
@@ -47,5 +47,6 @@ CUSTOMER_COLUMNS = [
 ]
 
 # Exact money: line revenue and its sums stay decimal; reports convert to double last.
-MONEY_TYPE = T.DecimalType(18, 3)
-PRICE_TYPE = T.DecimalType(12, 3)
+# Prices and quantities keep six places, so their product is exact at twelve.
+MONEY_TYPE = T.DecimalType(28, 12)
+PRICE_TYPE = T.DecimalType(16, 6)

@@ -2,7 +2,7 @@
 
 The real input is a retail line-item table (see ``schema.LINE_ITEM_SCHEMA``). The test
 tables carry no cancellations, nulls or duplicates, so this adapter derives them with
-fixed rules over lineitem ⋈ orders ⋈ customer ⋈ nation.
+fixed rules over lineitem ⋈ orders ⋈ customer ⋈ nation ⟕ part.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ FREE_DISCOUNT = 0.10
 FREE_TAX = 0.0
 POSTAGE_PARTKEY_MODULUS = 40
 DUPLICATE_PARTKEY_MODULUS = 50
+NO_DESCRIPTION_PARTKEY_MODULUS = 30
 NO_CUSTOMER_PRIORITY = "5-LOW"
 
 
@@ -42,21 +43,6 @@ def _read(spark: SparkSession, sf_dir: str, name: str, ddl: str) -> DataFrame:
     return spark.read.schema(ddl).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _spread(df: DataFrame, min_partitions: int | None, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer splits than cores (a one-row-group file is
-    read by one task, and the joins and the first aggregate would run there too).
-
-    The rows are hashed on the join key, which is the distribution the shuffled join
-    to orders needs anyway. A large table arrives in many splits and is left alone, so
-    at scale this is a no-op. ``min_partitions=None`` means the default parallelism.
-    """
-    if min_partitions is None:
-        min_partitions = df.sparkSession.sparkContext.defaultParallelism
-    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
-        return df.repartition(min_partitions, key)
-    return df
-
-
 # Fixed read schemas of the driver's tables, limited to the columns the view uses.
 # Declaring them skips the footer-reading job that schema inference starts for every
 # table, and the scans read only these columns.
@@ -66,11 +52,12 @@ TABLE_SCHEMAS = {
     "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
     "customer": "c_custkey BIGINT, c_nationkey INT",
     "nation": "n_nationkey INT, n_name STRING",
+    "part": "p_partkey BIGINT, p_name STRING",
 }
 
 
 def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The four source tables with fixed schemas (no inference job), each listed once."""
+    """The five source tables with fixed schemas (no inference job), each listed once."""
     return {name: _read(spark, sf_dir, name, ddl) for name, ddl in TABLE_SCHEMAS.items()}
 
 
@@ -78,7 +65,6 @@ def line_items(
     spark: SparkSession,
     sf_dir: str,
     params: AnalysisParams | None = None,
-    min_partitions: int | None = 0,
     tables: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """The raw line-item view (8 columns). With ``params`` the orders scan is pre-trimmed.
@@ -90,7 +76,7 @@ def line_items(
     scan. The rows inside the window are unchanged.
     """
     t = tables if tables is not None else read_tables(spark, sf_dir)
-    li = _spread(t["lineitem"], min_partitions, "l_orderkey")
+    li = t["lineitem"]
     orders = t["orders"]
     if params is not None:
         lo = params.start_ts - dt.timedelta(days=1)
@@ -98,7 +84,7 @@ def line_items(
         orders = orders.where(
             (F.col("o_orderdate") >= ntz_literal(lo)) & (F.col("o_orderdate") <= ntz_literal(hi))
         )
-    customer, nation = t["customer"], t["nation"]
+    customer, nation, part = t["customer"], t["nation"], t["part"]
 
     # Joins are declared plainly: the planner broadcasts nation/customer only when
     # their measured size is under spark.sql.autoBroadcastJoinThreshold (AQE re-checks
@@ -107,6 +93,7 @@ def line_items(
         li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
     )
     cancelled: Column = (F.col("l_returnflag") == F.lit(CANCEL_RETURNFLAG)) & (F.col("l_tax") == F.lit(CANCEL_TAX))
     free = (F.col("l_discount") == F.lit(FREE_DISCOUNT)) & (F.col("l_tax") == F.lit(FREE_TAX))
@@ -117,7 +104,7 @@ def line_items(
         F.when(F.col("l_partkey") % POSTAGE_PARTKEY_MODULUS == 0, F.lit("POST"))
         .otherwise(F.col("l_partkey").cast("string"))
         .alias("StockCode"),
-        F.lit(None).cast("string").alias("Description"),
+        F.when(F.col("l_partkey") % NO_DESCRIPTION_PARTKEY_MODULUS != 0, F.col("p_name")).alias("Description"),
         F.when(cancelled, -F.col("l_quantity")).otherwise(F.col("l_quantity")).alias("Quantity"),
         F.expr("timestampadd(HOUR, o_orderkey % 24, o_orderdate)").alias("InvoiceDate"),
         F.when(free, F.lit(0.0)).otherwise(unit_price_cents() / F.lit(100.0)).alias("UnitPrice"),

@@ -9,6 +9,8 @@ strongest non-RFM features.
 
 from __future__ import annotations
 
+import math
+import random
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
@@ -21,22 +23,16 @@ from pyspark.sql import functions as F
 
 from ..params import AnalysisParams
 from ..session import reliable_checkpoint
-from .ranking import global_rank, interpolated_quantile
+from .ranking import global_rank, interpolated_quantiles
 
 LABEL = "IsTopQuintileM"
 
 
 # ---------------------------------------------------------------- M1, W4, P18
-def high_value_threshold(scored: DataFrame, params: AnalysisParams) -> float:
-    """Linear-interpolation quantile of Monetary, read from two rows by ``M_rank``."""
-    n = scored.select("n_customers").first()[0]
-    return interpolated_quantile(
-        scored.select("M_rank", F.col("Monetary").cast("double").alias("Monetary")),
-        "Monetary",
-        "M_rank",
-        int(n),
-        params.high_value_quantile,
-    )
+def high_value_threshold(scored: DataFrame, params: AnalysisParams) -> float | None:
+    """Exact linear-interpolation quantile of Monetary; None without customers."""
+    found = interpolated_quantiles(scored, "Monetary", [params.high_value_quantile])
+    return found[0] if found else None
 
 
 def model_frame(scored: DataFrame, params: AnalysisParams, threshold: float | None = None) -> DataFrame:
@@ -50,21 +46,32 @@ def model_frame(scored: DataFrame, params: AnalysisParams, threshold: float | No
 
 
 # ---------------------------------------------------------------------- M2, M8
-def stratified_folds(frame: DataFrame, params: AnalysisParams, fold_col: str = "fold") -> DataFrame:
-    """M2: seeded stratified k-fold: inside each label, order by xxhash64(id, seed) and
-    deal rows round-robin into folds. Independent of partitioning."""
-    h = F.xxhash64(F.col("CustomerID"), F.lit(params.seed))
+def _order_in_label(frame: DataFrame, seed: int) -> DataFrame:
+    """Adds ``_r``: position from 0 inside the label, in the order of xxhash64(id, seed).
+
+    The order, and so every split made from it, does not depend on the partitioning.
+    """
+    h = F.xxhash64(F.col("CustomerID"), F.lit(seed))
     ranked = global_rank(frame.withColumn("_h", h), [LABEL, "_h", "CustomerID"], "_r")
     n_neg = frame.where(F.col(LABEL) == 0).count()
-    within = F.col("_r") - 1 - F.when(F.col(LABEL) == 1, F.lit(n_neg)).otherwise(F.lit(0))
-    return ranked.withColumn(fold_col, (within % params.n_folds).cast("int")).drop("_h", "_r")
+    return ranked.withColumn(
+        "_r", F.col("_r") - 1 - F.when(F.col(LABEL) == 1, F.lit(n_neg)).otherwise(F.lit(0))
+    ).drop("_h")
+
+
+def stratified_folds(frame: DataFrame, params: AnalysisParams, fold_col: str = "fold") -> DataFrame:
+    """M2: seeded stratified k-fold: rows of each label are dealt round-robin into folds."""
+    return _order_in_label(frame, params.seed).withColumn(fold_col, (F.col("_r") % params.n_folds).cast("int")).drop("_r")
 
 
-def holdout_split(folded: DataFrame, params: AnalysisParams) -> tuple[DataFrame, DataFrame]:
-    """M8: stratified train / hold-out split; hold-out share = 1 / round(1 / test_share) folds."""
-    k = max(2, round(1.0 / params.test_share))
-    part = (F.col("fold") % F.lit(k)) if k != params.n_folds else F.col("fold")
-    return folded.where(part != 0), folded.where(part == 0)
+def holdout_split(frame: DataFrame, params: AnalysisParams) -> tuple[DataFrame, DataFrame]:
+    """M8: stratified train / hold-out split: of each label the first round(share x rows) are held out."""
+    sizes = {r[LABEL]: r["count"] for r in frame.groupBy(LABEL).count().collect()}  # two rows
+    cut = F.lit(0)
+    for label, n in sizes.items():
+        cut = F.when(F.col(LABEL) == label, F.lit(math.floor(params.test_share * n + 0.5))).otherwise(cut)
+    ordered = _order_in_label(frame, params.seed).withColumn("_held", F.col("_r") < cut).drop("_r")
+    return ordered.where(~F.col("_held")).drop("_held"), ordered.where("_held").drop("_held")
 
 
 # ---------------------------------------------------------------------- M3, M5
@@ -76,6 +83,7 @@ def gbt(params: AnalysisParams) -> GBTClassifier:
         maxDepth=params.gbt_max_depth,
         stepSize=params.gbt_step_size,
         maxBins=params.gbt_max_bins,
+        minInstancesPerNode=params.gbt_min_rows_per_leaf,
         seed=params.seed,
     )
 
@@ -96,7 +104,8 @@ def with_probability(pred: DataFrame) -> DataFrame:
 
 def out_of_fold(folded: DataFrame, params: AnalysisParams) -> DataFrame:
     """M5: fit on k-1 folds, predict the k-th; the k fits run concurrently (Spark
-    schedules jobs from driver threads); a bounded loop of k distributed fits."""
+    schedules jobs from driver threads); a bounded loop of k distributed fits. The
+    predictions are checkpointed, so metrics, confusion and AUC score no row again."""
 
     def one(k: int) -> DataFrame:
         model = fit(folded.where(F.col("fold") != k), params)
@@ -107,7 +116,9 @@ def out_of_fold(folded: DataFrame, params: AnalysisParams) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("CustomerID", "fold", LABEL, "prob", F.col("prediction").cast("int").alias("prediction"))
+    return reliable_checkpoint(
+        out.select("CustomerID", "fold", LABEL, "prob", F.col("prediction").cast("int").alias("prediction"))
+    )
 
 
 # ------------------------------------------------------------------------ AUC
@@ -174,56 +185,63 @@ def confusion_matrix(pred: DataFrame, label_col: str = LABEL, pred_col: str = "p
 
 
 # ------------------------------------------------------------------------- M9
+def shuffle_keys(n: int, count: int, seed: int) -> list[tuple[int, int]]:
+    """``count`` keyed bijections of 0..n-1: row p gives its value to row (a p + b) mod n, with a prime to n."""
+    rnd = random.Random(seed)
+    keys = []
+    while len(keys) < count:
+        a = rnd.randrange(1, max(n, 2))
+        if math.gcd(a, n) == 1:
+            keys.append((a, rnd.randrange(max(n, 1))))
+    return keys
+
+
 def permutation_importance(model: PipelineModel, holdout: DataFrame, params: AnalysisParams) -> DataFrame:
     """M9: mean / std (population) AUC drop when one feature is shuffled, per feature.
 
-    The hold-out is replicated once per (feature, repeat) by a generator; inside each
-    replica a seeded hash order gives the permutation, and the donor row's values
-    arrive by an equi-join on a unique position (no cross join, no per-group task).
-    One ``transform`` scores every replica.
+    Rows are numbered once in a seeded hash order. For each (feature, repeat) a keyed
+    bijection of those numbers says which row receives whose value, so a shuffle is
+    arithmetic, without a sort or a copy: a row sends out only the one value, and joins
+    the receiving row by its number. Every row is used in every repeat.
     """
     feats = list(params.ltv_features)
-    h_rows = global_rank(
+    rows = global_rank(
         holdout.withColumn("_h", F.xxhash64("CustomerID", F.lit(params.seed))), ["_h", "CustomerID"], "pos"
-    ).drop("_h")
-    h = h_rows.count()
-    base = with_probability(model.transform(h_rows)).select(
-        F.lit(-1).alias("feature_idx"), F.lit(-1).alias("repeat"), "pos", LABEL, "prob"
-    )
-    reps = F.array(
-        *[F.struct(F.lit(i).alias("f"), F.lit(r).alias("r")) for i in range(len(feats)) for r in range(params.n_repeats)]
-    )
-    replicas = h_rows.select("pos", LABEL, *feats, F.explode(reps).alias("_rep")).select(
-        "pos", LABEL, *feats, F.col("_rep.f").alias("feature_idx"), F.col("_rep.r").alias("repeat")
+    ).select("CustomerID", LABEL, *feats, (F.col("pos") - 1).alias("pos"))
+    n = rows.count()
+    keys = shuffle_keys(n, len(feats) * params.n_repeats, params.seed)
+    sent = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("feature_idx"),
+                F.lit(r).alias("repeat"),
+                F.pmod(F.col("pos") * F.lit(a).cast("long") + F.lit(b).cast("long"), F.lit(max(n, 1)).cast("long")).alias("pos"),
+                F.col(c).alias("value"),
+            )
+            for i, c in enumerate(feats)
+            for r, (a, b) in enumerate(keys[i * params.n_repeats : (i + 1) * params.n_repeats])
+        ]
     )
-    order = F.xxhash64("pos", "feature_idx", "repeat", F.lit(params.seed))
-    permuted = global_rank(replicas.withColumn("_o", order), ["feature_idx", "repeat", "_o", "pos"], "_g").drop("_o")
-    # every (feature, repeat) group holds exactly h rows, in group order
-    donor_pos = F.col("_g") - (F.col("feature_idx") * params.n_repeats + F.col("repeat")) * F.lit(h)
-    donors = h_rows.select(F.col("pos").alias("donor_pos"), F.array(*[F.col(c) for c in feats]).alias("_donor"))
-    shuffled = permuted.withColumn("donor_pos", donor_pos).join(donors, "donor_pos")
+    shuffled = rows.select(F.inline(sent)).join(rows, "pos")
     shuffled = shuffled.select(
         "feature_idx",
         "repeat",
-        "pos",
+        "CustomerID",
         LABEL,
-        *[
-            F.when(F.col("feature_idx") == i, F.col("_donor").getItem(i)).otherwise(F.col(c)).alias(c)
-            for i, c in enumerate(feats)
-        ],
+        *[F.when(F.col("feature_idx") == i, F.col("value")).otherwise(F.col(c)).alias(c) for i, c in enumerate(feats)],
     )
-    scored = with_probability(model.transform(shuffled)).select("feature_idx", "repeat", "pos", LABEL, "prob")
-    aucs = auc_by_group(scored.unionByName(base), ["feature_idx", "repeat"], "prob", LABEL, "pos")
+    plain = rows.select(F.lit(-1).alias("feature_idx"), F.lit(-1).alias("repeat"), "CustomerID", LABEL, *feats)
+    scored = with_probability(model.transform(shuffled.unionByName(plain)))
+    scored = scored.select("feature_idx", "repeat", "CustomerID", LABEL, "prob")
+    aucs = reliable_checkpoint(auc_by_group(scored, ["feature_idx", "repeat"], "prob", LABEL, "CustomerID"))
     # the unpermuted AUC is one number: read it once instead of joining a one-row frame
-    base_auc = aucs.where(F.col("feature_idx") == -1).first()["auc"]
-    drops = aucs.where(F.col("feature_idx") >= 0).withColumn("_base", F.lit(base_auc))
+    base = aucs.where(F.col("feature_idx") == -1).first()
+    drop = F.lit(base["auc"] if base else None).cast("double") - F.col("auc")
     names = F.array(*[F.lit(c) for c in feats])
     return (
-        drops.groupBy("feature_idx")
-        .agg(
-            F.avg(F.col("_base") - F.col("auc")).alias("importance"),
-            F.stddev_pop(F.col("_base") - F.col("auc")).alias("std"),
-        )
+        aucs.where(F.col("feature_idx") >= 0)
+        .groupBy("feature_idx")
+        .agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("std"))
         .select(F.element_at(names, F.col("feature_idx") + 1).alias("feature"), "importance", "std")
         .orderBy(F.desc("importance"), "feature")
     )
@@ -239,21 +257,22 @@ def top_features(importance: DataFrame, params: AnalysisParams) -> tuple[list[di
 
 
 # ------------------------------------------------------------------------ M11
+def dependence_grid(train: DataFrame, feature: str, params: AnalysisParams) -> list[float]:
+    """The distinct values if there are fewer than the grid has points, else an even grid
+    between the exact (interpolated) outer percentiles."""
+    n = params.pd_grid_resolution
+    distinct = train.select(feature).where(F.col(feature).isNotNull()).distinct().limit(n).collect()  # at most n
+    if len(distinct) < n:
+        return sorted(float(r[0]) for r in distinct)
+    lo, hi = interpolated_quantiles(train, feature, params.pd_percentiles)
+    return [lo + (hi - lo) * i / (n - 1) for i in range(n)]
+
+
 def partial_dependence(model: PipelineModel, train: DataFrame, feature: str, params: AnalysisParams) -> DataFrame:
     """Mean predicted probability over the training rows with ``feature`` set to
-    each grid value (the distinct values if fewer than the grid, else an even grid
-    between the 5th and 95th percentiles). Rows fan out by a literal grid array."""
-    distinct = train.select(feature).distinct().limit(params.pd_grid_resolution + 1).collect()
-    if len(distinct) <= params.pd_grid_resolution:
-        grid = sorted(float(r[0]) for r in distinct)
-    else:
-        lo_p, hi_p = params.pd_percentiles
-        lo, hi = train.select(
-            F.percentile_approx(F.col(feature), [lo_p, hi_p], 10000).alias("q")
-        ).first()["q"]
-        n = params.pd_grid_resolution
-        grid = [lo + (hi - lo) * i / (n - 1) for i in range(n)]
-    fan = train.select(*params.ltv_features, F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("grid_value"))
+    each grid value. Rows fan out by a literal grid array."""
+    grid = F.array(*[F.lit(float(g)) for g in dependence_grid(train, feature, params)]).cast("array<double>")
+    fan = train.select(*params.ltv_features, F.explode(grid).alias("grid_value"))
     fan = fan.withColumn(feature, F.col("grid_value"))
     pred = with_probability(model.transform(fan))
     return (
@@ -275,12 +294,16 @@ class LtvStudy:
         self.params = params
 
     @cached_property
-    def threshold(self) -> float:
+    def threshold(self) -> float | None:
         return high_value_threshold(self.scored, self.params)
 
+    @cached_property
+    def frame(self) -> DataFrame:
+        return model_frame(self.scored, self.params, self.threshold)
+
     @cached_property
     def folded(self) -> DataFrame:
-        return stratified_folds(model_frame(self.scored, self.params, self.threshold), self.params)
+        return stratified_folds(self.frame, self.params)
 
     @cached_property
     def oof(self) -> DataFrame:
@@ -300,7 +323,7 @@ class LtvStudy:
 
     @cached_property
     def _split(self) -> tuple[DataFrame, DataFrame]:
-        return holdout_split(self.folded, self.params)
+        return holdout_split(self.frame, self.params)
 
     @cached_property
     def holdout_model(self) -> PipelineModel:
@@ -333,7 +356,7 @@ class LtvStudy:
         return {
             "model": "GBTClassifier",
             "target": "top quintile of customer net Monetary",
-            "target_threshold_gbp": round(self.threshold, 2),
+            "target_threshold_gbp": None if self.threshold is None else round(self.threshold, 2),
             "cv": f"{self.params.n_folds}-fold stratified, seed {self.params.seed}",
             "roc_auc_mean": round(float(a["roc_auc_mean"]), 4),
             "roc_auc_std": round(float(a["roc_auc_std"]), 4),

@@ -177,7 +177,7 @@ def test_results_do_not_depend_on_session_time_zone(spark):
     assert shifted == base
 
 
-def test_country_mode_operator_matches_aggregate(spark):
+def test_country_mode(spark):
     rows = [
         line("1", "A1", 1, "2011-05-01 10:00:00", 2.0, 7, "B"),
         line("2", "A1", 1, "2011-05-02 10:00:00", 2.0, 7, "A"),
@@ -186,6 +186,34 @@ def test_country_mode_operator_matches_aggregate(spark):
         line("5", "A1", 1, "2011-05-05 10:00:00", 2.0, 8, "A"),
     ]
     df = CL.with_customer(CL.clean_line_items(frame(spark, rows), P))
-    got = {r["CustomerID"]: r["Country"] for r in CU.country_mode(df).collect()}
-    assert got == {7: "A", 8: "B"}
-    assert got == {r["CustomerID"]: r["Country"] for r in CU.customer_features(df, P).collect()}
+    assert {r["CustomerID"]: r["Country"] for r in CU.customer_features(df, P).collect()} == {7: "A", 8: "B"}
+
+
+def test_an_invoice_that_spans_countries_counts_once(spark):
+    rows = [
+        line("1", "A1", 1, "2011-05-01 10:00:00", 2.0, 7, "B"),
+        line("1", "A2", 3, "2011-05-01 10:00:00", 2.0, 7, "A"),
+        line("C2", "A2", -1, "2011-05-02 10:00:00", 2.0, 7, "A"),
+    ]
+    df = CL.clean_line_items(frame(spark, rows), P)
+    r = CU.customer_features(df, P).first()
+    assert (r["Frequency"], r["TotalLines"], r["DistinctStockCodes"], r["TotalQuantity"]) == (1, 2, 2, 4)
+    again = CU.customer_features(df, P, CU.invoice_grain(df)).first()
+    assert r == again
+
+
+def test_prices_are_not_rounded_before_the_product(spark):
+    df = CL.clean_line_items(frame(spark, [line("1", "A1", 1, "2011-05-01 10:00:00", 1.0015, 7)]), P)
+    assert float(df.first()["LineRevenue"]) == 1.0015
+
+
+def test_null_check_is_no_pass(spark):
+    from tillroll.operators.kpis import kpi_guard_rails
+
+    kpis = spark.createDataFrame(
+        [(7e6, None, 0.5)], "total_revenue_gbp double, total_customers long, repeat_purchase_rate double"
+    )
+    top = spark.createDataFrame([(40.0,)], "Revenue_share double")
+    rails = kpi_guard_rails(kpis, top, P).collect()
+    assert {r["verdict"] for r in rails} == {"REVIEW"}
+    assert {r["check_name"] for r in rails if r["status"] == "REVIEW"} == {"total_customers"}

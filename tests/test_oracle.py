@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF001
+from tillroll.plans.catalog import QUERIES
 from tools.oracle_check import _rows
 
 ORACLE = E.oracle_sql()
-FAST = [n for n in E.queries() if n in ORACLE]
+FAST = [n for n in QUERIES if n in ORACLE]
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +26,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_oracle_covers_all_sql_expressible_queries():
-    rows_only = {n for n in E.queries() if n not in ORACLE}
+    rows_only = {n for n in QUERIES if n not in ORACLE}
     # model training, seeded hash folds and the summary document have no SQL form
     assert rows_only <= {
         "ltv_folds",

@@ -1,6 +1,7 @@
 """Plan shape of registered queries (read from the final adaptive plan)."""
 
 from tests.conftest import SF001
+from tillroll.plans.analysis import RetailAnalysis
 from tillroll.plans.catalog import QUERIES
 
 
@@ -19,10 +20,28 @@ def test_cleaning_log_shares_the_dedup_exchange_in_one_plan(spark):
     assert "Python" not in plan
 
 
-def test_headline_kpis_reads_checkpointed_lines(spark):
-    """Here the customer ranks run as their own eager job, so the cleaned lines are read
-    back from the checkpoint instead of joining and deduplicating twice."""
+def test_customer_aggregates_do_not_sort_or_expand_lines(spark):
+    """Features and KPIs come from hash aggregates over the cleaned lines: no Expand, no
+    object aggregate, and the only sorts are below joins of customer rows."""
+    a = RetailAnalysis.from_test_tables(spark, SF001, cache=False)
+    from tillroll.operators.customers import invoice_grain
+
+    grain = _final_plan(invoice_grain(a.clean))
+    features = _final_plan(a.features)
+    for plan in (grain, features):
+        assert "Expand" not in plan and "ObjectHashAggregate" not in plan
+    assert "SortAggregate" not in grain
+    assert "Sort [" not in grain.replace("SortMergeJoin [", "")
+
+
+def test_headline_kpis_read_the_stored_invoices(spark):
     df = QUERIES["headline_kpis"](spark, SF001)
     plan = _final_plan(df)
     assert "FileScan" not in plan  # no second scan, join and dedup of the source tables
+    assert "Expand" not in plan
     assert df.count() == 1
+
+
+def test_histogram_reads_its_source_once(spark):
+    plan = _final_plan(QUERIES["quantity_histogram"](spark, SF001))
+    assert "ReusedExchange" in plan

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -56,6 +56,15 @@ def non_cancelled(df: DataFrame) -> DataFrame:
     return df.where(~F.col("IsCancellation"))
 
 
+#: The texts of the audit's note column (a count with thousands separators goes in front of two of them).
+NOTES = {
+    "04_flag_cancellations": " kept and netted (per spec)",
+    "05_drop_missing_customer": "for customer-level analyses",
+    "06_non_product_codes": " fee/postage/gift rows kept (no product-level analysis in scope)",
+    "07_drop_net_negative_customers": "customers with net Monetary <= 0 after netting cancellations",
+}
+
+
 def _fmt_int(c):
     return F.format_number(C.col_(c), 0)
 
@@ -88,39 +97,30 @@ def cleaning_log(raw: DataFrame, df_clean: DataFrame, features: DataFrame, param
         .agg(*[F.max(c).alias(c) for c in raw_counts.columns + clean_counts.columns + cust_counts.columns])
     )
     window_note = f"{params.start_ts.date()} → {params.end_ts.date()}"
+    counted = {"04_flag_cancellations": "n_cancel", "06_non_product_codes": "n_nonprod"}
     steps = [
-        ("01_trim_period", "n_raw", "n_window", F.lit(window_note)),
-        ("02_drop_unitprice_le_0", "n_window", "n_priced", F.lit("")),
-        ("03_drop_exact_duplicates", "n_priced", "n_clean", F.lit("")),
-        (
-            "04_flag_cancellations",
-            "n_clean",
-            "n_clean",
-            F.concat(_fmt_int("n_cancel"), F.lit(" kept and netted (per spec)")),
-        ),
-        ("05_drop_missing_customer", "n_clean", "n_cust_rows", F.lit("for customer-level analyses")),
-        (
-            "06_non_product_codes",
-            "n_clean",
-            "n_clean",
-            F.concat(_fmt_int("n_nonprod"), F.lit(" fee/postage/gift rows kept (no product-level analysis in scope)")),
-        ),
-        (
-            "07_drop_net_negative_customers",
-            "n_customers",
-            "n_net_positive",
-            F.lit("customers with net Monetary <= 0 after netting cancellations"),
-        ),
+        ("01_trim_period", "n_raw", "n_window"),
+        ("02_drop_unitprice_le_0", "n_window", "n_priced"),
+        ("03_drop_exact_duplicates", "n_priced", "n_clean"),
+        ("04_flag_cancellations", "n_clean", "n_clean"),
+        ("05_drop_missing_customer", "n_clean", "n_cust_rows"),
+        ("06_non_product_codes", "n_clean", "n_clean"),
+        ("07_drop_net_negative_customers", "n_customers", "n_net_positive"),
     ]
+
+    def note(step: str) -> Column:
+        text = F.lit(window_note if step == "01_trim_period" else NOTES.get(step, ""))
+        return F.concat(_fmt_int(counted[step]), text) if step in counted else text
+
     rows = F.array(
         *[
             F.struct(
                 F.lit(name).alias("step"),
                 F.col(b).cast("bigint").alias("rows_before"),
                 F.col(a).cast("bigint").alias("rows_after"),
-                note.alias("note"),
+                note(name).alias("note"),
             )
-            for name, b, a, note in steps
+            for name, b, a in steps
         ]
     )
     return one.select(F.inline(rows))

@@ -72,19 +72,14 @@ def retention_long(cohorted: DataFrame, params: AnalysisParams) -> DataFrame:
 
 
 def retention_matrix(long: DataFrame, params: AnalysisParams, value: str = "retention_pct") -> DataFrame:
-    """H6: cohort x period matrix (pivot with explicit period values).
+    """H6: cohort x period matrix, in one aggregation over the (few) cells.
 
     ``value="retained"`` gives the customer counts (missing cells 0, never masked);
     the default gives the percentages with unobserved cells null.
     """
     periods = list(range(params.n_periods))
-    return (
-        long.groupBy("cohort_month", "cohort_size")
-        .pivot("period_n", periods)
-        .agg(F.first(value))
-        .withColumnsRenamed({str(p): f"m{p}" for p in periods})
-        .orderBy("cohort_month")
-    )
+    cells = [F.max(F.when(F.col("period_n") == p, F.col(value))).alias(f"m{p}") for p in periods]
+    return long.groupBy("cohort_month", "cohort_size").agg(*cells).orderBy("cohort_month")
 
 
 def retention_lines(long: DataFrame, params: AnalysisParams) -> DataFrame:

@@ -2,37 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..params import AnalysisParams
 
 
-def customer_features(df_with_cust: DataFrame, params: AnalysisParams) -> DataFrame:
-    """C1-C10 in one ``groupBy(CustomerID)``, built-in aggregates only.
+def invoice_grain(df_clean: DataFrame) -> DataFrame:
+    """One row per (CustomerID, Country, InvoiceNo) with fixed-width sums, minima and maxima.
 
-    Partial aggregation runs before the shuffle, so a customer holding a third of all
-    rows still sends one partial row per map task. The two distinct counts are
-    expanded by Catalyst into (CustomerID, invoice) and (CustomerID, stock code)
-    pre-aggregations, which spread a hot customer over many keys.
+    Everything but the stock codes follows from it, so the cleaned lines are aggregated by
+    plain hash aggregation once; a customer with a third of all rows spreads over its
+    invoices. The null customer is a key like any other.
     """
     cx = F.col("IsCancellation")
+    quantity = df_clean.schema["Quantity"].dataType
+    quantity = T.LongType() if isinstance(quantity, T.IntegralType) else quantity
+    return df_clean.groupBy("CustomerID", "Country", "InvoiceNo").agg(
+        F.min("InvoiceDate").alias("first_line"),
+        F.max("InvoiceDate").alias("last_line"),
+        F.sum("LineRevenue").alias("revenue"),
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(cx).alias("cancelled_lines"),
+        F.sum(F.when(cx, F.lit(0).cast(quantity)).otherwise(F.col("Quantity").cast(quantity))).alias("quantity"),
+    )
+
+
+def customer_features(df_with_cust: DataFrame, params: AnalysisParams, invoices: DataFrame | None = None) -> DataFrame:
+    """C1-C10 from the invoice grain and the distinct (CustomerID, StockCode) pairs.
+
+    ``invoices`` may be a stored ``invoice_grain`` of the same lines. An invoice that spans
+    countries has one row per country there and counts once.
+    """
     rows = df_with_cust.where(F.col("CustomerID").isNotNull())
-    agg = rows.groupBy("CustomerID").agg(
-        F.min("InvoiceDate").alias("first_invoice"),  # C2, cancellations included
-        F.max("InvoiceDate").alias("last_invoice"),
-        F.count_distinct(F.when(~cx, F.col("InvoiceNo"))).alias("Frequency"),  # C4
-        F.sum("LineRevenue").alias("Monetary"),  # C5, net
-        F.coalesce(F.sum(F.when(~cx, F.col("Quantity"))), F.lit(0).cast(df_with_cust.schema["Quantity"].dataType)).alias(
-            "TotalQuantity"
-        ),  # C6
-        F.count_if(~cx).alias("TotalLines"),
-        F.count_distinct(F.when(~cx, F.col("StockCode"))).alias("DistinctStockCodes"),  # C7
-        F.avg(cx.cast("double")).alias("CancellationRate"),  # C8
-        # C9 in the same aggregate, so the lines are read once; its final stage sorts
-        # the already partially aggregated rows by CustomerID
-        F.mode("Country", True).alias("Country"),
+    grain = (invoice_grain(rows) if invoices is None else invoices).where(F.col("CustomerID").isNotNull())
+    placed = grain.groupBy("CustomerID", "InvoiceNo", "Country").agg(
+        *_totals(), F.max((F.col("lines") > F.col("cancelled_lines")).cast("int")).alias("counts")
+    )
+    per_country = (
+        placed.groupBy("CustomerID", "Country")
+        .agg(*_totals())
+        .groupBy("CustomerID")
+        .agg(
+            *_totals(),
+            # Ties go to the smallest name
+            F.min(F.struct((-F.col("lines")).alias("n"), F.col("Country").alias("c"))).alias("_mode"),
+        )
+    )
+    # C4: distinct invoices with a line that is not cancelled
+    frequency = (
+        placed.where("counts = 1")
+        .groupBy("CustomerID", "InvoiceNo")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("CustomerID")
+        .agg(F.count(F.lit(1)).alias("Frequency"))
+    )
+    # C7
+    codes = (
+        rows.where(~F.col("IsCancellation") & F.col("StockCode").isNotNull())
+        .groupBy("CustomerID", "StockCode")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("CustomerID")
+        .agg(F.count(F.lit(1)).alias("DistinctStockCodes"))
+    )
+    agg = (
+        per_country.join(frequency, "CustomerID", "left")
+        .join(codes, "CustomerID", "left")
+        .select(
+            "CustomerID",
+            F.col("first_line").alias("first_invoice"),  # C2, cancellations included
+            F.col("last_line").alias("last_invoice"),
+            F.coalesce("Frequency", F.lit(0)).cast("long").alias("Frequency"),
+            F.col("revenue").alias("Monetary"),  # C5, net
+            F.col("quantity").alias("TotalQuantity"),  # C6
+            (F.col("lines") - F.col("cancelled_lines")).alias("TotalLines"),
+            F.coalesce("DistinctStockCodes", F.lit(0)).cast("long").alias("DistinctStockCodes"),
+            (F.col("cancelled_lines") / F.col("lines")).alias("CancellationRate"),  # C8
+            F.col("_mode.c").alias("Country"),
+        )
     )
     return agg.withColumns(
         {
@@ -45,16 +94,13 @@ def customer_features(df_with_cust: DataFrame, params: AnalysisParams) -> DataFr
     ).withColumns({"Recency": F.col("Recency").cast("bigint"), "Tenure_days": F.col("Tenure_days").cast("bigint")})
 
 
-def country_mode(rows: DataFrame) -> DataFrame:
-    """C9 on its own: most frequent country per customer; ties go to the smallest name.
-
-    (CustomerID, Country) counts are pre-aggregated map-side, so a customer with
-    a third of all rows still yields one partial row per map task and country.
-    """
-    counts = rows.groupBy("CustomerID", "Country").agg(F.count(F.lit(1)).alias("_n"))
-    return counts.groupBy("CustomerID").agg(
-        F.min_by("Country", F.struct((-F.col("_n")).alias("n"), F.col("Country").alias("c"))).alias("Country")
-    )
+def _totals() -> list[Column]:
+    """The fixed-width measures of the invoice grain, combined once more."""
+    return [
+        F.min("first_line").alias("first_line"),
+        F.max("last_line").alias("last_line"),
+        *[F.sum(c).alias(c) for c in ("revenue", "lines", "cancelled_lines", "quantity")],
+    ]
 
 
 def net_positive(features: DataFrame) -> DataFrame:

@@ -2,35 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import AnalysisParams
 
 
-def headline_kpis(df_clean: DataFrame, scored: DataFrame, params: AnalysisParams) -> DataFrame:
-    """K1 in two one-row aggregates stacked by a union (no join).
+def headline_kpis(invoices: DataFrame, scored: DataFrame, params: AnalysisParams) -> DataFrame:
+    """K1 in one-row aggregates stacked by a union (no join).
 
-    Revenue over all cleaned rows; customers and invoices over attributed rows
-    (distinct counts ignore nulls); AOV is net attributed revenue over non-cancelled
-    attributed invoices; repeat rate over net-positive customers.
+    ``invoices`` is the invoice grain of the cleaned lines, null customers included.
+    Revenue is over all of them; customers and invoices over attributed rows; AOV is net
+    attributed revenue over non-cancelled attributed invoices (an invoice number counts
+    once); repeat rate over net-positive customers.
     """
     has_cust = F.col("CustomerID").isNotNull()
-    line = df_clean.agg(
-        F.sum("LineRevenue").alias("_rev_all"),
-        F.sum(F.when(has_cust, F.col("LineRevenue"))).alias("_rev_cust"),
-        F.count_distinct("CustomerID").alias("total_customers"),
-        F.count_distinct(F.when(has_cust & ~F.col("IsCancellation"), F.col("InvoiceNo"))).alias(
-            "total_invoices_customer_attributed"
-        ),
+    line = invoices.agg(
+        F.sum("revenue").alias("_rev_all"),
+        F.sum(F.when(has_cust, F.col("revenue"))).alias("_rev_cust"),
     )
+    customers = invoices.where(has_cust).groupBy("CustomerID").agg(F.lit(1).alias("one"))
+    customers = customers.agg(F.count(F.lit(1)).alias("total_customers"))
+    numbers = invoices.where(has_cust & (F.col("lines") > F.col("cancelled_lines")) & F.col("InvoiceNo").isNotNull())
+    numbers = numbers.groupBy("InvoiceNo").agg(F.lit(1).alias("one"))
+    numbers = numbers.agg(F.count(F.lit(1)).alias("total_invoices_customer_attributed"))
     cust = scored.agg(
         F.count_if(F.col("Frequency") >= params.repeat_min_frequency).alias("repeat_customer_count"),
         F.count(F.lit(1)).alias("_n_net_positive"),
     )
-    one = line.unionByName(cust, allowMissingColumns=True).agg(
-        *[F.max(c).alias(c) for c in line.columns + cust.columns]
-    )
+    parts = [line, customers, numbers, cust]
+    one = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    one = one.agg(*[F.max(c).alias(c) for p in parts for c in p.columns])
     return one.select(
         F.col("_rev_all").cast("double").alias("total_revenue_gbp"),
         F.col("_rev_cust").cast("double").alias("total_revenue_customer_attributed_gbp"),
@@ -58,7 +62,7 @@ def _check(label: str, value, lo, hi) -> F.Column:
 
 
 def kpi_guard_rails(kpis: DataFrame, top: DataFrame, params: AnalysisParams) -> DataFrame:
-    """V2: four range checks with PASS/REVIEW and an overall verdict.
+    """V2: four range checks with PASS/REVIEW and an overall verdict; a null value is no pass.
 
     ``kpis`` and ``top`` are one-row frames; they are combined with a union + max.
     """
@@ -89,13 +93,11 @@ def kpi_guard_rails(kpis: DataFrame, top: DataFrame, params: AnalysisParams) ->
             )
         )
     )
-    from pyspark.sql import Window
-
     return checks.select(
         "check_name",
         "value",
         "lower",
         "upper",
         F.when(F.col("passed"), "PASS").otherwise("REVIEW").alias("status"),
-        F.when(F.bool_and("passed").over(Window.partitionBy()), "PASS").otherwise("REVIEW").alias("verdict"),
+        F.when(F.bool_and(F.coalesce("passed", F.lit(False))).over(Window.partitionBy()), "PASS").otherwise("REVIEW").alias("verdict"),
     )

@@ -15,7 +15,13 @@ from ..sources.schema import RAW_COLUMNS
 
 def rows_per_month(raw: DataFrame) -> DataFrame:
     """Q1."""
-    return raw.groupBy(C.month_label("InvoiceDate").alias("month")).agg(F.count(F.lit(1)).alias("rows")).orderBy("month")
+    per = raw.groupBy(C.month_start("InvoiceDate").alias("_m")).agg(F.count(F.lit(1)).alias("rows"))
+    return _month_named(per, "rows")
+
+
+def _month_named(per: DataFrame, *columns: str) -> DataFrame:
+    """Rows keyed by the month's first day ``_m``, with the label in its place (formatted once per month)."""
+    return per.select(C.month_label("_m").alias("month"), *columns).orderBy("month")
 
 
 def top_countries_by_rows(raw: DataFrame, n: int = 8) -> DataFrame:
@@ -28,23 +34,28 @@ def top_countries_by_rows(raw: DataFrame, n: int = 8) -> DataFrame:
 def cardinalities(raw: DataFrame, exact: bool = True, rsd: float = 0.01) -> DataFrame:
     """Q3: rows, distinct invoices / stock codes / customers / countries, span in days.
 
-    Exact distinct counts make Catalyst expand every row once per distinct column
-    before the partial aggregation; ``exact=False`` uses HyperLogLog++ sketches
-    (``approx_count_distinct``, relative error ``rsd``), one pass and a fixed-size
-    buffer per task.
+    Exact counts group each column on its own from a scan of that column only, so no row
+    is expanded; ``exact=False`` uses HyperLogLog++ sketches (relative error ``rsd``), one
+    pass and a fixed-size buffer per task.
     """
-
-    def nd(c):
-        return F.count_distinct(c) if exact else F.approx_count_distinct(c, rsd)
-
-    return raw.agg(
+    named = {
+        "distinct_invoices": "InvoiceNo",
+        "distinct_stock_codes": "StockCode",
+        "distinct_customers": "CustomerID",
+        "countries": "Country",
+    }
+    plain = [
         F.count(F.lit(1)).alias("rows"),
-        nd("InvoiceNo").alias("distinct_invoices"),
-        nd("StockCode").alias("distinct_stock_codes"),
-        nd("CustomerID").alias("distinct_customers"),
-        nd("Country").alias("countries"),
         C.whole_days(F.min("InvoiceDate"), F.max("InvoiceDate")).cast("bigint").alias("span_days"),
-    )
+    ]
+    order = ["rows", *named, "span_days"]
+    if not exact:
+        return raw.agg(*plain, *[F.approx_count_distinct(c, rsd).alias(k) for k, c in named.items()]).select(*order)
+    one = raw.agg(*plain)
+    for k, c in named.items():
+        values = raw.where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(1).alias("one"))
+        one = one.unionByName(values.agg(F.count(F.lit(1)).alias(k)), allowMissingColumns=True)
+    return one.agg(*[F.max(c).alias(c) for c in order])
 
 
 def quality_flags(raw: DataFrame, params: AnalysisParams) -> DataFrame:
@@ -104,12 +115,12 @@ def with_raw_revenue(raw: DataFrame) -> DataFrame:
 
 def monthly_net_revenue(raw: DataFrame) -> DataFrame:
     """Q7: net revenue per month (GBP; divide by 1e6 for the chart's millions)."""
-    return (
+    per = (
         with_raw_revenue(raw)
-        .groupBy(C.month_label("InvoiceDate").alias("month"))
+        .groupBy(C.month_start("InvoiceDate").alias("_m"))
         .agg(F.sum("LineRevenue").cast("double").alias("revenue"))
-        .orderBy("month")
     )
+    return _month_named(per, "revenue")
 
 
 def country_revenue(raw: DataFrame, n: int = 10) -> DataFrame:
@@ -141,29 +152,32 @@ def invoice_sizes(raw: DataFrame, positive_only: bool = True) -> DataFrame:
 def histogram(df: DataFrame, value_col: str, bins: int = 60) -> DataFrame:
     """Q9: equal-width histogram on [min, max], last bin closed, all bins listed.
 
-    The two range scalars are one small aggregate read by the driver; the binning
-    is a partial-aggregated ``groupBy`` over at most ``bins`` keys.
+    One plan over one aggregate, the rows per value: its range is a scalar subquery over
+    the same exchange, so the source is read once. Without values there is no row.
     """
     v = F.col(value_col).cast("double")
-    rng = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
-    lo, hi = rng["lo"], rng["hi"]
-    spark = df.sparkSession
-    if lo is None:
-        return spark.createDataFrame([], "bin int, lower double, upper double, count bigint")
-    if hi == lo:
-        lo, hi = lo - 0.5, hi + 0.5
-    width = (hi - lo) / bins
-    b = F.least(F.floor((v - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo)).cast("int"), F.lit(bins - 1))
-    counts = df.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    values = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select(
+        F.when(F.col("lo") == F.col("hi"), F.struct((F.col("lo") - 0.5).alias("lo"), (F.col("hi") + 0.5).alias("hi")))
+        .otherwise(F.struct("lo", "hi"))
+        .alias("r")
+    )
+    placed = values.withColumn("r", ends.scalar())
+    scaled = (F.col("v") - F.col("r.lo")) * F.lit(float(bins)) / (F.col("r.hi") - F.col("r.lo"))
+    counts = placed.groupBy(F.least(F.floor(scaled).cast("int"), F.lit(bins - 1)).alias("bin")).agg(
+        F.sum("n").alias("n"), F.max("r").alias("r")
+    )
     # at most `bins` entries: fold them into one map and list every bin, no grid join
-    folded = counts.agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_m"))
+    folded = counts.agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.max("r").alias("r"))
+    lower, width = F.col("r.lo"), (F.col("r.hi") - F.col("r.lo")) / F.lit(float(bins))
     return (
-        folded.select("_m", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+        folded.where(F.col("r").isNotNull())
+        .select("m", "r", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
         .select(
             F.col("bin").cast("int").alias("bin"),
-            (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lower"),
-            (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("upper"),
-            F.coalesce(F.element_at("_m", F.col("bin")), F.lit(0)).cast("bigint").alias("count"),
+            (lower + F.col("bin") * width).alias("lower"),
+            (lower + (F.col("bin") + 1) * width).alias("upper"),
+            F.coalesce(F.element_at("m", F.col("bin")), F.lit(0)).cast("bigint").alias("count"),
         )
         .orderBy("bin")
     )
@@ -193,15 +207,15 @@ def invoice_total_histogram(raw: DataFrame, bins: int = 60, clip: float = 2000.0
 def purchases_vs_returns(raw: DataFrame, params: AnalysisParams) -> DataFrame:
     """Q11: purchases and returns per month; null where a side has no row that month."""
     cx = C.is_cancellation(params)
-    return (
+    per = (
         with_raw_revenue(raw)
-        .groupBy(C.month_label("InvoiceDate").alias("month"))
+        .groupBy(C.month_start("InvoiceDate").alias("_m"))
         .agg(
             F.sum(F.when(~cx, F.col("LineRevenue"))).cast("double").alias("purchases"),
             F.sum(F.when(cx, F.col("LineRevenue"))).cast("double").alias("returns"),
         )
-        .orderBy("month")
     )
+    return _month_named(per, "purchases", "returns")
 
 
 def line_features(df_clean: DataFrame, params: AnalysisParams) -> DataFrame:

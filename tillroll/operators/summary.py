@@ -1,119 +1,206 @@
-"""V1: the nested summary document, assembled from small, bounded results.
+"""V1: the nested summary document, built in the plan with fixed types.
 
-Every piece is already aggregated (7 log rows, <= 11 segments, <= months^2 cohort
-cells, one KPI row, the model's metrics), so each is collected to the driver, put
-into one JSON document and turned back into a one-row DataFrame whose schema Spark
-infers from the document (maps keyed by step / segment name come out as structs).
+Every piece is a small aggregate (7 log rows, at most 11 segments, months^2 cohort cells,
+one KPI row). Pieces become one row each, are stacked by a union and merged by
+``any_value``. Steps and segments are map keys, so the schema does not depend on the data.
 """
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..operators import cohorts as H
-from ..operators import segments as S
-
-
-def _r(x, places):
-    return None if x is None else round(float(x), places)
+from pyspark.sql import types as T
+
+from . import cohorts as H
+from . import segments as S
+
+_TEXT, _NUMBER, _COUNT = T.StringType(), T.DoubleType(), T.LongType()
+
+
+def _fields(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, t) for k, t in kinds.items()])
+
+
+SUMMARY_SCHEMA = _fields(
+    dataset=_fields(
+        raw_rows=_COUNT,
+        cleaned_rows=_COUNT,
+        customers=_COUNT,
+        analysis_window_start=_TEXT,
+        analysis_window_end=_TEXT,
+        currency=_TEXT,
+    ),
+    cleaning=T.MapType(_TEXT, _fields(rows_before=_COUNT, rows_after=_COUNT, note=_TEXT)),
+    kpis=_fields(
+        total_revenue_gbp=_NUMBER,
+        total_revenue_customer_attributed_gbp=_NUMBER,
+        aov_gbp=_NUMBER,
+        total_customers=_COUNT,
+        total_invoices_customer_attributed=_COUNT,
+        repeat_purchase_rate=_NUMBER,
+        repeat_customer_count=_COUNT,
+    ),
+    segments=T.MapType(_TEXT, _fields(revenue_gbp=_NUMBER, revenue_share_pct=_NUMBER, customers=_COUNT)),
+    top_segment=_fields(name=_TEXT, revenue_gbp=_NUMBER, revenue_share_pct=_NUMBER, customer_count=_COUNT),
+    cohort=_fields(
+        best_cohort_month=_TEXT,
+        best_m1_retention_pct=_NUMBER,
+        worst_cohort_month=_TEXT,
+        worst_m1_retention_pct=_NUMBER,
+        n_cohorts=_COUNT,
+    ),
+    retention_targets=T.ArrayType(
+        _fields(segment=_TEXT, customers=_COUNT, revenue_gbp=_NUMBER, revenue_share_pct=_NUMBER)
+    ),
+    ltv=_fields(
+        model=_TEXT,
+        target=_TEXT,
+        target_threshold_gbp=_NUMBER,
+        cv=_TEXT,
+        roc_auc_mean=_NUMBER,
+        roc_auc_std=_NUMBER,
+        precision=_NUMBER,
+        recall=_NUMBER,
+        f1=_NUMBER,
+        confusion_matrix=T.ArrayType(T.ArrayType(_COUNT)),
+        top_3_features=T.ArrayType(_fields(name=_TEXT, importance=_NUMBER)),
+        top_2_non_rfm_features=T.ArrayType(_TEXT),
+    ),
+)
+
+
+def _rounded(c: str, places: int = 2) -> Column:
+    return F.round(F.col(c).cast("double"), places)
+
+
+def _typed(c: Column, name: str) -> Column:
+    return c.cast(SUMMARY_SCHEMA[name].dataType).alias(name)
+
+
+def _map_of(key: str, *fields: Column) -> Column:
+    return F.map_from_entries(F.collect_list(F.struct(F.col(key), F.struct(*fields))))
+
+
+def summary_frame(analysis, ltv=None) -> DataFrame:
+    """One row with the types of ``SUMMARY_SCHEMA``; ``ltv`` is null without a model."""
+    p = analysis.params
+    kpis = analysis.headline_kpis()  # stores the invoice grain that the customers are built from
+    segments = analysis.segment_summary
+    revenue, share = _rounded("Revenue").alias("revenue_gbp"), _rounded("Revenue_share").alias("revenue_share_pct")
+    customers = F.col("Customers").cast("bigint")
+    log = analysis.cleaning_log().agg(_typed(_map_of("step", F.col("rows_before"), F.col("rows_after"), F.col("note")), "cleaning"))
+    headline = kpis.select(
+        _typed(
+            F.struct(
+                _rounded("total_revenue_gbp"),
+                _rounded("total_revenue_customer_attributed_gbp"),
+                _rounded("aov_gbp"),
+                F.col("total_customers"),
+                F.col("total_invoices_customer_attributed"),
+                _rounded("repeat_purchase_rate", 4),
+                F.col("repeat_customer_count"),
+            ),
+            "kpis",
+        )
+    )
+    by_segment = segments.agg(_typed(_map_of("Segment", revenue, share, customers), "segments"))
+    top = S.top_segment(segments).select(_typed(F.struct("Segment", revenue, share, customers), "top_segment"))
+    cohort = H.best_worst_m1(analysis.retention_long()).select(
+        _typed(
+            F.struct(
+                "best_cohort_month",
+                _rounded("best_m1_retention_pct"),
+                "worst_cohort_month",
+                _rounded("worst_m1_retention_pct"),
+                "n_cohorts",
+            ),
+            "cohort",
+        )
+    )
+    place = F.array_position(F.array(*map(F.lit, p.target_segments)), F.col("Segment"))
+    listed = F.array_sort(F.collect_list(F.struct(place.alias("at"), "Segment", customers.alias("n"), revenue, share)))
+    targets = analysis.retention_targets().agg(
+        _typed(F.transform(listed, lambda x: F.struct(x["Segment"], x["n"], x["revenue_gbp"], x["revenue_share_pct"])), "retention_targets")
+    )
+    parts = [log, headline, by_segment, top, cohort, targets]
+    one = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    one = one.agg(*[F.any_value(c, F.lit(True)).alias(c) for part in parts for c in part.columns])
+    step = lambda k, f: F.col("cleaning")[k][f]
+    dataset = F.struct(
+        step("01_trim_period", "rows_before"),
+        step("03_drop_exact_duplicates", "rows_after"),
+        F.col("kpis.total_customers"),
+        F.lit(str(p.start_ts.date())),
+        F.lit(str(p.end_ts.date())),
+        F.lit(p.currency),
+    )
+    model = F.lit(None) if ltv is None else _ltv_struct(ltv.summary())
+    return one.withColumns({"dataset": _typed(dataset, "dataset"), "ltv": _typed(model, "ltv")}).select(
+        *SUMMARY_SCHEMA.fieldNames()
+    )
 
 
-def summary_dict(analysis, ltv=None) -> dict:
-    """Build the summary as a Python dict from the analysis' small results."""
-    p = analysis.params
-    log = analysis.cleaning_log().collect()
-    kpis = analysis.headline_kpis().first()
-    seg = analysis.segment_summary.collect()
-    targets = analysis.retention_targets().collect()
-    bw = H.best_worst_m1(analysis.retention_long()).first()
-    top = seg[0] if seg else None
-    raw_rows = next((r["rows_before"] for r in log if r["step"] == "01_trim_period"), None)
-    cleaned = next((r["rows_after"] for r in log if r["step"] == "03_drop_exact_duplicates"), None)
-    doc = {
-        "dataset": {
-            "raw_rows": raw_rows,
-            "cleaned_rows": cleaned,
-            "customers": int(kpis["total_customers"]),
-            "analysis_window_start": str(p.start_ts.date()),
-            "analysis_window_end": str(p.end_ts.date()),
-            "currency": p.currency,
-        },
-        "cleaning": {
-            r["step"]: {"rows_before": int(r["rows_before"]), "rows_after": int(r["rows_after"]), "note": r["note"]}
-            for r in log
-        },
-        "kpis": {
-            "total_revenue_gbp": _r(kpis["total_revenue_gbp"], 2),
-            "total_revenue_customer_attributed_gbp": _r(kpis["total_revenue_customer_attributed_gbp"], 2),
-            "aov_gbp": _r(kpis["aov_gbp"], 2),
-            "total_customers": int(kpis["total_customers"]),
-            "total_invoices_customer_attributed": int(kpis["total_invoices_customer_attributed"]),
-            "repeat_purchase_rate": _r(kpis["repeat_purchase_rate"], 4),
-            "repeat_customer_count": int(kpis["repeat_customer_count"]),
-        },
-        "segments": {
-            r["Segment"]: {
-                "revenue_gbp": _r(r["Revenue"], 2),
-                "revenue_share_pct": _r(r["Revenue_share"], 2),
-                "customers": int(r["Customers"]),
-            }
-            for r in seg
-        },
-        "top_segment": None
-        if top is None
-        else {
-            "name": top["Segment"],
-            "revenue_gbp": _r(top["Revenue"], 2),
-            "revenue_share_pct": _r(top["Revenue_share"], 2),
-            "customer_count": int(top["Customers"]),
-        },
-        "cohort": {
-            "best_cohort_month": bw["best_cohort_month"],
-            "best_m1_retention_pct": _r(bw["best_m1_retention_pct"], 2),
-            "worst_cohort_month": bw["worst_cohort_month"],
-            "worst_m1_retention_pct": _r(bw["worst_m1_retention_pct"], 2),
-            "n_cohorts": int(bw["n_cohorts"]),
-        },
-        "retention_targets": [
-            {
-                "segment": r["Segment"],
-                "customers": int(r["Customers"]),
-                "revenue_gbp": _r(r["Revenue"], 2),
-                "revenue_share_pct": _r(r["Revenue_share"], 2),
-            }
-            for r in targets
-        ],
+def _ltv_struct(found: dict) -> Column:
+    """The model block from its few scalars (the model's metrics are read on the driver)."""
+    nested = {
+        "confusion_matrix": F.array(*[F.array(*map(F.lit, row)) for row in found["confusion_matrix"]]),
+        "top_3_features": F.array(
+            *[F.struct(F.lit(t["name"]).alias("name"), F.lit(t["importance"]).alias("importance")) for t in found["top_3_features"]]
+        ),
+        "top_2_non_rfm_features": F.array(*map(F.lit, found["top_2_non_rfm_features"])),
     }
-    if ltv is not None:
-        doc["ltv"] = ltv.summary()
-    return doc
-
+    fields = SUMMARY_SCHEMA["ltv"].dataType.fieldNames()
+    return F.struct(*[(nested[k] if k in nested else F.lit(found[k])).alias(k) for k in fields])
+
+
+def summary_core(analysis) -> DataFrame:
+    """The document without its model block as rows (section, name, field, number, text)."""
+    doc = summary_frame(analysis)
+    rows = []
+
+    def add(section: str, name: Column, holder: Column, kind: T.StructType) -> None:
+        for f in kind.fields:
+            value = holder[f.name]
+            text = isinstance(f.dataType, T.StringType)
+            rows.append(
+                F.struct(
+                    F.lit(section).alias("section"),
+                    name.alias("name"),
+                    F.lit(f.name).alias("field"),
+                    (F.lit(None) if text else value).cast("double").alias("number"),
+                    (value if text else F.lit(None)).cast("string").alias("text"),
+                )
+            )
 
-def summary_frame(spark: SparkSession, doc: dict) -> DataFrame:
-    """One-row nested DataFrame from the summary document."""
-    text = json.dumps(doc)
-    ddl = spark.range(1).select(F.schema_of_json(F.lit(text))).first()[0]
-    return spark.createDataFrame([(text,)], "doc string").select(F.from_json("doc", ddl).alias("s")).select("s.*")
+    flat = []
+    for k in ("dataset", "kpis", "top_segment", "cohort"):
+        add(k, F.lit(""), F.col(k), SUMMARY_SCHEMA[k].dataType)
+    flat.append(doc.select(F.inline(F.array(*rows))))
+    for k in ("cleaning", "segments"):
+        rows = []
+        kind = SUMMARY_SCHEMA[k].dataType.valueType
+        entries = doc.select(F.explode(k).alias("key", "value"))
+        add(k, F.col("key"), F.col("value"), kind)
+        flat.append(entries.select(F.inline(F.array(*rows))))
+    rows = []
+    targets = doc.select(F.explode("retention_targets").alias("t"))
+    kind = T.StructType([f for f in SUMMARY_SCHEMA["retention_targets"].dataType.elementType.fields if f.name != "segment"])
+    add("retention_targets", F.col("t.segment"), F.col("t"), kind)
+    flat.append(targets.select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, flat)
 
 
 def top_segments_report(summary: DataFrame, n: int = 6) -> DataFrame:
-    """K5 over a summary read back from JSON (IO7): segments by revenue with bar width."""
-    seg_fields = summary.schema["segments"].dataType.fieldNames()
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("Segment"),
-                F.col(f"segments.`{name}`.revenue_gbp").alias("Revenue"),
-                F.col(f"segments.`{name}`.customers").alias("Customers"),
-                F.col(f"segments.`{name}`.revenue_share_pct").alias("Revenue_share"),
-            )
-            for name in seg_fields
-        ]
+    """K5 over a summary read back (IO7): segments by revenue with bar width."""
+    rows = summary.select(F.explode("segments").alias("Segment", "v")).select(
+        "Segment",
+        F.col("v.revenue_gbp").alias("Revenue"),
+        F.col("v.customers").alias("Customers"),
+        F.col("v.revenue_share_pct").alias("Revenue_share"),
     )
-    return S.top_n_segments(summary.select(F.inline(entries)), n)
+    return S.top_n_segments(rows, n)
 
 
 def guard_rails_from_summary(summary: DataFrame, params) -> DataFrame:

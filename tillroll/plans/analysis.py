@@ -1,10 +1,12 @@
-"""The analysis as one lazily built plan over a line-item source.
-
-Each stage is a property built on first use. The cleaned line items and the scored
-customer frame are persisted (MEMORY_AND_DISK) because most outputs read them; both
-are pure functions of their input rows, so recomputation after a lost executor
-gives the same rows. The rank step inside ``scored`` checkpoints to
-``spark.checkpoint.dir`` itself.
+"""The analysis over a line-item source.
+
+Stages are properties built on first use. Most are lazy plans; three steps run jobs while
+they are built, because later rows depend on values or files from them: the invoice grain
+(checkpointed for the customer features and the KPIs), the customer features (checkpointed
+for the ranks) and the cut rows of the RFM scores. Checkpoints go to the shared
+``spark.checkpoint.dir``. With ``cache`` the cleaned lines and the scored customers are
+persisted (MEMORY_AND_DISK); both are pure functions of their input, so recomputation after
+a lost executor gives the same rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from ..operators import segments as S
 from ..params import AnalysisParams, test_table_params
 from ..session import configure, reliable_checkpoint
 from ..sources import tpch_adapter
+from ..sources.io import load_line_items
 
 
 class RetailAnalysis:
@@ -35,29 +38,17 @@ class RetailAnalysis:
         params: AnalysisParams,
         windowed_raw: DataFrame | None = None,
         cache: bool = True,
-        cache_raw: bool = False,
-        checkpoint_clean: bool = False,
     ):
         self.params = params
         self.cache = cache
-        self.checkpoint_clean = checkpoint_clean
         self._persisted: list[DataFrame] = []
-        # a derived raw view (joins) read by many profile tables is worth keeping;
-        # a plain Parquet source is better re-scanned with column pruning
-        self.raw = self._keep(raw) if cache and cache_raw else raw
+        self.raw = raw
         # same rows inside the window, but with a source-side pre-trim (pushdown)
-        if windowed_raw is None or (cache and cache_raw):
-            windowed_raw = self.raw
-        self._windowed_raw = windowed_raw
+        self._windowed_raw = raw if windowed_raw is None else windowed_raw
 
     @classmethod
     def from_test_tables(
-        cls,
-        spark: SparkSession,
-        sf_dir: str,
-        params: AnalysisParams | None = None,
-        cache: bool = True,
-        checkpoint_clean: bool = False,
+        cls, spark: SparkSession, sf_dir: str, params: AnalysisParams | None = None, cache: bool = True
     ):
         configure(spark)
         params = params or test_table_params()
@@ -67,8 +58,19 @@ class RetailAnalysis:
             params,
             windowed_raw=tpch_adapter.line_items(spark, sf_dir, params, tables=tables),
             cache=cache,
-            cache_raw=cache,
-            checkpoint_clean=checkpoint_clean,
+        )
+
+    @classmethod
+    def from_stored(
+        cls, spark: SparkSession, path: str, params: AnalysisParams, fmt: str = "parquet", cache: bool = True, **options
+    ):
+        """Over stored line items; the window reads only its months if they are stored by month."""
+        configure(spark)
+        return cls(
+            load_line_items(spark, path, fmt, **options),
+            params,
+            windowed_raw=load_line_items(spark, path, fmt, params, **options),
+            cache=cache,
         )
 
     @property
@@ -90,20 +92,23 @@ class RetailAnalysis:
     # ---- stage C
     @cached_property
     def clean(self) -> DataFrame:
-        df = CL.clean_line_items(self._windowed_raw, self.params)
-        if self.checkpoint_clean:
-            return reliable_checkpoint(df)
-        return self._keep(df)
+        return self._keep(CL.clean_line_items(self._windowed_raw, self.params))
 
     @property
     def with_customer(self) -> DataFrame:
         return CL.with_customer(self.clean)
 
     # ---- stage D
+    @cached_property
+    def invoices(self) -> DataFrame:
+        """The invoice grain of the cleaned lines, stored once for the KPIs and the features."""
+        return reliable_checkpoint(CU.invoice_grain(self.clean))
+
     @cached_property
     def features(self) -> DataFrame:
-        """All attributed customers (before the net-positive filter)."""
-        return CU.customer_features(self.with_customer, self.params)
+        """All attributed customers (before the net-positive filter); from the stored
+        invoice grain if the KPIs have asked for it."""
+        return CU.customer_features(self.with_customer, self.params, self.__dict__.get("invoices"))
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -121,7 +126,7 @@ class RetailAnalysis:
         return S.segment_summary(self.scored)
 
     def headline_kpis(self) -> DataFrame:
-        return K.headline_kpis(self.clean, self.scored, self.params)
+        return K.headline_kpis(self.invoices, self.scored, self.params)
 
     def cleaning_log(self) -> DataFrame:
         return CL.cleaning_log(self.raw, self.clean, self.features, self.params)

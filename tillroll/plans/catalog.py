@@ -6,63 +6,66 @@ over whole tables, with the test-table parameters.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import clean as CL
 from ..operators import cohorts as H
+from ..operators import ltv as M
 from ..operators import profile as Q
 from ..operators import rfm as W
 from ..operators import segments as S
+from ..operators.customers import net_positive
 from ..operators.ranking import global_rank
-from ..params import test_table_params
+from ..operators.summary import summary_core, summary_frame
+from ..params import RULE_MIN_INVOICES, test_table_params
+from ..session import ensure_checkpoint_dir
+from ..sources import tpch_adapter
+from ..sources.io import load_line_items, write_line_items
 from ..sources.schema import CLEAN_COLUMNS
 from .analysis import RetailAnalysis
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
-def _a(spark: SparkSession, sf_dir: str, checkpoint_clean: bool = False) -> RetailAnalysis:
-    # one query = one plan: nothing is persisted across calls. A query whose two
-    # consumers of the cleaned lines run as separate jobs (line-level KPIs next to the
-    # customer ranks, which checkpoint eagerly) writes them once to spark.checkpoint.dir
-    # instead of running the join and dedup twice; consumers inside one plan share the
-    # dedup exchange instead.
-    return RetailAnalysis.from_test_tables(
-        spark, sf_dir, test_table_params(), cache=False, checkpoint_clean=checkpoint_clean
-    )
+def _a(spark: SparkSession, sf_dir: str) -> RetailAnalysis:
+    # nothing is persisted across calls
+    return RetailAnalysis.from_test_tables(spark, sf_dir, test_table_params(), cache=False)
 
 
 def q_line_items(spark, sf_dir):
-    return _a(spark, sf_dir, checkpoint_clean=False).raw
+    return _a(spark, sf_dir).raw
 
 
 def q_clean_line_items(spark, sf_dir):
-    a = _a(spark, sf_dir, checkpoint_clean=False)
+    a = _a(spark, sf_dir)
     return a.clean.select(*CLEAN_COLUMNS).withColumn("LineRevenue", F.col("LineRevenue").cast("double"))
 
 
 def q_line_features(spark, sf_dir):
-    a = _a(spark, sf_dir, checkpoint_clean=False)
+    a = _a(spark, sf_dir)
     return Q.line_features(a.clean, a.params)
 
 
 def q_cleaning_log(spark, sf_dir):
     # both readers of the cleaned lines (step counts, customer counts) sit in this one
     # plan, so Spark reuses the dedup exchange (ReusedExchange) instead of a checkpoint
-    return _a(spark, sf_dir, checkpoint_clean=False).cleaning_log()
+    return _a(spark, sf_dir).cleaning_log()
 
 
 def q_non_product_audit(spark, sf_dir):
-    a = _a(spark, sf_dir, checkpoint_clean=False)
+    a = _a(spark, sf_dir)
     return CL.non_product_audit(a.clean, a.params)
 
 
 def _profile(fn):
     def run(spark, sf_dir):
-        a = _a(spark, sf_dir, checkpoint_clean=False)  # the raw view only
+        a = _a(spark, sf_dir)  # the raw view only
         return fn(a)
 
     return run
@@ -94,8 +97,6 @@ def q_customer_frame(spark, sf_dir):
 
 
 def q_frequency_rank(spark, sf_dir):
-    from ..operators.customers import net_positive
-
     a = _a(spark, sf_dir)
     ranked = global_rank(net_positive(a.features).select("CustomerID", "Frequency"), ["Frequency", "CustomerID"], "rank")
     return ranked.select("CustomerID", "Frequency", F.col("rank").cast("bigint").alias("rank"))
@@ -106,8 +107,6 @@ def q_rfm_triples(spark, sf_dir):
 
 
 def q_high_value_threshold(spark, sf_dir):
-    from ..operators import ltv as M
-
     a = _a(spark, sf_dir)
     q80 = M.high_value_threshold(a.scored, a.params)
     return a.scored.agg(
@@ -122,7 +121,7 @@ def q_segment_summary(spark, sf_dir):
 
 
 def q_headline_kpis(spark, sf_dir):
-    return _a(spark, sf_dir, checkpoint_clean=True).headline_kpis()
+    return _a(spark, sf_dir).headline_kpis()
 
 
 def q_top_segment(spark, sf_dir):
@@ -148,7 +147,7 @@ def q_concentration(spark, sf_dir):
 
 
 def q_guard_rails(spark, sf_dir):
-    return _a(spark, sf_dir, checkpoint_clean=True).guard_rails()
+    return _a(spark, sf_dir).guard_rails()
 
 
 def _cohorted(a: RetailAnalysis) -> DataFrame:  # reads the cleaned lines once
@@ -156,109 +155,136 @@ def _cohorted(a: RetailAnalysis) -> DataFrame:  # reads the cleaned lines once
 
 
 def q_active_months(spark, sf_dir):
-    return H.active_months(_a(spark, sf_dir, checkpoint_clean=False).with_customer)
+    return H.active_months(_a(spark, sf_dir).with_customer)
 
 
 def q_cohort_periods(spark, sf_dir):
-    return _cohorted(_a(spark, sf_dir, checkpoint_clean=False))
+    return _cohorted(_a(spark, sf_dir))
 
 
 def q_cohort_sizes(spark, sf_dir):
-    return H.cohort_sizes(_cohorted(_a(spark, sf_dir, checkpoint_clean=False)))
+    return H.cohort_sizes(_cohorted(_a(spark, sf_dir)))
 
 
 def q_retention_cells(spark, sf_dir):
-    return _a(spark, sf_dir, checkpoint_clean=False).retention_long()
+    return _a(spark, sf_dir).retention_long()
 
 
 def q_retention_matrix(spark, sf_dir):
-    a = _a(spark, sf_dir, checkpoint_clean=False)
+    a = _a(spark, sf_dir)
     return H.retention_matrix(a.retention_long(), a.params)
 
 
 def q_retained_matrix(spark, sf_dir):
-    a = _a(spark, sf_dir, checkpoint_clean=False)
+    a = _a(spark, sf_dir)
     return H.retention_matrix(a.retention_long(), a.params, value="retained")
 
 
 def q_retention_lines(spark, sf_dir):
-    a = _a(spark, sf_dir, checkpoint_clean=False)
+    a = _a(spark, sf_dir)
     return H.retention_lines(a.retention_long(), a.params)
 
 
 def q_retention_best_worst(spark, sf_dir):
-    return H.best_worst_m1(_a(spark, sf_dir, checkpoint_clean=False).retention_long())
-
-
-# Fitted models are shared by the model queries of one Spark application: the k fold
-# fits and the hold-out fit are distributed jobs worth running once per input.
-_STUDIES: dict[tuple[str, str], object] = {}
+    return H.best_worst_m1(_a(spark, sf_dir).retention_long())
 
 
 def _ltv(spark, sf_dir):
-    from ..operators import ltv as M
-
-    key = (spark.sparkContext.applicationId, str(sf_dir))
-    study = _STUDIES.get(key)
-    if study is None:
-        a = _a(spark, sf_dir)
-        study = _STUDIES[key] = M.ltv_study(a.scored, a.params)
-    return None, M, study
+    a = _a(spark, sf_dir)
+    return M.ltv_study(a.scored, a.params)
 
 
 def q_ltv_model_frame(spark, sf_dir):
-    from ..operators import ltv as M
-
     a = _a(spark, sf_dir)
     return M.model_frame(a.scored, a.params)
 
 
+def _folded(spark, sf_dir):
+    a = _a(spark, sf_dir)
+    return M.stratified_folds(M.model_frame(a.scored, a.params), a.params)
+
+
 def q_ltv_folds(spark, sf_dir):
-    from ..operators import ltv as M
+    return _folded(spark, sf_dir).select("CustomerID", M.LABEL, "fold")
 
+
+def q_ltv_fold_sizes(spark, sf_dir):
+    return _folded(spark, sf_dir).groupBy("fold", M.LABEL).agg(F.count(F.lit(1)).alias("customers"))
+
+
+def _rule_predictions(spark, sf_dir):
+    """A prediction that needs no model: many invoices. Folds by id, so that SQL can follow."""
     a = _a(spark, sf_dir)
-    return M.stratified_folds(M.model_frame(a.scored, a.params), a.params).select("CustomerID", M.LABEL, "fold")
+    frame = M.model_frame(a.scored, a.params)
+    return frame.select(
+        "CustomerID",
+        M.LABEL,
+        (F.col("CustomerID") % a.params.n_folds).cast("int").alias("fold"),
+        F.col("Frequency").alias("prob"),
+        (F.col("Frequency") >= RULE_MIN_INVOICES).cast("int").alias("prediction"),
+    )
+
+
+def q_metrics_on_rule(spark, sf_dir):
+    return M.classification_metrics(_rule_predictions(spark, sf_dir))
+
+
+def q_confusion_on_rule(spark, sf_dir):
+    return M.confusion_matrix(_rule_predictions(spark, sf_dir))
+
+
+def q_auc_on_rule(spark, sf_dir):
+    return M.auc_by_group(_rule_predictions(spark, sf_dir), ["fold"], "prob", M.LABEL, "CustomerID")
 
 
 def q_ltv_oof_predictions(spark, sf_dir):
-    _, _, r = _ltv(spark, sf_dir)
-    return r.oof
+    return _ltv(spark, sf_dir).oof
 
 
 def q_ltv_cv_metrics(spark, sf_dir):
-    _, M, r = _ltv(spark, sf_dir)
-    out = r.auc.unionByName(r.metrics, allowMissingColumns=True).unionByName(r.confusion, allowMissingColumns=True)
+    r = _ltv(spark, sf_dir)
+    parts = [r.auc, r.metrics, r.confusion]
+    out = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
     return out.agg(*[F.max(c).alias(c) for c in out.columns])
 
 
 def q_ltv_permutation_importance(spark, sf_dir):
-    _, _, r = _ltv(spark, sf_dir)
-    return r.importance
+    return _ltv(spark, sf_dir).importance
 
 
 def q_ltv_partial_dependence(spark, sf_dir):
-    _, _, r = _ltv(spark, sf_dir)
-    parts = list(r.pd.values())
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = list(_ltv(spark, sf_dir).pd.values())
+    return reduce(DataFrame.unionByName, parts)
 
 
-def q_summary(spark, sf_dir):
-    from ..operators.summary import summary_dict, summary_frame
+def q_summary_core(spark, sf_dir):
+    """The summary document without its model block."""
+    return summary_core(_a(spark, sf_dir))
 
-    a = RetailAnalysis.from_test_tables(spark, sf_dir, test_table_params(), cache=True)
-    try:
-        doc = summary_dict(a, _ltv(spark, sf_dir)[2])
-    finally:
-        a.close()
-    return summary_frame(spark, doc)
+
+def q_summary(spark, sf_dir):
+    a = _a(spark, sf_dir)
+    return summary_frame(a, M.ltv_study(a.scored, a.params))
+
+
+def q_stored_line_items(spark, sf_dir):
+    """The path a user calls: line items stored by month, loaded for the window, cleaned and summed by month."""
+    params = test_table_params()
+    path = f"{ensure_checkpoint_dir(spark)}/line-items-{uuid.uuid4().hex}"
+    write_line_items(tpch_adapter.line_items(spark, sf_dir), path)
+    stored = load_line_items(spark, path, params=params)
+    clean = CL.clean_line_items(stored, params)
+    return (
+        clean.groupBy(C.month_start("InvoiceDate").alias("m"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("LineRevenue").cast("double").alias("revenue"))
+        .select(C.month_label("m").alias("month"), "rows", "revenue")
+    )
 
 
 QUERIES: dict[str, QueryFn] = {
     # sources and cleaning
     "line_items": q_line_items,
+    "stored_line_items": q_stored_line_items,
     "clean_line_items": q_clean_line_items,
     "line_features": q_line_features,
     "cleaning_log": q_cleaning_log,
@@ -307,10 +333,15 @@ QUERIES: dict[str, QueryFn] = {
     # high-value-customer model (rows-only checks except the model frame)
     "ltv_model_frame": q_ltv_model_frame,
     "ltv_folds": q_ltv_folds,
+    "ltv_fold_sizes": q_ltv_fold_sizes,
+    "metrics_on_rule": q_metrics_on_rule,
+    "confusion_on_rule": q_confusion_on_rule,
+    "auc_on_rule": q_auc_on_rule,
     "ltv_oof_predictions": q_ltv_oof_predictions,
     "ltv_cv_metrics": q_ltv_cv_metrics,
     "ltv_permutation_importance": q_ltv_permutation_importance,
     "ltv_partial_dependence": q_ltv_partial_dependence,
     # summary document
+    "summary_core": q_summary_core,
     "summary": q_summary,
 }

@@ -5,7 +5,7 @@ same semantics, run by the driver on the same parquet tables (views ``lineitem``
 from __future__ import annotations
 
 from ..functions.segments import TARGET_ACTIONS
-from ..params import AnalysisParams, test_table_params
+from ..params import RULE_MIN_INVOICES, AnalysisParams, test_table_params
 
 
 def _q(s: str) -> str:
@@ -45,7 +45,7 @@ raw AS (
     SELECT
       CASE WHEN cx THEN 'C' ELSE '' END || CAST(o_orderkey AS VARCHAR) AS InvoiceNo,
       CASE WHEN l_partkey % 40 = 0 THEN 'POST' ELSE CAST(l_partkey AS VARCHAR) END AS StockCode,
-      CAST(NULL AS VARCHAR) AS Description,
+      CASE WHEN l_partkey % 30 <> 0 THEN p_name END AS Description,
       CASE WHEN cx THEN -l_quantity ELSE l_quantity END AS Quantity,
       o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS InvoiceDate,
       CASE WHEN l_discount = CAST(0.10 AS DOUBLE) AND l_tax = CAST(0.0 AS DOUBLE) THEN CAST(0.0 AS DOUBLE)
@@ -54,12 +54,13 @@ raw AS (
       n_name AS Country,
       l_partkey
     FROM (
-      SELECT l.*, o.*, n.n_name,
+      SELECT l.*, o.*, n.n_name, p.p_name,
              (l.l_returnflag = 'R' AND l.l_tax = CAST(0.08 AS DOUBLE)) AS cx
       FROM lineitem l
       JOIN orders o ON l.l_orderkey = o.o_orderkey
       JOIN customer c ON o.o_custkey = c.c_custkey
       JOIN nation n ON c.c_nationkey = n.n_nationkey
+      LEFT JOIN part p ON l.l_partkey = p.p_partkey
     ) j
   ) v
   CROSS JOIN LATERAL (SELECT 1 AS copy UNION ALL SELECT 2) k
@@ -67,6 +68,7 @@ raw AS (
 )"""
 
     def rev(self, q="Quantity", u="UnitPrice") -> str:
+        # the given tables have whole quantities and prices in cents, so three places are exact here
         return f"CAST(CAST({q} AS DECIMAL(12,3)) * CAST({u} AS DECIMAL(12,3)) AS DECIMAL(18,3))"
 
     def cx(self) -> str:
@@ -470,8 +472,102 @@ n AS (SELECT count(DISTINCT cohort_month) AS n_cohorts FROM long)
 SELECT best_cohort_month, best_m1_retention_pct, worst_cohort_month, worst_m1_retention_pct, n_cohorts
 FROM n LEFT JOIN b ON TRUE LEFT JOIN w ON TRUE""",
         )
+        out["stored_line_items"] = W(
+            clean,
+            f"""SELECT {mlabel} AS month, count(*) AS rows, CAST(sum(LineRevenue) AS DOUBLE) AS revenue
+FROM clean GROUP BY 1""",
+        )
+        labelled = f"""th AS (SELECT quantile_cont(CAST(Monetary AS DOUBLE), {p.high_value_quantile}) AS q FROM scored),
+lab AS (SELECT CustomerID, Frequency, CAST(CAST(Monetary AS DOUBLE) >= q AS INTEGER) AS y,
+               CAST(CustomerID % {p.n_folds} AS INTEGER) AS fold, CAST(Frequency >= {RULE_MIN_INVOICES} AS INTEGER) AS p
+        FROM scored, th)"""
+        # round-robin folds: sizes follow from the label counts alone
+        out["ltv_fold_sizes"] = W(
+            scored,
+            f"""{labelled},
+c AS (SELECT y, count(*) AS n FROM lab GROUP BY y)
+SELECT CAST(f.k AS INTEGER) AS fold, y AS IsTopQuintileM,
+       CAST(n // {p.n_folds} + CASE WHEN f.k < n % {p.n_folds} THEN 1 ELSE 0 END AS BIGINT) AS customers
+FROM c, range(0, {p.n_folds}) f(k) WHERE n // {p.n_folds} + CASE WHEN f.k < n % {p.n_folds} THEN 1 ELSE 0 END > 0""",
+        )
+        out["confusion_on_rule"] = W(
+            scored,
+            labelled
+            + "\nSELECT "
+            + ", ".join(f"CAST(count_if(y = {t} AND p = {q}) AS BIGINT) AS true{t}_pred{q}" for t in (0, 1) for q in (0, 1))
+            + " FROM lab",
+        )
+        out["metrics_on_rule"] = W(
+            scored,
+            f"""{labelled},
+c AS (SELECT CAST(count_if(y = 1 AND p = 1) AS DOUBLE) AS tp, count_if(p = 1) AS pp, count_if(y = 1) AS ap FROM lab),
+m AS (SELECT coalesce(tp / nullif(pp, 0), 0.0) AS precision, coalesce(tp / nullif(ap, 0), 0.0) AS recall FROM c)
+SELECT precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM m""",
+        )
+        out["auc_on_rule"] = W(
+            scored,
+            f"""{labelled},
+g AS (SELECT fold, Frequency, count(*) AS n, sum(y) AS pos FROM lab GROUP BY fold, Frequency),
+r AS (SELECT *, sum(n) OVER (PARTITION BY fold ORDER BY Frequency) - n + (n + 1) / 2.0 AS avg_rank FROM g),
+t AS (SELECT fold, CAST(sum(pos * avg_rank) AS DOUBLE) AS s, CAST(sum(pos) AS DOUBLE) AS np,
+             CAST(sum(n) - sum(pos) AS DOUBLE) AS nn FROM r GROUP BY fold)
+SELECT fold, CASE WHEN np > 0 AND nn > 0 THEN (s - np * (np + 1) / 2.0) / (np * nn) END AS auc FROM t""",
+        )
+        out["summary_core"] = self.summary_core(out)
         return out
 
+    def summary_core(self, out: dict[str, str]) -> str:
+        """The summary's fields as rows, from the queries of its parts."""
+        p = self.p
+        ctes = ", ".join(
+            f"{k} AS ({out[q]})"
+            for k, q in (
+                ("s_log", "cleaning_log"),
+                ("s_kpis", "headline_kpis"),
+                ("s_seg", "segment_summary"),
+                ("s_top", "top_segment"),
+                ("s_bw", "retention_best_worst"),
+                ("s_tgt", "retention_targets"),
+            )
+        )
+
+        def row(section: str, name: str, field: str, value: str, source: str, text: bool = False) -> str:
+            number, words = ("CAST(NULL AS DOUBLE)", value) if text else (f"CAST({value} AS DOUBLE)", "CAST(NULL AS VARCHAR)")
+            return f"SELECT {_q(section)} AS section, {name} AS name, {_q(field)} AS field, {number} AS number, {words} AS text FROM {source}"
+
+        first, third = ("s_log WHERE step = '01_trim_period'", "s_log WHERE step = '03_drop_exact_duplicates'")
+        none = "''"
+        rows = [
+            row("dataset", none, "raw_rows", "rows_before", first),
+            row("dataset", none, "cleaned_rows", "rows_after", third),
+            row("dataset", none, "customers", "total_customers", "s_kpis"),
+            row("dataset", none, "analysis_window_start", _q(str(p.start_ts.date())), "s_kpis", True),
+            row("dataset", none, "analysis_window_end", _q(str(p.end_ts.date())), "s_kpis", True),
+            row("dataset", none, "currency", _q(p.currency), "s_kpis", True),
+        ]
+        for f in ("total_revenue_gbp", "total_revenue_customer_attributed_gbp", "aov_gbp"):
+            rows.append(row("kpis", none, f, f"round({f}, 2)", "s_kpis"))
+        for f in ("total_customers", "total_invoices_customer_attributed", "repeat_customer_count"):
+            rows.append(row("kpis", none, f, f, "s_kpis"))
+        rows.append(row("kpis", none, "repeat_purchase_rate", "round(repeat_purchase_rate, 4)", "s_kpis"))
+        rows.append(row("top_segment", none, "name", "Segment", "s_top", True))
+        for f, v in (("revenue_gbp", "round(Revenue, 2)"), ("revenue_share_pct", "round(Revenue_share, 2)")):
+            rows.append(row("top_segment", none, f, v, "s_top"))
+            rows.append(row("segments", "Segment", f, v, "s_seg"))
+            rows.append(row("retention_targets", "Segment", f, v, "s_tgt"))
+        rows.append(row("top_segment", none, "customer_count", "Customers", "s_top"))
+        rows.append(row("segments", "Segment", "customers", "Customers", "s_seg"))
+        rows.append(row("retention_targets", "Segment", "customers", "Customers", "s_tgt"))
+        for f in ("best_cohort_month", "worst_cohort_month"):
+            rows.append(row("cohort", none, f, f, "s_bw", True))
+        for f in ("best_m1_retention_pct", "worst_m1_retention_pct"):
+            rows.append(row("cohort", none, f, f"round({f}, 2)", "s_bw"))
+        rows.append(row("cohort", none, "n_cohorts", "n_cohorts", "s_bw"))
+        for f in ("rows_before", "rows_after"):
+            rows.append(row("cleaning", "step", f, f, "s_log"))
+        rows.append(row("cleaning", "step", "note", "note", "s_log", True))
+        return f"WITH {ctes} " + " UNION ALL ".join(rows)
+
 
 def oracle_queries(params: AnalysisParams | None = None) -> dict[str, str]:
     return OracleSQL(params or test_table_params()).all()

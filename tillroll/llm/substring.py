@@ -8,13 +8,14 @@ is tagged with the words its naming looked at (its context): wherever those word
 so does the symbol. Equal long substrings therefore hold the same interior symbols.
 
 1. Each window of ``window`` words points to the smallest-named symbol of the last round
-   whose context lies inside it (its anchor; a window without one is its own). Consecutive
-   windows with one anchor make a block. Spark counts blocks by (anchor, content): an
-   anchor in two documents reveals a repeat, an equal block in a smaller document verifies
-   all its windows at once.
-2. What is left are first occurrences and the edges of repeats: only the windows of blocks
-   that are the smallest of their content, under a shared anchor. Any window's smallest
-   document holds it in such a block, so the minimum over these windows is exact.
+   whose context lies inside it (its anchor, named by the symbol and its context; a window
+   without one is its own). Consecutive windows with one anchor make a block. An anchor
+   that stands in two documents reveals a repeat.
+2. Blocks of revealed anchors are counted by (anchor, content): a block that a smaller
+   document has verifies all its windows at once. Only where an anchor has blocks of
+   different content, at the edges of repeats, the windows of the first block of each
+   content are compared one by one. A window's smallest document holds it in the first
+   block of some content, so the minimum over these windows is exact.
 3. The words of windows that a smaller document has are removed, judged on the input.
 
 Anchors only propose. What decides is a pair of independent 64-bit hashes (anchor and
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import order_id, text_words, written
 
 WINDOW = 50
-ROUNDS = 4
+ROUNDS = 3
 
 _U = np.uint64
 _MIX = (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
@@ -177,11 +178,13 @@ def blocks(hashes: list[np.ndarray], window: int = WINDOW, rounds: int = ROUNDS)
     if len(held):
         anchor[held] = _range_argmin(mix(name), first[held], last[held])
     edge = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]][: len(anchor)])
-    begin, end = start[edge], start[np.r_[edge[1:], len(start)] - 1]
+    begin, end = start[edge], start[np.r_[edge[1:], len(start)][: len(edge)] - 1]
     prefix = content_prefix(h)
     content = content_hashes(prefix, begin, end + window - 1)
     at = anchor[edge]
-    label = np.where(at >= 0, name[np.maximum(at, 0)], mix(content))
+    of = np.maximum(at, 0)
+    context = content_hashes(prefix, np.maximum(lo[of], 0), np.minimum(hi[of], len(h) - 1))
+    label = np.where(at >= 0, mix(name[of] + context), mix(content))
     return Blocks(label, content, begin, end, text[edge], prefix, offset)
 
 
@@ -311,15 +314,18 @@ def _cutter(window: int, rounds: int):
 def repeated_windows(keyed: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """(ord, sub, gone): per document the blocks and windows that a smaller document has."""
     schema = "anchor long, content long, ord long, sub long"
-    found = written(keyed.select("ord", "sub", "text").mapInPandas(_emit_blocks(window, rounds), schema), "blocks")
+    every = keyed.select("ord", "sub", "text").mapInPandas(_emit_blocks(window, rounds), schema)
+    shared = every.groupBy("anchor").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b")
+    shared = written(shared.select("anchor"), "shared-anchors")
+    # texts are parsed again rather than kept: most blocks go here
+    found = written(every.join(shared, "anchor", "left_semi"), "blocks")
     content = found.groupBy("anchor", "content").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
     content = written(content, "block-contents")
-    shared = content.groupBy("anchor").agg(F.min("least").alias("a"), F.max("most").alias("b")).where("a < b")
-    # 1: blocks that a smaller document has as well
+    # blocks that a smaller document has as well
     verified = found.join(content.where("least < most"), ["anchor", "content"]).where("ord > least")
-    # 2: the first of each content under a shared anchor goes window by window
-    first = found.join(content.join(shared.select("anchor"), "anchor", "left_semi"), ["anchor", "content"])
-    first = first.where("ord = least")
+    # anchors with several contents go window by window, the first block of each content
+    several = content.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    first = found.join(content.join(several, "anchor", "left_semi"), ["anchor", "content"]).where("ord = least")
     mine = first.groupBy("ord", "sub").agg(_pair_list().alias("mine"))
     # the join on (ord, sub) deals the texts out like the last join below, so Spark reuses that exchange
     windows = keyed.join(mine, ["ord", "sub"]).mapInPandas(_emit_windows(window, rounds), schema)

@@ -217,3 +217,17 @@ def test_null_check_is_no_pass(spark):
     rails = kpi_guard_rails(kpis, top, P).collect()
     assert {r["verdict"] for r in rails} == {"REVIEW"}
     assert {r["check_name"] for r in rails if r["status"] == "REVIEW"} == {"total_customers"}
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0, 2.5, 9.0, 10.0], [3.0], [-2.0, 0.1, 0.2, 0.30000000000000004, 7.7]])
+def test_histogram_agrees_with_numpy(spark, values):
+    import numpy as np
+
+    from tillroll.operators.profile import histogram
+
+    df = spark.createDataFrame([(v,) for v in [*values, *values, None]], "x double")
+    got = histogram(df, "x", 7).collect()
+    counts, edges = np.histogram(values * 2, bins=7)
+    assert [r["count"] for r in got] == counts.tolist()
+    assert np.allclose([r["lower"] for r in got] + [got[-1]["upper"]], edges)
+    assert histogram(df.where("x > 100"), "x", 7).count() == 0

@@ -136,9 +136,11 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def _terms_of(text: Column, bits: int) -> Column:
-    @F.pandas_udf("array<int>")
+    """The terms as 32-bit integers in one binary value, light to collect."""
+
+    @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([terms(t, bits) for t in texts], dtype=object)
+        return pd.Series([terms(t, bits).astype("<i4").tobytes() for t in texts], dtype=object)
 
     return of(text)
 
@@ -158,10 +160,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: FmParams) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, params: FmParams = FmParams()) -> FactorizationMachine:
-    rows = sorted(
-        (r["doc_id"], r["toxic"], r["terms"]) for r in training_rows(docs, labels, params).toLocalIterator()
-    )
-    features = [np.asarray(t, np.int32) for _, _, t in rows]
+    found = training_rows(docs, labels, params).collect()  # bounded by max_rows
+    rows = sorted((r["doc_id"], r["toxic"], bytes(r["terms"])) for r in found)
+    features = [np.frombuffer(t, "<i4") for _, _, t in rows]
     return FactorizationMachine.fit(features, np.array([t for _, t, _ in rows], np.float64), params)
 
 

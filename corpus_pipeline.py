@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per row: doc_id, ids and n_tokens, and the text decoded from the ids."""
-    return bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER)
+    return bpe.encode(docs, TOKENIZER, decoded=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

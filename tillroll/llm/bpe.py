@@ -20,9 +20,12 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the tokenizer's format: Unicode white space, pre-token pattern, end-of-word mark.
 _SPACES = "\\t-\\r \\x85\\xa0" + "".join(
@@ -145,7 +148,7 @@ def normalize(text: str) -> str:
 class Encoder:
     """Encodes texts with a model; remembers the ids of recent chunks up to a bound."""
 
-    def __init__(self, model: BpeModel, max_chunks: int = 200_000):
+    def __init__(self, model: BpeModel, max_chunks: int = 100_000):
         self.model, self.max_chunks, self.cache = model, max_chunks, {}
         self.special = re.compile("|".join(map(re.escape, model.special)) or r"(?!)")
 
@@ -174,7 +177,7 @@ class Encoder:
         for c, ws in zip(new, split, strict=True):
             self.cache[c] = b"".join([word[place[w]] for w in ws])
 
-    def encode(self, texts: Sequence[str | None], batch_chars: int = 2_000_000) -> list[bytes]:
+    def encode(self, texts: Sequence[str | None], batch_chars: int = 1_000_000) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         batch: list[list[tuple[list[str], int | None]]] = []
@@ -205,16 +208,14 @@ def decode_ids(model_tokens: np.ndarray, ids: bytes | None) -> str:
     return " ".join(model_tokens[np.frombuffer(ids or b"", "<u4")].tolist())
 
 
-def encoder(spark: SparkSession, path: str | Path):
-    """Column function: text -> ids (binary, little-endian unsigned 32-bit)."""
-    fields = spark.sparkContext.broadcast(vars(BpeModel.read(path)))
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = Encoder(BpeModel(**fields.value))
-        for texts in batches:
-            yield pd.Series(enc.encode(texts.tolist()), dtype=object)
-
-    return F.pandas_udf(run, "binary")
+def _pieces(batch: pa.RecordBatch, column: int, piece_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about so many bytes of text, so that few texts are Python objects at a time."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(size) // piece_bytes
+    edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True][: len(group) + 1]) if len(group) else []
+    for first, last in zip(edge, [*edge[1:], len(group)], strict=False):
+        if last > first:
+            yield batch.slice(first, last - first)
 
 
 def decoder(spark: SparkSession, path: str | Path):
@@ -239,11 +240,32 @@ def ids_array(ids: Column) -> Column:
     )
 
 
-def encode(docs: DataFrame, path: str | Path, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, ``ids`` (binary) and ``n_tokens``."""
-    run = encoder(docs.sparkSession, path)
-    out = docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("ids"))
-    return out.withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
+def encode(
+    docs: DataFrame, path: str | Path, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
+    """One row per row of ``docs``: id, ``ids`` (binary), ``n_tokens`` and, if asked for, the text decoded from them.
+
+    Texts go through Python a small slice at a time; the vocabulary is broadcast.
+    """
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    fields = docs.sparkSession.sparkContext.broadcast(vars(BpeModel.read(path)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = BpeModel(**fields.value)
+        enc, tokens = Encoder(model), np.array(model.tokens, dtype=object)
+        for batch in batches:
+            for piece in _pieces(batch, 1):
+                ids = enc.encode(piece.column(1).to_pylist())
+                out = {"doc_id": piece.column(0), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    out["decoded"] = pa.array([decode_ids(tokens, b) for b in ids], pa.string())
+                yield pa.RecordBatch.from_pydict(out)
+
+    schema = T.StructType([slim.schema["doc_id"], T.StructField("ids", T.BinaryType())])
+    if decoded:
+        schema = schema.add("decoded", T.StringType())
+    found = slim.mapInArrow(run, schema)
+    return found.withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
 
 
 def decode(encoded: DataFrame, path: str | Path) -> DataFrame:

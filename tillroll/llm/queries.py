@@ -91,8 +91,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
-    decoded = bpe.decode(encoded, TOKENIZER)
+    decoded = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER, decoded=True)
     return decoded.select(
         "doc_id",
         "n_tokens",

@@ -324,7 +324,9 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, rounds: int = ROUND
     # blocks that a smaller document has as well
     verified = found.join(content.where("least < most"), ["anchor", "content"]).where("ord > least")
     # anchors with several contents go window by window, the first block of each content
+    # (stored, so that the join deals both sides out anew and a hot anchor's partition can be split)
     several = content.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    several = written(several, "edge-anchors")
     first = found.join(content.join(several, "anchor", "left_semi"), ["anchor", "content"]).where("ord = least")
     mine = first.groupBy("ord", "sub").agg(_pair_list().alias("mine"))
     # the join on (ord, sub) deals the texts out like the last join below, so Spark reuses that exchange

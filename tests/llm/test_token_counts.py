@@ -1,14 +1,16 @@
 """Token rollups: signed batches, replays and interrupted commits against a recount."""
 
+import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.data import awkward, empty, frame
 from tillroll.llm import token_counts as T
 
-PATTERNS = {n: p.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff") for n, p in T.TOKENIZERS.items()}
+PATTERNS = {n: t.pattern.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff") for n, t in T.TOKENIZERS.items()}
 
 
 def recount(rows):
@@ -37,6 +39,16 @@ def rollup(spark, tmp_path):
     return T.Rollup(spark, f"file://{tmp_path}/ledger")
 
 
+def test_classes_count_as_the_patterns_do():
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab Z09 \n\t.!#\u00e9\u00df\u4e2d\U0001f600\x1c") for _ in range(r.randrange(40))) for _ in range(2000)]
+    for name, t in T.TOKENIZERS.items():
+        table = np.array(t.classes, np.int8)
+        for x in texts:
+            expected = len(re.findall(PATTERNS[name], x))
+            assert T.count_tokens(x.encode(), table) == T.count_tokens(x.encode(), table, step=3) == expected
+
+
 def test_batches_keep_up_with_a_recount(spark, rollup):
     rows = awkward()
     first, second = rows[:25], rows[25:]

@@ -31,7 +31,7 @@ def _op4() -> str:
     counts = " UNION ALL ".join(
         f"SELECT source, lang, '{n}' AS tokenizer, count(*) AS documents, "
         f"sum(len(regexp_extract_all(t, '{p}')))::BIGINT AS tokens, sum(length(t))::BIGINT AS chars FROM k GROUP BY ALL"
-        for n, p in token_counts.TOKENIZERS.items()
+        for n, p in ((t.name, t.pattern) for t in token_counts.TOKENIZERS.values())
     )
     return f"""
     WITH c AS (SELECT *, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),

@@ -38,6 +38,52 @@ def test_learns_a_pair_that_weights_alone_cannot():
     assert np.mean(additive) < 0.8
 
 
+def _pair_rows(seed, n):
+    """Toxic is term 1 beside term 3; both are as common in clean rows, 40 other terms are noise."""
+    rng = np.random.default_rng(seed)
+    rows, toxic = [], []
+    for _ in range(n):
+        bad = rng.random() < 0.5
+        a = rng.random() < 0.5
+        b = a if bad else not a
+        noise = 10 + np.flatnonzero(rng.random(40) < 0.3)
+        rows.append(np.array([*([1] if a else [2]), *([3] if b else [4]), *noise], np.int32))
+        toxic.append(float(bad))
+    return rows, np.array(toxic)
+
+
+def test_defaults_learn_a_pair_of_terms_without_a_say_of_their_own():
+    rows, toxic = _pair_rows(4, 2000)
+    fm = T.FactorizationMachine.fit(rows, toxic, T.FmParams())
+    rows, toxic = _pair_rows(5, 1000)
+    assert np.mean([(fm.score(r) > 0.5) == bool(t) for r, t in zip(rows, toxic, strict=True)]) > 0.95
+
+
+def test_paired_terms_against_all_pairs(monkeypatch):
+    rng = np.random.default_rng(6)
+    rows, toxic = _pair_rows(7, 600)
+    rows = [np.unique(np.r_[r, 60 + rng.integers(0, 30, 3)]).astype(np.int32) for r in rows]
+    often = np.unique(np.concatenate(rows))
+    has = np.array([np.isin(often, r) for r in rows])
+    p = T.FmParams()
+
+    def told(within, other):
+        n, t = within.sum(), toxic[within].sum()
+        n_in, t_in = (within & other).sum(), toxic[within & other].sum()
+        return T._told(*(np.array([x], float) for x in (n, t, n_in, t_in)))[0]
+
+    limit = 2 * np.log(len(often) * (len(often) - 1) / 2 / p.pair_chance)  # all terms but rare ones have something to tell
+    brute = set()
+    for a, b in itertools.combinations(range(len(often)), 2):
+        if min(told(has[:, a], has[:, b]), told(has[:, b], has[:, a])) >= limit:
+            brute |= {int(often[a]), int(often[b])}
+    assert brute == {1, 2, 3, 4}
+    assert set(T.paired_terms(rows, toxic, often, p).tolist()) == brute
+    monkeypatch.setattr(T, "PAIR_CELLS", 1)  # a block for each term
+    assert set(T.paired_terms(rows, toxic, often, p).tolist()) == brute
+    assert T.paired_terms(rows, toxic, often[:1], p).tolist() == []
+
+
 def test_terms():
     assert T.terms(None, 18).tolist() == [] and T.terms(" 12 _", 18).tolist() == []
     assert T.terms("Idiot idiot IDIOT", 18).tolist() == T.terms("idiot", 18).tolist()

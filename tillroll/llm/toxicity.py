@@ -7,7 +7,9 @@ sum over pairs needs one pass: ((sum of vectors)^2 - sum of squares) / 2.
 
 Training (AdaGrad on the logistic loss, numpy on the driver) reads at most ``max_rows``
 labelled rows, chosen by a hash of doc_id; scoring reads every row. The model's size is
-fixed by ``bits`` and ``rank``.
+fixed by ``bits`` and ``rank``. A term is trained if it departs from the base rate by itself
+or together with another term: all pairs of terms of enough rows are counted, so a term
+without a say of its own is trained for the pairs that it has a say in.
 
 Rows: a null or empty text has no terms and the score of the bias. Labels that are null
 are left out; a doc_id labelled twice counts as toxic if either label says so. Repeated
@@ -40,6 +42,7 @@ class FmParams:
     rate: float = 0.2
     min_rows: int = 5
     min_z: float = 3.5
+    pair_chance: float = 0.01
     l2: float = 1e-4
     l2_pair: float = 1e-3
     seed: int = 7
@@ -86,7 +89,9 @@ class FactorizationMachine:
             np.concatenate(rows), np.repeat(toxic, np.fromiter(map(len, rows), np.int64, len(rows))), 1 << p.bits
         )
         off = (toxic_by - share * used_by) / np.sqrt(np.maximum(used_by, 1) * share * (1 - share))
-        seen = (used_by >= p.min_rows) & (np.abs(off) >= p.min_z)
+        often = used_by >= p.min_rows
+        seen = often & (np.abs(off) >= p.min_z)
+        seen[paired_terms(rows, toxic, np.flatnonzero(often), p)] = True
         rows = [r[seen[r]] for r in rows]
         used = np.flatnonzero([len(r) > 0 for r in rows])
         for _ in range(p.epochs):
@@ -126,6 +131,87 @@ class FactorizationMachine:
         return float(_sigmoid(margin))
 
 
+#: Pairs are counted in blocks of about this many cells, from so many rows at a time.
+PAIR_CELLS, PAIR_ROWS = 1 << 22, 512
+
+
+def paired_terms(rows: list[np.ndarray], toxic: np.ndarray, often: np.ndarray, p: FmParams) -> np.ndarray:
+    """Those of the terms ``often`` (ascending) that form a pair in which each tells something
+    about the toxic rows among the other's rows.
+
+    The limit of the likelihood ratio rises with the number of pairs: of pairs without any
+    say, ``pair_chance`` are expected to pass. A ratio is never above what there is to tell
+    about the rows of either term, so terms below the limit are left out, and not counted
+    in it, without losing a pair (Tarone's test); all pairs of the others are counted.
+    """
+    size = int(often[-1]) + 1 if len(often) else 0
+    n_by, toxic_by = np.zeros((2, size))
+    for r, t in zip(rows, toxic, strict=True):
+        r = r[: np.searchsorted(r, size)]
+        n_by[r] += 1
+        toxic_by[r] += t > 0
+    n_by, toxic_by = n_by[often], toxic_by[often]
+    open_to_tell = -2 * _fit(n_by, toxic_by)
+    k = np.arange(2, len(often) + 1)
+    limits = 2 * np.log(k * (k - 1) / 2 / p.pair_chance)
+    enough = np.flatnonzero(np.sort(open_to_tell)[::-1][1:] >= limits)
+    if not len(enough):
+        return often[:0]
+    limit = limits[enough[-1]]
+    kept = open_to_tell >= limit
+    often, n_by, toxic_by = often[kept], n_by[kept], toxic_by[kept]
+    n = len(often)
+    place = np.full(size, -1, np.int32)
+    place[often] = np.arange(n)
+    local = [place[r[: np.searchsorted(r, size)]] for r in rows]
+    local = [r[r >= 0] for r in local]
+    classes = [[r for r, t in zip(local, toxic, strict=True) if (t > 0) == k] for k in (False, True)]
+    found = np.zeros(n, bool)
+    step = max(1, PAIR_CELLS // n)
+    for first in range(0, n, step):
+        width = min(step, n - first)
+        both = np.zeros((2, width, n - first), np.float32)  # clean and toxic rows; whole numbers
+        for k, of in enumerate(classes):
+            for at in range(0, len(of), PAIR_ROWS):
+                later = [r[np.searchsorted(r, first) :] - first for r in of[at : at + PAIR_ROWS]]
+                x = np.zeros((len(later), n - first), np.float32)
+                x[np.repeat(np.arange(len(later)), [len(r) for r in later]), np.concatenate(later)] = 1
+                both[k] += x[:, :width].T @ x
+        both[0] += both[1]
+        a, b = np.nonzero(_may_tell(both, n_by[first:], toxic_by[first:], limit))
+        a, b = a[a < b], b[a < b]
+        n_ab, t_ab = both[:, a, b].astype(np.float64)
+        a, b = a + first, b + first
+        tells = np.flatnonzero(
+            (_told(n_by[a], toxic_by[a], n_ab, t_ab) >= limit) & (_told(n_by[b], toxic_by[b], n_ab, t_ab) >= limit)
+        )
+        found[a[tells]] = found[b[tells]] = True
+    return often[found]
+
+
+def _may_tell(both: np.ndarray, n: np.ndarray, t: np.ndarray, limit: float) -> np.ndarray:
+    """Pairs of a block whose ratios may reach the limit: none is above twice Pearson's
+    chi-square, which needs no logarithms."""
+    rate, n = (t / n).astype(np.float32), n.astype(np.float32)
+    n_ab, t_ab = both
+    may = n_ab > 0
+    for r, size in ((rate[: len(n_ab), None], n[: len(n_ab), None]), (rate, n)):
+        # a share of the limit covers the rounding
+        may &= (t_ab - n_ab * r) ** 2 * size >= 0.49 * np.float32(limit) * r * (1 - r) * n_ab * (size - n_ab)
+    return may
+
+
+def _fit(n: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Log-likelihood of t toxic rows of n at their own rate."""
+    rate = t / np.maximum(n, 1)
+    return t * np.log(np.where(t > 0, rate, 1)) + (n - t) * np.log(np.where(t < n, 1 - rate, 1))
+
+
+def _told(n: np.ndarray, t: np.ndarray, n_in: np.ndarray, t_in: np.ndarray) -> np.ndarray:
+    """Likelihood ratio (chi-square, one degree) of a split of n rows, t of them toxic, into n_in with t_in and the rest."""
+    return 2 * (_fit(n_in, t_in) + _fit(n - n_in, t - t_in) - _fit(n, t))
+
+
 def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 

@@ -59,6 +59,25 @@ def test_templates(spark):
     assert found[11].labels == "bsd"
 
 
+def test_two_notices_in_a_file(spark):
+    """Each notice is found as if it stood alone, also in a long file with licence words all over."""
+    text = {t.name: t.text for t in L.TEMPLATES}
+    label = {t.name: t.label for t in L.TEMPLATES}
+    vocabulary = sorted({w for t in L.TEMPLATES for w in t.text.split()})
+    scattered = " filler ".join(vocabulary * 3)
+    pairs = [(a, b) for a in text for b in text if label[a] != label[b]]
+    files = [f"{text[a]} in other words {text[b]}" for a, b in pairs]
+    files += [f"{scattered} {f} {scattered}" for f in files]
+    # words are as frequent as in a corpus where the notices' own words differ in rarity
+    rest = [(" ".join(vocabulary[k::7]) + " ") * 2 for k in range(40)]
+    docs = [(k, f, "en", "a") for k, f in enumerate(files + rest)]
+    found = {r.doc_id: r for r in L.scan_licenses(spark.createDataFrame(pad(docs), SCHEMA)).collect()}
+    for k in range(len(files)):
+        a, b = pairs[k % len(pairs)]
+        assert {label[a], label[b]} <= set(found[k].labels.split(",")), files[k]
+        assert found[k].score == 1.0
+
+
 def test_no_python_in_the_plan(spark):
     plan = L.scan_licenses(frame(spark, awkward()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -1,12 +1,13 @@
 """Licence scans by a positional index of rare words.
 
 Templates are short public notices. Their words have postings (template, position); which
-of them are rare is counted over the whole corpus. A file looks up its rarest licence
-words, and every occurrence votes for the place where a template would start (its own
-position minus the posting's). Votes of several words for one start mean that the words
-stand at the right distances; the label counts if the template's mandatory key phrases
-stand in the file too. Base labels come from fixed phrases alone and always stay. Built
-from DataFrame functions only.
+of them are rare is counted over the whole corpus. A file looks up the words of each
+template whose mandatory key phrases stand in it, and every occurrence votes for the place
+where that template would start (its own position minus the posting's). Votes of several
+words for one start mean that the words stand at the right distances; the template's rarest
+words and all of its words are counted, and either may show the match. Templates vote apart
+from each other, so several notices in a file do not compete. Base labels come from fixed
+phrases alone and always stay. Built from DataFrame functions only.
 
 Only files that hold a key phrase can pass the verification, so only they are looked up:
 the filter drops nothing. Votes are aggregated by (file, template, start), so a long or a
@@ -89,9 +90,9 @@ TEMPLATES = (
 )
 
 
-#: A file looks up this many of its rarest licence words.
+#: So many of a template's words in a file are its rarest ones.
 LOOKED_UP = 8
-#: A match needs this many words in place, and this share of those that could be.
+#: A match needs this many words in place, and this share of those that could be, of the rarest or of all.
 MIN_ALIGNED, MIN_SHARE = 3, 0.6
 
 
@@ -173,54 +174,68 @@ def _labelled(phrase: str, label: str) -> Column:
 def template_matches(
     lines: DataFrame, idf: dict[str, float], templates: Sequence[Template], looked_up: int = LOOKED_UP
 ) -> DataFrame:
-    """(row, label, score): templates whose rare words stand at one start in a file that has their key phrases."""
+    """(row, label, score): templates whose words stand at one start in a file that has their key phrases."""
     spark = lines.sparkSession
-    rank = F.create_map(*[F.lit(x) for w, v in sorted(idf.items()) for x in (w, -v)]) if idf else F.create_map().cast("map<string,double>")
-    keyed = lines.where("words IS NOT NULL")
-    rarest = F.slice(F.array_sort(F.transform("found", lambda w: F.struct(rank[w].alias("k"), w.alias("w")))), 1, looked_up)
-    chosen = keyed.select("row", "words", F.transform(rarest, lambda x: x["w"]).alias("chosen"))
     postings = spark.createDataFrame(
         [(t.name, w, k) for t in templates for k, w in enumerate(t.text.split())],
         "template string, word string, at int",
     )
-    occurrences = chosen.select("row", "chosen", F.posexplode("words").alias("pos", "word")).where(
-        F.array_contains("chosen", F.col("word"))
+    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+
+    def candidate(t: Template) -> Column:
+        by_rank = sorted(set(t.text.split()), key=lambda w: (-idf.get(w, 0.0), w))
+        rarest = F.slice(F.array_intersect(F.array(*map(F.lit, by_rank)), "found"), 1, looked_up)
+        return F.when(
+            _all_keys(line, t),
+            F.struct(
+                F.lit(t.name).alias("template"),
+                F.lit(t.label).alias("label"),
+                F.array(*map(F.lit, t.text.split())).alias("text"),
+                rarest.alias("rarest"),
+            ),
+        )
+
+    candidates = (
+        lines.where("words IS NOT NULL")
+        .select("row", "words", "found", F.filter(F.array(*map(candidate, templates)), lambda t: t.isNotNull()).alias("of"))
+        .where(F.size("of") > 0)
     )
+    looked = F.array_distinct(F.flatten(F.transform("of", lambda t: t["text"])))
+    occurrences = candidates.select("row", "of", looked.alias("looked"), F.posexplode("words").alias("pos", "word")).where(
+        F.array_contains("looked", F.col("word"))
+    )
+    of = F.filter("of", lambda t: t["template"] == F.col("template"))
     votes = (
         occurrences.join(F.broadcast(postings), "word")  # as large as the templates
+        .withColumn("own", F.get(of, 0))
+        .where("own IS NOT NULL")
         .groupBy("row", "template", (F.col("pos") - F.col("at")).alias("start"))
-        .agg(F.count(F.lit(1)).alias("aligned"))
+        .agg(
+            F.count(F.lit(1)).alias("aligned"),
+            F.count_if(F.array_contains("own.rarest", F.col("word"))).alias("aligned_rare"),
+        )
         .groupBy("row", "template")
-        .agg(F.max("aligned").alias("aligned"))
+        .agg(F.max("aligned").alias("aligned"), F.max("aligned_rare").alias("aligned_rare"))
     )
-    line = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    could = {
-        t.name: F.size(F.filter(F.array(*map(F.lit, t.text.split())), lambda w: F.array_contains("chosen", w)))
-        for t in templates
-    }
-    checked = chosen.select(
+    checked = candidates.select("row", "found", F.explode("of").alias("t")).select(
         "row",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(t.name).alias("template"),
-                        F.lit(t.label).alias("label"),
-                        could[t.name].alias("could"),
-                        _all_keys(line, t).alias("verified"),
-                    )
-                    for t in templates
-                ]
-            )
-        ).alias("t"),
-    ).select("row", "t.*")
-    share = F.col("aligned") / F.greatest(F.col("could"), F.lit(MIN_ALIGNED))
+        "t.template",
+        "t.label",
+        F.size(F.filter("t.text", lambda w: F.array_contains("found", w))).alias("could"),
+        F.size(F.filter("t.text", lambda w: F.array_contains("t.rarest", w))).alias("could_rare"),
+    )
+
+    def share(aligned: str, could: str) -> Column:
+        in_place = F.col(aligned) / F.greatest(F.col(could), F.lit(MIN_ALIGNED))
+        return F.when(F.col(aligned) >= MIN_ALIGNED, F.least(in_place, F.lit(1.0))).otherwise(0.0)
+
+    best = F.greatest(share("aligned", "could"), share("aligned_rare", "could_rare"))
     return (
-        checked.where("verified")
-        .join(votes, ["row", "template"])
-        .where((F.col("aligned") >= MIN_ALIGNED) & (share >= MIN_SHARE))
+        checked.join(votes, ["row", "template"])
+        .select("row", "label", best.alias("score"))
+        .where(F.col("score") >= MIN_SHARE)
         .groupBy("row", "label")
-        .agg(F.max(F.least(share, F.lit(1.0))).alias("score"))
+        .agg(F.max("score").alias("score"))
     )
 
 
@@ -229,8 +244,8 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, base places, labels and score.
 
-    ``score`` is the best share of the looked-up words of a matching template that stand in
-    place; base phrases without such a match score 0.5.
+    ``score`` is the best share of the words of a matching template (its rarest ones or all
+    of them) that stand in place; base phrases without such a match score 0.5.
     """
     lines = scanned_lines(docs, templates, id_col, text_col)
     matches = template_matches(lines, inverse_frequencies(lines), templates)

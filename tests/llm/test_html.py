@@ -28,6 +28,40 @@ def test_parser():
     assert texts("<p>" * 3000 + "deep" + "<div>" * 3000 + "er") == ["deep", "er"]
 
 
+@pytest.mark.parametrize("title", ["<title>t</title>", "<meta charset=x><style>a{}</style><noscript><img src=x></noscript>"])
+@pytest.mark.parametrize("body", ["<body><article><p>a</p></article>", "<p>a", "a", "<a href=x>a</a>", "</head><body>a", "<body>a</head>"])
+def test_head_without_end_tag(title, body):
+    assert texts(f"<html><head>{title}{body}") == ["a"]
+    assert texts(f"<html><head>{title}{body}</body></html>") == ["a"]
+
+
+def test_head_holds_no_text():
+    assert texts("<head>x<title>t</title><template><div>y</div></template>z</head>a") == ["a"]
+    assert texts("<head><script>var t = '</head><body>';</script><title>t</title></head><body>a") == ["a"]
+    assert texts("<head><title>t") == []
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "noscript", "template"])
+def test_silent_element_without_end_tag(tag):
+    assert texts(f"<article><p>a</p><{tag}>x<p>b</p><p>c</p></article>d") == ["a", "b", "c", "d"]
+    assert texts(f"<div><p>a<{tag}>x</p>b</div>c") == ["a", "b", "c"]
+    assert texts(f"<ul><li>a<{tag}>x<li>b</ul>c") == ["a", "b", "c"]
+    assert texts(f"<p>a<{tag}>x</p><p>b</p><{tag}>y</{tag}>c") == ["a", "b", "c"]
+    assert texts(f"<div>a<{tag}>x</div>b</{tag}>c") == ["a", "bc"]
+
+
+@pytest.mark.parametrize("tag", ["button", "object", "svg", "noscript", "template"])
+def test_silent_element_with_end_tag(tag):
+    assert texts(f"<p>a<{tag}>x<p>y</p><{tag}>z</{tag}>w</{tag}> b</p>c") == ["a b", "c"]
+    assert texts(f"<p>a <b>b<{tag}>x</b>y</{tag}> c</p>d") == ["a b c", "d"]
+
+
+def test_raw_text_reaches_to_its_end_tag():
+    for tag in ("script", "style", "title", "textarea", "iframe"):
+        assert texts(f"a<{tag}><p>x</p></{tag}>b") == ["ab"]
+        assert texts(f"<p>a<{tag}>x<p>y") == ["a"]
+
+
 def test_features_are_finite_and_one_row_per_node():
     p = H.parse("<div class='ad sidebar'><p>x. y</p><a href=/>l</a></div>")
     x = H.features(p)

@@ -13,8 +13,10 @@ is known. Every page is extracted from its whole html.
 
 Rows: null, empty and text-free html gives the empty text. A page that repeats is
 extracted each time. Unclosed, misnested and unknown tags are read leniently; script,
-style, head and form controls hold no text. Without any page to learn from there is
-nothing to extract. Extra columns of ``pages`` are ignored.
+style, head and form controls hold no text. A head without an end tag ends before the first
+element of the body, a form control or the like without one before the next block or with
+its parent. Without any page to learn from there is nothing to extract. Extra columns of
+``pages`` are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ _ATOM = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
 #: Elements whose content is no text of the page.
 _SILENT = frozenset("script style head noscript template textarea select button svg iframe object title".split())
+#: Of these, the content is no markup: without an end tag they reach to the end of the page.
+_RAW = frozenset("script style title textarea iframe".split())
+#: Elements that a head can hold; any other one ends it.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th caption nav "
@@ -142,27 +148,88 @@ class _Builder:
         del self.open[k:]
 
 
+def _after(tag: str, source: str, at: int) -> int:
+    """The place after the element's end tag, or the end of the page."""
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>|\Z", re.I).search(source, at).end()
+
+
+def _after_head(source: str, at: int) -> int:
+    """The place after the head's end tag; ``at`` if the body begins without one."""
+    inside: list[str] = []  # open noscript and template elements
+    for_next = at
+    while m := _MARKUP.search(source, for_next):
+        for_next = m.end()
+        if m[1]:
+            tag = m[1].lower()
+            if tag == "head":
+                return m.end()
+            if tag in inside:
+                del inside[inside.index(tag) :]
+        elif m[2]:
+            tag = m[2].lower()
+            if tag == "body" or (tag not in _IN_HEAD and not inside):
+                return at
+            if not m[3].endswith("/"):
+                if tag in _RAW:
+                    for_next = _after(tag, source, m.end())
+                elif tag in ("noscript", "template"):
+                    inside.append(tag)
+    return at
+
+
+def _closed(tag: str, source: str) -> set[int]:
+    """The places after those start tags of ``tag`` that have an end tag of their own."""
+    open_at: list[int] = []
+    found = set()
+    for m in _MARKUP.finditer(source):
+        if m[1] and m[1].lower() == tag and open_at:
+            found.add(open_at.pop())
+        elif m[2] and m[2].lower() == tag and not m[3].endswith("/"):
+            open_at.append(m.end())
+    return found
+
+
 def parse(source: str | None) -> Page:
     """The page's tree of blocks and text runs."""
     b = _Builder()
     source = source or ""
     at = 0
+    silent: list[str] = []  # open elements from a silent one on
+    lasting = False  # the silent element has an end tag
+    closed: dict[str, set[int]] = {}
     while True:
         m = _MARKUP.search(source, at)
+        end = m.start() if m else len(source)
+        if end > at and not silent:
+            b.words(source[at:end])
         if not m:
-            b.words(source[at:])
             break
-        if m.start() > at:
-            b.words(source[at : m.start()])
         at = m.end()
         if m[1]:
-            b.end(m[1].lower())
+            tag = m[1].lower()
+            if tag in silent:
+                del silent[len(silent) - 1 - silent[::-1].index(tag) :]
+                continue
+            if silent and (tag in _BLOCK or not lasting) and any(t == tag for t, _ in b.open):
+                silent = []  # ends with its parent
+            b.end(tag)
         elif m[2]:
             tag = m[2].lower()
-            if tag in _SILENT:
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>|\Z", re.I).search(source, at)
-                if not m[3].endswith("/"):
-                    at = close.end()
+            if silent and not lasting and tag in _BLOCK:
+                silent = []
+            if tag in _SILENT or silent:
+                if m[3].endswith("/") or tag in _VOID:
+                    continue
+                if tag in _RAW:
+                    at = _after(tag, source, at)
+                elif silent:
+                    silent.append(tag)
+                elif tag == "head":
+                    at = _after_head(source, at)
+                else:
+                    if tag not in closed:
+                        closed[tag] = _closed(tag, source)
+                    silent, lasting = [tag], at in closed[tag]
             else:
                 b.start(tag, m[3])
     b.flush()

@@ -99,10 +99,82 @@ def _op10() -> str:
     FROM f"""
 
 
+def _op11() -> str:
+    bit = "CASE f WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 WHEN 'D' THEN 8 WHEN 'E' THEN 16 ELSE 0 END"
+    return rf"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                      min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS w FROM t),
+    lb AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                 (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+                 + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text))::INT
+                 + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first_id, false)::INT AS mask
+          FROM w LEFT JOIN lb USING (doc_id)),
+    c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+    o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM l a, l b, l c, l d, l e
+          WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+    s AS (SELECT filter_order, step, f, {bit} AS bit,
+                 list_sum([{bit.replace("CASE f", "CASE g")} FOR g IN string_split(substr(filter_order, 1, step - 1), '')])::INT
+                 AS earlier
+          FROM (SELECT filter_order, step, substr(filter_order, step, 1) AS f
+                FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step))),
+    e AS (SELECT part, filter_order, step, f, n, good, toxic, mask & coalesce(earlier, 0) = 0 AS here,
+                 mask & bit <> 0 AS fails, mask = bit AS alone FROM s, c),
+    r AS (SELECT part, filter_order, step, f,
+                 coalesce(sum(n) FILTER (WHERE here AND NOT fails), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (WHERE here AND fails), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (WHERE NOT here AND fails), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (WHERE alone), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(good) FILTER (WHERE here AND fails), 0)::BIGINT AS good_lost,
+                 coalesce(sum(toxic) FILTER (WHERE here AND fails), 0)::BIGINT AS toxic_lost
+          FROM e GROUP BY ALL)
+    SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r"""
+
+
+def _op12() -> str:
+    # crc32 bit by bit over the decimal id; prefixes by the text of all their turns' digests
+    bits = "flatten([[(ord(x) >> k) & 1 FOR k IN range(8)] FOR x IN string_split(conv_id::VARCHAR, '')])"
+    crc = (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, [b::BIGINT FOR b IN {bits}]), "
+        "lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295)"
+    )
+    return rf"""
+    WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS points,
+                      md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+               FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos FROM t),
+    k AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {crc} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+    r AS (SELECT k.conv_id, 0 AS own, pos, digest, points FROM k JOIN o ON o.conv_id = k.base AND pos <= h
+          UNION ALL SELECT k.conv_id, 1, pos, digest, points FROM k JOIN o ON o.conv_id = k.conv_id AND pos > h),
+    q AS (SELECT conv_id, points, digest, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth FROM r),
+    l AS (SELECT conv_id, list(digest ORDER BY depth) AS digests, count(*) AS len FROM q GROUP BY conv_id),
+    p AS (SELECT conv_id, depth, points, md5(array_to_string(digests[1:depth], ',')) AS node, depth = len AS last
+          FROM q JOIN l USING (conv_id)
+          UNION ALL SELECT conv_id, 0, 0, '', len IS NULL FROM k LEFT JOIN l USING (conv_id)),
+    n AS (SELECT node, any_value(depth)::BIGINT AS depth, any_value(points) AS points, min(conv_id) AS conv_id,
+                 count(*) AS n_convs,
+                 sha256(coalesce(string_agg(CASE WHEN last THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends
+          FROM p GROUP BY node),
+    up AS (SELECT DISTINCT a.node AS top, b.node, b.depth - a.depth AS below
+           FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+    kids AS (SELECT top AS node, count(*) AS n_children FROM up WHERE below = 1 GROUP BY top),
+    sums AS (SELECT up.top AS node, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves,
+                    sum((n_convs - 1) * points) AS saved
+             FROM up JOIN n USING (node) LEFT JOIN kids USING (node) GROUP BY up.top)
+    SELECT n.conv_id, n.depth, f.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+           n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+    FROM n JOIN sums USING (node) LEFT JOIN kids USING (node)
+    LEFT JOIN up ON up.node = n.node AND up.below = 1 LEFT JOIN n f ON f.node = up.top"""
+
+
 def oracle_queries() -> dict[str, str]:
     return {
         "op1_substring_dedup": _op1(),
         "op4_token_counts": _op4(),
         "op5_mixing": _op5(),
         "op10_quality_rules": _op10(),
+        "op11_filter_audit": _op11(),
+        "op12_prefix_trie": _op12(),
     }

@@ -10,7 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, html_extract, license_scan, mixing, quality, simhash, substring, token_counts, toxicity, winnow
+from . import (
+    attention,
+    bpe,
+    filter_audit,
+    html_extract,
+    license_scan,
+    mixing,
+    prefix_trie,
+    quality,
+    simhash,
+    substring,
+    token_counts,
+    toxicity,
+    winnow,
+)
 from .common import table
 
 #: What a revision takes out of the texts.
@@ -115,6 +129,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.failure_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(masks)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = attention.train(docs, table(spark, sf_dir, "labels"))
+    return attention.score_documents(docs, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -128,5 +157,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_bpe,
         op10_quality_rules,
+        op11_filter_audit,
+        op12_prefix_trie,
+        op13_quality_classifier,
     )
 }

@@ -13,7 +13,7 @@ from tillroll.llm.queries import QUERIES
 def con():
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     return con
 
@@ -26,7 +26,7 @@ def test_query_matches_oracle(spark, con, name):
     assert _rows(spdf, 9) == _rows(dpdf, 9)
 
 
-def test_all_ten_are_registered():
+def test_all_thirteen_are_registered():
     names = set(E.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}

@@ -23,7 +23,8 @@ shuffled.
 
 Rows: null roles and texts are empty; a null turn sorts first, turns that tie by the digest
 of role and text, and repeated rows are turns of their own. Rows without a conv_id belong to
-no conversation and are left out. Texts may be of any length. Only the named columns are
+no conversation and are left out. The base of a negative id has the remainder of its sign, as
+in SQL. Texts may be of any length. Only the named columns are
 read; an empty table has no nodes, not even a root.
 """
 

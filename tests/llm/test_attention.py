@@ -1,5 +1,6 @@
 """Attention over passages: gradients, the running softmax, held-out labels, awkward rows."""
 
+import re
 import zlib
 
 import numpy as np
@@ -51,14 +52,69 @@ def test_score_does_not_depend_on_the_block():
     assert np.allclose(scores, scores[0], rtol=1e-6)
 
 
-def test_passages_hold_all_words_and_the_text():
-    text = "  a b\tc\n\nd e \x1c f " * 5
-    got = list(A.passages(text, 4))
-    words = text.encode().split()
-    assert [w.encode() for p, _ in got for w in p] == words
-    assert all(len(p) == 4 for p, _ in got[:-1])
-    assert "".join(s for _, s in got) == text[: len(text.rstrip(" \t\n"))]
-    assert [p for p, _ in A.passages(None, 4)] == [[]] and [p for p, _ in A.passages(" \n", 4)] == [[]]
+def brute_form(text, size):
+    """The measurements by plain Python over the words and lines of each passage."""
+    text = text or ""
+    words = [(m.group(), text.count("\n", 0, m.start())) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    out, seen = [], set()
+    for k in range(0, max(len(words), 1), size):
+        part = words[k : k + size]
+        ws, n = [w for w, _ in part], max(len(part), 1)
+        chars = "".join(ws)
+        letters = sum(c.isalpha() or ord(c) > 127 for c in chars)
+        signs = sum(ord(c) < 128 and not c.isalnum() for c in chars)
+        total = max(len(chars), 1)
+        lengths = [len(w.encode("utf-8", "surrogatepass")) for w in ws] or [0]
+        codes = [A.term_code(w.encode("utf-8", "surrogatepass")) for w in ws]
+        pairs = set(zip(codes, codes[1:], strict=False))
+        lines = [tuple(c for c, (_, x) in zip(codes, part, strict=True) if x == line) for line in sorted({x for _, x in part})]
+        out.append(
+            [
+                np.log1p(len(ws)),
+                not ws,
+                letters / total,
+                sum("A" <= c <= "Z" for c in chars) / total,
+                sum("0" <= c <= "9" for c in chars) / total,
+                signs / total,
+                np.log1p(sum(lengths) / n),
+                np.log1p(max(lengths)),
+                len(set(codes)) / n,
+                len(pairs) / max(len(ws) - 1, 1),
+                sum(a == b for a, b in zip(codes, codes[1:], strict=False)) / n,
+                len(pairs & seen) / max(len(pairs), 1),
+                len(lines) / n,
+                len(set(lines)) / max(len(lines), 1),
+                sum(w[-1] in ".,;:?" for w in ws) / n,
+            ]
+        )
+        seen |= pairs
+    return np.array(out, np.float32)
+
+
+TEXTS = [
+    None,
+    "",
+    " \n\t",
+    "one",
+    "one one",
+    "a b. c, d\n\nE F G\n" * 30,
+    "same line here\n" * 40 + "another",
+    "Ünï cödé \x1c \U0001f600 ÉCOLE 42 #$ " * 9,
+    "x " * 64 + "y " * 64 + "z",
+    "  lead\x0band\x0ctrail  \r\n",
+]
+
+
+@pytest.mark.parametrize("size", [2, 8, 64])
+def test_measurements_equal_brute_force(size):
+    p = A.MilParams(passage=size)
+    for text in TEXTS:
+        form, n_terms, terms = A.encode(text, p)
+        words = (text or "").encode().split()
+        assert np.allclose(form, brute_form(text, size), atol=1e-6), text
+        assert n_terms.sum() == len(terms) == 2 * len(words)
+        codes = [A.term_code(w) for w in words]
+        assert terms.tolist() == [x >> (32 - p.bits) for c in codes for x in (c & 0xFFFFFFFF, c >> 32)]
 
 
 def test_attention_finds_the_passage_that_decides():
@@ -80,7 +136,7 @@ def test_attention_finds_the_passage_that_decides():
     i = 400
     form, size, terms = bags[i]
     logit = model.represent(form, size, terms)[4]
-    bad = next(k for k, (w, _) in enumerate(A.passages(texts[i], 8)) if "SPAM!!!" in w)
+    bad = texts[i].split().index("SPAM!!!") // 8
     assert int(logit.argmax()) == bad
 
 
@@ -100,7 +156,7 @@ def test_held_out_labels(spark):
 
 
 def test_awkward_rows(spark):
-    rows = awkward() + [(900, "long text, " * 300_000, "en", "a"), (901, "\ud800".encode("utf-8", "replace").decode(), None, None)]
+    rows = awkward() + [(900, "long text, " * 500_000, "en", "a"), (901, "\ud800".encode("utf-8", "replace").decode(), None, None)]
     docs = frame(spark, rows)
     labels = spark.createDataFrame(
         [(k, k % 2, 0, "x") for k in range(3, 40)] + [(None, 1, 0, "x"), (41, None, 0, "x"), (6, 0, 1, "x")],

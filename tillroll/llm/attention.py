@@ -21,10 +21,7 @@ name do no harm; an empty table has no rows.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -35,19 +32,23 @@ from pyspark.sql import functions as F
 #: Fixed values of the contract: fold of the held-out rows and the threshold.
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Shape of a word: classes of its characters, runs as one.
-_SHAPES = [(re.compile(r"[^\W\d_A-Z]+"), "a"), (re.compile(r"[A-Z]{2,}"), "AA"), (re.compile(r"\d+"), "0")]
-
 MEASURES = 15
 
 
-def _class(c: str) -> int:
-    return 1 if c.isupper() else 0 if c.isalpha() else 2 if c.isdigit() else 3 if c.isspace() else 4
+def _class(byte: int) -> int:
+    if 0x80 <= byte < 0xC0:
+        return 5  # a further byte of a character: not counted
+    c = chr(byte)
+    if byte >= 0xC0:
+        return 0
+    return 1 if c.isupper() else 0 if c.isalpha() else 2 if c.isdigit() else 3 if c in " \t\n\x0b\x0c\r" else 4
 
 
-#: Class of each code point of the basic plane (further ones count as the last): letter, upper-case letter, digit, space, sign.
-_CLASS = np.array([_class(chr(k)) for k in range(1 << 16)], np.uint8)
+#: Class of each byte of UTF-8: letter (also the first byte of any other character), capital, digit, white space, sign.
+_CLASS = np.array([_class(k) for k in range(256)], np.uint8)
+#: The same as signs: letters, capitals and digits by one sign each, other bytes as they are.
+_SHAPE = bytes(b"aA0"[c] if c < 3 else k for k, c in enumerate(_CLASS.tolist()))
+_ENDS = np.frombuffer(b".,;:?", np.uint8)
 
 
 @dataclass(frozen=True)
@@ -67,68 +68,101 @@ class MilParams:
 
 
 # --------------------------------------------------------------------------- passages
-def passages(text: str | None, size: int) -> Iterator[tuple[list[str], str]]:
-    """The words of each passage and its stretch of the text; one empty passage without words."""
-    words, start, end, any_ = [], 0, 0, False
-    text = text or ""
-    for m in _WORD.finditer(text):
-        words.append(m.group())
-        end = m.end()
-        if len(words) == size:
-            yield words, text[start:end]
-            words, start, any_ = [], end, True
-    if words or not any_:
-        yield words, text[start:end]
-
-
-@lru_cache(maxsize=1 << 16)
-def term_hashes(word: str) -> tuple[int, int]:
-    """32-bit hashes of the lower-cased word and of its shape."""
-    shape = word
-    for pattern, sign in _SHAPES:
-        shape = pattern.sub(sign, shape)
-    return crc32(word.lower().encode("utf-8", "surrogatepass")), crc32(("\0" + shape[:8]).encode("utf-8", "surrogatepass"))
-
-
-def measures(words: list[str], stretch: str, seen: set[int]) -> list[float]:
-    """Form of one passage; ``seen`` has the hashed word pairs of the passages before it and is added to."""
-    n, chars = max(len(words), 1), max(len(stretch), 1)
-    points = np.frombuffer(stretch.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lower, upper, digits, spaces, signs = np.bincount(_CLASS[np.minimum(points, len(_CLASS) - 1)], minlength=5).tolist()
-    lengths = [len(w) for w in words] or [0]
-    lines = [x for x in stretch.split("\n") if x.strip()]
-    pairs = {hash(pair) for pair in zip(words, words[1:], strict=False)}
-    known = len(pairs & seen)
-    seen |= pairs
-    return [
-        np.log1p(len(words)),
-        float(len(words) == 0),
-        (lower + upper) / chars,
-        upper / chars,
-        digits / chars,
-        signs / chars,
-        np.log1p(sum(lengths) / n),
-        np.log1p(max(lengths)),
-        len(set(words)) / n,
-        len(pairs) / max(n - 1, 1),
-        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
-        known / max(len(pairs), 1),
-        len(lines) / n,
-        len(set(lines)) / max(len(lines), 1),
-        sum(w[-1] in ".,;:?" for w in words) / n,
-    ]
+def term_code(word: bytes) -> int:
+    """Two 32-bit hashes in one number: of the word with its letters A-Z lower-cased, and of its
+    shape, the classes of its first two and last three bytes."""
+    shape = word.translate(_SHAPE)
+    return crc32(word.lower()) | crc32(shape[:2] + shape[-3:], 1) << 32
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted, and where a value stands first in its row."""
+    rows = np.sort(rows, axis=1)
+    first = np.ones(rows.shape, bool)
+    first[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    return rows, first
 
 
 def encode(text: str | None, p: MilParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each passage the measurements, how many hashed terms it has, and all those terms in order."""
-    form, size, terms, seen = [], [], [], set()
-    for words, stretch in passages(text, p.passage):
-        form.append(measures(words, stretch, seen))
-        size.append(2 * len(words))
-        for word in words:
-            terms.extend(term_hashes(word))
-    hashed = np.array(terms, np.uint32) >> np.uint32(32 - p.bits)
-    return np.array(form, np.float32), np.array(size, np.int32), hashed.astype(np.int32)
+    """Of each passage the measurements, how many hashed terms it has, and all those terms in order.
+
+    Words are runs of anything but space and \\t..\\r. The measurements of a passage: its words,
+    classes of characters, lengths of words, repeated words and word pairs, pairs that an earlier
+    passage has, lines and repeated lines, words that end in punctuation.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    words = raw.split()
+    n, size = len(words), p.passage
+    if not n:
+        form = np.zeros((1, MEASURES), np.float32)
+        form[0, 1] = 1
+        return form, np.zeros(1, np.int32), np.empty(0, np.int32)
+    code = np.fromiter(map(term_code, words), np.uint64, n)
+    byte = np.frombuffer(raw, np.uint8)
+    kind = _CLASS[byte]
+    inside = np.flatnonzero(np.diff(np.r_[True, kind == 3, True].astype(np.int8)))
+    start, end = inside[::2], inside[1::2]
+    at = np.arange(0, n, size)  # the first word of each passage
+    rows = len(at)
+    per = np.diff(np.r_[at, n])  # words of each passage
+    # bytes by class: of letters, capitals, digits and signs
+    cut = start[at]
+    letters, capitals, digits, signs = (np.add.reduceat(kind == k, cut, dtype=np.int64) for k in (0, 1, 2, 4))
+    chars = np.maximum(letters + capitals + digits + signs, 1)
+    length = end - start
+    # a matrix of words, the last passage filled up with its last word, and one of word pairs
+    grid = np.full(rows * size, code[-1])
+    grid[:n] = code
+    grid = grid.reshape(rows, size)
+    _, new_word = _distinct(grid)
+    n_pairs = np.maximum(per - 1, 0)
+    with np.errstate(over="ignore"):
+        pair = _mixed(grid[:, :-1] * np.uint64(0x9E3779B97F4A7C15) + grid[:, 1:])
+    for row in np.flatnonzero(n_pairs < size - 1):
+        pair[row, n_pairs[row] :] = pair[row, 0]
+    _, first, ids = np.unique(pair.ravel(), return_index=True, return_inverse=True)
+    ids, new_pair = _distinct(ids.reshape(pair.shape))
+    known = new_pair & (first[ids] // (size - 1) < np.arange(rows)[:, None])
+    same = np.r_[False, code[1:] == code[:-1]]
+    same[at] = False
+    # lines: their number and how many differ, by the words that they have in the passage
+    line = np.searchsorted(np.flatnonzero(byte == 10), start)
+    opens = np.r_[True, line[1:] != line[:-1]]
+    opens[at] = True
+    begin = np.flatnonzero(opens)
+    place = np.arange(n) - np.repeat(begin, np.diff(np.r_[begin, n]))
+    with np.errstate(over="ignore"):
+        content = np.add.reduceat(_mixed(code + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), begin)
+    of = begin // size
+    order = np.lexsort((content, of))
+    fresh = np.r_[True, (np.diff(of[order]) != 0) | (content[order][1:] != content[order][:-1])]
+    lines = np.bincount(of, minlength=rows)
+    form = np.column_stack(
+        [
+            np.log1p(per),
+            np.zeros(rows),
+            (letters + capitals) / chars,
+            capitals / chars,
+            digits / chars,
+            signs / chars,
+            np.log1p(np.add.reduceat(length, at) / per),
+            np.log1p(np.maximum.reduceat(length, at)),
+            new_word.sum(1) / per,
+            np.where(n_pairs > 0, new_pair.sum(1), 0) / np.maximum(n_pairs, 1),
+            np.add.reduceat(same, at, dtype=np.int64) / per,
+            np.where(n_pairs > 0, known.sum(1) / new_pair.sum(1), 0),
+            lines / per,
+            np.bincount(of[order][fresh], minlength=rows) / lines,
+            np.add.reduceat(np.isin(byte[end - 1], _ENDS), at, dtype=np.int64) / per,
+        ]
+    )
+    terms = (code.astype("<u8").view("<u4") >> np.uint32(32 - p.bits)).astype(np.int32)
+    return form.astype(np.float32), (2 * per).astype(np.int32), terms
 
 
 # ------------------------------------------------------------------------------ model

@@ -1,28 +1,27 @@
-"""High-value-customer model (M1-M11) with Spark ML.
+"""High-value-customer model.
 
-The reference's tree learner cannot be matched number for number (it grows
-histogram trees leaf-wise; Spark's GBT grows them by depth). The workflow is the
-same: top-quantile label, stratified seeded folds, out-of-fold metrics, a
-stratified hold-out for permutation importance, partial dependence of the two
-strongest non-RFM features.
+The learner is ``boosting``: histogram trees grown leaf by leaf, with the reference's
+settings; its seeded random choices (folds, hold-out rows, shuffles) cannot be matched row
+for row. The workflow is the same: top-quantile label, stratified seeded folds, out-of-fold
+metrics, a stratified hold-out for permutation importance, partial dependence of the two
+strongest non-RFM features. The fold models and the hold-out model are grown together.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from functools import cached_property
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import AnalysisParams
 from ..session import reliable_checkpoint
+from .boosting import BoostedTrees, Boosting, _sigmoid, to_bins
 from .ranking import global_rank, interpolated_quantiles
 
 LABEL = "IsTopQuintileM"
@@ -64,61 +63,64 @@ def stratified_folds(frame: DataFrame, params: AnalysisParams, fold_col: str = "
     return _order_in_label(frame, params.seed).withColumn(fold_col, (F.col("_r") % params.n_folds).cast("int")).drop("_r")
 
 
-def holdout_split(frame: DataFrame, params: AnalysisParams) -> tuple[DataFrame, DataFrame]:
-    """M8: stratified train / hold-out split: of each label the first round(share x rows) are held out."""
+def _held(frame: DataFrame, params: AnalysisParams) -> Column:
+    """The row is one of the first round(share x rows) of its label."""
     sizes = {r[LABEL]: r["count"] for r in frame.groupBy(LABEL).count().collect()}  # two rows
     cut = F.lit(0)
     for label, n in sizes.items():
         cut = F.when(F.col(LABEL) == label, F.lit(math.floor(params.test_share * n + 0.5))).otherwise(cut)
-    ordered = _order_in_label(frame, params.seed).withColumn("_held", F.col("_r") < cut).drop("_r")
-    return ordered.where(~F.col("_held")).drop("_held"), ordered.where("_held").drop("_held")
+    return F.col("_r") < cut
 
 
-# ---------------------------------------------------------------------- M3, M5
-def gbt(params: AnalysisParams) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="features",
-        labelCol=LABEL,
-        maxIter=params.gbt_max_iter,
-        maxDepth=params.gbt_max_depth,
-        stepSize=params.gbt_step_size,
-        maxBins=params.gbt_max_bins,
-        minInstancesPerNode=params.gbt_min_rows_per_leaf,
-        seed=params.seed,
-    )
+def holdout_split(frame: DataFrame, params: AnalysisParams) -> tuple[DataFrame, DataFrame]:
+    """M8: stratified train / hold-out split: of each label the first round(share x rows) are held out."""
+    ordered = _order_in_label(frame, params.seed)
+    ordered = ordered.withColumn("_held", _held(frame, params)).drop("_r")
+    return ordered.where(~F.col("_held")).drop("_held"), ordered.where("_held").drop("_held")
 
 
-def assembler(params: AnalysisParams) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(params.ltv_features), outputCol="features")
+def folds_and_holdout(frame: DataFrame, params: AnalysisParams) -> DataFrame:
+    """M2 + M8 from one order: the frame with ``fold`` and ``held``."""
+    ordered = _order_in_label(frame, params.seed)
+    fold = (F.col("_r") % params.n_folds).cast("int")
+    return ordered.withColumns({"fold": fold, "held": _held(frame, params)}).drop("_r")
 
 
-def fit(train: DataFrame, params: AnalysisParams) -> PipelineModel:
-    from pyspark.ml import Pipeline
+# ---------------------------------------------------------------------- M3, M5
+def fit(train: DataFrame, params: AnalysisParams) -> BoostedTrees:
+    """M3: one model on all rows of ``train``."""
+    return Boosting(train.withColumn("member", F.lit(1)), LABEL, "CustomerID", params, 1).fit()[0]
 
-    return Pipeline(stages=[assembler(params), gbt(params)]).fit(train)
 
+class StudyFit:
+    """M3 + M5: the k fold models and the hold-out model, grown in the same rounds.
 
-def with_probability(pred: DataFrame) -> DataFrame:
-    return pred.withColumn("prob", vector_to_array("probability").getItem(1))
+    Model m < k trains on the rows outside fold m, model k on the rows that are not held out.
+    """
 
+    def __init__(self, assigned: DataFrame, params: AnalysisParams):
+        k = params.n_folds
+        member = F.when(F.col("held"), 0).otherwise(1 << k)
+        for m in range(k):
+            member = member.bitwiseOR(F.when(F.col("fold") != m, 1 << m).otherwise(0))
+        self.assigned = assigned
+        self.boosting = Boosting(assigned.withColumn("member", member), LABEL, "CustomerID", params, k + 1)
+        self.models = self.boosting.fit()
 
-def out_of_fold(folded: DataFrame, params: AnalysisParams) -> DataFrame:
-    """M5: fit on k-1 folds, predict the k-th; the k fits run concurrently (Spark
-    schedules jobs from driver threads); a bounded loop of k distributed fits. The
-    predictions are checkpointed, so metrics, confusion and AUC score no row again."""
+    @property
+    def holdout_model(self) -> BoostedTrees:
+        return self.models[-1]
 
-    def one(k: int) -> DataFrame:
-        model = fit(folded.where(F.col("fold") != k), params)
-        return with_probability(model.transform(folded.where(F.col("fold") == k)))
+    def out_of_fold(self) -> DataFrame:
+        """CustomerID, fold, label, prob and prediction of the model that did not see the row's fold.
 
-    with ThreadPoolExecutor(max_workers=params.n_folds) as pool:
-        parts = list(pool.map(one, range(params.n_folds)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return reliable_checkpoint(
-        out.select("CustomerID", "fold", LABEL, "prob", F.col("prediction").cast("int").alias("prediction"))
-    )
+        The probabilities come from the margins that the training kept; no model scores a row again.
+        """
+        left_out = self.boosting.left_out().select(F.col("id").alias("_id"), "prob")
+        rows = self.assigned.select("CustomerID", "fold", LABEL)
+        return rows.join(left_out, F.col("CustomerID") == F.col("_id")).select(
+            "CustomerID", "fold", LABEL, "prob", (F.col("prob") > 0.5).cast("int").alias("prediction")
+        )
 
 
 # ------------------------------------------------------------------------ AUC
@@ -196,13 +198,36 @@ def shuffle_keys(n: int, count: int, seed: int) -> list[tuple[int, int]]:
     return keys
 
 
-def permutation_importance(model: PipelineModel, holdout: DataFrame, params: AnalysisParams) -> DataFrame:
+def _rescored(model: BoostedTrees, n_repeats: int):
+    """Probabilities of a row: as it is, then with each feature replaced by each of its sent values.
+
+    Trees that never test the replaced feature keep their sum, computed once per feature.
+    """
+    n_features = len(model.features)
+
+    def of(parts: pd.DataFrame, sent: pd.Series) -> pd.Series:
+        bins = model.bins(parts)
+        sent = np.array([np.array(x, np.float64) for x in sent]).reshape(len(bins), n_features, n_repeats)
+        out = [_sigmoid(model.margins(bins))]
+        for f in range(n_features):
+            stored = model.margins(bins, without=f)
+            for r in range(n_repeats):
+                changed = bins.copy()
+                changed[:, f] = to_bins(sent[:, f, r : r + 1], model.thresholds[f : f + 1])[:, 0]
+                out.append(_sigmoid(stored + model.margins(changed, only=f)))
+        return pd.Series(list(np.column_stack(out)))
+
+    return of
+
+
+def permutation_importance(model: BoostedTrees, holdout: DataFrame, params: AnalysisParams) -> DataFrame:
     """M9: mean / std (population) AUC drop when one feature is shuffled, per feature.
 
     Rows are numbered once in a seeded hash order. For each (feature, repeat) a keyed
     bijection of those numbers says which row receives whose value, so a shuffle is
-    arithmetic, without a sort or a copy: a row sends out only the one value, and joins
-    the receiving row by its number. Every row is used in every repeat.
+    arithmetic, without a sort or a copy: a row sends out its values, and a receiving row
+    gathers its features x repeats of them by its number. Every row is used in every repeat;
+    a row's trees are walked again only where they test the shuffled feature.
     """
     feats = list(params.ltv_features)
     rows = global_rank(
@@ -213,26 +238,30 @@ def permutation_importance(model: PipelineModel, holdout: DataFrame, params: Ana
     sent = F.array(
         *[
             F.struct(
-                F.lit(i).alias("feature_idx"),
-                F.lit(r).alias("repeat"),
-                F.pmod(F.col("pos") * F.lit(a).cast("long") + F.lit(b).cast("long"), F.lit(max(n, 1)).cast("long")).alias("pos"),
-                F.col(c).alias("value"),
+                F.pmod(F.col("pos") * F.lit(a).cast("long") + F.lit(b).cast("long"), F.lit(max(n, 1)).cast("long")).alias("to"),
+                F.lit(k).alias("slot"),
+                F.col(feats[k // params.n_repeats]).cast("double").alias("value"),
             )
-            for i, c in enumerate(feats)
-            for r, (a, b) in enumerate(keys[i * params.n_repeats : (i + 1) * params.n_repeats])
+            for k, (a, b) in enumerate(keys)
         ]
     )
-    shuffled = rows.select(F.inline(sent)).join(rows, "pos")
-    shuffled = shuffled.select(
-        "feature_idx",
-        "repeat",
-        "CustomerID",
-        LABEL,
-        *[F.when(F.col("feature_idx") == i, F.col("value")).otherwise(F.col(c)).alias(c) for i, c in enumerate(feats)],
+    # features x repeats values a row, however many rows there are
+    received = rows.select(F.inline(sent)).groupBy("to").agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("sent"))
+    rescored = F.pandas_udf(_rescored(model, params.n_repeats), "array<double>")
+    probs = rescored(
+        F.struct(*[F.col(c).cast("double").alias(c) for c in feats]), F.transform("sent", lambda x: x["value"])
+    )
+    scored = (
+        rows.join(received, F.col("pos") == F.col("to"))
+        .select("CustomerID", LABEL, F.posexplode(probs).alias("k", "prob"))
+        .select(
+            F.floor((F.col("k") - 1) / params.n_repeats).cast("int").alias("feature_idx"),  # -1: as it is
+            F.when(F.col("k") > 0, (F.col("k") - 1) % params.n_repeats).otherwise(-1).alias("repeat"),
+            "CustomerID",
+            LABEL,
+            "prob",
+        )
     )
-    plain = rows.select(F.lit(-1).alias("feature_idx"), F.lit(-1).alias("repeat"), "CustomerID", LABEL, *feats)
-    scored = with_probability(model.transform(shuffled.unionByName(plain)))
-    scored = scored.select("feature_idx", "repeat", "CustomerID", LABEL, "prob")
     aucs = reliable_checkpoint(auc_by_group(scored, ["feature_idx", "repeat"], "prob", LABEL, "CustomerID"))
     # the unpermuted AUC is one number: read it once instead of joining a one-row frame
     base = aucs.where(F.col("feature_idx") == -1).first()
@@ -268,26 +297,60 @@ def dependence_grid(train: DataFrame, feature: str, params: AnalysisParams) -> l
     return [lo + (hi - lo) * i / (n - 1) for i in range(n)]
 
 
-def partial_dependence(model: PipelineModel, train: DataFrame, feature: str, params: AnalysisParams) -> DataFrame:
-    """Mean predicted probability over the training rows with ``feature`` set to
-    each grid value. Rows fan out by a literal grid array."""
-    grid = F.array(*[F.lit(float(g)) for g in dependence_grid(train, feature, params)]).cast("array<double>")
-    fan = train.select(*params.ltv_features, F.explode(grid).alias("grid_value"))
-    fan = fan.withColumn(feature, F.col("grid_value"))
-    pred = with_probability(model.transform(fan))
+def partial_dependence(model: BoostedTrees, train: DataFrame, feature: str, params: AnalysisParams) -> DataFrame:
+    """Mean predicted probability over the training rows with ``feature`` set to each grid value.
+
+    Grid values between the same two cuts of the model share one score, and between the same
+    two cuts of a tree that tree's value: a row walks a tree once per interval of the tree
+    that the grid meets, and trees that never test the feature once. Every task sends one sum
+    per interval.
+    """
+    grid = dependence_grid(train, feature, params)
+    f = model.features.index(feature)
+    at = to_bins(np.array(grid, np.float64).reshape(-1, 1), [model.thresholds[f]])[:, 0].astype(np.int64)
+    interval = np.searchsorted(model.cuts(f), at, side="left")
+    met = {int(k): int(b) for k, b in zip(interval, at, strict=True)}  # any bin of the interval
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = dict.fromkeys(met, 0.0), 0
+        for pdf in batches:
+            bins = model.bins(pdf)
+            n += len(bins)
+            margin = dict.fromkeys(met, model.margins(bins, without=f))
+            for tree in model.trees:
+                if f in tree.tested():
+                    values = {}
+                    for k, b in met.items():
+                        own = int(np.searchsorted(tree.cuts(f), b, side="left"))
+                        if own not in values:
+                            bins[:, f] = b
+                            values[own] = tree.values(bins)
+                        margin[k] = margin[k] + values[own]
+            for k, m in margin.items():
+                total[k] += float(_sigmoid(m).sum())
+        yield pd.DataFrame({"interval": list(total), "total": list(total.values()), "n": n})
+
+    sums = (
+        train.select(*[F.col(c).cast("double").alias(c) for c in model.features])
+        .mapInPandas(run, "interval long, total double, n long")
+        .groupBy("interval")
+        .agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean_probability"))
+    )
+    # at most one row per grid value
+    points = train.sparkSession.createDataFrame(
+        [(float(g), int(k)) for g, k in zip(grid, interval, strict=True)], "grid_value double, at long"
+    )
     return (
-        pred.groupBy("grid_value")
-        .agg(F.avg("prob").alias("mean_probability"))
-        .withColumn("feature", F.lit(feature))
+        sums.join(F.broadcast(points), F.col("interval") == F.col("at"))
+        .select("grid_value", "mean_probability", F.lit(feature).alias("feature"))
         .orderBy("grid_value")
     )
 
 
 # ---------------------------------------------------------------- whole study
 class LtvStudy:
-    """M1-M11 over the scored customers; each part is computed on first use only
-    (the cross-validated fits for the OOF metrics, the hold-out fit for importance
-    and partial dependence)."""
+    """M1-M11 over the scored customers; each part is computed on first use only (the
+    models with the first part that needs one)."""
 
     def __init__(self, scored: DataFrame, params: AnalysisParams):
         self.scored = scored
@@ -302,12 +365,16 @@ class LtvStudy:
         return model_frame(self.scored, self.params, self.threshold)
 
     @cached_property
-    def folded(self) -> DataFrame:
-        return stratified_folds(self.frame, self.params)
+    def assigned(self) -> DataFrame:
+        return reliable_checkpoint(folds_and_holdout(self.frame, self.params))
+
+    @cached_property
+    def fitted(self) -> StudyFit:
+        return StudyFit(self.assigned, self.params)
 
     @cached_property
     def oof(self) -> DataFrame:
-        return out_of_fold(self.folded, self.params)
+        return reliable_checkpoint(self.fitted.out_of_fold())
 
     @property
     def auc(self) -> DataFrame:
@@ -321,17 +388,16 @@ class LtvStudy:
     def confusion(self) -> DataFrame:
         return confusion_matrix(self.oof)
 
-    @cached_property
-    def _split(self) -> tuple[DataFrame, DataFrame]:
-        return holdout_split(self.frame, self.params)
+    def _rows(self, held: bool) -> DataFrame:
+        return self.assigned.where(F.col("held") if held else ~F.col("held")).drop("fold", "held")
 
-    @cached_property
-    def holdout_model(self) -> PipelineModel:
-        return fit(self._split[0], self.params)
+    @property
+    def holdout_model(self) -> BoostedTrees:
+        return self.fitted.holdout_model
 
     @cached_property
     def importance(self) -> DataFrame:
-        return reliable_checkpoint(permutation_importance(self.holdout_model, self._split[1], self.params))
+        return reliable_checkpoint(permutation_importance(self.holdout_model, self._rows(True), self.params))
 
     @cached_property
     def _top(self) -> tuple[list, list]:
@@ -347,14 +413,14 @@ class LtvStudy:
 
     @cached_property
     def pd(self) -> dict[str, DataFrame]:
-        return {f: partial_dependence(self.holdout_model, self._split[0], f, self.params) for f in self.top2_non_rfm}
+        return {f: partial_dependence(self.holdout_model, self._rows(False), f, self.params) for f in self.top2_non_rfm}
 
     def summary(self) -> dict:
         a = self.auc.first()
         m = self.metrics.first()
         c = self.confusion.first()
         return {
-            "model": "GBTClassifier",
+            "model": "histogram gradient boosting",
             "target": "top quintile of customer net Monetary",
             "target_threshold_gbp": None if self.threshold is None else round(self.threshold, 2),
             "cv": f"{self.params.n_folds}-fold stratified, seed {self.params.seed}",

@@ -63,10 +63,16 @@ class AnalysisParams:
     pd_grid_resolution: int = 100
     pd_percentiles: tuple[float, float] = (0.05, 0.95)
     gbt_max_iter: int = 100
-    gbt_max_depth: int = 5
+    gbt_max_leaves: int = 31
     gbt_step_size: float = 0.1
     gbt_max_bins: int = 255
     gbt_min_rows_per_leaf: int = 20
+    gbt_l2: float = 0.0
+    # above so many training rows a tenth validates, and no better loss in so many trees ends the fit
+    gbt_early_stopping_rows: int = 10_000
+    gbt_no_change: int = 10
+    gbt_refresh: int = 10  # trees between two writes of the margins
+    gbt_local_rows: int = 1 << 15  # a leaf of so many rows grows on from its rows
     # guard rails (lower, upper); None = open
     guard_revenue: tuple[float | None, float | None] = (5_000_000.0, 15_000_000.0)
     guard_customers: tuple[float | None, float | None] = (3_000.0, 5_000.0)

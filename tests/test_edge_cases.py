@@ -198,7 +198,7 @@ def test_an_invoice_that_spans_countries_counts_once(spark):
     df = CL.clean_line_items(frame(spark, rows), P)
     r = CU.customer_features(df, P).first()
     assert (r["Frequency"], r["TotalLines"], r["DistinctStockCodes"], r["TotalQuantity"]) == (1, 2, 2, 4)
-    again = CU.customer_features(df, P, CU.invoice_grain(df)).first()
+    again = CU.customer_features(df, P, CU.line_grain(df)).first()
     assert r == again
 
 

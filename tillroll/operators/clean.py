@@ -69,24 +69,39 @@ def _fmt_int(c):
     return F.format_number(C.col_(c), 0)
 
 
-def cleaning_log(raw: DataFrame, df_clean: DataFrame, features: DataFrame, params: AnalysisParams) -> DataFrame:
+def line_counts(df_clean: DataFrame, params: AnalysisParams) -> DataFrame:
+    """The log's counts over cleaned lines, one row."""
+    return df_clean.agg(
+        F.count(F.lit(1)).alias("n_clean"),
+        F.count_if(F.col("IsCancellation")).alias("n_cancel"),
+        F.count_if(F.col("CustomerID").isNotNull()).alias("n_cust_rows"),
+        F.count_if(C.is_non_product(params)).alias("n_nonprod"),
+    )
+
+
+def grain_counts(grain: DataFrame, params: AnalysisParams) -> DataFrame:
+    """The same counts from a stored line grain, whose keys hold the customer and the stock code."""
+    lines = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("lines"))), F.lit(0))
+    return grain.agg(
+        lines(F.lit(True)).alias("n_clean"),
+        F.coalesce(F.sum("cancelled_lines"), F.lit(0)).alias("n_cancel"),
+        lines(F.col("CustomerID").isNotNull()).alias("n_cust_rows"),
+        lines(C.is_non_product(params)).alias("n_nonprod"),
+    )
+
+
+def cleaning_log(raw: DataFrame, clean_counts: DataFrame, features: DataFrame, params: AnalysisParams) -> DataFrame:
     """Q12: seven audited steps (step, rows_before, rows_after, note).
 
-    Three scans, each a single aggregate: the raw view (steps 1-2 by cumulative
-    ``count_if``), the cleaned frame (steps 3-6), the customer features (step 7).
-    The three one-row results are stacked by a union, never joined.
+    Three one-row aggregates stacked by a union, never joined: over the raw view (steps 1-2
+    by cumulative ``count_if``), the counts of ``line_counts`` or ``grain_counts`` (steps
+    3-6), the customer features (step 7).
     """
     raw_counts = raw.agg(
         F.count(F.lit(1)).alias("n_raw"),
         F.count_if(in_window(params)).alias("n_window"),
         F.count_if(in_window(params) & (F.col("UnitPrice") > 0)).alias("n_priced"),
     )
-    clean_counts = df_clean.agg(
-        F.count(F.lit(1)).alias("n_clean"),
-        F.count_if(F.col("IsCancellation")).alias("n_cancel"),
-        F.count_if(F.col("CustomerID").isNotNull()).alias("n_cust_rows"),
-        F.count_if(C.is_non_product(params)).alias("n_nonprod"),
-    )
     cust_counts = features.agg(
         F.count(F.lit(1)).alias("n_customers"),
         F.count_if(F.col("Monetary") > 0).alias("n_net_positive"),

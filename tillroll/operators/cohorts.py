@@ -59,6 +59,11 @@ def retention_long(cohorted: DataFrame, params: AnalysisParams) -> DataFrame:
         "_cells",
         F.explode(F.sequence(F.lit(0), F.lit(params.last_observed_offset))).alias("PeriodN"),
     ).withColumn("retained", F.coalesce(F.element_at("_cells", F.col("PeriodN")), F.lit(0)))
+    return _observed(cells, params)
+
+
+def _observed(cells: DataFrame, params: AnalysisParams) -> DataFrame:
+    """H6-H8: the dense cells with their mask and percentages."""
     offset = C.month_index("CohortMonth") - F.lit(params.first_month_index)
     observed = (offset + F.col("PeriodN")) <= F.lit(params.last_observed_offset)
     return cells.select(
@@ -71,6 +76,57 @@ def retention_long(cohorted: DataFrame, params: AnalysisParams) -> DataFrame:
     )
 
 
+#: Months per bitmask.
+_BITS = 62
+
+
+def month_masks(lines: DataFrame, params: AnalysisParams) -> DataFrame:
+    """H1-H2 as bits: (CustomerID, first, masks), the months with a line that is not cancelled.
+
+    ``lines`` are cleaned lines of the window or their line grain. One aggregation by
+    customer with fixed-width buffers: bit k of the masks is month k of the window, ``first``
+    the lowest of them, the cohort.
+    """
+    if "InvMonth" in lines.columns:
+        month, shopped = F.col("InvMonth"), F.col("lines") > F.col("cancelled_lines")
+    else:
+        month, shopped = F.col("InvoiceDate"), ~F.col("IsCancellation")
+    at = (C.month_index(month) - F.lit(params.first_month_index)).cast("int")
+    words = range(-(-params.n_periods // _BITS))
+    place = F.pmod("at", F.lit(_BITS))
+    bit = [F.when(F.floor(F.col("at") / _BITS) == w, F.call_function("shiftleft", F.lit(1).cast("long"), place)) for w in words]
+    return (
+        lines.where(shopped & F.col("CustomerID").isNotNull())
+        .select("CustomerID", at.alias("at"))
+        .groupBy("CustomerID")
+        .agg(F.min("at").alias("first"), *[F.bit_or(b).alias(f"m{w}") for w, b in zip(words, bit, strict=True)])
+        .select("CustomerID", "first", F.array(*[F.coalesce(f"m{w}", F.lit(0).cast("long")) for w in words]).alias("masks"))
+    )
+
+
+def retention_by_bits(masks: DataFrame, params: AnalysisParams) -> DataFrame:
+    """H3-H8 from ``month_masks``: the same rows as ``retention_long``.
+
+    A customer is retained in period p if the bit p places above its lowest one is set; the
+    counts of all periods are sums in one aggregate by cohort.
+    """
+    periods = range(params.n_periods)
+
+    def active(p: int):
+        at = F.col("first") + F.lit(p)
+        word = F.try_element_at("masks", (F.floor(at / _BITS) + 1).cast("int"))
+        return F.coalesce(F.getbit(word, F.pmod(at, F.lit(_BITS)).cast("int")).cast("long"), F.lit(0).cast("long"))
+
+    counts = masks.groupBy("first").agg(*[F.sum(active(p)).alias(f"r{p}") for p in periods])
+    start = F.trunc(C.window_start(params).cast("date"), "month")
+    cells = counts.select(
+        F.add_months(start, F.col("first")).cast("timestamp_ntz").alias("CohortMonth"),
+        F.col("r0").alias("cohort_size"),
+        F.posexplode(F.array(*[F.col(f"r{p}") for p in periods])).alias("PeriodN", "retained"),
+    )
+    return _observed(cells, params)
+
+
 def retention_matrix(long: DataFrame, params: AnalysisParams, value: str = "retention_pct") -> DataFrame:
     """H6: cohort x period matrix, in one aggregation over the (few) cells.
 

@@ -9,79 +9,98 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..params import AnalysisParams
 
+#: Keys of the line grain, the finest that a customer report asks for.
+GRAIN_KEYS = ("CustomerID", "Country", "InvoiceNo", "StockCode", "InvMonth")
+#: A customer's facets: the distinct values of each are counted or compared.
+_INVOICE, _CODE, _COUNTRY = 0, 1, 2
 
-def invoice_grain(df_clean: DataFrame) -> DataFrame:
-    """One row per (CustomerID, Country, InvoiceNo) with fixed-width sums, minima and maxima.
 
-    Everything but the stock codes follows from it, so the cleaned lines are aggregated by
-    plain hash aggregation once; a customer with a third of all rows spreads over its
-    invoices. The null customer is a key like any other.
-    """
+def measured(df_clean: DataFrame) -> DataFrame:
+    """Cleaned lines with the keys and the fixed-width measures of the line grain, a line per row."""
     cx = F.col("IsCancellation")
     quantity = df_clean.schema["Quantity"].dataType
     quantity = T.LongType() if isinstance(quantity, T.IntegralType) else quantity
-    return df_clean.groupBy("CustomerID", "Country", "InvoiceNo").agg(
-        F.min("InvoiceDate").alias("first_line"),
-        F.max("InvoiceDate").alias("last_line"),
-        F.sum("LineRevenue").alias("revenue"),
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if(cx).alias("cancelled_lines"),
-        F.sum(F.when(cx, F.lit(0).cast(quantity)).otherwise(F.col("Quantity").cast(quantity))).alias("quantity"),
+    return df_clean.select(
+        "CustomerID",
+        "Country",
+        "InvoiceNo",
+        "StockCode",
+        C.month_start("InvoiceDate").alias("InvMonth"),
+        F.col("InvoiceDate").alias("first_line"),
+        F.col("InvoiceDate").alias("last_line"),
+        F.col("LineRevenue").alias("revenue"),
+        F.lit(1).cast("long").alias("lines"),
+        cx.cast("long").alias("cancelled_lines"),
+        F.when(cx, F.lit(0).cast(quantity)).otherwise(F.col("Quantity").cast(quantity)).alias("quantity"),
     )
 
 
-def customer_features(df_with_cust: DataFrame, params: AnalysisParams, invoices: DataFrame | None = None) -> DataFrame:
-    """C1-C10 from the invoice grain and the distinct (CustomerID, StockCode) pairs.
+def line_grain(df_clean: DataFrame) -> DataFrame:
+    """One row per (customer, country, invoice, stock code, month) with sums, minima and maxima.
 
-    ``invoices`` may be a stored ``invoice_grain`` of the same lines. An invoice that spans
-    countries has one row per country there and counts once.
+    Customers, KPIs, cohorts and the counts of the cleaning log all follow from it. The
+    null customer is a key like any other; a customer, or the null customer, with a third of
+    all rows spreads over its invoices.
     """
-    rows = df_with_cust.where(F.col("CustomerID").isNotNull())
-    grain = (invoice_grain(rows) if invoices is None else invoices).where(F.col("CustomerID").isNotNull())
-    placed = grain.groupBy("CustomerID", "InvoiceNo", "Country").agg(
-        *_totals(), F.max((F.col("lines") > F.col("cancelled_lines")).cast("int")).alias("counts")
-    )
-    per_country = (
-        placed.groupBy("CustomerID", "Country")
-        .agg(*_totals())
-        .groupBy("CustomerID")
-        .agg(
-            *_totals(),
-            # Ties go to the smallest name
-            F.min(F.struct((-F.col("lines")).alias("n"), F.col("Country").alias("c"))).alias("_mode"),
-        )
-    )
-    # C4: distinct invoices with a line that is not cancelled
-    frequency = (
-        placed.where("counts = 1")
-        .groupBy("CustomerID", "InvoiceNo")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("CustomerID")
-        .agg(F.count(F.lit(1)).alias("Frequency"))
+    return measured(df_clean).groupBy(*GRAIN_KEYS).agg(*_totals())
+
+
+def customer_facets(grain: DataFrame) -> DataFrame:
+    """One row per (customer, facet, value): the measures of its invoices, stock codes and countries.
+
+    Every row stands for itself under its invoice, its code and its country, and is combined
+    before the only shuffle; a hot customer spreads over its values. Facets of disjoint sets
+    of lines merge by one more aggregation over the same keys.
+    """
+    facets = F.array(
+        *[
+            F.struct(F.lit(k).alias("facet"), F.col(c).cast("string").alias("value"))
+            for k, c in ((_INVOICE, "InvoiceNo"), (_CODE, "StockCode"), (_COUNTRY, "Country"))
+        ]
     )
-    # C7
-    codes = (
-        rows.where(~F.col("IsCancellation") & F.col("StockCode").isNotNull())
-        .groupBy("CustomerID", "StockCode")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("CustomerID")
-        .agg(F.count(F.lit(1)).alias("DistinctStockCodes"))
+    rows = grain.where(F.col("CustomerID").isNotNull())
+    return merge_facets(rows.select("CustomerID", F.inline(facets), *MEASURES))
+
+
+def merge_facets(facets: DataFrame) -> DataFrame:
+    return facets.groupBy("CustomerID", "facet", "value").agg(*_totals())
+
+
+def customer_features(df_with_cust: DataFrame, params: AnalysisParams, grain: DataFrame | None = None) -> DataFrame:
+    """C1-C10 from cleaned lines, or from a stored ``line_grain`` of them (the lines are the
+    special case of a row per line). The source is read once."""
+    return features_from_facets(customer_facets(measured(df_with_cust) if grain is None else grain), params)
+
+
+def features_from_facets(facets: DataFrame, params: AnalysisParams) -> DataFrame:
+    """One aggregation by customer over merged facets, no join."""
+    of = lambda k, c: F.when(F.col("facet") == k, F.col(c))
+    shopped = F.col("lines") > F.col("cancelled_lines")
+    agg = facets.groupBy("CustomerID").agg(
+        F.min("first_line").alias("first_invoice"),  # C2, cancellations included
+        F.max("last_line").alias("last_invoice"),
+        # C4: distinct invoices with a line that is not cancelled
+        F.count_if((F.col("facet") == _INVOICE) & shopped).alias("Frequency"),
+        F.sum(of(_INVOICE, "revenue")).alias("Monetary"),  # C5, net
+        F.sum(of(_INVOICE, "quantity")).alias("TotalQuantity"),  # C6
+        F.sum(of(_INVOICE, "lines")).alias("_lines"),
+        F.sum(of(_INVOICE, "cancelled_lines")).alias("_cancelled"),
+        # C7
+        F.count_if((F.col("facet") == _CODE) & shopped & F.col("value").isNotNull()).alias("DistinctStockCodes"),
+        # Ties go to the smallest name
+        F.min(F.when(F.col("facet") == _COUNTRY, F.struct((-F.col("lines")).alias("n"), F.col("value").alias("c")))).alias("_mode"),
     )
-    agg = (
-        per_country.join(frequency, "CustomerID", "left")
-        .join(codes, "CustomerID", "left")
-        .select(
-            "CustomerID",
-            F.col("first_line").alias("first_invoice"),  # C2, cancellations included
-            F.col("last_line").alias("last_invoice"),
-            F.coalesce("Frequency", F.lit(0)).cast("long").alias("Frequency"),
-            F.col("revenue").alias("Monetary"),  # C5, net
-            F.col("quantity").alias("TotalQuantity"),  # C6
-            (F.col("lines") - F.col("cancelled_lines")).alias("TotalLines"),
-            F.coalesce("DistinctStockCodes", F.lit(0)).cast("long").alias("DistinctStockCodes"),
-            (F.col("cancelled_lines") / F.col("lines")).alias("CancellationRate"),  # C8
-            F.col("_mode.c").alias("Country"),
-        )
+    agg = agg.select(
+        "CustomerID",
+        "first_invoice",
+        "last_invoice",
+        "Frequency",
+        "Monetary",
+        "TotalQuantity",
+        (F.col("_lines") - F.col("_cancelled")).alias("TotalLines"),
+        "DistinctStockCodes",
+        (F.col("_cancelled") / F.col("_lines")).alias("CancellationRate"),  # C8
+        F.col("_mode.c").alias("Country"),
     )
     return agg.withColumns(
         {
@@ -94,12 +113,15 @@ def customer_features(df_with_cust: DataFrame, params: AnalysisParams, invoices:
     ).withColumns({"Recency": F.col("Recency").cast("bigint"), "Tenure_days": F.col("Tenure_days").cast("bigint")})
 
 
+MEASURES = ("first_line", "last_line", "revenue", "lines", "cancelled_lines", "quantity")
+
+
 def _totals() -> list[Column]:
-    """The fixed-width measures of the invoice grain, combined once more."""
+    """The measures, combined once more."""
     return [
         F.min("first_line").alias("first_line"),
         F.max("last_line").alias("last_line"),
-        *[F.sum(c).alias(c) for c in ("revenue", "lines", "cancelled_lines", "quantity")],
+        *[F.sum(c).alias(c) for c in MEASURES[2:]],
     ]
 
 

@@ -10,22 +10,22 @@ from pyspark.sql import functions as F
 from ..params import AnalysisParams
 
 
-def headline_kpis(invoices: DataFrame, scored: DataFrame, params: AnalysisParams) -> DataFrame:
+def headline_kpis(grain: DataFrame, scored: DataFrame, params: AnalysisParams) -> DataFrame:
     """K1 in one-row aggregates stacked by a union (no join).
 
-    ``invoices`` is the invoice grain of the cleaned lines, null customers included.
+    ``grain`` is the line grain of the cleaned lines, null customers included.
     Revenue is over all of them; customers and invoices over attributed rows; AOV is net
     attributed revenue over non-cancelled attributed invoices (an invoice number counts
     once); repeat rate over net-positive customers.
     """
     has_cust = F.col("CustomerID").isNotNull()
-    line = invoices.agg(
+    line = grain.agg(
         F.sum("revenue").alias("_rev_all"),
         F.sum(F.when(has_cust, F.col("revenue"))).alias("_rev_cust"),
     )
-    customers = invoices.where(has_cust).groupBy("CustomerID").agg(F.lit(1).alias("one"))
+    customers = grain.where(has_cust).groupBy("CustomerID").agg(F.lit(1).alias("one"))
     customers = customers.agg(F.count(F.lit(1)).alias("total_customers"))
-    numbers = invoices.where(has_cust & (F.col("lines") > F.col("cancelled_lines")) & F.col("InvoiceNo").isNotNull())
+    numbers = grain.where(has_cust & (F.col("lines") > F.col("cancelled_lines")) & F.col("InvoiceNo").isNotNull())
     numbers = numbers.groupBy("InvoiceNo").agg(F.lit(1).alias("one"))
     numbers = numbers.agg(F.count(F.lit(1)).alias("total_invoices_customer_attributed"))
     cust = scored.agg(

@@ -1,21 +1,60 @@
 """Stages A and B: profile and data-quality tables over the raw line items (Q1-Q11).
 
-The charts are not drawn; each function returns the table behind one.
+The charts are not drawn; each function returns the table behind one. Reports that need no
+single line take the raw lines or their ``invoice_month_grain``, which a profile of several
+reports stores once.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..params import AnalysisParams
+from ..session import reliable_checkpoint
 from ..sources.schema import RAW_COLUMNS
 
 
+#: Measures of the invoice grain that add up; the null counts follow the raw columns.
+_SUMS = ("_rows", "_revenue", "_purchases", "_returns", *[f"_null{i}" for i in range(len(RAW_COLUMNS))])
+
+
+def _measured(raw: DataFrame, params: AnalysisParams | None = None) -> DataFrame:
+    """Raw lines with the columns of ``invoice_month_grain``, a line per row; a grain stays as it is."""
+    if "_rows" in raw.columns:
+        return raw
+    cx = C.is_cancellation(params or AnalysisParams())
+    return with_raw_revenue(raw).select(
+        "InvoiceNo",
+        "Country",
+        C.month_start("InvoiceDate").alias("_m"),
+        F.col("InvoiceDate").alias("_first"),
+        F.col("InvoiceDate").alias("_last"),
+        F.lit(1).cast("long").alias("_rows"),
+        F.col("LineRevenue").alias("_revenue"),
+        F.when(~cx, F.col("LineRevenue")).alias("_purchases"),
+        F.when(cx, F.col("LineRevenue")).alias("_returns"),
+        *[F.col(c).isNull().cast("long").alias(f"_null{i}") for i, c in enumerate(RAW_COLUMNS)],
+    )
+
+
+def invoice_month_grain(raw: DataFrame, params: AnalysisParams) -> DataFrame:
+    """One row per (invoice, country, month): rows, money, dates and nulls of its lines.
+
+    Most profile tables follow from it, so they share one read of the raw lines. A line
+    without an invoice number, country or date is grouped under null.
+    """
+    return _measured(raw, params).groupBy("InvoiceNo", "Country", "_m").agg(
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), *[F.sum(c).alias(c) for c in _SUMS]
+    )
+
+
 def rows_per_month(raw: DataFrame) -> DataFrame:
     """Q1."""
-    per = raw.groupBy(C.month_start("InvoiceDate").alias("_m")).agg(F.count(F.lit(1)).alias("rows"))
+    per = _measured(raw).groupBy("_m").agg(F.sum("_rows").alias("rows"))
     return _month_named(per, "rows")
 
 
@@ -26,36 +65,77 @@ def _month_named(per: DataFrame, *columns: str) -> DataFrame:
 
 def top_countries_by_rows(raw: DataFrame, n: int = 8) -> DataFrame:
     """Q2: top-k (a ``TakeOrderedAndProject``: per-partition top n, then merge)."""
-    return (
-        raw.groupBy("Country").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "Country").limit(n)
-    )
+    per = _measured(raw).groupBy("Country").agg(F.sum("_rows").alias("rows"))
+    return per.orderBy(F.desc("rows"), "Country").limit(n)
 
 
 def cardinalities(raw: DataFrame, exact: bool = True, rsd: float = 0.01) -> DataFrame:
     """Q3: rows, distinct invoices / stock codes / customers / countries, span in days.
 
-    Exact counts group each column on its own from a scan of that column only, so no row
-    is expanded; ``exact=False`` uses HyperLogLog++ sketches (relative error ``rsd``), one
-    pass and a fixed-size buffer per task.
+    Exact counts come from one read: a row stands for its value in each of the four columns,
+    and equal values are combined before the only shuffle. ``exact=False`` uses HyperLogLog++
+    sketches (relative error ``rsd``), one pass and a fixed-size buffer per task.
     """
-    named = {
-        "distinct_invoices": "InvoiceNo",
-        "distinct_stock_codes": "StockCode",
-        "distinct_customers": "CustomerID",
-        "countries": "Country",
-    }
-    plain = [
-        F.count(F.lit(1)).alias("rows"),
-        C.whole_days(F.min("InvoiceDate"), F.max("InvoiceDate")).cast("bigint").alias("span_days"),
-    ]
-    order = ["rows", *named, "span_days"]
+    order = ["rows", *CARDINALITIES, "span_days"]
+    span = lambda first, last: C.whole_days(F.min(first), F.max(last)).cast("bigint").alias("span_days")
     if not exact:
-        return raw.agg(*plain, *[F.approx_count_distinct(c, rsd).alias(k) for k, c in named.items()]).select(*order)
-    one = raw.agg(*plain)
-    for k, c in named.items():
-        values = raw.where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(1).alias("one"))
-        one = one.unionByName(values.agg(F.count(F.lit(1)).alias(k)), allowMissingColumns=True)
-    return one.agg(*[F.max(c).alias(c) for c in order])
+        return raw.agg(
+            F.count(F.lit(1)).alias("rows"),
+            span("InvoiceDate", "InvoiceDate"),
+            *[F.approx_count_distinct(c, rsd).alias(k) for k, c in CARDINALITIES.items()],
+        ).select(*order)
+    named = F.array(
+        *[
+            F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value"))
+            for k, c in enumerate(CARDINALITIES.values())
+        ]
+    )
+    values = (
+        raw.select("InvoiceDate", F.inline(named))
+        .groupBy("kind", "value")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("InvoiceDate").alias("first"), F.max("InvoiceDate").alias("last"))
+    )
+    return values.agg(
+        F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)).alias("rows"),
+        span("first", "last"),
+        *[F.count_if((F.col("kind") == k) & F.col("value").isNotNull()).alias(c) for k, c in enumerate(CARDINALITIES)],
+    ).select(*order)
+
+
+#: Q3's distinct counts and their columns.
+CARDINALITIES = {
+    "distinct_invoices": "InvoiceNo",
+    "distinct_stock_codes": "StockCode",
+    "distinct_customers": "CustomerID",
+    "countries": "Country",
+}
+#: 2^14 registers a sketch: a relative standard error of about 0.8 percent.
+SKETCH_BITS = 14
+
+
+def month_sketches(raw: DataFrame) -> DataFrame:
+    """Per month: rows, first and last date and a mergeable distinct sketch of each Q3 column.
+
+    A month's row never changes once its lines are in, so a stored table of these rows
+    answers Q3 for any span of months without reading lines again.
+    """
+    sketch = lambda c: F.hll_sketch_agg(F.col(c).cast("string"), F.lit(SKETCH_BITS))
+    return raw.groupBy(C.month_start("InvoiceDate").alias("month")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("InvoiceDate").alias("first"),
+        F.max("InvoiceDate").alias("last"),
+        *[sketch(c).alias(k) for k, c in CARDINALITIES.items()],
+    )
+
+
+def cardinalities_from_sketches(sketches: DataFrame) -> DataFrame:
+    """Q3 rolled up from ``month_sketches`` rows: exact rows and span, estimated distinct counts."""
+    estimate = lambda c: F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).cast("bigint").alias(c)
+    return sketches.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        *[estimate(c) for c in CARDINALITIES],
+        C.whole_days(F.min("first"), F.max("last")).cast("bigint").alias("span_days"),
+    )
 
 
 def quality_flags(raw: DataFrame, params: AnalysisParams) -> DataFrame:
@@ -82,9 +162,10 @@ def quality_flags(raw: DataFrame, params: AnalysisParams) -> DataFrame:
 
 def null_profile(raw: DataFrame) -> DataFrame:
     """Q5: nulls and percent per column, ascending (ties in column order)."""
-    cols = raw.columns
-    counts = raw.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(cols)]
+    cols = RAW_COLUMNS
+    counts = _measured(raw).agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("_rows"),
+        *[F.coalesce(F.sum(f"_null{i}"), F.lit(0)).alias(f"_n{i}") for i in range(len(cols))],
     )
     entries = F.array(
         *[
@@ -106,7 +187,7 @@ def null_profile(raw: DataFrame) -> DataFrame:
 
 def date_range(raw: DataFrame) -> DataFrame:
     """Q6."""
-    return raw.agg(F.min("InvoiceDate").alias("first_invoice"), F.max("InvoiceDate").alias("last_invoice"))
+    return _measured(raw).agg(F.min("_first").alias("first_invoice"), F.max("_last").alias("last_invoice"))
 
 
 def with_raw_revenue(raw: DataFrame) -> DataFrame:
@@ -115,20 +196,16 @@ def with_raw_revenue(raw: DataFrame) -> DataFrame:
 
 def monthly_net_revenue(raw: DataFrame) -> DataFrame:
     """Q7: net revenue per month (GBP; divide by 1e6 for the chart's millions)."""
-    per = (
-        with_raw_revenue(raw)
-        .groupBy(C.month_start("InvoiceDate").alias("_m"))
-        .agg(F.sum("LineRevenue").cast("double").alias("revenue"))
-    )
+    per = _measured(raw).groupBy("_m").agg(F.sum("_revenue").cast("double").alias("revenue"))
     return _month_named(per, "revenue")
 
 
 def country_revenue(raw: DataFrame, n: int = 10) -> DataFrame:
     """Q8: top countries by revenue with their row count, one aggregation."""
     return (
-        with_raw_revenue(raw)
+        _measured(raw)
         .groupBy("Country")
-        .agg(F.sum("LineRevenue").alias("_rev"), F.count(F.lit(1)).alias("rows"))
+        .agg(F.sum("_revenue").alias("_rev"), F.sum("_rows").alias("rows"))
         .select("Country", F.col("_rev").cast("double").alias("revenue"), "rows")
         .orderBy(F.desc("revenue"), "Country")
         .limit(n)
@@ -141,9 +218,9 @@ def invoice_sizes(raw: DataFrame, positive_only: bool = True) -> DataFrame:
     Partial aggregation before the shuffle; a hot invoice costs one row per map task.
     """
     inv = (
-        with_raw_revenue(raw)
+        _measured(raw)
         .groupBy("InvoiceNo")
-        .agg(F.count(F.lit(1)).alias("Lines"), F.sum("LineRevenue").alias("_total"))
+        .agg(F.sum("_rows").alias("Lines"), F.sum("_revenue").alias("_total"))
         .select("InvoiceNo", "Lines", F.col("_total").cast("double").alias("Total"))
     )
     return inv.where(F.col("Total") > 0) if positive_only else inv
@@ -206,14 +283,10 @@ def invoice_total_histogram(raw: DataFrame, bins: int = 60, clip: float = 2000.0
 
 def purchases_vs_returns(raw: DataFrame, params: AnalysisParams) -> DataFrame:
     """Q11: purchases and returns per month; null where a side has no row that month."""
-    cx = C.is_cancellation(params)
     per = (
-        with_raw_revenue(raw)
-        .groupBy(C.month_start("InvoiceDate").alias("_m"))
-        .agg(
-            F.sum(F.when(~cx, F.col("LineRevenue"))).cast("double").alias("purchases"),
-            F.sum(F.when(cx, F.col("LineRevenue"))).cast("double").alias("returns"),
-        )
+        _measured(raw, params)
+        .groupBy("_m")
+        .agg(*[F.sum(f"_{side}").cast("double").alias(side) for side in ("purchases", "returns")])
     )
     return _month_named(per, "purchases", "returns")
 
@@ -236,23 +309,27 @@ def line_features(df_clean: DataFrame, params: AnalysisParams) -> DataFrame:
 
 
 class Profile:
-    """Convenience bundle of the profile tables for one raw frame."""
+    """The profile tables of one raw frame; those without single lines share one stored grain."""
 
     def __init__(self, raw: DataFrame, params: AnalysisParams):
         self.raw = raw
         self.params = params
 
+    @cached_property
+    def grain(self) -> DataFrame:
+        return reliable_checkpoint(invoice_month_grain(self.raw, self.params))
+
     def tables(self) -> dict[str, DataFrame]:
-        p = self.params
+        p, grain = self.params, self.grain
         return {
-            "rows_per_month": rows_per_month(self.raw),
-            "top_countries_by_rows": top_countries_by_rows(self.raw, p.top_countries_by_rows),
+            "rows_per_month": rows_per_month(grain),
+            "top_countries_by_rows": top_countries_by_rows(grain, p.top_countries_by_rows),
             "cardinalities": cardinalities(self.raw),
             "quality_flags": quality_flags(self.raw, p),
-            "null_profile": null_profile(self.raw),
-            "date_range": date_range(self.raw),
-            "monthly_net_revenue": monthly_net_revenue(self.raw),
-            "country_revenue": country_revenue(self.raw, p.top_countries_by_revenue),
-            "invoice_sizes": invoice_sizes(self.raw),
-            "purchases_vs_returns": purchases_vs_returns(self.raw, p),
+            "null_profile": null_profile(grain),
+            "date_range": date_range(grain),
+            "monthly_net_revenue": monthly_net_revenue(grain),
+            "country_revenue": country_revenue(grain, p.top_countries_by_revenue),
+            "invoice_sizes": invoice_sizes(grain),
+            "purchases_vs_returns": purchases_vs_returns(grain, p),
         }

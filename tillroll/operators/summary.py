@@ -86,7 +86,7 @@ def _map_of(key: str, *fields: Column) -> Column:
 def summary_frame(analysis, ltv=None) -> DataFrame:
     """One row with the types of ``SUMMARY_SCHEMA``; ``ltv`` is null without a model."""
     p = analysis.params
-    kpis = analysis.headline_kpis()  # stores the invoice grain that the customers are built from
+    kpis = analysis.headline_kpis()  # stores the line grain that everything else is folded from
     segments = analysis.segment_summary
     revenue, share = _rounded("Revenue").alias("revenue_gbp"), _rounded("Revenue_share").alias("revenue_share_pct")
     customers = F.col("Customers").cast("bigint")

@@ -1,9 +1,11 @@
 """The analysis over a line-item source.
 
 Stages are properties built on first use. Most are lazy plans; three steps run jobs while
-they are built, because later rows depend on values or files from them: the invoice grain
-(checkpointed for the customer features and the KPIs), the customer features (checkpointed
-for the ranks) and the cut rows of the RFM scores. Checkpoints go to the shared
+they are built, because later rows depend on values or files from them: the line grain
+(checkpointed when several reports read it), the customer features (checkpointed for the
+ranks) and the cut rows of the RFM scores. Once the line grain is stored, customers, KPIs,
+cohorts and the counts of the cleaning log are all folded from it and the source is not
+read again. Checkpoints go to the shared
 ``spark.checkpoint.dir``. With ``cache`` the cleaned lines and the scored customers are
 persisted (MEMORY_AND_DISK); both are pure functions of their input, so recomputation after
 a lost executor gives the same rows.
@@ -100,15 +102,19 @@ class RetailAnalysis:
 
     # ---- stage D
     @cached_property
-    def invoices(self) -> DataFrame:
-        """The invoice grain of the cleaned lines, stored once for the KPIs and the features."""
-        return reliable_checkpoint(CU.invoice_grain(self.clean))
+    def grain(self) -> DataFrame:
+        """The line grain of the cleaned lines, stored once for all reports that are folded from it."""
+        return reliable_checkpoint(CU.line_grain(self.clean))
+
+    @property
+    def _stored_grain(self) -> DataFrame | None:
+        return self.__dict__.get("grain")
 
     @cached_property
     def features(self) -> DataFrame:
-        """All attributed customers (before the net-positive filter); from the stored
-        invoice grain if the KPIs have asked for it."""
-        return CU.customer_features(self.with_customer, self.params, self.__dict__.get("invoices"))
+        """All attributed customers (before the net-positive filter); from the line grain
+        once it is stored, else straight from the lines."""
+        return CU.customer_features(self.with_customer, self.params, self._stored_grain)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -126,13 +132,19 @@ class RetailAnalysis:
         return S.segment_summary(self.scored)
 
     def headline_kpis(self) -> DataFrame:
-        return K.headline_kpis(self.invoices, self.scored, self.params)
+        return K.headline_kpis(self.grain, self.scored, self.params)
 
     def cleaning_log(self) -> DataFrame:
-        return CL.cleaning_log(self.raw, self.clean, self.features, self.params)
+        stored = self._stored_grain
+        counts = CL.line_counts(self.clean, self.params) if stored is None else CL.grain_counts(stored, self.params)
+        return CL.cleaning_log(self.raw, counts, self.features, self.params)
+
+    def month_masks(self) -> DataFrame:
+        lines = self.with_customer if self._stored_grain is None else self._stored_grain
+        return H.month_masks(lines, self.params)
 
     def retention_long(self) -> DataFrame:
-        return H.retention_long(H.with_cohort(H.active_months(self.with_customer)), self.params)
+        return H.retention_by_bits(self.month_masks(), self.params)
 
     def retention_targets(self) -> DataFrame:
         return S.retention_targets(self.segment_summary, self.params)

@@ -16,17 +16,19 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import clean as CL
 from ..operators import cohorts as H
+from ..operators import customer_ledger as L
 from ..operators import ltv as M
 from ..operators import profile as Q
 from ..operators import rfm as W
 from ..operators import segments as S
+from ..operators.boosting import Boosting
 from ..operators.customers import net_positive
 from ..operators.ranking import global_rank
-from ..operators.summary import summary_core, summary_frame
+from ..operators.summary import SUMMARY_SCHEMA, summary_core, summary_frame, top_segments_report
 from ..params import RULE_MIN_INVOICES, test_table_params
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, reliable_checkpoint
 from ..sources import tpch_adapter
-from ..sources.io import load_line_items, write_line_items
+from ..sources.io import load_line_items, read_json_result, write_line_items, write_summary
 from ..sources.schema import CLEAN_COLUMNS
 from .analysis import RetailAnalysis
 
@@ -71,9 +73,8 @@ def _profile(fn):
     return run
 
 
-def q_customer_features(spark, sf_dir):
-    a = _a(spark, sf_dir)
-    return a.features.select(
+def _feature_columns(features: DataFrame) -> DataFrame:
+    return features.select(
         "CustomerID",
         "Country",
         "UK_vs_International",
@@ -92,6 +93,65 @@ def q_customer_features(spark, sf_dir):
     )
 
 
+def q_customer_features(spark, sf_dir):
+    return _feature_columns(_a(spark, sf_dir).features)
+
+
+def _stored_lines(spark, sf_dir) -> str:
+    path = f"{ensure_checkpoint_dir(spark)}/line-items-{uuid.uuid4().hex}"
+    write_line_items(tpch_adapter.line_items(spark, sf_dir), path)
+    return path
+
+
+def q_customer_ledger(spark, sf_dir):
+    """Customer features from a ledger: lines stored by month come in month by month, every
+    batch twice; half-way the months so far are merged into a base, and a month is revised."""
+    params = test_table_params()
+    path = _stored_lines(spark, sf_dir)
+    ledger = L.CustomerLedger(spark, f"{ensure_checkpoint_dir(spark)}/customer-ledger-{uuid.uuid4().hex}")
+    months = L.window_months(params)
+
+    def lines(month):  # reads the folder of one month
+        return CL.clean_line_items(load_line_items(spark, path, params=month), month)
+
+    for k, month in enumerate(months):
+        if k == len(months) // 2:
+            ledger.compact()
+        # the first batch of the third month lacks its returns; a revision brings the whole month
+        first = lines(month).where("Quantity > 0") if k == 2 else lines(month)
+        for _ in range(2):
+            ledger.commit(L.month_name(month), "load", first)
+    ledger.commit(L.month_name(months[2]), "revised", lines(months[2]))
+    ledger.compact()
+    return _feature_columns(ledger.features(params))
+
+
+def q_stored_customers(spark, sf_dir):
+    """The customer frame over line items stored by month, as a user of the library runs it."""
+    return RetailAnalysis.from_stored(spark, _stored_lines(spark, sf_dir), test_table_params(), cache=False).customers
+
+
+def q_cardinality_rollup(spark, sf_dir):
+    """Q3 rolled up from stored month sketches, beside the exact counts: is every estimate
+    within three standard errors?"""
+    a = _a(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/month-sketches-{uuid.uuid4().hex}"
+    Q.month_sketches(a.raw).write.parquet(path)
+    rolled = Q.cardinalities_from_sketches(spark.read.parquet(path))
+    both = Q.cardinalities(a.raw).select(F.struct("*").alias("exact"), F.lit(None).alias("rolled")).unionByName(
+        rolled.select(F.lit(None).alias("exact"), F.struct(*rolled.columns).alias("rolled"))
+    )
+    one = both.agg(F.any_value("exact", F.lit(True)).alias("e"), F.any_value("rolled", F.lit(True)).alias("r"))
+    error = 3 * 1.04 / 2 ** (Q.SKETCH_BITS / 2)
+    near = lambda k: F.abs(F.col(f"r.{k}") - F.col(f"e.{k}")) <= F.ceil(F.lit(error) * F.col(f"e.{k}"))
+    return one.select(
+        F.col("r.rows").alias("rows"),
+        F.col("r.span_days").alias("span_days"),
+        *[F.col(f"e.{k}").alias(k) for k in Q.CARDINALITIES],
+        *[near(k).alias(f"{k}_within_bound") for k in Q.CARDINALITIES],
+    )
+
+
 def q_customer_frame(spark, sf_dir):
     return _a(spark, sf_dir).customers
 
@@ -212,6 +272,35 @@ def q_ltv_fold_sizes(spark, sf_dir):
     return _folded(spark, sf_dir).groupBy("fold", M.LABEL).agg(F.count(F.lit(1)).alias("customers"))
 
 
+def q_ltv_holdout_sizes(spark, sf_dir):
+    a = _a(spark, sf_dir)
+    frame = M.model_frame(a.scored, a.params)
+    parts = [p.withColumn("held", F.lit(k == 1)) for k, p in enumerate(M.holdout_split(frame, a.params))]
+    return parts[0].unionByName(parts[1]).groupBy("held", M.LABEL).agg(F.count(F.lit(1)).alias("customers"))
+
+
+def q_ltv_gradient_sums(spark, sf_dir):
+    """The first round of the learner over all customers: sums per (feature, bin)."""
+    a = _a(spark, sf_dir)
+    frame = M.model_frame(a.scored, a.params).withColumn("member", F.lit(1))
+    params = a.params.with_(gbt_early_stopping_rows=(1 << 62))  # no customer is set aside
+    return Boosting(reliable_checkpoint(frame), M.LABEL, "CustomerID", params, 1).first_histogram()
+
+
+def q_top_features_on_rule(spark, sf_dir):
+    """M10 over an importance that needs no model: how well a feature alone ranks the label."""
+    a = _a(spark, sf_dir)
+    frame = M.model_frame(a.scored, a.params)
+    named = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("score")) for c in a.params.ltv_features])
+    scores = frame.select("CustomerID", M.LABEL, F.inline(named))
+    auc = M.auc_by_group(scores, ["feature"], "score", M.LABEL, "CustomerID")
+    importance = auc.select("feature", F.abs(F.col("auc") - 0.5).alias("importance"))
+    top3, non_rfm = M.top_features(importance, a.params)
+    rows = [("top 3", k + 1, t["name"], t["importance"]) for k, t in enumerate(top3)]
+    rows += [("top 2 outside recency and frequency", k + 1, name, None) for k, name in enumerate(non_rfm)]
+    return spark.createDataFrame(rows, "list string, place int, feature string, importance double")
+
+
 def _rule_predictions(spark, sf_dir):
     """A prediction that needs no model: many invoices. Folds by id, so that SQL can follow."""
     a = _a(spark, sf_dir)
@@ -267,12 +356,18 @@ def q_summary(spark, sf_dir):
     return summary_frame(a, M.ltv_study(a.scored, a.params))
 
 
+def q_stored_summary(spark, sf_dir):
+    """The report's side: the summary document is written as JSON, read back and its top segments listed."""
+    a = _a(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/summary-{uuid.uuid4().hex}"
+    write_summary(summary_frame(a), path)
+    return top_segments_report(read_json_result(spark, path, schema=SUMMARY_SCHEMA), a.params.top_segments_shown)
+
+
 def q_stored_line_items(spark, sf_dir):
     """The path a user calls: line items stored by month, loaded for the window, cleaned and summed by month."""
     params = test_table_params()
-    path = f"{ensure_checkpoint_dir(spark)}/line-items-{uuid.uuid4().hex}"
-    write_line_items(tpch_adapter.line_items(spark, sf_dir), path)
-    stored = load_line_items(spark, path, params=params)
+    stored = load_line_items(spark, _stored_lines(spark, sf_dir), params=params)
     clean = CL.clean_line_items(stored, params)
     return (
         clean.groupBy(C.month_start("InvoiceDate").alias("m"))
@@ -293,6 +388,7 @@ QUERIES: dict[str, QueryFn] = {
     "rows_per_month": _profile(lambda a: Q.rows_per_month(a.raw)),
     "top_countries_by_rows": _profile(lambda a: Q.top_countries_by_rows(a.raw, a.params.top_countries_by_rows)),
     "cardinalities": _profile(lambda a: Q.cardinalities(a.raw)),
+    "cardinality_rollup": q_cardinality_rollup,
     "quality_flags": _profile(lambda a: Q.quality_flags(a.raw, a.params)),
     "null_profile": _profile(lambda a: Q.null_profile(a.raw)),
     "date_range": _profile(lambda a: Q.date_range(a.raw)),
@@ -308,6 +404,8 @@ QUERIES: dict[str, QueryFn] = {
     "purchases_vs_returns": _profile(lambda a: Q.purchases_vs_returns(a.raw, a.params)),
     # customers and RFM
     "customer_features": q_customer_features,
+    "customer_ledger": q_customer_ledger,
+    "stored_customers": q_stored_customers,
     "customer_frame": q_customer_frame,
     "frequency_rank": q_frequency_rank,
     "rfm_triples": q_rfm_triples,
@@ -334,6 +432,9 @@ QUERIES: dict[str, QueryFn] = {
     "ltv_model_frame": q_ltv_model_frame,
     "ltv_folds": q_ltv_folds,
     "ltv_fold_sizes": q_ltv_fold_sizes,
+    "ltv_holdout_sizes": q_ltv_holdout_sizes,
+    "ltv_gradient_sums": q_ltv_gradient_sums,
+    "top_features_on_rule": q_top_features_on_rule,
     "metrics_on_rule": q_metrics_on_rule,
     "confusion_on_rule": q_confusion_on_rule,
     "auc_on_rule": q_auc_on_rule,
@@ -343,5 +444,6 @@ QUERIES: dict[str, QueryFn] = {
     "ltv_partial_dependence": q_ltv_partial_dependence,
     # summary document
     "summary_core": q_summary_core,
+    "stored_summary": q_stored_summary,
     "summary": q_summary,
 }

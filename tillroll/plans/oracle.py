@@ -512,10 +512,74 @@ r AS (SELECT *, sum(n) OVER (PARTITION BY fold ORDER BY Frequency) - n + (n + 1)
 t AS (SELECT fold, CAST(sum(pos * avg_rank) AS DOUBLE) AS s, CAST(sum(pos) AS DOUBLE) AS np,
              CAST(sum(n) - sum(pos) AS DOUBLE) AS nn FROM r GROUP BY fold)
 SELECT fold, CASE WHEN np > 0 AND nn > 0 THEN (s - np * (np + 1) / 2.0) / (np * nn) END AS auc FROM t""",
+        )
+        # stored line items have whole quantities
+        whole = "SELECT * REPLACE (CAST(TotalQuantity AS BIGINT) AS TotalQuantity) FROM ({}) f"
+        out["customer_ledger"] = whole.format(out["customer_features"])
+        out["stored_customers"] = whole.format(out["customer_frame"])
+        counts = ("distinct_invoices", "distinct_stock_codes", "distinct_customers", "countries")
+        within = ", ".join(f"TRUE AS {c}_within_bound" for c in counts)
+        out["cardinality_rollup"] = f"SELECT *, {within} FROM ({out['cardinalities']}) c"
+        out["ltv_holdout_sizes"] = W(
+            scored,
+            f"""{labelled},
+c AS (SELECT y, count(*) AS n, CAST(floor({p.test_share} * count(*) + 0.5) AS BIGINT) AS h FROM lab GROUP BY y)
+SELECT TRUE AS held, y AS IsTopQuintileM, h AS customers FROM c WHERE h > 0
+UNION ALL SELECT FALSE, y, n - h FROM c WHERE n > h""",
+        )
+        out["ltv_gradient_sums"] = self.gradient_sums(out["ltv_model_frame"])
+        out["top_features_on_rule"] = self.top_features(out["ltv_model_frame"])
+        out["stored_summary"] = W(
+            scored,
+            f"""r AS (SELECT Segment, round(Revenue, 2) AS Revenue, Customers, round(Revenue_share, 2) AS Revenue_share FROM seg_summary),
+t AS (SELECT * FROM r ORDER BY Revenue DESC, Segment LIMIT {p.top_segments_shown})
+SELECT *, Revenue_share / max(Revenue_share) OVER () * 100.0 AS width_pct FROM t""",
         )
         out["summary_core"] = self.summary_core(out)
         return out
 
+    def _by_feature(self, frame: str) -> str:
+        rows = " UNION ALL ".join(
+            f"SELECT CustomerID, IsTopQuintileM AS y, {_q(c)} AS feature, CAST({c} AS DOUBLE) AS v FROM lab"
+            for c in self.p.ltv_features
+        )
+        return f"WITH lab AS ({frame}), u AS ({rows})"
+
+    def gradient_sums(self, frame: str) -> str:
+        """Bins at exact quantiles (every distinct value if there are few), then the sums of the
+        first gradients and hessians, in whole multiples of 2^-30."""
+        b = self.p.gbt_max_bins
+        return f"""{self._by_feature(frame)},
+k AS (SELECT feature, count(*) AS n, count(DISTINCT v) AS d, list(v ORDER BY v) AS vs FROM u WHERE v IS NOT NULL GROUP BY feature),
+few AS (SELECT feature, (v + lead(v) OVER (PARTITION BY feature ORDER BY v)) / 2 AS t
+        FROM (SELECT DISTINCT feature, v FROM u WHERE v IS NOT NULL) JOIN k USING (feature) WHERE d <= {b}),
+many AS (SELECT DISTINCT feature, (vs[floor(j * (n - 1) / {b}.0)::BIGINT + 1] + vs[ceil(j * (n - 1) / {b}.0)::BIGINT + 1]) / 2 AS t
+         FROM k, range(1, {b}) r(j) WHERE d > {b}),
+cuts AS (SELECT * FROM few WHERE t IS NOT NULL UNION ALL SELECT * FROM many),
+lists AS (SELECT feature, list(t) AS ts FROM cuts GROUP BY feature),
+x AS (SELECT u.feature, y, CASE WHEN v IS NULL THEN 255 ELSE len(list_filter(coalesce(ts, []), lambda e: e < v)) END AS bin
+      FROM u LEFT JOIN lists USING (feature)),
+a AS (SELECT 1 / (1 + exp(-ln((sum(IsTopQuintileM) + 1e-9) / (count(*) - sum(IsTopQuintileM) + 1e-9)))) AS p FROM lab),
+s AS (SELECT feature, bin, count(*) AS customers, sum(y) AS pos FROM x GROUP BY feature, bin)
+SELECT feature, bin::INTEGER AS bin, customers,
+       ((customers - pos) * round(p * 1073741824)::BIGINT + pos * round((p - 1) * 1073741824)::BIGINT)::DOUBLE / 1073741824 AS gradient,
+       (customers * round(p * (1 - p) * 1073741824)::BIGINT)::DOUBLE / 1073741824 AS hessian
+FROM s, a"""
+
+    def top_features(self, frame: str) -> str:
+        skip = ", ".join(map(_q, self.p.rfm_features))
+        return f"""{self._by_feature(frame)},
+g AS (SELECT feature, v, count(*) AS n, sum(y) AS pos FROM u GROUP BY feature, v),
+r AS (SELECT *, sum(n) OVER (PARTITION BY feature ORDER BY v) - n + (n + 1) / 2.0 AS avg_rank FROM g),
+t AS (SELECT feature, CAST(sum(pos * avg_rank) AS DOUBLE) AS s, CAST(sum(pos) AS DOUBLE) AS np,
+             CAST(sum(n) - sum(pos) AS DOUBLE) AS nn FROM r GROUP BY feature),
+i AS (SELECT feature, abs((s - np * (np + 1) / 2.0) / (np * nn) - 0.5) AS importance FROM t),
+o AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS place,
+             row_number() OVER (PARTITION BY feature IN ({skip}) ORDER BY importance DESC, feature) AS among FROM i)
+SELECT 'top 3' AS list, place::INTEGER AS place, feature, importance FROM o WHERE place <= 3
+UNION ALL SELECT 'top 2 outside recency and frequency', among::INTEGER, feature, CAST(NULL AS DOUBLE)
+FROM o WHERE feature NOT IN ({skip}) AND among <= 2"""
+
     def summary_core(self, out: dict[str, str]) -> str:
         """The summary's fields as rows, from the queries of its parts."""
         p = self.p

@@ -1,5 +1,6 @@
 """Winnowing: selection, guarantee, edited texts and the order of documents."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -83,6 +84,55 @@ def test_order_and_edits(spark):
         assert r.near_edited == winnow.likeness(a, b) and r.near_next == winnow.likeness(a, c)
 
 
+def test_match_spans():
+    """Spans are equal stretches, and a common stretch of window + gram - 1 lies in one of them."""
+    r = random.Random(9)
+    n = winnow.GRAM + winnow.WINDOW - 1
+    letters = "abcdefgh é\U0001f600"
+    text = lambda k: "".join(r.choice(letters) for _ in range(k))
+    for k in range(60):
+        shared = text(n + 3 * k)
+        a, b = text(r.randrange(200)) + shared + text(50), text(r.randrange(90)) + shared + text(r.randrange(70))
+        spans = winnow.match_spans(winnow.winnow(a), winnow.winnow(b), winnow.GRAM, winnow.WINDOW).tolist()
+        assert all(b[x:y] == a[z : z + y - x] for x, y, z in spans)
+        at = b.index(shared)
+        assert any(x < at + n and y > at for x, y, _ in spans)
+    repeated = "x" * 500
+    spans = winnow.match_spans(winnow.winnow(repeated), winnow.winnow(repeated), winnow.GRAM, winnow.WINDOW).tolist()
+    assert spans and all(repeated[x:y] == repeated[z : z + y - x] for x, y, z in spans)
+    none = winnow.winnow("")
+    assert len(winnow.match_spans(none, none, 16, 24)) == len(winnow.match_spans(winnow.winnow("abc"), none, 16, 24)) == 0
+
+
+def test_registered_query_on_whole_documents(spark):
+    """Every row of the query against the plain statement, over the whole given table."""
+    from tillroll.llm.common import table
+    from tillroll.llm.queries import op2_fingerprints
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+    order = sorted(texts)
+    found = {r["doc_id"]: r for r in op2_fingerprints(spark, sf).collect()}
+    assert sorted(found) == order
+    for d, n in zip(order, order[1:] + order[:1], strict=True):
+        half = len(texts[d]) // 2
+        edited = texts[d][: len(texts[d]) - half] + texts[n][:half]
+        r = found[d]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(texts[d]), hashlib.sha256(edited.encode()).hexdigest())
+        a, b, c = (winnow.winnow(t)[0] for t in (texts[d], edited, texts[n]))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (winnow.as_string(a), winnow.as_string(b))
+        assert (r["near_edited"], r["near_next"]) == (winnow.likeness(a, b), winnow.likeness(a, c))
+        assert all(edited[x["first"] : x["end"]] == texts[d][x["own_first"] :][: x["end"] - x["first"]] for x in r["match_spans"])
+
+
+def test_slices_and_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "SLICE", 100)
+    rows = [(k, f"text {k} " * (k + 1)) for k in range(30)] + [(99, "long text of many words " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = winnow.compare_edited(df).select("doc_id", "n_chars", "edited").collect()
+    assert sorted((r["doc_id"], r["n_chars"]) for r in found) == [(d, len(t)) for d, t in rows]
+
+
 def test_awkward_rows(spark):
     """Null and repeated ids have a place in the order too; every row comes out once."""
     rows = awkward()

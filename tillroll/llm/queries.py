@@ -38,16 +38,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = winnow.compare_edited(table(spark, sf_dir, "documents"))
-    edited = F.sha2(F.col("edited").cast("binary"), 256)
+    found = winnow.compare_edited(table(spark, sf_dir, "documents"), with_text=False)
     return found.select(
         "doc_id",
         "n_chars",
-        edited.alias("edited_sha256"),
+        "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
         "near_edited",
         "near_next",
+        "match_spans",
     )
 
 

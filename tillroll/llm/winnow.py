@@ -13,6 +13,7 @@ does not grow with the text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,44 +169,97 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-_EDITED = (
-    "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
-)
+def match_spans(a: tuple, b: tuple, gram: int, window: int) -> np.ndarray:
+    """Stretches of text b that also stand in text a: rows (first, end, first in a), from selected positions.
 
+    ``a`` and ``b`` are (hashes, positions). A stretch joins the selected grams that both texts
+    have at one shift and that start at most a window apart, so every common stretch of
+    window + gram - 1 code points is met. Of several places in a, a gram takes the one at the
+    shift of the gram before it, else the first.
+    """
+    key_a = np.sort(a[0].astype(np.uint64) << _U(32) | a[1].astype(np.uint64))
+    low = np.searchsorted(key_a, b[0].astype(np.uint64) << _U(32))
+    low = np.minimum(low, max(len(key_a) - 1, 0))
+    some = np.flatnonzero((key_a[low] >> _U(32)) == b[0]) if len(key_a) else np.empty(0, np.int64)
+    if not len(some):
+        return np.empty((0, 3), np.int64)
+    hashes, at = b[0][some], b[1][some].astype(np.int64)
+    shift = (key_a[low[some]] & _U(0xFFFFFFFF)).astype(np.int64) - at
+    wanted = np.r_[shift[:1], shift[:-1]]
+    place = np.maximum(at + wanted, 0)
+    key = hashes.astype(np.uint64) << _U(32) | place.astype(np.uint64)
+    shift = np.where(np.isin(key, key_a), place - at, shift)
+    first = np.flatnonzero(np.r_[True, (np.diff(shift) != 0) | (np.diff(at) > window)])
+    last = np.r_[first[1:], len(at)] - 1
+    return np.column_stack([at[first], at[last] + gram, at[first] + shift[first]])
+
+
+_SPANS = "array<struct<first: long, end: long, own_first: long>>"
+_EDITED = {
+    "doc_id": "long",
+    "n_chars": "long",
+    "edited": "string",
+    "edited_sha256": "string",
+    "fingerprint": "string",
+    "edited_fingerprint": "string",
+    "near_edited": "double",
+    "near_next": "double",
+    "match_spans": _SPANS,
+}
+#: Code points that are compared before their rows are handed on.
+SLICE = 1 << 20
+
+
+def _compare(gram: int, window: int, columns: list[str]):
+    def one(doc_id, own: str, own_marks: tuple, following: str, next_hashes: np.ndarray) -> dict:
+        edited = edit(own, following)
+        marks = winnow(edited, gram, window)
+        spans = match_spans(own_marks, marks, min(gram, max(len(own), 1)), window)
+        return {
+            "doc_id": doc_id,
+            "n_chars": len(own),
+            "edited": edited if "edited" in columns else None,
+            "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
+            "fingerprint": as_string(own_marks[0]),
+            "edited_fingerprint": as_string(marks[0]),
+            "near_edited": likeness(own_marks[0], marks[0]),
+            "near_next": likeness(own_marks[0], next_hashes),
+            "match_spans": [dict(zip(("first", "end", "own_first"), x, strict=True)) for x in spans.tolist()],
+        }
+
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
 
-def _compare(gram: int, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the row before: block, id, text, hashes
+        held = None  # the row before: block, id, text, selected hashes and positions
+        out, size = [], 0
         for pdf in batches:
-            out = []
             for block, guest, doc_id, text in pdf.itertuples(index=False, name=None):
                 text = text or ""
-                hashes = winnow(text, gram, window)[0]
+                marks = winnow(text, gram, window)
                 if held is not None and held[0] == block:
-                    _, own_id, own, own_hashes = held
-                    edited = edit(own, text)
-                    edited_hashes = winnow(edited, gram, window)[0]
-                    out.append(
-                        (
-                            own_id,
-                            len(own),
-                            edited,
-                            as_string(own_hashes),
-                            as_string(edited_hashes),
-                            likeness(own_hashes, edited_hashes),
-                            likeness(own_hashes, hashes),
-                        )
-                    )
+                    out.append(one(*held[1:], text, marks[0]))
+                    size += len(held[2])
+                    if size >= SLICE:
+                        yield frame(out)
+                        out, size = [], 0
                 # a guest only follows; of several equal guests the first has been used
-                held = None if guest else (block, None if pd.isna(doc_id) else int(doc_id), text, hashes)
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _EDITED.split(", ")])
-            yield frame.astype({"doc_id": "Int64"})
+                held = None if guest else (block, None if pd.isna(doc_id) else int(doc_id), text, marks)
+        yield frame(out)
 
     return run
 
 
-def compare_edited(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, n_blocks: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: fingerprints of the text and of its edited text, and how near they are."""
+def compare_edited(
+    docs: DataFrame, gram: int = GRAM, window: int = WINDOW, n_blocks: int | None = None, with_text: bool = True
+) -> DataFrame:
+    """One row per row of ``docs``: fingerprints of the text and of its edited text, how near they
+    are, and ``match_spans``, the stretches of the edited text that the text has too.
+
+    Rows leave a task in slices of a megabyte of text, so a batch of long texts is never held
+    with its results; ``with_text=False`` leaves out the edited text (its hash stays).
+    """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return beside_next(slim, n_blocks).mapInPandas(_compare(gram, window), _EDITED)
+    columns = [c for c in _EDITED if with_text or c != "edited"]
+    ddl = ", ".join(f"{c} {_EDITED[c]}" for c in columns)
+    return beside_next(slim, n_blocks).mapInPandas(_compare(gram, window, columns), ddl)

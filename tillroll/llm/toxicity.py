@@ -5,11 +5,13 @@ adds the inner products of all pairs of terms in the text, so pairs such as an i
 a mention of a group weigh more (or less) than their sum, which additive weights miss. The
 sum over pairs needs one pass: ((sum of vectors)^2 - sum of squares) / 2.
 
-Training (AdaGrad on the logistic loss, numpy on the driver) reads at most ``max_rows``
-labelled rows, chosen by a hash of doc_id; scoring reads every row. The model's size is
-fixed by ``bits`` and ``rank``. A term is trained if it departs from the base rate by itself
-or together with another term: all pairs of terms of enough rows are counted, so a term
-without a say of its own is trained for the pairs that it has a say in.
+Training (AdaGrad on the logistic loss, numpy on the driver) reads about ``max_rows``
+labelled documents, those below a cut of a hash of doc_id, and their whole texts; of rows that
+share a doc_id, one. Scoring reads every row. The model's size is fixed by ``bits`` and ``rank``.
+A term is trained if it departs from the base rate by itself or together with another term:
+all pairs of terms of enough rows are counted, so a term without a say of its own is trained
+for the pairs that it has a say in. Training all terms instead memorizes the sample. The pairs
+cost the square of the terms that can tell anything, which the bound on the sample limits.
 
 Rows: a null or empty text has no terms and the score of the bias. Labels that are null
 are left out; a doc_id labelled twice counts as toxic if either label says so. Repeated
@@ -27,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .attention import _hash_cut
+
 _TERM = re.compile(r"[^\W\d_]+")
 #: Fixed values of the contract: fold of the held-out rows and the threshold.
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -36,7 +40,7 @@ FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 class FmParams:
     bits: int = 18
     rank: int = 8
-    max_rows: int = 24_000
+    max_rows: int = 6_000
     epochs: int = 20
     batch: int = 256
     rate: float = 0.2
@@ -125,10 +129,21 @@ class FactorizationMachine:
         self.bias -= p.rate * float(error.mean()) * 0.1
 
     def score(self, row: np.ndarray) -> float:
-        v = self.vector[row]
-        margin = self.bias + float(self.weight[row].sum(dtype=np.float64))
-        margin += 0.5 * float((v.sum(0, dtype=np.float64) ** 2).sum() - (v.astype(np.float64) ** 2).sum())
-        return float(_sigmoid(margin))
+        return float(self.scores([row])[0])
+
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Scores of several texts' terms, summed over the terms of all of them at once."""
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        margin = np.full(len(rows), self.bias, np.float64)
+        some = np.flatnonzero(size)
+        if len(some):
+            term = np.concatenate([rows[k] for k in some])
+            start = np.cumsum(size[some]) - size[some]
+            v = self.vector[term].astype(np.float64)
+            total = np.add.reduceat(v, start)
+            margin[some] += np.add.reduceat(self.weight[term].astype(np.float64), start)
+            margin[some] += 0.5 * ((total**2).sum(1) - np.add.reduceat((v**2).sum(1), start))
+        return _sigmoid(margin)
 
 
 #: Pairs are counted in blocks of about this many cells, from so many rows at a time.
@@ -232,26 +247,29 @@ def _terms_of(text: Column, bits: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, p: FmParams) -> DataFrame:
-    """(doc_id, toxic, terms): at most ``max_rows`` labelled rows that are not held out."""
+    """(doc_id, toxic, terms): labelled documents that are not held out, one row per id."""
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(p.max_rows)
-    )
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(  # max_rows small rows
-        "doc_id", "toxic", _terms_of(F.col("text"), p.bits).alias("terms")
     )
+    known = _hash_cut(known, p.max_rows)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # max_rows small rows
+    chosen = chosen.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return chosen.select("doc_id", "toxic", _terms_of(F.col("text"), p.bits).alias("terms"))
 
 
 def train(docs: DataFrame, labels: DataFrame, params: FmParams = FmParams()) -> FactorizationMachine:
-    found = training_rows(docs, labels, params).collect()  # bounded by max_rows
+    found = training_rows(docs, labels, params).collect()  # at most max_rows documents
     rows = sorted((r["doc_id"], r["toxic"], bytes(r["terms"])) for r in found)
     features = [np.frombuffer(t, "<i4") for _, _, t in rows]
     return FactorizationMachine.fit(features, np.array([t for _, t, _ in rows], np.float64), params)
 
 
+#: Texts that are scored at once.
+SLICE = 64
+
+
 def score_documents(
     docs: DataFrame, model: FactorizationMachine, params: FmParams = FmParams(), text_col: str = "text"
 ) -> DataFrame:
@@ -262,7 +280,10 @@ def score_documents(
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         fm = FactorizationMachine(*shared.value)
-        return pd.Series([fm.score(terms(t, bits)) for t in texts], dtype="float64")
+        out = [np.empty(0)]
+        for k in range(0, len(texts), SLICE):  # a few texts' terms at a time
+            out.append(fm.scores([terms(t, bits) for t in texts.iloc[k : k + SLICE]]))
+        return pd.Series(np.concatenate(out), dtype="float64")
 
     scored = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), of(F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -90,3 +90,68 @@ def test_ids_array_and_digest(spark, library):
 
 def test_empty_table(spark):
     assert bpe.decode(bpe.encode(empty(spark), TOKENIZER), TOKENIZER).count() == 0
+
+
+def test_every_code_point_equals_the_library(model, library):
+    """Classes, lower case and NFC of the library's Unicode version, between letters and beside a sign."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for shape in ("a{}b", "{}!"):
+        for k in range(0, len(points), 50_000):
+            texts = [shape.format(chr(c)) for c in points[k : k + 50_000]]
+            expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+            got = [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(model).encode(texts)]
+            assert got == expected
+
+
+def test_mixes_of_any_code_points(model, library):
+    r = random.Random(12)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    newer = [chr(c) for a, b in (*bpe._NO_LETTERS, *bpe._NO_NUMBERS) for c in range(a, b + 1)] + list(map(chr, bpe._LOWER))
+    pools = (points, newer, "ab '1sS ")
+    texts = ["".join(r.choice(r.choice(pools)) for _ in range(r.randrange(1, 30))) for _ in range(5000)]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(model).encode(texts)] == expected
+
+
+def _long_words(r):
+    parts = ["the", "ing", "lo", "ha", "an", "in", "er"]
+    yield from ("".join(r.choice("abcdehinorst") for _ in range(r.randrange(1001, 6000))) for _ in range(20))
+    yield from ("".join(r.choice(parts) for _ in range(r.randrange(400, 2000))) for _ in range(20))
+    yield from ("".join(r.choice("abn") for _ in range(2000)) + " x " + "ha" * 2000 for _ in range(5))
+    yield from (c * r.randrange(1000, 4000) + "z" for c in "aehlo.")
+
+
+@pytest.mark.parametrize("long_word", [3, 1000, 10**9])
+def test_long_words_equal_the_library(monkeypatch, model, library, long_word):
+    """Words merged by themselves and words merged in the batch give the library's ids."""
+    monkeypatch.setattr(bpe, "LONG_WORD", long_word)
+    r = random.Random(13)
+    texts = [t[: 400 if long_word == 10**9 else None] for t in _long_words(r)]
+    texts += ["".join(r.choice("abcdehinorst ") for _ in range(r.randrange(1, 60))) for _ in range(300)]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(model).encode(texts)] == expected
+
+
+def test_a_word_of_32000_letters_is_quick(model):
+    import time
+
+    word = "".join(random.Random(14).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(32_000))
+    start = time.perf_counter()
+    bpe.Encoder(model).encode([word])
+    assert time.perf_counter() - start < 2  # 0.12 s on an idle core
+
+
+def test_registered_query_equals_the_library(spark, library):
+    from tillroll.llm.common import table
+    from tillroll.llm.queries import op9_bpe
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+    found = {r["doc_id"]: r for r in op9_bpe(spark, sf).collect()}
+    assert found.keys() == texts.keys()
+    for d, text in texts.items():
+        ids = library.encode(text, add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert found[d]["n_tokens"] == len(ids)
+        assert found[d]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert found[d]["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()

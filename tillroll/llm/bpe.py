@@ -33,7 +33,37 @@ _SPACES = "\\t-\\r \\x85\\xa0" + "".join(
 )
 _CHUNK = re.compile(f"[^{_SPACES}]+")
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
+#: Fixed values of the tokenizer's Unicode version: letters of newer versions, which are no letters to it.
+_NO_LETTERS = (
+    (0x558, 0x558), (0x58b, 0x58c), (0x88f, 0x88f), (0xc5c, 0xc5c), (0xcdc, 0xcdc), (0x208f, 0x208f),
+    (0x209d, 0x209f), (0xa7ce, 0xa7cf), (0xa7d2, 0xa7d2), (0xa7d4, 0xa7d4), (0xa7dd, 0xa7dd), (0xa7e2, 0xa7e2),
+    (0xa7f1, 0xa7f1), (0xab6c, 0xab6d), (0x107bb, 0x107bf), (0x10940, 0x10959), (0x10ec5, 0x10ec7),
+    (0x10ed9, 0x10eee), (0x11b0a, 0x11b0a), (0x11db0, 0x11ddb), (0x11df1, 0x11df1), (0x16ea0, 0x16eb8),
+    (0x16ebb, 0x16ed3), (0x16ff2, 0x16ff3), (0x187f8, 0x187ff), (0x18cd6, 0x18cda), (0x18d09, 0x18d20),
+    (0x18d80, 0x18df2), (0x18e00, 0x19191), (0x191a0, 0x191d2), (0x1b123, 0x1b128), (0x1b168, 0x1b168),
+    (0x1d6a6, 0x1d6a6), (0x1df1f, 0x1df24), (0x1df2b, 0x1df81), (0x1df90, 0x1df96), (0x1dfcd, 0x1dfff),
+    (0x1e6c0, 0x1e6de), (0x1e6e0, 0x1e6e2), (0x1e6e4, 0x1e6e5), (0x1e6e7, 0x1e6ed), (0x1e6f0, 0x1e6f4),
+    (0x1e6fe, 0x1e6ff), (0x2b73a, 0x2b73f), (0x2b81e, 0x2b81e), (0x2cea2, 0x2cead), (0x323b0, 0x33479),
+    (0x3d000, 0x3fc3f),
+)
+#: Numbers of newer versions, which are no numbers to it.
+_NO_NUMBERS = ((0x11de0, 0x11de9), (0x1246f, 0x1246f), (0x12475, 0x1247f), (0x12550, 0x12686), (0x16ff4, 0x16ff6))
+#: Lower-case letters of capitals that the standard library does not know yet, singly and by ranges.
+_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB,
+    0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+_CAPITALS = re.compile("[\u1c89\ua7cb-\ua7dc\U00010d50-\U00010d65\U00016ea0-\U00016eb8]")  # where they stand
+_SETS = ["".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) for ranges in (_NO_LETTERS, _NO_NUMBERS)]
+_BEYOND = re.compile(f"[{chr(_NO_LETTERS[0][0])}-\U0010ffff]")  # a quick look before the long list
+_HAS_NEWER = re.compile(f"[{''.join(_SETS)}]")
+_LETTER, _NUMBER = rf"[\p{{L}}--[{_SETS[0]}]]", rf"[\p{{N}}--[{_SETS[1]}]]"
+_PRETOKEN_NEWER = regex.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|(?:(?!{_LETTER}|{_NUMBER}).)+", regex.V1 | regex.DOTALL
+)
 _WORD_END = "</w>"
+#: Bytes from which on a word is merged by itself.
+LONG_WORD = 1000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -90,6 +120,12 @@ class BpeModel:
     def merge_words(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one flat array, and the number of ids of each word."""
         size = np.fromiter(map(len, words), np.int64, len(words))
+        if len(words) and size.max() > LONG_WORD:  # words of many ranks would keep the others waiting
+            parts = [self.merge_long(w) if len(w) > LONG_WORD else None for w in words]
+            ids, count = self.merge_words([w for w, part in zip(words, parts, strict=True) if part is None])
+            short = iter(np.split(ids, np.cumsum(count)[:-1]) if len(count) else [])
+            parts = [next(short) if part is None else part for part in parts]
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         raw = np.frombuffer(b"".join(words), np.uint8)
         symbol = self.inner[raw]
         ends = np.cumsum(size) - 1
@@ -107,7 +143,7 @@ class BpeModel:
             symbol, owner, rank, low = symbol[~over], owner[~over], rank[~over], low[~over]
             if not len(symbol):
                 break
-            at = self._choose(np.flatnonzero(rank == low), rank, owner)
+            at = self._choose(np.flatnonzero(rank == low), rank, owner, symbol)
             symbol[at] = self.merged[rank[at]]
             keep = np.ones(len(symbol), bool)
             keep[at + 1] = False
@@ -118,31 +154,101 @@ class BpeModel:
         order = np.argsort(whose, kind="stable")
         return ids[order], np.bincount(whose, minlength=len(words))
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word: the same rounds, but symbols stay in place under links, and a
+        round looks up only the pairs beside its merges."""
+        symbol = self.inner[np.frombuffer(word, np.uint8)]
+        symbol[-1] = self.final[word[-1]]
+        while True:
+            n = len(symbol)
+            before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+            rank = np.full(n + 1, _NONE)  # the place behind the word never starts a pair
+            rank[: n - 1] = self._rank_of(symbol[:-1], symbol[1:])
+            live = np.ones(n, bool)
+            left = n
+            while left > n // 2 and (lowest := rank.min()) != _NONE:
+                at = np.flatnonzero(rank == lowest)
+                made = self.merged[lowest]
+                follows = np.r_[False, after[at[:-1]] == at[1:]]  # overlaps the pair before it
+                run = np.flatnonzero(~follows)
+                at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+                if len(at) > 1 and not self.steady[lowest]:
+                    touches = np.r_[False, after[after[at[:-1]]] == at[1:]]
+                    west, east = before[at], after[after[at]]
+                    low_west = np.where(touches, made, symbol[np.maximum(west, 0)])
+                    opens = ((west >= 0) & (self._rank_of(low_west, np.full(len(at), made)) <= lowest)) | (
+                        (east < n) & (self._rank_of(np.full(len(at), made), symbol[np.minimum(east, n - 1)]) <= lowest)
+                    )
+                    if opens.any():
+                        at = at[: int(opens.argmax()) + 1]
+                gone = after[at]
+                symbol[at], live[gone], rank[gone] = made, False, _NONE
+                after[at] = after[gone]
+                inside = after[at] < n
+                before[after[at[inside]]] = at[inside]
+                here = np.r_[at, before[at][before[at] >= 0]]
+                there = after[here]
+                paired = there < n
+                rank[here] = _NONE
+                rank[here[paired]] = self._rank_of(symbol[here[paired]], symbol[there[paired]])
+                left -= len(gone)
+            symbol = symbol[live]
+            if left > n // 2:  # no known pair is left
+                return symbol
+
     def _ranks(self, symbol: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Rank of the pair that starts at each symbol, by binary search over the sorted keys."""
         rank = np.full(len(symbol), _NONE)
-        key = symbol[:-1] << 32 | symbol[1:]
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        known = (self.pair_keys[at] == key) & (owner[:-1] == owner[1:])
-        rank[:-1][known] = self.pair_rank[at[known]]
+        same = owner[:-1] == owner[1:]
+        rank[:-1][same] = self._rank_of(symbol[:-1][same], symbol[1:][same])
         return rank
 
-    def _choose(self, at: np.ndarray, rank: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_rank[at], _NONE)
+
+    def _choose(self, at: np.ndarray, rank: np.ndarray, owner: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Of the lowest pairs, those that merge in this round.
 
-        Overlapping pairs (x x x) merge from the left, every other one. Where the merged
-        symbol could open a pair of still lower rank, only the first of the word merges.
+        Overlapping pairs (x x x) merge from the left, every other one. A merge may open a pair
+        of lower rank with a neighbour, which then comes before the merges to its right: of a
+        word, those up to the first such place merge.
         """
         start = np.r_[True, np.diff(at) != 1]
         offset = np.arange(len(at)) - np.flatnonzero(start)[np.cumsum(start) - 1]
         at = at[offset % 2 == 0]
-        first = np.r_[True, owner[at][1:] != owner[at][:-1]]
-        return at[first | self.steady[rank[at]]]
+        opens = np.zeros(len(at), bool)
+        doubt = np.flatnonzero(~self.steady[rank[at]])
+        if len(doubt):
+            here, made = at[doubt], self.merged[rank[at[doubt]]]
+            # to the left may stand the same symbol, just merged; to the right nothing has merged yet
+            merged_left = np.r_[False, (np.diff(at) == 2) & (owner[at][1:] == owner[at][:-1])][doubt]
+            left = np.where(merged_left, made, symbol[np.maximum(here - 1, 0)])
+            has_left = merged_left | ((here > 0) & (owner[np.maximum(here - 1, 0)] == owner[here]))
+            after = np.minimum(here + 2, len(symbol) - 1)
+            has_right = (here + 2 < len(symbol)) & (owner[after] == owner[here])
+            lower = lambda a, b, has: has & (self._rank_of(a, b) <= rank[here])
+            opens[doubt] = lower(left, made, has_left) | lower(made, symbol[after], has_right)
+        # of each word, what lies behind its first opening place waits
+        word_start = np.flatnonzero(np.r_[True, owner[at][1:] != owner[at][:-1]])
+        before = np.cumsum(opens) - opens
+        waits = before > np.repeat(before[word_start], np.diff(np.r_[word_start, len(at)]))
+        return at[~waits]
 
 
 def normalize(text: str) -> str:
     """NFC and lower case, letter by letter (a capital sigma has no special final form)."""
-    return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+    return text.translate(_LOWER) if _CAPITALS.search(text) else text
+
+
+def pre_tokens(chunk: str) -> list[str]:
+    """Pieces of a chunk without white space."""
+    newer = not chunk.isascii() and _BEYOND.search(chunk) and _HAS_NEWER.search(chunk)
+    return (_PRETOKEN_NEWER if newer else _PRETOKEN).findall(chunk)
 
 
 class Encoder:
@@ -168,7 +274,7 @@ class Encoder:
             new = list(dict.fromkeys(chunks))
         if not new:
             return
-        split = [_PRETOKEN.findall(c) for c in new]
+        split = [pre_tokens(c) for c in new]
         place = {w: k for k, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
         ids, count = self.model.merge_words([w.encode("utf-8", "surrogatepass") for w in place])
         ends = np.cumsum(count) * 4

@@ -89,5 +89,15 @@ def list_folders(spark: SparkSession, path: str) -> list[str]:
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """A table was written there to its end (Spark's own marker, set when a write commits)."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    return is_marked(spark, f"{path}/_SUCCESS")
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file that says that something is done."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop_path, True).close()
+
+
+def is_marked(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)

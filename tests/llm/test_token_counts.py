@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import awkward, empty, frame
 from tillroll.llm import token_counts as T
@@ -25,13 +26,16 @@ def recount(rows):
     return {k: v for k, v in out.items() if v}
 
 
-def state(rollup):
-    out = {}
-    for r in rollup.totals().collect():
+def summed(df):
+    out = Counter()
+    for r in df.collect():
         for s in T.SUMS:
-            if r[s]:
-                out[(r.source, r.lang, r.tokenizer, s)] = r[s]
-    return out
+            out[(r.source, r.lang, r.tokenizer, s)] += r[s]
+    return {k: v for k, v in out.items() if v}
+
+
+def state(rollup):
+    return summed(rollup.totals())
 
 
 @pytest.fixture
@@ -79,16 +83,53 @@ def test_replays_change_nothing(spark, rollup):
     assert state(rollup) == recount(rows[1:])
 
 
-def test_interrupted_commit_is_overwritten(spark, rollup):
-    """Files of a batch without its marker row (as a cut-off commit could leave) do not count twice."""
+def test_interrupted_commits(spark, tmp_path):
+    """A commit that breaks off before its totals are complete counts for nothing and can be
+    repeated; one that breaks off behind them is not applied twice."""
+    rollup = T.Rollup(spark, str(tmp_path / "r"))
     rows = awkward()
     rollup.commit("a", T.inserts(frame(spark, rows[:5])))
-    rollup.commit("b", T.inserts(frame(spark, rows[5:])))
     before = state(rollup)
-    batches = rollup.batches
-    rollup.batches = lambda: batches() - {"b"}  # the commit of b is not known to have ended
-    assert rollup.commit("b", T.inserts(frame(spark, rows[5:])))
-    assert state(rollup) == before == recount(rows)
+    rollup.commit("b/1", T.inserts(frame(spark, rows[5:])))
+    after = state(rollup)
+    folded = tmp_path / "r" / "batches" / "b%2F1" / "_FOLDED"
+    done = tmp_path / "r" / "totals" / "v=000002-b%2F1" / "_SUCCESS"
+    folded.unlink()  # broken off before the mark: the next commit sets it
+    assert rollup.batches() == {"a", "b/1"}
+    assert not rollup.commit("b/1", T.inserts(frame(spark, rows[5:]))) and folded.exists()
+    folded.unlink()
+    assert rollup.commit("c", T.inserts(empty(spark))) and folded.exists()
+    assert not rollup.commit("b/1", T.inserts(frame(spark, rows[5:]))) and state(rollup) == after
+    other = T.Rollup(spark, str(tmp_path / "s"))
+    other.commit("a", T.inserts(frame(spark, rows[:5])))
+    other.commit("b/1", T.inserts(frame(spark, rows[5:])))
+    for f in ("batches/b%2F1/_FOLDED", "totals/v=000002-b%2F1/_SUCCESS"):  # broken off before the totals' end
+        (tmp_path / "s" / f).unlink()
+    assert done.exists() and state(other) == before and other.batches() == {"a"}
+    assert other.commit("b/1", T.inserts(frame(spark, rows[5:]))) and state(other) == after == recount(rows)
+
+
+def test_totals_equal_the_ledger_summed_anew(spark, rollup):
+    rows = awkward()
+    for k in range(6):
+        rollup.commit(f"in {k}", T.inserts(frame(spark, rows[k::6])))
+    rollup.commit("out", T.deletes(frame(spark, rows[::6])))
+    assert state(rollup) == summed(rollup.recounted())
+    assert len(rollup._versions()) == T.KEPT_TOTALS
+
+
+def test_later_copies(spark):
+    rows = awkward() + [(300 + k, "the same text 12", "en", "a" if k % 3 else None) for k in range(40)]
+    rows += [(300, "the same text 12", "en", "b"), (300, "the same text 12", None, None), (None, "the same text 12", "en", "a")]
+    docs = frame(spark, rows).withColumn("content", F.md5(F.coalesce("text", F.lit(""))))
+    counted = T.document_counts(docs, keep=("doc_id", "source", "lang", "content"))
+    first = {}
+    for d, t, *_ in rows:
+        if d is not None:
+            first[t or ""] = min(first.get(t or "", d), d)
+    copies = [r for r in rows if r[0] is not None and r[0] > first[r[1] or ""]]
+    got = {k: -v for k, v in summed(T.later_copies(counted)).items()}
+    assert got == recount(copies)
 
 
 def test_empty_batches_and_keys_that_end(spark, rollup):

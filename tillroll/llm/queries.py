@@ -25,7 +25,7 @@ from . import (
     toxicity,
     winnow,
 )
-from .common import table
+from .common import table, written
 
 #: What a revision takes out of the texts.
 SYMBOL_NOISE = r"[#*$%&|<>]+"
@@ -59,24 +59,23 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts after three batches, each of them sent twice: all documents come in, their
-    texts are revised (symbol noise goes), later copies of equal texts are deleted."""
-    content = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    texts are revised (symbol noise goes), later copies of equal texts are deleted. Each text
+    and its revision are counted once; the batches are made from the stored counts."""
     docs = table(spark, sf_dir, "documents").withColumn("revised", F.regexp_replace("text", SYMBOL_NOISE, ""))
-    changed = docs.where("text <> revised")
-    counted = token_counts.document_counts(
-        docs.withColumn("content", content), text_col="revised", keep=("source", "lang", "doc_id", "content")
+    docs = docs.withColumn("content", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    docs = docs.withColumn("changed", F.expr("coalesce(text <> revised, false)"))
+    old = token_counts.document_counts(docs, keep=("doc_id", "source", "lang", "content", "changed", "revised"))
+    old = old.withColumnsRenamed({"chars": "old_chars", "counts": "old_counts"})
+    both = token_counts.document_counts(
+        old, text_col="revised", keep=("doc_id", "source", "lang", "content", "changed", "old_chars", "old_counts")
     )
-    first = (
-        docs.select("doc_id", content.alias("content"))
-        .groupBy("content")
-        .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-    )
-    copies = counted.join(first, "content").where("doc_id > first_id")
+    both = written(both, "token-counts")
+    before = both.withColumns({"chars": F.col("old_chars"), "counts": F.col("old_counts")})
+    signed = token_counts.signed
     batches = [
-        ("load", token_counts.inserts(docs)),
-        ("revise", token_counts.revisions(changed, "text", "revised")),
-        ("dedup", token_counts.signed(copies, -1)),
+        ("load", signed(before, 1)),
+        ("revise", signed(before.where("changed"), -1).unionByName(signed(both.where("changed"), 1))),
+        ("dedup", token_counts.later_copies(both)),
     ]
     rollup = token_counts.Rollup(spark, f"{ensure_checkpoint_dir(spark)}/token-ledger-{uuid.uuid4().hex}")
     token_counts.replay(rollup, [b for b in batches for _ in range(2)])

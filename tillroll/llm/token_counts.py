@@ -2,30 +2,38 @@
 
 A batch is a frame of signed changes to single documents: an insert adds a document's
 counts, a delete takes them away, a revision does both (old counts out, new counts in). A
-commit reduces the batch to one signed row per (source, lang, tokenizer) and writes it as
-the partition ``batch_id=...`` of a ledger; totals are the sum over the ledger. Nothing is
-ever read back from documents, and a batch costs what it changes.
+commit reduces the batch to one signed row per (source, lang, tokenizer), stores it in the
+ledger and folds it into the totals, which are kept as a table of their own: reading them
+sums no history, and a batch costs what it changes and one small table of totals.
 
-Commits are idempotent: a batch id that is in the ledger is not applied again, and a
-commit that was cut short is overwritten as a whole when it is repeated (dynamic partition overwrite
-replaces exactly its partition; Spark publishes it at the end).
+    <path>/batches/<id>/        signed sums of a batch, and the mark _FOLDED
+    <path>/totals/v=000007-<id>/  totals up to and with that batch
+
+Commits are idempotent: a batch with the mark is not applied again; only its own folder and
+the newest totals are looked at. A commit that breaks off before its totals are complete has
+changed nothing that is read and is done anew when it is repeated; one that breaks off after it
+lacks the mark only, and the next commit sets it. One writer at a time.
 
 Rows: a null text has 0 tokens; null sources and languages are keys of their own; rows are
-counted one by one, so repeated rows count twice. A batch without rows commits nothing but
-its id. A key whose totals have all come back to 0 leaves the totals.
+counted one by one, so repeated rows count twice. Texts may be of any length and are counted in
+steps. Only named columns are read. A batch without rows commits nothing but its id. A key
+whose totals have all come back to 0 leaves the totals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import is_complete, is_marked, list_folders, mark, remove_path
 from .common import WORD
 
 KEYS = ("source", "lang", "tokenizer")
@@ -76,11 +84,9 @@ TOKENIZERS = {
         ),
     )
 }
-LEDGER = T.StructType(
-    [T.StructField(k, T.StringType()) for k in KEYS]
-    + [T.StructField(s, T.LongType()) for s in SUMS]
-    + [T.StructField("batch_id", T.StringType())]
-)
+SIGNED = T.StructType([T.StructField(k, T.StringType()) for k in KEYS] + [T.StructField(s, T.LongType()) for s in SUMS])
+#: Versions of the totals that stay, so that a reader of the one before is not cut off.
+KEPT_TOTALS = 3
 
 
 def count_tokens(raw: bytes, classes: np.ndarray, step: int = 1 << 20) -> int:
@@ -144,40 +150,101 @@ def revisions(docs: DataFrame, old: str, new: str, tokenizers: Mapping[str, Toke
     return deletes(docs, tokenizers, old).unionByName(inserts(docs, tokenizers, new))
 
 
+def later_copies(counted: DataFrame) -> DataFrame:
+    """Deletes of the documents whose content a smaller doc_id has, as signed sums per key.
+
+    ``counted`` has content and doc_id besides the counts. Documents of one content have the same
+    counts, so a content needs its number of rows per source and language, and how many of
+    them have the smallest id; these are combined before the shuffle, and a content of a third
+    of all rows is one row per task, source and language. Rows without an id are no copies.
+    """
+    per = counted.select("content", "doc_id", "source", "lang", "chars", F.explode("counts").alias("t"))
+    keys = ["content", "source", "lang", "tokenizer"]
+    per = per.select(*keys[:3], "doc_id", "chars", "t.tokenizer", "t.tokens").groupBy(*keys, "doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tokens").alias("tokens"), F.max("chars").alias("chars")
+    )
+    per = per.where("doc_id IS NOT NULL").groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        F.min(F.struct("doc_id", "n")).alias("low"),
+        F.max("tokens").alias("tokens"),
+        F.max("chars").alias("chars"),
+    )
+    first = F.min("low.doc_id").over(Window.partitionBy("content"))
+    own = F.when(F.col("low.doc_id") == F.col("first"), F.col("low.n")).otherwise(0)
+    per = per.withColumn("first", first).withColumn("copies", F.col("n") - own).where("copies > 0")
+    return per.select(
+        "source",
+        "lang",
+        "tokenizer",
+        (-F.col("copies")).alias("documents"),
+        (-F.col("copies") * F.col("tokens")).alias("tokens"),
+        (-F.col("copies") * F.col("chars")).alias("chars"),
+    )
+
+
 class Rollup:
-    """A ledger of committed batches below ``path`` (on the shared store)."""
+    """A ledger of committed batches and their totals below ``path`` (on the shared store)."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _batch(self, batch_id: str) -> str:
+        return f"{self.path}/batches/{quote(batch_id, safe='')}"
+
+    def _versions(self) -> list[str]:
+        """Complete totals, oldest first; only the newest few are kept."""
+        found = list_folders(self.spark, f"{self.path}/totals")
+        return [v for v in found if is_complete(self.spark, f"{self.path}/totals/{v}")]
+
+    def _head(self) -> tuple[int, str | None]:
+        """Number and batch folder name of the newest totals."""
+        versions = self._versions()
+        return (int(versions[-1][2:8]), versions[-1][9:]) if versions else (0, None)
 
-    def ledger(self) -> DataFrame:
-        """Signed sums per key and batch. Rows without a key only carry the id of an empty batch."""
-        try:
-            return self.spark.read.schema(LEDGER).parquet(self.path)
-        except Exception as e:  # nothing has been committed yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], LEDGER)
+    def is_committed(self, batch_id: str) -> bool:
+        return is_marked(self.spark, f"{self._batch(batch_id)}/_FOLDED") or self._head()[1] == quote(batch_id, safe="")
 
     def batches(self) -> set[str]:
-        """Committed batch ids: one small string for each batch."""
-        return {r["batch_id"] for r in self.ledger().select("batch_id").distinct().collect()}
+        """Committed batch ids, by folder names."""
+        return {b for b in map(unquote, list_folders(self.spark, f"{self.path}/batches")) if self.is_committed(b)}
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch once; False if it has been committed before."""
-        if batch_id in self.batches():
+        number, last = self._head()
+        if last is not None:  # a commit may have broken off before its mark
+            mark(self.spark, f"{self.path}/batches/{last}/_FOLDED")
+        if self.is_committed(batch_id):
             return False
         sums = changes.groupBy(*KEYS).agg(*[F.sum(s).alias(s) for s in SUMS])
-        marker = self.spark.createDataFrame([(None, None, None, 0, 0, 0)], LEDGER[: len(LEDGER) - 1])
-        rows = sums.unionByName(marker).withColumn("batch_id", F.lit(batch_id))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path)
+        sums.write.mode("overwrite").parquet(self._batch(batch_id))
+        folded = self._summed(self.totals().unionByName(self._read(self._batch(batch_id))))
+        used = [int(v[2:8]) for v in list_folders(self.spark, f"{self.path}/totals")]
+        version = f"v={max([number, *used]) + 1:06d}-{quote(batch_id, safe='')}"
+        folded.write.parquet(f"{self.path}/totals/{version}")
+        mark(self.spark, f"{self._batch(batch_id)}/_FOLDED")
+        for old in self._versions()[:-KEPT_TOTALS]:
+            remove_path(self.spark, f"{self.path}/totals/{old}")
         return True
 
-    def totals(self) -> DataFrame:
-        """Current totals per (source, lang, tokenizer)."""
-        sums = self.ledger().where("tokenizer IS NOT NULL").groupBy(*KEYS).agg(*[F.sum(s).alias(s) for s in SUMS])
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema(SIGNED).parquet(path)
+
+    def _summed(self, rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy(*KEYS).agg(*[F.sum(s).alias(s) for s in SUMS])
         return sums.where(" OR ".join(f"{s} <> 0" for s in SUMS))
 
+    def totals(self) -> DataFrame:
+        """Current totals per (source, lang, tokenizer), as the last commit left them."""
+        number, last = self._head()
+        if last is None:
+            return self.spark.createDataFrame([], SIGNED)
+        return self._read(f"{self.path}/totals/v={number:06d}-{last}")
+
+    def recounted(self) -> DataFrame:
+        """The totals summed up anew over the whole ledger, to check them."""
+        parts = [self._read(self._batch(b)) for b in sorted(self.batches())]
+        return self._summed(reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], SIGNED)))
+
     def totals_by(self, *keys: str) -> DataFrame:
         """Totals rolled up to some of the keys; counts add up, so no document is read."""
         return self.totals().groupBy(*keys).agg(*[F.sum(s).alias(s) for s in SUMS])

@@ -230,7 +230,8 @@ def _emit_blocks(window: int, rounds: int):
 
 #: A list of (anchor, content) as one flat array of longs, light to hand to Python.
 def _pair_list():
-    return F.flatten(F.collect_list(F.array("anchor", "content")))
+    """The distinct (anchor, content) of a document: no more than it has windows, however many rows repeat it."""
+    return F.flatten(F.collect_set(F.array("anchor", "content")))
 
 
 def _pairs(flat) -> set[tuple[int, int]]:

@@ -7,13 +7,16 @@ import random
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, "
     # extra columns under names that operators use inside
-    "size long, h long, fp long, ord long, sub long, words string, row long, block long, n_words long, kept string"
+    "size long, h long, fp long, ord long, sub long, words string, row long, block long, n_words long, kept string, "
+    "p_whole long, p_threshold long, p_source string, p_salt int, __mix_hash long, __copy int, __quality int, m int, "
+    "of string, copy int, failures long, bag int, part string, mask int, content string, good int, labelled long, guest int"
 )
 
 
 def pad(rows):
     """(doc_id, text, lang, source) rows with n_chars and the extra columns."""
-    return [(*r, len(r[1] or ""), 1, 2, 3, 4, 5, "x", 6, 7, 8, "y") for r in rows]
+    extra = (1, 2, 3, 4, 5, "x", 6, 7, 8, "y", 0, 9, "z", 1, 2, 3, 4, 5, "of", 6, 7, 8, "p", 9, "c", 1, 2, 3)
+    return [(*r, len(r[1] or ""), *extra) for r in rows]
 
 
 def awkward(seed: int = 5, n: int = 40, vocabulary: int = 400):

@@ -107,13 +107,20 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_stage(spark):
-    rows = awkward()
+    """One row of each group stays, also of groups of rows without an id and of repeated rows."""
+    rows = awkward() + [(2_000, "row of its own " * 3, "en", "a"), (2_000, "another text of the same id", "en", "a")]
     docs = frame(spark, rows)
     kept = simhash.keep_first_of_groups(docs)
     assert kept.columns == docs.columns
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-    expected = Counter(d for d, *_ in rows if d is None or groups[d] == d)
-    assert Counter(r.doc_id for r in kept.collect()) == expected
+    # by brute force: rows without an id are documents behind all others, equal texts one of them
+    behind = {t: 10**12 + k for k, t in enumerate(sorted({t or "" for d, t, *_ in rows if d is None}))}
+    nodes = [(behind[t or ""] if d is None else d, brute_fingerprint(t)) for d, t, *_ in rows]
+    groups = brute_components(nodes)
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert sum(got.values()) == len(set(groups.values()))
+    firsts = {(d, t) for (i, _), (d, t, *_) in zip(nodes, rows, strict=True) if groups[i] == i}
+    assert set(got) <= firsts and {d for d, _ in got} == {d for d, _ in firsts}
+    assert sum(d == 2_000 for d, _ in got) == 1
 
 
 def test_empty_table(spark):

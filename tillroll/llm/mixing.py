@@ -13,8 +13,8 @@ the hash, so a source with any share of the rows spreads over ``SALTS`` keys.
 Rows: a null text has size 0. A null source is a source of its own, the last in the order.
 The hash covers doc_id and text, so rows that repeat both share one decision; a repeated
 or null doc_id with another text does not. Documents of size 0 take no words and have no
-copies. Columns of ``docs``
-are never overwritten: the slim table below has only its own.
+copies. Columns of ``docs`` of any name are kept as they are: the mix carries each row as one
+struct beside its own columns.
 """
 
 from __future__ import annotations
@@ -185,10 +185,14 @@ def mixed_documents(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: float = MAX_REPEATS
 ) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, columns unchanged."""
-    text, h = F.col("text"), "__mix_hash"
-    hashed = text_hash(F.col("doc_id"), text)
-    slim = written(docs.select("source", text_size(text).alias("size"), hashed.alias("h")), "slim")
-    plan = mix_plan(slim, weights, max_repeats)
-    joined = join_sources(docs.withColumn(h, hashed), plan, docs["source"], F.col(h))
-    repeated = joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), _copies(text_size(text), F.col(h)).cast("int"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    text = F.col("text")
+    own = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        F.col("source").alias("of"),
+        text_size(text).alias("size"),
+        text_hash(F.col("doc_id"), text).alias("h"),
+    )
+    plan = mix_plan(written(own.select(F.col("of").alias("source"), "size", "h"), "slim"), weights, max_repeats)
+    joined = join_sources(own, plan, F.col("of"), F.col("h"))
+    copies = _copies(F.col("size"), F.col("h")).cast("int")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).select("row.*")

@@ -201,8 +201,7 @@ def ablations(
 
 
 def keep_good(docs: DataFrame, policy: Policy = PROSE, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass the policy, all columns unchanged."""
-    m = "__quality"
-    bits = failure_bits(rules(), lambda k: F.col(f"{m}.{k}"))
-    judged = docs.withColumn(m, measure(F.col(text_col)))
-    return judged.where(bits.bitwiseAND(F.lit(mask_of(policy)).cast("long")) == 0).drop(m)
+    """The rows of ``docs`` that pass the policy, all columns unchanged (they travel as one struct)."""
+    bits = failure_bits(rules(), lambda k: F.col(f"m.{k}"))
+    judged = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), measure(docs[text_col]).alias("m"))
+    return judged.where(bits.bitwiseAND(F.lit(mask_of(policy)).cast("long")) == 0).select("row.*")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_words, written
+from .common import LAST, text_words, written
 from .components import connected_components
 
 #: Fixed values of the contract.
@@ -219,7 +219,20 @@ def near_duplicates(
 
 
 def keep_first_of_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component (or have no doc_id), columns unchanged."""
-    found = near_duplicates(docs, shingle, max_bits)
-    later = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, docs["doc_id"].cast("long") == later["doc_id"], "left_anti")
+    """One row of each group, columns unchanged: the one of the smallest doc_id.
+
+    Rows without a doc_id belong to groups too, under an id from their text behind all others.
+    Of several rows with the smallest id the one with the least hash of the text stays (any of
+    them, if their texts are equal). Columns of any name are kept; a text may be null, empty or
+    of any length; an empty table gives no rows.
+    """
+    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST) - F.pmod(F.xxhash64(docs["text"]), F.lit(1 << 62)))
+    found = near_duplicates(docs.select(own.alias("doc_id"), docs["text"].alias("text")), shingle, max_bits)
+    later = found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    several = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), own.alias("own"))
+    first = rows.join(later, F.col("own") == later["id"], "left_anti")
+    alone = first.join(several, F.col("own") == several["id"], "left_anti")
+    one = first.join(several, F.col("own") == several["id"], "left_semi")
+    one = one.groupBy("own").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return alone.select("row.*").unionByName(one.select("row.*"))

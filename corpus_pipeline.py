@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
 and read again as the next stage's ``docs``. All but the last return the columns of
 ``documents``.
+
+Every stage takes nulls in any column, empty and very long texts, ties, repeated rows, further
+columns of any name and an empty table: null and empty texts fail the quality rules, so they go
+with the first stage; rows without a doc_id form groups of near copies like others, lose words
+that any document with an id has too, and are mixed by their text; an empty table stays empty
+through all stages.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import bpe, mixing, quality, simhash, substring
 from tillroll.llm.queries import TOKENIZER
-from tillroll.session import ensure_checkpoint_dir
+from tillroll.session import ensure_checkpoint_dir, remove_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies stays."""
+    """One document of each group of near copies stays, that of the smallest doc_id."""
     return simhash.keep_first_of_groups(docs)
 
 
@@ -61,4 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # nothing reads the stage before any more
+            remove_path(spark, f"{folder}/{k - 1}")
     return docs

@@ -62,6 +62,70 @@ def test_raw_text_reaches_to_its_end_tag():
         assert texts(f"<p>a<{tag}>x<p>y") == ["a"]
 
 
+def test_quotes_in_tags():
+    assert texts('<a href="x>a link') == ["a link"] and texts("<p title='x>text</p>") == ["text"]
+    assert texts("<p title=Bob's>it's here, isn't it</p>") == ["it's here, isn't it"]
+    assert texts("<p title = \"a > b\" class='c > d'>x</p>") == ["x"]
+    assert texts('<p a==">y</p>"><b>z') == ["z"]
+
+
+def test_parsing_takes_time_in_proportion():
+    import time
+
+    def seconds(source):
+        start = time.perf_counter()
+        H.parse(source)
+        return time.perf_counter() - start
+
+    for unit in ("<b>x<p>", "<b><p>", "</i>y<div><b>", "<li><b>", '<a href="x', "<p a=b'"):
+        assert seconds(unit * 40_000) < 6
+    assert seconds("<b>" * 40_000 + "<p>" * 40_000) < 6
+
+
+HAND_WRITTEN = [
+    ("<article><p>line one<br>line two</p><p>para<span> in</span>line</p></article>", "line one line two\npara inline"),
+    ("<html><body><p>Short words.</p></body></html>", "Short words."),
+    ("Two short sentences. Without any tags.", "Two short sentences. Without any tags."),
+    (
+        "<article><h1>Title</h1><p>This is a paragraph of the article, long enough to be seen as text.</p>"
+        "<table><tr><td>a1</td><td>b1</td></tr><tr><td>a2</td><td>b2</td></tr></table><h2>Part two</h2>"
+        "<ul><li>first</li><li>second</li></ul><p>Another paragraph that ends the article here.</p></article>",
+        "Title\nThis is a paragraph of the article, long enough to be seen as text.\na1\nb1\na2\nb2\nPart two\n"
+        "first\nsecond\nAnother paragraph that ends the article here.",
+    ),
+    (
+        "<main><h1>Name</h1><table><tr><td>x</td><td>y</td></tr></table><pre>code = 1</pre><p>Text that goes on.</p></main>",
+        "Name\nx\ny\ncode = 1\nText that goes on.",
+    ),
+    (
+        '<div class="qzx"><div class="foo1">Two short paragraphs.</div><div class="foo1">Under unknown names.</div></div>',
+        "Two short paragraphs.\nUnder unknown names.",
+    ),
+    (
+        "<html><head><title>t</title></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav>"
+        '<header><a href=/>Site</a></header><div class="story"><h1>Big news today</h1><table><tr><th>k</th><th>v</th></tr>'
+        '<tr><td>one</td><td>1</td></tr></table><p>Short.</p></div><div class="ad">Buy now the best thing ever. Click here.</div>'
+        "<footer>&copy; 2024 site.example all rights</footer></body></html>",
+        "Big news today\nk\nv\none\n1\nShort.",
+    ),
+]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_hand_written_pages(spark, sf):
+    """Pages that the training layouts do not make; whichever pages the sentences come from."""
+    fitted = H.train(table(spark, f"/root/testdata/{sf}", "pages"))
+    assert fitted.extract([source for source, _ in HAND_WRITTEN]) == [text for _, text in HAND_WRITTEN]
+
+
+def test_sample_is_bounded_and_of_different_pages(spark):
+    rows = [(k, "u", "<p>One page that a third of all rows repeat. It has two sentences.</p>") for k in range(300)]
+    rows += [(k, "u", f"<p>Page number {k}. It has its own words.</p>") for k in range(300, 900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = H.train(pages, max_pages=20)
+    assert model.extract([rows[0][2]])[0].startswith("One page")
+
+
 def test_features_are_finite_and_one_row_per_node():
     p = H.parse("<div class='ad sidebar'><p>x. y</p><a href=/>l</a></div>")
     x = H.features(p)

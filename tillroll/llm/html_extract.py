@@ -7,9 +7,10 @@ likely labelling in which every descendant of a kept element is kept and every d
 of a dropped element is dropped; only mixed elements leave the choice to their children.
 
 There are no labelled pages, so training lays the sentences of a bounded sample of the
-pages (``max_pages``, chosen by a hash) out anew, as articles and as the menus, adverts,
-notices, sidebars, comments and footers around and inside them; there every node's label
-is known. Every page is extracted from its whole html.
+pages (``max_pages``, chosen by a hash; at most ``max_sentences``) out anew: as paragraphs,
+headings, lists, tables, preformatted and bare text, in articles, under unknown class names or
+straight in the body, and as the menus, adverts, notices, sidebars, comments and footers around
+and inside them; there every node's label is known. Every page is extracted from its whole html.
 
 Rows: null, empty and text-free html gives the empty text. A page that repeats is
 extracted each time. Unclosed, misnested and unknown tags are read leniently; script,
@@ -24,6 +25,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 # -- parsing -----------------------------------------------------------------------------
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    # a quote counts behind "=" only, and only if it ends somewhere
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
+    r"|<([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -91,6 +95,7 @@ class _Builder:
         self.page = Page()
         root = self.page.add("#root", -1)
         self.open: list[tuple[str, int]] = [("#root", root)]  # tag, and node of the nearest block
+        self.n_open: Counter[str] = Counter()  # open elements by tag
         self.run: list[str] = []
         self.link_depth = self.run_links = self.run_link_chars = 0
 
@@ -117,17 +122,23 @@ class _Builder:
             self.flush()
             if tag in _ENDS:
                 self.end_open(*_ENDS[tag])
-            elif any(t == "p" for t, _ in self.open):
+            else:
                 self.end_open({"p"}, {"td", "th", "div", "article", "section", "li", "blockquote"})
             found = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(attributes)) if attributes else ""
-            self.open.append((tag, self.page.add(tag, self.open[-1][1], found.lower())))
+            self.push(tag, self.page.add(tag, self.open[-1][1], found.lower()))
             return
         if tag == "a":
             self.link_depth += 1
             self.run_links += 1
-        self.open.append((tag, self.open[-1][1]))
+        self.push(tag, self.open[-1][1])
+
+    def push(self, tag: str, node: int) -> None:
+        self.open.append((tag, node))
+        self.n_open[tag] += 1
 
     def end_open(self, tags: set[str], limits: set[str]) -> None:
+        if not any(self.n_open[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] in tags:
                 self.close_to(k)
@@ -136,6 +147,8 @@ class _Builder:
                 return
 
     def end(self, tag: str) -> None:
+        if not self.n_open[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
                 if tag in _BLOCK or any(t in _BLOCK for t, _ in self.open[k:]):
@@ -144,7 +157,9 @@ class _Builder:
                 return
 
     def close_to(self, k: int) -> None:
-        self.link_depth -= sum(t == "a" for t, _ in self.open[k:])
+        for tag, _ in self.open[k:]:
+            self.n_open[tag] -= 1
+            self.link_depth -= tag == "a"
         del self.open[k:]
 
 
@@ -197,8 +212,9 @@ def parse(source: str | None) -> Page:
     silent: list[str] = []  # open elements from a silent one on
     lasting = False  # the silent element has an end tag
     closed: dict[str, set[int]] = {}
+    last = max(source.rfind(">"), source.find("<!--"))  # behind it no markup ends
     while True:
-        m = _MARKUP.search(source, at)
+        m = _MARKUP.search(source, at) if at <= last else None
         end = m.start() if m else len(source)
         if end > at and not silent:
             b.words(source[at:end])
@@ -461,21 +477,58 @@ class _Layouts:
     def links(self, low: int, high: int) -> str:
         return "".join(f'<li><a href="/">{self.word()}</a></li>' for _ in range(self.r.randint(low, high)))
 
+    def few(self, low: int = 1, high: int = 4) -> str:
+        """A few words, as headings, cells, items and captions have them."""
+        words = self.r.choice(self.sentences).split() or ["x"]
+        first = self.r.randrange(len(words))
+        found = words[first : first + self.r.randint(low, high)]
+        if self.r.random() < 0.15:
+            found = [str(self.r.randrange(10 ** self.r.randint(1, 5)))]
+        return html.escape(" ".join(found), quote=False)
+
+    def bit(self) -> str:
+        """A few words or a sentence or two."""
+        return self.few() if self.r.random() < 0.5 else self.some(1, 2)
+
+    def unknown(self, tag: str) -> str:
+        """A start tag, sometimes with a class that no list knows."""
+        if self.r.random() < 0.7:
+            return f"<{tag}>"
+        name = "".join(self.r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(self.r.randint(2, 8)))
+        return f'<{tag} class="{name}">' if self.r.random() < 0.7 else f'<{tag} id="{name}">'
+
+    def table(self) -> str:
+        columns = self.r.randint(1, 4)
+        row = lambda t: "<tr>" + "".join(f"<{t}>{self.bit() if columns < 3 else self.few()}</{t}>" for _ in range(columns)) + "</tr>"
+        head = row("th") if self.r.random() < 0.5 else ""
+        return self.element(self.unknown("table"), head + "".join(row("td") for _ in range(self.r.randint(1, 6))))
+
     def paragraph(self) -> str:
         r = self.r.random()
-        if r < 0.1:
+        if r < 0.06:
             return f"<p><b>{self.some(1, 3)}<br><p>{self.some(1, 4)}</p>"
-        if r < 0.2:
+        if r < 0.12:
             return f'<p>{self.some(1, 3)} <a href="/">{self.word()}</a> {self.some(0, 2)}</p>'
-        if r < 0.25:
-            return "<ul>" + "".join(f"<li>{self.some(1, 1)}</li>" for _ in range(self.r.randint(2, 4))) + "</ul>"
-        if r < 0.3:
-            return f"<h2>{self.some(1, 1)}</h2>"
-        if r < 0.35:
-            return f"<blockquote>{self.some(1, 2)}</blockquote>"
+        if r < 0.2:
+            kind = self.r.choice(("ul", "ol"))
+            return self.element(self.unknown(kind), "".join(f"<li>{self.bit()}</li>" for _ in range(self.r.randint(1, 6))))
+        if r < 0.28:
+            return self.element(f"<h{self.r.randint(2, 5)}>", self.few(1, 7) if self.r.random() < 0.7 else self.some(1, 1))
+        if r < 0.36:
+            return self.table()
         if r < 0.4:
-            return f"<div>{self.some(1, 3)}</div>"
-        return f"<p>{self.some(1, 5)}</p>"
+            return self.element(self.r.choice(("<blockquote>", "<pre>", "<pre>")), self.bit())
+        if r < 0.44:
+            return self.element(self.unknown("div"), self.bit())
+        if r < 0.48:
+            return "<p>" + "<br>".join(self.bit() for _ in range(self.r.randint(2, 5))) + "</p>"
+        if r < 0.51:
+            return "<dl>" + "".join(f"<dt>{self.few()}</dt><dd>{self.bit()}</dd>" for _ in range(self.r.randint(1, 4))) + "</dl>"
+        if r < 0.54:
+            return f"<figure><img src=x><figcaption>{self.bit()}</figcaption></figure>"
+        if r < 0.66:
+            return self.element(self.unknown("p"), self.few(1, 6))
+        return self.element(self.unknown("p"), self.some(1, 5))
 
     def boilerplate(self, what: str) -> str:
         opening = self.r.choice(_BOILERPLATE[what])
@@ -499,24 +552,54 @@ class _Layouts:
             inner = self.some(1, 2)
         return self.element(opening, inner, _DROP)
 
-    def page(self) -> str:
+    def parts(self) -> list[str]:
         r = self.r
-        parts = [self.element(r.choice(("<h1>", "<h1>", "<h2>")), self.some(1, 1))]
-        parts += [self.paragraph() for _ in range(r.choice((0, 1, 2, 3, 5, 8, 12)))]
+        heading = [self.element(r.choice(("<h1>", "<h1>", "<h2>")), self.bit())] if r.random() < 0.8 else []
+        n = r.choice((0, 1, 1, 2, 3, 5, 8, 12))
+        return heading + [self.paragraph() for _ in range(n if heading else max(n, 1))]
+
+    def article(self) -> str:
+        """An element with the main text: all of it, or with strange parts inside."""
+        r, parts = self.r, self.parts()
+        opening = r.choice(_ARTICLES) if r.random() < 0.7 else self.unknown(r.choice(("article", "div", "section", "main")))
+        if r.random() < 0.2:  # grouped once more
+            k = r.randint(0, len(parts))
+            parts = parts[:k] + [self.element(self.unknown(r.choice(("div", "section"))), "".join(parts[k:]) or self.some(1, 1))]
         inside = [w for w in ("ad", "related", "side", "notice", "comments") if r.random() < 0.12]
-        opening = r.choice(_ARTICLES)
-        if inside:  # the article itself is mixed then; its own parts carry the labels
-            marked = [re.sub(r"^<(\w+)", rf"<\1{_KEEP}", p) for p in parts]
-            marked = [p.replace("<br><p>", f"<br><p{_KEEP}>") for p in marked]
-            for w in inside:
-                marked.insert(len(marked) if w == "comments" else r.randint(1, len(marked)), self.boilerplate(w))
-            body = self.element(opening, "".join(marked))
-        else:
-            body = self.element(opening, "".join(parts), _KEEP)
-        before = [w for w in ("header", "menu", "crumbs", "notice", "ad", "side") if r.random() < 0.45]
-        after = [w for w in ("ad", "related", "comments", "form", "side", "footer", "notice") if r.random() < 0.35]
+        if not inside:
+            return self.element(opening, "".join(parts), _KEEP)
+        # the article itself is mixed then; its own parts carry the labels
+        marked = [re.sub(r"^<(\w+)", rf"<\1{_KEEP}", p) for p in parts]
+        marked = [p.replace("<br><p>", f"<br><p{_KEEP}>") for p in marked]
+        for w in inside:
+            marked.insert(len(marked) if w == "comments" else r.randint(1, len(marked)), self.boilerplate(w))
+        return self.element(opening, "".join(marked))
+
+    def plain(self) -> str:
+        """Main text without an element of its own: paragraphs, lines or bare text in the body."""
+        r = self.r.random()
+        if r < 0.35:
+            return "".join(self.parts())
+        if r < 0.5:
+            return "<br>".join(self.bit() for _ in range(self.r.randint(1, 6)))
+        if r < 0.65:
+            return self.element(self.unknown("p"), self.bit())
+        if r < 0.85:
+            lines = [self.element(self.unknown("div"), self.bit()) for _ in range(self.r.randint(1, 5))]
+            return self.element(self.unknown("div"), "".join(lines))
+        return self.some(1, 5)
+
+    def page(self) -> str:
+        r = self.r
+        # some pages are nothing but their text
+        alone = r.random() < 0.15
+        before = [w for w in ("header", "menu", "crumbs", "notice", "ad", "side") if not alone and r.random() < 0.45]
+        after = [w for w in ("ad", "related", "comments", "form", "side", "footer", "notice") if not alone and r.random() < 0.35]
         r.shuffle(before)
-        whole = "".join(map(self.boilerplate, before)) + body + "".join(map(self.boilerplate, after))
+        around = ["".join(map(self.boilerplate, names)) for names in (before, after)]
+        if r.random() < 0.25:
+            return f"<html><body{_KEEP}>{around[0]}{self.plain()}{around[1]}</body></html>"
+        whole = around[0] + self.article() + around[1]
         if r.random() < 0.3:
             whole = self.element(r.choice(_WRAPPERS), whole)
         return f"<html><body>{whole}</body></html>"
@@ -549,7 +632,7 @@ class Extractor:
     only: Gbt
 
     @classmethod
-    def fit(cls, sentences: list[str], n_pages: int = 400, seed: int = 11, params: GbtParams = GbtParams()) -> Extractor:
+    def fit(cls, sentences: list[str], n_pages: int = 800, seed: int = 11, params: GbtParams = GbtParams()) -> Extractor:
         layouts = _Layouts(sentences or ["x"], seed)
         pages = [parse(layouts.page()) for _ in range(n_pages)]
         share = np.concatenate([labels(p) for p in pages])
@@ -613,15 +696,38 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def train(pages: DataFrame, max_pages: int = 200, max_sentences: int = 20_000) -> Extractor:
-    """Fit on layouts of sentences from at most ``max_pages`` pages with the smallest hashes."""
-    sample = pages.where("html IS NOT NULL").select("html", F.xxhash64("html").alias("h"))
-    rows = sample.orderBy("h").limit(max_pages).collect()  # bounded by max_pages
-    runs = [t for r in rows for t in parse(r["html"]).text if t]
-    sentences = sorted({s for t in runs for s in _SENTENCE.split(t) if s})
+    """Fit on layouts of sentences of the ``max_pages`` different pages with the smallest hashes, at
+    most ``max_sentences`` of them, evenly spread over their order."""
+    hashed = pages.where("html IS NOT NULL").select("html", F.xxhash64("html").alias("h"))
+    # numbers only: no page moves before the cut is known
+    lowest = hashed.select("h").distinct().orderBy("h").limit(max_pages).agg(F.max("h")).first()[0]
+
+    @F.pandas_udf("array<string>")
+    def sentences_of(sources: pd.Series) -> pd.Series:
+        return pd.Series([sorted({x for t in parse(s).text for x in _SENTENCE.split(t) if x}) for s in sources], dtype=object)
+
+    if lowest is None:
+        return Extractor.fit([])
+    chosen = hashed.where(F.col("h") <= lowest).groupBy("h").agg(F.any_value("html").alias("html"))
+    rows = chosen.select(sentences_of("html").alias("s")).collect()  # max_pages pages' sentences
+    sentences = sorted({x for r in rows for x in r["s"]})
     return Extractor.fit(sentences[:: max(1, len(sentences) // max_sentences)])
 
 
-def extract(pages: DataFrame, model: Extractor, group: int = 400) -> DataFrame:
+def _slices(sources: list[str | None], chars: int) -> Iterator[list[str | None]]:
+    """Pages in order, in lists of about so many characters."""
+    held, size = [], 0
+    for s in sources:
+        held.append(s)
+        size += len(s or "") + 100
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def extract(pages: DataFrame, model: Extractor, slice_chars: int = 1 << 20) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text."""
     trees = [(m.base, m.feature, m.cut, m.leaf) for m in (model.some, model.only)]
     shared = pages.sparkSession.sparkContext.broadcast(trees)  # size fixed by trees and depth
@@ -631,8 +737,8 @@ def extract(pages: DataFrame, model: Extractor, group: int = 400) -> DataFrame:
         fitted = Extractor(*[Gbt(*t) for t in shared.value])
         for sources in batches:
             found: list[str] = []
-            for k in range(0, len(sources), group):  # a bounded number of trees in memory at a time
-                found += fitted.extract(sources.iloc[k : k + group].tolist())
+            for part in _slices(sources.tolist(), slice_chars):  # a bounded number of trees in memory at a time
+                found += fitted.extract(part)
             yield pd.Series(found, dtype=object)
 
     return pages.select("page_id", "url", of(F.col("html")).alias("text"))

@@ -114,8 +114,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.ledger(table(spark, sf_dir, "documents"))
-    judged = quality.apply_policy(judged, quality.PROSE)
+    """The ledger is stored once; the policies read its bits back."""
+    stored = written(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger")
+    judged = quality.apply_policy(stored, quality.PROSE)
     return judged.select(
         "doc_id",
         "n_words",

@@ -4,7 +4,8 @@ The flagship's first run in the new session is printed as ``cold_first_pass`` be
 queries; it also warms up class loading, JIT and the codegen cache for the rest. Each
 query's plan is executed in full with the ``noop`` sink (no driver collect).
 The model's parts (cross-validated metrics, permutation importance, partial dependence,
-summary document) are timed in one study, in this order, each with the fits it needs.
+summary document) are timed in one study, in this order; all models (five folds and the
+hold-out) are fitted together and count under the metrics.
 ``end_to_end`` computes every output of the study in one session, the way a user
 runs it: the cleaned line items and the scored customers are cached once and shared.
 """

@@ -7,9 +7,9 @@ reports stores once.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -138,25 +138,36 @@ def cardinalities_from_sketches(sketches: DataFrame) -> DataFrame:
     )
 
 
-def quality_flags(raw: DataFrame, params: AnalysisParams) -> DataFrame:
-    """Q4 + F11 in one shuffle: group by all eight columns, then weigh each flag.
+def row_key(n_hashes: int = 3) -> list[Column]:
+    """A line by 64-bit hashes of its eight columns, each from a seed of its own.
 
-    Every flag is a function of the row, so it is constant inside a group of exact
-    copies; the group count gives both the row count and the duplicate excess.
+    Three of them make 192 bits: among 10^13 lines, two that differ share all three with a
+    probability below 10^-31.
     """
-    groups = raw.groupBy(*RAW_COLUMNS).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.col("_n")
+    return [F.xxhash64(F.lit(k), *map(F.col, RAW_COLUMNS)).alias(f"_h{k}") for k in range(n_hashes)]
+
 
-    def weighted(cond):
-        return F.sum(F.when(cond, n).otherwise(0)).cast("bigint")
+def quality_flags(raw: DataFrame, params: AnalysisParams) -> DataFrame:
+    """Q4 + F11 in one shuffle that carries hashes in place of the lines.
 
+    Every flag is a function of the row, so it is constant inside a group of exact copies;
+    the group count gives both the row count and the duplicate excess. Copies meet by
+    ``row_key`` and a line's five flags travel as the bits of one number.
+    """
+    flags = {
+        "cancellations": C.as_text("InvoiceNo").startswith(params.cancel_prefix),
+        "non_positive_quantity": F.col("Quantity") <= 0,
+        "non_positive_price": F.col("UnitPrice") <= 0,
+        "missing_customer": F.col("CustomerID").isNull(),
+    }
+    bits = reduce(Column.bitwiseOR, [F.when(c, 1 << k).otherwise(0) for k, c in enumerate(flags.values())])
+    keyed = raw.select(*row_key(), bits.alias("_bits"))
+    groups = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("_n"))
+    weighted = lambda k: F.sum(F.when(F.col("_bits").bitwiseAND(F.lit(1 << k)) != 0, F.col("_n")).otherwise(0))
     return groups.agg(
-        F.sum(n).cast("bigint").alias("rows"),
-        weighted(C.as_text("InvoiceNo").startswith(params.cancel_prefix)).alias("cancellations"),
-        weighted(F.col("Quantity") <= 0).alias("non_positive_quantity"),
-        weighted(F.col("UnitPrice") <= 0).alias("non_positive_price"),
-        weighted(F.col("CustomerID").isNull()).alias("missing_customer"),
-        F.sum(n - 1).cast("bigint").alias("exact_duplicates"),
+        F.sum("_n").cast("bigint").alias("rows"),
+        *[weighted(k).cast("bigint").alias(name) for k, name in enumerate(flags)],
+        F.sum(F.col("_n") - 1).cast("bigint").alias("exact_duplicates"),
     )
 
 

@@ -73,6 +73,7 @@ class AnalysisParams:
     gbt_no_change: int = 10
     gbt_refresh: int = 10  # trees between two writes of the margins
     gbt_local_rows: int = 1 << 15  # a leaf of so many rows grows on from its rows
+    customer_buckets: int = 16  # of published customer tables; on a cluster about bytes / 128 MB
     # guard rails (lower, upper); None = open
     guard_revenue: tuple[float | None, float | None] = (5_000_000.0, 15_000_000.0)
     guard_customers: tuple[float | None, float | None] = (3_000.0, 5_000.0)

@@ -27,7 +27,7 @@ from ..operators.ranking import global_rank
 from ..operators.summary import SUMMARY_SCHEMA, summary_core, summary_frame, top_segments_report
 from ..params import RULE_MIN_INVOICES, test_table_params
 from ..session import ensure_checkpoint_dir, reliable_checkpoint
-from ..sources import tpch_adapter
+from ..sources import published, tpch_adapter
 from ..sources.io import load_line_items, read_json_result, write_line_items, write_summary
 from ..sources.schema import CLEAN_COLUMNS
 from .analysis import RetailAnalysis
@@ -131,6 +131,20 @@ def q_stored_customers(spark, sf_dir):
     return RetailAnalysis.from_stored(spark, _stored_lines(spark, sf_dir), test_table_params(), cache=False).customers
 
 
+def q_published_customers(spark, sf_dir):
+    """Active customers per segment and month, from the customer frame and the active months
+    published by customer: the join reads their buckets side by side."""
+    a = _a(spark, sf_dir)
+    folder = f"{ensure_checkpoint_dir(spark)}/published"
+    tag = uuid.uuid4().hex
+    published.publish(a.customers, f"customers_{tag}", folder, a.params.customer_buckets)
+    published.publish(H.active_months(a.with_customer), f"active_months_{tag}", folder, a.params.customer_buckets)
+    both = spark.table(f"customers_{tag}").join(spark.table(f"active_months_{tag}"), "CustomerID")
+    return both.groupBy("Segment", C.month_label("InvMonth").alias("month")).agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("orders").alias("lines")
+    )
+
+
 def q_cardinality_rollup(spark, sf_dir):
     """Q3 rolled up from stored month sketches, beside the exact counts: is every estimate
     within three standard errors?"""
@@ -236,8 +250,9 @@ def q_retention_matrix(spark, sf_dir):
 
 
 def q_retained_matrix(spark, sf_dir):
+    """From the cohort rows (customer, month), where the other retention reports use month bitmasks."""
     a = _a(spark, sf_dir)
-    return H.retention_matrix(a.retention_long(), a.params, value="retained")
+    return H.retention_matrix(H.retention_long(_cohorted(a), a.params), a.params, value="retained")
 
 
 def q_retention_lines(spark, sf_dir):
@@ -406,6 +421,7 @@ QUERIES: dict[str, QueryFn] = {
     "customer_features": q_customer_features,
     "customer_ledger": q_customer_ledger,
     "stored_customers": q_stored_customers,
+    "published_customers": q_published_customers,
     "customer_frame": q_customer_frame,
     "frequency_rank": q_frequency_rank,
     "rfm_triples": q_rfm_triples,

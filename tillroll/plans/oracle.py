@@ -517,6 +517,13 @@ SELECT fold, CASE WHEN np > 0 AND nn > 0 THEN (s - np * (np + 1) / 2.0) / (np *
         whole = "SELECT * REPLACE (CAST(TotalQuantity AS BIGINT) AS TotalQuantity) FROM ({}) f"
         out["customer_ledger"] = whole.format(out["customer_features"])
         out["stored_customers"] = whole.format(out["customer_frame"])
+        out["published_customers"] = W(
+            scored,
+            """act AS (SELECT CustomerID, strftime(InvoiceDate, '%Y-%m') AS month, count(*) AS orders
+        FROM cust_rows WHERE NOT IsCancellation GROUP BY ALL)
+SELECT Segment, month, count(*) AS customers, CAST(sum(orders) AS BIGINT) AS lines
+FROM scored JOIN act USING (CustomerID) GROUP BY Segment, month""",
+        )
         counts = ("distinct_invoices", "distinct_stock_codes", "distinct_customers", "countries")
         within = ", ".join(f"TRUE AS {c}_within_bound" for c in counts)
         out["cardinality_rollup"] = f"SELECT *, {within} FROM ({out['cardinalities']}) c"

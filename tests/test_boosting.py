@@ -257,3 +257,25 @@ def test_rounds_per_fit(spark):
     assert trees[0] == trees[1]
     per_fit = [fit.jobs * (100 / 12) / 6 for fit in fits]
     assert per_fit[0] < 25 and per_fit[1] < 200
+
+
+def test_driver_reads_splits_only_and_rows_spread(spark, monkeypatch):
+    """A round sends the driver splits: no histogram and no rows, however large the leaves are."""
+    got, table = [], type(spark.range(1))
+    read = table.toArrow
+    monkeypatch.setattr(table, "toArrow", lambda self: got.append(read(self)) or got[-1])
+    n = 24_000
+    df = spark.range(0, n, 1, 1).select(
+        F.col("id").alias("CustomerID"),
+        *[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)).cast("double").alias(c) for k, c in enumerate(FEATURES)],
+    )
+    df = df.withColumn(M.LABEL, (F.col("x") + F.col("y") > 1100).cast("int")).withColumn("member", F.lit(3))
+    for local_rows in (1 << 15, 2000):
+        got.clear()
+        fit = B.Boosting(df, M.LABEL, "CustomerID", P.with_(gbt_max_iter=3, gbt_max_bins=255, gbt_local_rows=local_rows), 2)
+        files = fit.blocks.select(F.input_file_name()).distinct().count()
+        assert files == min(spark.sparkContext.defaultParallelism, n // 4000)
+        fit.fit()
+        assert len(got) >= 3 and sum(t.nbytes for t in got) < 3 * 2 * P.gbt_max_leaves * 400
+        assert not fit.persisted
+    assert all(len(m.model.trees) == 3 for m in fit.models)

@@ -2,25 +2,26 @@
 
 Features are cut into at most ``max_bins`` bins at exact quantiles (midpoints between the
 neighbouring values; every distinct value if there are fewer) and packed, a block of
-customers per row, with one byte per feature. A round is one DataFrame aggregation: every
-task adds up counts, gradients and hessians per (model, leaf, feature, bin) over its blocks,
-the sums are combined by key, and the driver reads at most ``max_leaves`` x features x bins
-of them per model. Of two children only the smaller is counted; the other is its parent less
-the sibling. Gradients are whole multiples of 2^-30, so the sums, and with them the trees,
-do not depend on the order of the rows.
+customers per row, with one byte per feature, spread over the cores. A round is one DataFrame
+aggregation: every task adds up counts, gradients and hessians per (model, leaf, feature, bin)
+over its blocks, the sums of a (model, leaf) meet in one group of at most features x bins of them
+per task, and the group answers with its best split. The driver reads the splits only.
+Gradients are whole multiples of 2^-30, so the sums, and with them the trees, do not depend on
+the order of the rows.
 
 Trees grow best first: the leaf with the largest gain is split next, until ``max_leaves``.
 The choice needs the gains of all present leaves, so a round asks for the children of every
-leaf that would be split with what is known; a leaf expanded in vain is dropped again. Below a
-leaf of at most ``local_rows`` rows nothing is asked any more: its rows (a byte per feature,
-gradient, hessian) are read once and the rest of the subtree grows from them. The sums are the
-same whole numbers either way, so the bound decides on the number of rounds, not on the trees.
+leaf that would be split with what is known; a leaf expanded in vain is dropped again. The rows
+of a child of at most ``local_rows`` rows (a byte per feature, gradient, hessian) meet in one
+group, which grows the subtree below it, as far as the tree could still take it, and answers with
+the splits. The sums are the same whole numbers either way, so the bound decides on the number of
+rounds, not on the trees.
 
 All models of a study (one per fold, one for the hold-out split) share the blocks and the
-rounds: a row carries a bit per model that trains on it and one margin per model. Every few
-trees the margins are brought up to date and the blocks written anew to the shared checkpoint
-folder; between these points a round starts from the stored margins, so a lost
-executor costs one round. When all trees are grown, the margins of the rows that a model did
+rounds: a row carries a bit per model that trains on it and one margin per model. Once all models
+have grown a tree, the margins are brought up to date in a persisted frame of blocks; every few
+trees the blocks are written anew to the shared checkpoint folder, so a lost executor costs the
+margins of these few trees. When all trees are grown, the margins of the rows that a model did
 not train on are its out-of-fold predictions, without another pass over a model.
 
 With more than ``early_stopping_rows`` training rows a tenth of them (by a hash of the id) is
@@ -34,13 +35,13 @@ from __future__ import annotations
 import heapq
 import sys
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +55,9 @@ _BINS = 256
 _ONE = 1 << 30  # gradients and hessians are counted in units of 1 / _ONE
 _LOSS = 4095  # the slot that carries a model's validation loss
 _MIN_HESSIAN = 1e-3
+_SLOTS = 4096  # of a model's keys in a round: its nodes by place, and the loss
+_TASK_ROWS = 4_000, 250_000  # a task has so many rows before there are more, and at most about so many
+_BLOCK_ROWS = 1 << 15  # customers in a block; their sums stay far below 2^53
 
 
 # --------------------------------------------------------------------------------- bins
@@ -142,23 +146,36 @@ class Tree:
             column.append(x)
         return len(self.left) - 1
 
-    def leaves(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of every row."""
-        feature, cut, left, right = (np.array(x, np.int32) for x in (self.feature, self.bin, self.left, self.right))
-        missing_left = np.array(self.missing_left)
-        node = np.zeros(len(bins), np.int32)
-        rows = np.arange(len(bins))
-        while True:
-            rows = rows[left[node[rows]] >= 0]
+    def spread(self, bins: np.ndarray, rows: np.ndarray, ends: Collection[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(node, its rows) for the leaves, or for the nodes ``ends`` only; nodes without rows are left out."""
+        through = None if ends is None else self._above(ends)
+        open_nodes = [(0, rows)]
+        while open_nodes:
+            node, rows = open_nodes.pop()
             if not len(rows):
-                return node
-            at = node[rows]
-            b = bins[rows, feature[at]]
-            goes_left = np.where(b == MISSING, missing_left[at], b <= cut[at])
-            node[rows] = np.where(goes_left, left[at], right[at])
+                continue
+            if self.left[node] < 0 if ends is None else node in ends:
+                yield node, rows
+            elif through is None or node in through:
+                b = bins[:, self.feature[node]][rows]
+                goes_left = b <= self.bin[node]
+                if self.missing_left[node]:
+                    goes_left |= b == MISSING
+                open_nodes += [(self.left[node], rows[goes_left]), (self.right[node], rows[~goes_left])]
+
+    def _above(self, ends: Collection[int]) -> set[int]:
+        """The nodes on the ways to ``ends``; children have larger numbers than their parent."""
+        out = set(ends)
+        for node in range(len(self.left) - 1, -1, -1):
+            if self.left[node] >= 0 and (self.left[node] in out or self.right[node] in out):
+                out.add(node)
+        return out
 
     def values(self, bins: np.ndarray) -> np.ndarray:
-        return np.array(self.value)[self.leaves(bins)]
+        out = np.empty(len(bins))
+        for node, rows in self.spread(bins, np.arange(len(bins))):
+            out[rows] = self.value[node]
+        return out
 
     def cuts(self, feature: int) -> np.ndarray:
         """The bins at which the tree cuts the feature, ascending."""
@@ -205,116 +222,128 @@ def histogram(bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     """(feature, bin, 3) sums of rows that are at hand; ``g`` and ``h`` are whole numbers."""
     out = np.empty((bins.shape[1], _BINS, 3), np.int64)
     for f in range(bins.shape[1]):
+        at = bins[:, f].astype(np.intp)
         for c, weights in enumerate((None, g, h)):
-            out[f, :, c] = np.bincount(bins[:, f], weights, _BINS)  # far below 2^53: exact
+            out[f, :, c] = np.bincount(at, weights, _BINS)  # far below 2^53: exact
     return out
 
 
+@dataclass
+class Found:
+    """What a round answers of one node: its sums, its best split and, if its rows were at hand,
+    the nodes below it (``low`` and ``high`` are both set or both not)."""
+
+    sums: tuple[int, int, int]  # rows, gradients, hessians
+    split: Split | None
+    low: Found | None = None
+    high: Found | None = None
+
+
+def grow_from_rows(bins: np.ndarray, g: np.ndarray, h: np.ndarray, splits: int, min_rows: int, l2: float) -> Found:
+    """A node grown best first from its rows, by at most ``splits`` splits."""
+
+    def found(hist: np.ndarray, rows: np.ndarray, path: str) -> Found:
+        node = Found(tuple(int(x) for x in hist[0].sum(0)), best_split(hist, min_rows, l2))
+        if node.split:
+            heapq.heappush(queue, (-node.split.gain, path, node, hist, rows))
+        return node
+
+    queue: list[tuple] = []
+    root = found(histogram(bins, g, h), np.arange(len(bins)), "")
+    while queue and splits > 0:
+        _, path, node, whole, rows = heapq.heappop(queue)
+        splits -= 1
+        b = bins[rows, node.split.feature]
+        left = np.where(b == MISSING, node.split.missing_left, b <= node.split.bin)
+        sides = [rows[left], rows[~left]]
+        if not splits:  # nothing is split below
+            n = node.split.left
+            node.low, node.high = Found(n, None), Found(tuple(a - b for a, b in zip(node.sums, n, strict=True)), None)
+            break
+        small = int(len(sides[1]) < len(sides[0]))
+        hists = [None, None]
+        hists[small] = histogram(bins[sides[small]], g[sides[small]], h[sides[small]])
+        hists[1 - small] = whole - hists[small]
+        node.low, node.high = (found(hists[k], sides[k], path + "01"[k]) for k in (0, 1))
+    return root
+
+
 class GrowingTree:
     """One tree under best-first growth.
 
-    ``asked`` are the nodes whose histograms the next round counts, ``wanted`` those whose
-    rows it reads.
+    ``asked`` are the nodes whose best splits the next round finds, ``wanted`` those below which it
+    grows the tree from their rows, each with the number of splits that it can still be given.
     """
 
     def __init__(self, max_leaves: int, min_rows: int, l2: float, n_rows: int, local_rows: int):
         self.max_leaves, self.min_rows, self.l2, self.local_rows = max_leaves, min_rows, l2, local_rows
         self.tree = Tree()
-        self.hist: dict[int, np.ndarray] = {}
         self.sums: dict[int, tuple[int, int, int]] = {}
         self.split: dict[int, Split | None] = {}
-        self.parent: dict[int, int] = {}
-        self.sibling: dict[int, int] = {}
-        self.rows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.path: dict[int, str] = {}  # orders equal gains, however the nodes came
         root = self.tree.add()
-        self.asked = [root] if n_rows > local_rows else []
-        self.wanted = [] if self.asked else [root]
+        self.path[root] = ""
+        self.asked: list[int] = [root] if n_rows > local_rows else []
+        self.wanted: dict[int, int] = {} if self.asked else {root: max_leaves - 1}
         self.starts = True
         self.kept: set[int] | None = None  # the nodes that are split, once the tree is grown
 
-    def receive(self, histograms: dict[int, np.ndarray], rows: dict[int, tuple]) -> None:
-        """What was asked for: histograms by node; (bins, gradients, hessians) by node."""
-        for node, hist in histograms.items():
-            self._know(node, hist)
-            if node in self.sibling:
-                other = self.sibling[node]
-                self._know(other, self.hist[self.parent[node]] - hist)
-                del self.hist[self.parent[node]]
-        for node, found in rows.items():
-            self.rows[node] = found
-            if self.tree.left[node] < 0:
-                self._know(node, histogram(*found))
-            else:
-                self._divide(node)
-        self.asked, self.wanted, self.starts = [], [], False
+    def receive(self, found: dict[int, Found]) -> None:
+        """What was asked for, by node."""
+        for node, answer in found.items():
+            self._know(node, answer)
+        self.asked, self.wanted, self.starts = [], {}, False
         self._choose()
 
-    def _divide(self, node: int) -> None:
-        """Hand a split node's rows to its children."""
-        bins, g, h = self.rows.pop(node)
-        low, high = self.tree.left[node], self.tree.right[node]
-        b = bins[:, self.tree.feature[node]]
-        left = np.where(b == MISSING, self.tree.missing_left[node], b <= self.tree.bin[node])
-        whole = self.hist.pop(node)
-        small, side = (low, left) if left.sum() * 2 <= len(left) else (high, ~left)
-        part = histogram(bins[side], g[side], h[side])
-        self._know(small, part)
-        self._know(high if small == low else low, whole - part)
-        for child, mine in ((low, left), (high, ~left)):
-            if self.split[child]:
-                self.rows[child] = bins[mine], g[mine], h[mine]
-
-    def _know(self, node: int, hist: np.ndarray) -> None:
-        self.hist[node] = hist
-        self.sums[node] = tuple(int(x) for x in hist[0].sum(0))
-        self.split[node] = best_split(hist, self.min_rows, self.l2)
+    def _know(self, node: int, found: Found) -> None:
+        self.sums[node], self.split[node] = found.sums, found.split
+        if found.low:
+            for child, below in zip(self._branch(node), (found.low, found.high), strict=True):
+                self._know(child, below)
+
+    def _branch(self, node: int) -> tuple[int, int]:
+        split, t = self.split[node], self.tree
+        t.feature[node], t.bin[node], t.missing_left[node] = split.feature, split.bin, split.missing_left
+        low, high = t.add(), t.add()
+        t.left[node], t.right[node] = low, high
+        self.sums[low] = split.left
+        self.sums[high] = tuple(a - b for a, b in zip(self.sums[node], split.left, strict=True))
+        self.path.update({low: self.path[node] + "0", high: self.path[node] + "1"})
+        return low, high
 
     def _choose(self) -> None:
         """Split best first with what is known; ask for the children of leaves split on the way."""
         while True:
-            leaves, kept, unknown, last = 1, set(), [], None
-            queue = [(-self.split[0].gain, 0)] if self.split[0] else []
+            leaves, kept, unknown = 1, set(), []
+            queue = [(-self.split[0].gain, "", 0)] if self.split[0] else []
             while queue and leaves < self.max_leaves:
-                _, node = heapq.heappop(queue)
+                _, _, node = heapq.heappop(queue)
                 kept.add(node)
-                last = node
                 leaves += 1
                 if self.tree.left[node] < 0:
-                    unknown.append(node)
+                    # whatever else comes to be known, these splits stay before those below the node
+                    unknown.append((node, self.max_leaves - leaves))
                     continue
                 for child in (self.tree.left[node], self.tree.right[node]):
                     if self.split.get(child):
-                        heapq.heappush(queue, (-self.split[child].gain, child))
+                        heapq.heappush(queue, (-self.split[child].gain, self.path[child], child))
             if not unknown:
                 self.kept = kept
                 return
-            # nothing is chosen after the last split of a full tree
-            done = leaves == self.max_leaves and unknown == [last]
-            for node in unknown:
-                self._expand(node, needed=not done)
+            for node, splits in unknown:
+                self._expand(node, splits)
             if self.asked or self.wanted:
                 return
 
-    def _expand(self, node: int, needed: bool) -> None:
-        split, t = self.split[node], self.tree
-        t.feature[node], t.bin[node], t.missing_left[node] = split.feature, split.bin, split.missing_left
-        low, high = t.add(), t.add()
-        t.left[node], t.right[node] = low, high
-        sums = {low: split.left, high: tuple(a - b for a, b in zip(self.sums[node], split.left, strict=True))}
-        self.sums.update(sums)
-        self.parent.update({low: node, high: node})
-        if not needed or max(n for n, _, _ in sums.values()) < 2 * self.min_rows:
-            self.split.update({low: None, high: None})  # neither can be split
-            return
-        if node in self.rows:
-            self._divide(node)
-            return
-        if self.sums[node][0] <= self.local_rows:
-            self.wanted.append(node)
-            return
-        small, large = sorted((low, high), key=lambda n: (sums[n][0], n))
-        self.sibling[small] = large
-        self.asked.append(small)
+    def _expand(self, node: int, splits: int) -> None:
+        for child in self._branch(node):
+            n = self.sums[child][0]
+            if not splits or n < 2 * self.min_rows:
+                self.split[child] = None
+            elif n <= self.local_rows:
+                self.wanted[child] = splits
+            else:
+                self.asked.append(child)
 
     def grown(self, rate: float) -> Tree:
         """The tree without the expansions that were not chosen, with leaf values."""
@@ -387,24 +416,34 @@ _BLOCK_DDL = "n long, id binary, bins binary, label binary, member binary, valid
 
 
 def _pack(thresholds: list[np.ndarray], n_models: int, baselines: np.ndarray):
-    """(id, label, member, valid, features...) batches to one block each."""
+    """(id, label, member, valid, features...) batches to blocks."""
+
+    def block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        pdf = pa.Table.from_batches(batches).to_pandas()
+        values = np.column_stack([pdf[c].to_numpy(np.float64, na_value=np.nan) for c in pdf.columns[4:]])
+        parts = [
+            pdf["id"].to_numpy(np.int64),
+            to_bins(values, thresholds),
+            pdf["label"].to_numpy(np.uint8),
+            pdf["member"].to_numpy(np.int64),
+            pdf["valid"].to_numpy(np.int64),
+            np.broadcast_to(baselines[:, None], (n_models, len(pdf))).astype(np.float64),
+        ]
+        arrays = [pa.array([len(pdf)], pa.int64()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)]
+        return pa.RecordBatch.from_arrays(arrays, schema=_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pdf = batch.to_pandas()
-            values = np.column_stack([pdf[c].to_numpy(np.float64, na_value=np.nan) for c in pdf.columns[4:]])
-            parts = [
-                pdf["id"].to_numpy(np.int64),
-                to_bins(values, thresholds),
-                pdf["label"].to_numpy(np.uint8),
-                pdf["member"].to_numpy(np.int64),
-                pdf["valid"].to_numpy(np.int64),
-                np.broadcast_to(baselines, (len(pdf), n_models)).astype(np.float64),
-            ]
-            arrays = [pa.array([len(pdf)], pa.int64()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_BLOCK)
+            for start in range(0, batch.num_rows, _BLOCK_ROWS):
+                part = batch.slice(start, _BLOCK_ROWS)
+                if held and n + part.num_rows > _BLOCK_ROWS:
+                    yield block(held)
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if held:
+            yield block(held)
 
     return run
 
@@ -418,7 +457,7 @@ class _Block:
         self.label = np.frombuffer(row["label"], np.uint8)
         self.member = np.frombuffer(row["member"], np.int64)
         self.valid = np.frombuffer(row["valid"], np.int64)
-        self.margin = np.frombuffer(row["margin"], np.float64).reshape(n, n_models)
+        self.margin = np.frombuffer(row["margin"], np.float64).reshape(n_models, n)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], n_features: int, n_models: int) -> Iterator[_Block]:
@@ -429,97 +468,145 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_features: int, n_models: int) -
 
 @dataclass(frozen=True)
 class _Task:
-    """What a round asks of one model: its trees since the stored margins, the growing tree, the
-    nodes to count or whose rows to read, and whether the validation loss is due."""
+    """What a round asks of one model: the growing tree, the nodes whose sums are counted, those
+    whose rows are read (with the splits that they may be given), and whether the validation loss is due."""
 
     model: int
-    recent: tuple[Tree, ...]
     growing: Tree
-    nodes: tuple[int, ...]
+    asked: tuple[int, ...]
+    wanted: tuple[tuple[int, int], ...]
     with_loss: bool
 
-    def slots(self) -> np.ndarray:
-        """For each node of the growing tree the place of its asked node (itself or its parent), or -1."""
-        out = np.full(len(self.growing.left), -1, np.int64)
-        for k, node in enumerate(self.nodes):
-            out[node] = k
-            if self.growing.left[node] >= 0:
-                out[[self.growing.left[node], self.growing.right[node]]] = k
-        return out
+    @property
+    def nodes(self) -> tuple[int, ...]:
+        """By place in the keys of the round."""
+        return (*self.asked, *(node for node, _ in self.wanted))
 
-    def rows(self, block: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(slot, bins, g, h) of the block's rows in the asked nodes."""
+    def rows(self, block: _Block) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, bins, g, h) of the block's rows in each of the nodes."""
         bit = 1 << self.model
-        use = np.flatnonzero(((block.member & bit) != 0) & ((block.valid & bit) == 0))
-        bins = block.bins[use]
-        slot = self.slots()[self.growing.leaves(bins)]
-        seen = np.flatnonzero(slot >= 0)
-        use, bins = use[seen], bins[seen]
-        p = _sigmoid(block.margin[use, self.model] + sum(t.values(bins) for t in self.recent))
-        return slot[seen], bins, np.rint((p - block.label[use]) * _ONE), np.rint(p * (1 - p) * _ONE)
+        place = {node: k for k, node in enumerate(self.nodes)}
+        use = np.flatnonzero((block.member & ~block.valid & bit) != 0)
+        margin = block.margin[self.model]
+        for node, rows in self.growing.spread(block.bins, use, place):
+            p = _sigmoid(margin[rows])
+            yield place[node], block.bins[rows], np.rint((p - block.label[rows]) * _ONE), np.rint(p * (1 - p) * _ONE)
 
     def loss(self, block: _Block) -> np.ndarray:
         """(rows, loss) of the block's validation rows."""
         bit = 1 << self.model
         held = np.flatnonzero(((block.member & block.valid & bit) != 0) & self.with_loss)
-        margin = block.margin[held, self.model] + sum(t.values(block.bins[held]) for t in self.recent)
+        margin = block.margin[self.model][held]
         each = np.logaddexp(0, margin) - block.label[held] * margin
         return np.array([len(held), np.rint(each * _ONE).sum()], np.int64)
 
 
-_SUMS = pa.schema([(c, pa.int64()) for c in ("key", "n", "g", "h")])
+# of a counted node its sums over a task's blocks, of a read node its rows of a block
+_SENT = pa.schema([("key", pa.int64())] + [(c, pa.binary()) for c in ("sums", "bins", "g", "h")])
+_SENT_DDL = "key long, sums binary, bins binary, g binary, h binary"
 
 
-def sum_gradients(tasks: Sequence[_Task], n_features: int, n_models: int) -> Callable:
-    """Per partition: (key, n, g, h) for every bin of the asked nodes that has rows."""
+def _send(tasks: Sequence[_Task], n_features: int, n_models: int) -> Callable:
+    """Per partition: the sums of the counted nodes, the rows of the read nodes and the losses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = [len(t.nodes) * n_features * _BINS for t in tasks]
-        hist = [np.zeros((size, 3), np.int64) for size in sizes]
-        loss = np.zeros((len(tasks), 2), np.int64)
+        sums: dict[int, np.ndarray] = {}
         for block in _blocks(batches, n_features, n_models):
-            for k, task in enumerate(tasks):
-                slot, bins, g, h = task.rows(block)
-                for f in range(n_features):
-                    at = (slot * n_features + f) * _BINS + bins[:, f]
-                    for c, weights in enumerate((None, g, h)):
-                        # whole numbers far below 2^53 per block: exact
-                        hist[k][:, c] += np.bincount(at, weights, sizes[k]).astype(np.int64)
-                loss[k] += task.loss(block)
-        for k, task in enumerate(tasks):
-            some = np.flatnonzero(hist[k][:, 0])
-            first = task.model * 4096 * n_features * _BINS
-            yield pa.RecordBatch.from_arrays([pa.array(some + first), *map(pa.array, hist[k][some].T.copy())], schema=_SUMS)
-            if loss[k, 0]:
-                key = ((task.model * 4096) + _LOSS) * n_features * _BINS
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (key, *loss[k].tolist(), 0)], schema=_SUMS)
+            read = []
+            for task in tasks:
+                first = task.model * _SLOTS
+                for place, bins, g, h in task.rows(block):
+                    if place < len(task.asked):
+                        mine = histogram(bins, g, h)
+                        sums[first + place] = sums[first + place] + mine if first + place in sums else mine
+                    else:  # at most 2^30: four bytes hold them
+                        read.append((first + place, None, bins.tobytes(), g.astype(np.int32).tobytes(), h.astype(np.int32).tobytes()))
+                loss = task.loss(block)
+                if loss[0]:
+                    sums[first + _LOSS] = sums.get(first + _LOSS, 0) + loss
+            if read:
+                yield _sent(read)
+        if sums:
+            yield _sent([(key, x.tobytes(), None, None, None) for key, x in sums.items()])
+
+    def _sent(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(_SENT.types)], schema=_SENT)
 
     return run
 
 
-_ROWS = pa.schema([("key", pa.int64()), ("n", pa.int64())] + [(c, pa.binary()) for c in ("bins", "g", "h")])
-_ROWS_DDL = "key long, n long, bins binary, g binary, h binary"
+def _summed(table: pa.Table) -> np.ndarray:
+    """The sums of a counted node, or a loss, over all tasks."""
+    return sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
 
 
-def read_rows(tasks: Sequence[_Task], n_features: int, n_models: int) -> Callable:
-    """Per block and asked node: its rows' bins, gradients and hessians."""
+_FOUND = pa.schema(
+    [("key", pa.int64()), ("node", pa.int32()), ("below", pa.int32())]
+    + [(c, pa.int64()) for c in ("n", "g", "h")]
+    + [("gain", pa.float64()), ("feature", pa.int32()), ("bin", pa.int32()), ("missing_left", pa.bool_())]
+    + [(c, pa.int64()) for c in ("left_n", "left_g", "left_h")]
+)
+_FOUND_DDL = (
+    "key long, node int, below int, n long, g long, h long, gain double, feature int, bin int, "
+    "missing_left boolean, left_n long, left_g long, left_h long"
+)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, n_features, n_models):
-            out = []
-            for task in tasks:
-                slot, bins, g, h = task.rows(block)
-                for k in range(len(task.nodes)):
-                    mine = slot == k
-                    parts = bins[mine], g[mine].astype(np.int64), h[mine].astype(np.int64)
-                    if mine.any():
-                        out.append((task.model * 4096 + k, int(mine.sum()), *(x.tobytes() for x in parts)))
-                n, loss = task.loss(block).tolist()
-                if n:
-                    out.append((task.model * 4096 + _LOSS, n, b"", np.int64(loss).tobytes(), b""))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in out], kind) for c, kind in enumerate(_ROWS.types)], schema=_ROWS
-            )
+
+def _find(tasks: Sequence[_Task], n_features: int, min_rows: int, l2: float) -> Callable:
+    """Per key: the node and the nodes grown below it (``below`` is the first of a node's two, which
+    stand side by side), each with its sums and its best split; a loss is a node without a split."""
+    splits = {t.model * _SLOTS + len(t.asked) + k: n for t in tasks for k, (_, n) in enumerate(t.wanted)}
+
+    def find(key: int, table: pa.Table) -> Found:
+        if key % _SLOTS == _LOSS:
+            return Found((*_summed(table).tolist(), 0), None)
+        if key not in splits:
+            hist = _summed(table).reshape(n_features, _BINS, 3)
+            return Found(tuple(hist[0].sum(0).tolist()), best_split(hist, min_rows, l2))
+        joined = (b"".join(table.column(c).to_pylist()) for c in ("bins", "g", "h"))
+        bins, g, h = (np.frombuffer(x, kind) for x, kind in zip(joined, (np.uint8, np.int32, np.int32), strict=True))
+        return grow_from_rows(bins.reshape(-1, n_features), g, h, splits[key], min_rows, l2)
+
+    def run(table: pa.Table) -> pa.Table:
+        key = table.column("key")[0].as_py()
+        nodes, rows = [find(key, table)], []
+        for k, x in enumerate(nodes):  # grows on the way
+            below = len(nodes) if x.low else None
+            if x.low:
+                nodes += [x.low, x.high]
+            s = x.split
+            best = (s.gain, s.feature, s.bin, s.missing_left, *s.left) if s else (None,) * 7
+            rows.append((key, k, below, *x.sums, *best))
+        return pa.Table.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(_FOUND.types)], schema=_FOUND)
+
+    return run
+
+
+def _answer(rows: list[dict]) -> Found:
+    """One key's rows, by ``node``, as the node with what is below it."""
+    nodes = [
+        Found(
+            (r["n"], r["g"], r["h"]),
+            None
+            if r["gain"] is None
+            else Split(r["gain"], r["feature"], r["bin"], r["missing_left"], (r["left_n"], r["left_g"], r["left_h"])),
+        )
+        for r in rows
+    ]
+    for r, x in zip(rows, nodes, strict=True):
+        if r["below"] is not None:
+            x.low, x.high = nodes[r["below"]], nodes[r["below"] + 1]
+    return nodes[0]
+
+
+def _by_bin(n_features: int) -> Callable:
+    """A counted node's sums as rows, for the bins that have any."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hist = _summed(table).reshape(n_features, _BINS, 3)
+        f, b = np.nonzero(hist[..., 0])
+        columns = [f.astype(np.int32), b.astype(np.int32), *hist[f, b].T.copy()]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], names=["f", "bin", "n", "g", "h"])
 
     return run
 
@@ -532,7 +619,7 @@ def _add_trees(recent: Sequence[Sequence[Tree]], n_features: int):
             margin = block.margin.copy()
             for m, trees in enumerate(recent):
                 for tree in trees:
-                    margin[:, m] += tree.values(block.bins)
+                    margin[m] += tree.values(block.bins)
             row = {**block.row, "margin": margin.tobytes()}
             yield pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
@@ -545,7 +632,7 @@ def _unpack(n_features: int, n_models: int):
             # the model that left the row out, by the lowest bit that is not set
             out = [(~b.member >> m) & 1 for m in range(n_models)]
             model = np.argmax(out, axis=0)
-            prob = _sigmoid(b.margin[np.arange(len(b.id)), model])
+            prob = _sigmoid(b.margin[model, np.arange(len(b.id))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(b.id), pa.array(model.astype(np.int32)), pa.array(prob)], names=["id", "model", "prob"]
             )
@@ -587,7 +674,7 @@ class Boosting:
         self.folder = f"{ensure_checkpoint_dir(spark)}/boosting-{uuid.uuid4().hex}"
         self.jobs = 0
         bits = [F.sum(F.when(F.col("member").bitwiseAND(1 << m) != 0, x)) for m in range(n_models) for x in (F.lit(1), F.col(label))]
-        counted = frame.agg(*[b.alias(f"c{k}") for k, b in enumerate(bits)]).first()
+        counted = frame.agg(*[b.alias(f"c{k}") for k, b in enumerate(bits)], F.count(F.lit(1)).alias("rows")).first()
         sizes = [(int(counted[2 * m] or 0), int(counted[2 * m + 1] or 0)) for m in range(n_models)]
         thresholds = bin_thresholds(frame, self.features, params.gbt_max_bins)
         baselines = [float(np.log((p + 1e-9) / (n - p + 1e-9))) if n else 0.0 for n, p in sizes]
@@ -609,10 +696,15 @@ class Boosting:
             F.col("member").cast("long").alias("member"),
             F.when(tenth, F.lit(early)).otherwise(0).cast("long").alias("valid"),
             *[F.col(c).cast("double").alias(c) for c in self.features],
-        ).mapInArrow(_pack(thresholds, n_models, np.array(baselines)), _BLOCK_DDL)
+        )
+        # a task for every core, but none for a few rows; by id, so that a lost task packs the same rows again
+        n_rows, cores = counted["rows"], spark.sparkContext.defaultParallelism
+        parts = max(1, min(cores, n_rows // _TASK_ROWS[0]), n_rows // _TASK_ROWS[1])
+        packed = packed.repartition(parts, "id").mapInArrow(_pack(thresholds, n_models, np.array(baselines)), _BLOCK_DDL)
         self.version = 0
         packed.write.parquet(self._path())
         self.blocks = self._read()
+        self.persisted: list[DataFrame] = []
 
     def _tree(self, n_rows: int) -> GrowingTree:
         p = self.params
@@ -624,113 +716,98 @@ class Boosting:
     def _read(self) -> DataFrame:
         return self.session.read.schema(_BLOCK_DDL).parquet(self._path())
 
-    def histograms(self, tasks: Sequence[_Task]) -> DataFrame:
-        """(key, n, g, h): one round's sums over all rows."""
-        summed = sum_gradients(tasks, len(self.features), self.n_models)
-        return (
-            self.blocks.mapInArrow(summed, "key long, n long, g long, h long")
-            .groupBy("key")
-            .agg(*[F.sum(c).alias(c) for c in ("n", "g", "h")])
-        )
+    def _sent(self, tasks: Sequence[_Task]) -> DataFrame:
+        return self.blocks.mapInArrow(_send(tasks, len(self.features), self.n_models), _SENT_DDL)
 
     def first_histogram(self, model: int = 0) -> DataFrame:
         """(feature, bin, customers, gradient, hessian) of the first round of one model."""
-        task = _Task(model, (), self.models[model].growing.tree, (0,), False)
+        sent = self._sent([_Task(model, self.models[model].growing.tree, (0,), (), False)])
         names = F.array(*map(F.lit, self.features))
-        at = F.col("key") % (len(self.features) * _BINS)
-        return self.histograms([task]).select(
-            F.element_at(names, (F.floor(at / _BINS) + 1).cast("int")).alias("feature"),
-            (at % _BINS).cast("int").alias("bin"),
+        sums = sent.groupBy("key").applyInArrow(_by_bin(len(self.features)), "f int, bin int, n long, g long, h long")
+        return sums.select(
+            F.element_at(names, F.col("f") + 1).alias("feature"),
+            "bin",
             F.col("n").alias("customers"),
             (F.col("g") / F.lit(float(_ONE))).alias("gradient"),
             (F.col("h") / F.lit(float(_ONE))).alias("hessian"),
         )
 
-    def _tasks(self, nodes: str) -> list[_Task]:
-        """A task for every model that asks for ``nodes`` (``asked`` or ``wanted``)."""
+    def _tasks(self) -> list[_Task]:
+        """A task for every model whose tree is not grown."""
         return [
-            _Task(m, tuple(x.recent), x.growing.tree, tuple(asked), x.early and x.growing.starts)
+            _Task(m, x.growing.tree, tuple(x.growing.asked), tuple(x.growing.wanted.items()), x.early and x.growing.starts)
             for m, x in enumerate(self.models)
-            if x.growing and (asked := getattr(x.growing, nodes))
+            if x.growing and x.growing.kept is None
         ]
 
-    def _histograms_of(self, tasks: list[_Task], out: dict) -> None:
-        got = self.histograms(tasks).toArrow()  # at most max_leaves / 2 nodes a model
-        self.jobs += 1
-        key, *sums = (got.column(c).to_numpy() for c in ("key", "n", "g", "h"))
-        sums = np.column_stack(sums)
-        width = len(self.features) * _BINS
-        for task in tasks:
-            mine = key // (4096 * width) == task.model
-            local, values = key[mine] - task.model * 4096 * width, sums[mine]
-            is_loss = local // width == _LOSS
-            if is_loss.any():
-                out[task.model]["loss"] = values[is_loss][0][:2]
-            hist = np.zeros((len(task.nodes) * width, 3), np.int64)
-            hist[local[~is_loss]] = values[~is_loss]
-            hist = hist.reshape(len(task.nodes), len(self.features), _BINS, 3)
-            out[task.model]["histograms"] = dict(zip(task.nodes, hist, strict=True))
-
-    def _rows_of(self, tasks: list[_Task], out: dict) -> None:
-        reader = read_rows(tasks, len(self.features), self.n_models)
-        # at most local_rows rows of each open leaf
-        got = self.blocks.mapInArrow(reader, _ROWS_DDL).toArrow().to_pylist()
+    def _round(self, tasks: list[_Task]) -> None:
+        """One round, one job, for all models that still grow a tree."""
+        p = self.params
+        found = self._sent(tasks).groupBy("key").applyInArrow(
+            _find(tasks, len(self.features), p.gbt_min_rows_per_leaf, p.gbt_l2), _FOUND_DDL
+        )
+        rows = found.toArrow().to_pylist()  # at most a split per node of the trees
         self.jobs += 1
+        by_key: dict[int, list[dict]] = {}
+        for r in sorted(rows, key=lambda r: (r["key"], r["node"])):
+            by_key.setdefault(r["key"], []).append(r)
+        for old in self.persisted[:-1]:  # the last one is complete now
+            old.unpersist()
+        self.persisted = self.persisted[-1:]
         for task in tasks:
-            mine = [r for r in got if r["key"] // 4096 == task.model]
-            parts = [r for r in mine if r["key"] % 4096 == _LOSS]
-            if parts:
-                total = sum(int(np.frombuffer(r["g"], np.int64)[0]) for r in parts)
-                out[task.model]["loss"] = sum(r["n"] for r in parts), total
-            for k, node in enumerate(task.nodes):
-                parts = [r for r in mine if r["key"] % 4096 == k]
-                bins = np.frombuffer(b"".join(r["bins"] for r in parts), np.uint8).reshape(-1, len(self.features))
-                g, h = (np.frombuffer(b"".join(r[c] for r in parts), np.int64) for c in ("g", "h"))
-                out[task.model]["rows"][node] = bins, g, h
-
-    def _round(self) -> None:
-        """One round for all models that still grow: their histograms in one job, their rows in another."""
-        out = {m: {"histograms": {}, "rows": {}} for m, x in enumerate(self.models) if x.growing}
-        for nodes, answer in (("asked", self._histograms_of), ("wanted", self._rows_of)):
-            tasks = self._tasks(nodes)
-            if tasks:
-                answer(tasks, out)
-        for m, found in out.items():
-            x = self.models[m]
-            if "loss" in found:
-                n, total = found["loss"]
-                x.losses.append(float(total) / _ONE / float(n))
-                if x.stopped(self.params):
+            x = self.models[task.model]
+            first = task.model * _SLOTS
+            loss = by_key.get(first + _LOSS)
+            if loss:
+                x.losses.append(float(loss[0]["g"]) / _ONE / float(loss[0]["n"]))
+                if x.stopped(p):
                     x.growing = None
                     continue
-            x.growing.receive(found["histograms"], found["rows"])
-            if x.growing.kept is not None:
+            x.growing.receive({node: _answer(by_key[first + k]) for k, node in enumerate(task.nodes) if first + k in by_key})
+
+    def _take_trees(self) -> None:
+        """The grown trees join their models and the margins; the next ones begin."""
+        for x in self.models:
+            x.recent = []
+            if x.growing:
                 tree = x.growing.grown(self.params.gbt_step_size)
                 x.recent.append(tree)
                 x.model.trees.append(tree)
                 more = len(x.model.trees) < self.params.gbt_max_iter and x.growing.kept
                 x.growing = self._tree(x.n_rows) if more else None
+        if any(x.recent for x in self.models):
+            self.blocks = self.blocks.mapInArrow(_add_trees([x.recent for x in self.models], len(self.features)), _BLOCK_DDL)
 
     def _refresh(self) -> None:
         """Write the blocks with the margins of all trees so far; the older ones go."""
-        recent = [x.recent for x in self.models]
-        updated = self.blocks.mapInArrow(_add_trees(recent, len(self.features)), _BLOCK_DDL)
         old = self._path()
         self.version += 1
-        updated.write.parquet(self._path())
+        self.blocks.write.parquet(self._path())
         self.blocks = self._read()
         self.jobs += 1
-        for x in self.models:
-            x.recent = []
+        self._release()
         remove_path(self.session, old)
 
+    def _release(self) -> None:
+        for old in self.persisted:
+            old.unpersist()
+        self.persisted = []
+
     def fit(self) -> list[BoostedTrees]:
-        while any(x.growing for x in self.models):
-            self._round()
-            if max(len(x.recent) for x in self.models) >= self.params.gbt_refresh:
-                self._refresh()
-        if any(x.recent for x in self.models):
-            self._refresh()
+        unwritten = 0
+        try:
+            while any(x.growing for x in self.models):
+                while tasks := self._tasks():
+                    self._round(tasks)
+                self._take_trees()
+                unwritten += 1
+                if unwritten == self.params.gbt_refresh or not any(x.growing for x in self.models):
+                    self._refresh()
+                    unwritten = 0
+                else:
+                    self.persisted.append(self.blocks.persist(StorageLevel.MEMORY_AND_DISK))
+        finally:
+            self._release()
         return [x.model for x in self.models]
 
     def left_out(self) -> DataFrame:

@@ -279,3 +279,46 @@ def test_driver_reads_splits_only_and_rows_spread(spark, monkeypatch):
         assert len(got) >= 3 and sum(t.nbytes for t in got) < 3 * 2 * P.gbt_max_leaves * 400
         assert not fit.persisted
     assert all(len(m.model.trees) == 3 for m in fit.models)
+
+
+def test_importance_stores_no_copies_of_the_rows(spark, monkeypatch):
+    """Several blocks of rows: the same drops as by hand, and nothing larger than the rows is stored."""
+    from tillroll.operators import ranking
+
+    stored = []
+
+    def checkpoint(df):
+        stored.append(df.count())
+        return keep(df)
+
+    keep = M.reliable_checkpoint
+    for module in (M, ranking):
+        monkeypatch.setattr(module, "reliable_checkpoint", checkpoint)
+    n, p = 5000, P.with_(n_repeats=2)
+    cols = data(n, 13)
+    df = frame(spark, cols).drop("member")
+    model = B.BoostedTrees(FEATURES, B.bin_thresholds(df, FEATURES, 16), 0.1)
+    for f, cut in ((0, 9), (1, 6), (2, 1)):
+        model.trees.append(B.Tree([f, 0, 0], [cut, 0, 0], [False] * 3, [1, -1, -1], [2, -1, -1], [0.0, -0.5 - f, 0.75]))
+    got = {r["feature"]: r["importance"] for r in M.permutation_importance(model, df, p).collect()}
+    assert max(stored) <= n
+    bins = B.to_bins(np.column_stack(cols[:3]), model.thresholds)
+    order = np.array(
+        [r[0] for r in df.select("CustomerID", F.xxhash64("CustomerID", F.lit(p.seed)).alias("h")).orderBy("h", "CustomerID").collect()]
+    )
+
+    def auc(score):
+        ranks = np.unique(score, return_inverse=True)[1]
+        below = np.bincount(ranks).cumsum()
+        mean_rank = below - (np.bincount(ranks) - 1) / 2
+        pos = cols[3] == 1
+        return (mean_rank[ranks][pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+
+    keys = M.shuffle_keys(n, 6, p.seed)
+    for f, name in enumerate(FEATURES):
+        drops = []
+        for a, b in keys[2 * f : 2 * f + 2]:
+            changed = bins.copy()
+            changed[order[(a * np.arange(n) + b) % n], f] = bins[order, f]
+            drops.append(auc(model.margins(bins)) - auc(model.margins(changed)))
+        assert got[name] == pytest.approx(np.mean(drops), abs=1e-9)

@@ -16,7 +16,8 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import AnalysisParams
@@ -124,27 +125,46 @@ class StudyFit:
 
 
 # ------------------------------------------------------------------------ AUC
-def auc_by_group(pred: DataFrame, group_cols: list[str], score_col: str, label_col: str, id_col: str) -> DataFrame:
+def auc_by_group(pred: DataFrame, group_cols: list[str], score_col: str, label_col: str, id_col: str | None = None) -> DataFrame:
     """ROC-AUC per group by the rank-sum rule with average ranks for tied scores.
 
-    Ranks come from one range-partitioned sort over (group, score, id), so no group
-    is gathered into a single task; group offsets and tie groups are aggregates.
+    Rows of one (group, score) share a rank, so they are counted first and many ties make one
+    row; the order of their ids (``id_col``) does not matter. The counts are ranged over partitions by (group,
+    score), so no group is gathered into a single task, and every partition adds up its part of
+    a group: rows, positives and the rank sum from the partition's first row on. Only these
+    few rows are shifted by the rows of the partitions before.
     """
-    ranked = global_rank(pred.select(*group_cols, score_col, label_col, id_col), [*group_cols, score_col, id_col], "_r")
-    per_group = ranked.groupBy(*group_cols).agg(
-        (F.min("_r") - 1).alias("_off"),
-        F.sum(label_col).cast("double").alias("_P"),
-        (F.count(F.lit(1)) - F.sum(label_col)).cast("double").alias("_N"),
-    )
-    ties = ranked.groupBy(*group_cols, score_col).agg(
-        ((F.min("_r") + F.max("_r")) / 2.0).alias("_avg_r"), F.sum(label_col).cast("double").alias("_pos")
+    counted = pred.groupBy(*group_cols, score_col).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col(label_col).cast("long")).alias("_pos")
     )
+    ranged = counted.repartitionByRange(*group_cols, score_col).sortWithinPartitions(*group_cols, score_col)
+    ranged = ranged.select(*group_cols, "_n", "_pos", F.spark_partition_id().alias("_part"))
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict = {}  # by group
+        for pdf in batches:
+            for group, rows in pdf.groupby([*group_cols, "_part"], sort=False):
+                before, pos, ranks = found.get(group, (0, 0, 0.0))
+                n, p = rows["_n"].to_numpy(), rows["_pos"].to_numpy()
+                first = before + n.cumsum() - n
+                ranks += float((p * (first + (n + 1) / 2.0)).sum())  # the average rank of a tie
+                found[group] = before + int(n.sum()), pos + int(p.sum()), ranks
+        yield pd.DataFrame([(*k, *v) for k, v in found.items()], columns=[*group_cols, "_part", "_n", "_pos", "_ranks"])
+
+    ddl = ", ".join(f"`{c}` {pred.schema[c].dataType.simpleString()}" for c in group_cols)
+    partial = ranged.mapInPandas(parts, f"{ddl}, _part int, _n long, _pos long, _ranks double")
+    # at most a row per group and partition
+    before = F.sum("_n").over(Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     sums = (
-        ties.join(per_group, group_cols)
+        partial.withColumn("_before", F.coalesce(before, F.lit(0)))
         .groupBy(*group_cols)
-        .agg(F.sum(F.col("_pos") * (F.col("_avg_r") - F.col("_off"))).alias("_rsum"))
+        .agg(
+            F.sum(F.col("_ranks") + F.col("_pos") * F.col("_before")).alias("_rsum"),
+            F.sum("_pos").cast("double").alias("_P"),
+            (F.sum("_n") - F.sum("_pos")).cast("double").alias("_N"),
+        )
     )
-    return sums.join(per_group, group_cols).select(
+    return sums.select(
         *group_cols,
         F.when(
             (F.col("_P") > 0) & (F.col("_N") > 0),
@@ -198,26 +218,65 @@ def shuffle_keys(n: int, count: int, seed: int) -> list[tuple[int, int]]:
     return keys
 
 
-def _rescored(model: BoostedTrees, n_repeats: int):
-    """Probabilities of a row: as it is, then with each feature replaced by each of its sent values.
+#: Consecutive row numbers whose rows meet in one group to be scored again.
+_RESCORED_ROWS = 2048
 
-    Trees that never test the replaced feature keep their sum, computed once per feature.
+
+def _send_values(model: BoostedTrees, keys: list[tuple[int, int]], n: int, label: str):
+    """(numbered rows) batches to (block, at, slot, value): what each block of row numbers receives.
+
+    Slots: a value (its bin) per key, then the row's own bins, then its label.
     """
     n_features = len(model.features)
+    n_repeats, size = len(keys) // n_features, _RESCORED_ROWS
 
-    def of(parts: pd.DataFrame, sent: pd.Series) -> pd.Series:
-        bins = model.bins(parts)
-        sent = np.array([np.array(x, np.float64) for x in sent]).reshape(len(bins), n_features, n_repeats)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            bins, pos = model.bins(pdf), pdf["pos"].to_numpy(np.int64)
+            sent = [((pos * a + b) % n, bins[:, k // n_repeats]) for k, (a, b) in enumerate(keys)]
+            sent += [(pos, bins[:, f]) for f in range(n_features)]
+            sent.append((pos, pdf[label].to_numpy(np.uint8)))
+            to = np.concatenate([t for t, _ in sent])
+            value = np.concatenate([v for _, v in sent])
+            slot = np.repeat(np.arange(len(sent), dtype=np.uint16), len(pdf))
+            order = np.argsort(to // size, kind="stable")
+            to, value, slot = to[order], value[order], slot[order]
+            at = (to % size).astype(np.uint16)
+            block, first = np.unique(to // size, return_index=True)
+            ends = [*first[1:], len(to)]
+            parts = [[x[i:j].tobytes() for i, j in zip(first, ends, strict=True)] for x in (at, slot, value)]
+            yield pd.DataFrame({"block": block, "at": parts[0], "slot": parts[1], "value": parts[2]})
+
+    return run
+
+
+def _rescore(model: BoostedTrees, n_repeats: int, n: int):
+    """Probabilities of a block's rows: as they are, then with each feature replaced by each of its
+    sent values. Trees that never test the replaced feature keep their sum, computed once per feature."""
+    n_features = len(model.features)
+    n_keys, size = n_features * n_repeats, _RESCORED_ROWS
+
+    def run(table: pa.Table) -> pa.Table:
+        here = min(size, n - table.column("block")[0].as_py() * size)
+        got = np.empty((n_keys + n_features + 1, here), np.uint8)
+        at, slot, value = (
+            np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+            for c, kind in (("at", np.uint16), ("slot", np.uint16), ("value", np.uint8))
+        )
+        got[slot, at] = value
+        bins, label = np.ascontiguousarray(got[n_keys:-1].T), got[-1].astype(np.int32)
         out = [_sigmoid(model.margins(bins))]
         for f in range(n_features):
-            stored = model.margins(bins, without=f)
-            for r in range(n_repeats):
-                changed = bins.copy()
-                changed[:, f] = to_bins(sent[:, f, r : r + 1], model.thresholds[f : f + 1])[:, 0]
-                out.append(_sigmoid(stored + model.margins(changed, only=f)))
-        return pd.Series(list(np.column_stack(out)))
+            changed = np.tile(bins, (n_repeats, 1))
+            changed[:, f] = got[f * n_repeats : (f + 1) * n_repeats].ravel()
+            margin = model.margins(changed, only=f).reshape(n_repeats, here) + model.margins(bins, without=f)
+            out += list(_sigmoid(margin))
+        k = np.repeat(np.arange(len(out), dtype=np.int32), here)
+        return pa.table({"k": k, "prob": np.concatenate(out), "label": np.tile(label, len(out))})
 
-    return of
+    return run
 
 
 def permutation_importance(model: BoostedTrees, holdout: DataFrame, params: AnalysisParams) -> DataFrame:
@@ -225,44 +284,31 @@ def permutation_importance(model: BoostedTrees, holdout: DataFrame, params: Anal
 
     Rows are numbered once in a seeded hash order. For each (feature, repeat) a keyed
     bijection of those numbers says which row receives whose value, so a shuffle is
-    arithmetic, without a sort or a copy: a row sends out its values, and a receiving row
-    gathers its features x repeats of them by its number. Every row is used in every repeat;
-    a row's trees are walked again only where they test the shuffled feature.
+    arithmetic, without a sort or a copy: a row sends out its values' bins, a byte each, and
+    what a block of row numbers receives meets in one group of fixed size, however many rows there
+    are. Every row is used in every repeat; a row's trees are walked again only where they test
+    the shuffled feature.
     """
     feats = list(params.ltv_features)
     rows = global_rank(
         holdout.withColumn("_h", F.xxhash64("CustomerID", F.lit(params.seed))), ["_h", "CustomerID"], "pos"
-    ).select("CustomerID", LABEL, *feats, (F.col("pos") - 1).alias("pos"))
+    ).select(
+        F.col(LABEL).cast("int").alias(LABEL), *[F.col(c).cast("double").alias(c) for c in feats], (F.col("pos") - 1).alias("pos")
+    )
     n = rows.count()
     keys = shuffle_keys(n, len(feats) * params.n_repeats, params.seed)
-    sent = F.array(
-        *[
-            F.struct(
-                F.pmod(F.col("pos") * F.lit(a).cast("long") + F.lit(b).cast("long"), F.lit(max(n, 1)).cast("long")).alias("to"),
-                F.lit(k).alias("slot"),
-                F.col(feats[k // params.n_repeats]).cast("double").alias("value"),
-            )
-            for k, (a, b) in enumerate(keys)
-        ]
-    )
-    # features x repeats values a row, however many rows there are
-    received = rows.select(F.inline(sent)).groupBy("to").agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("sent"))
-    rescored = F.pandas_udf(_rescored(model, params.n_repeats), "array<double>")
-    probs = rescored(
-        F.struct(*[F.col(c).cast("double").alias(c) for c in feats]), F.transform("sent", lambda x: x["value"])
-    )
+    sent = rows.mapInPandas(_send_values(model, keys, n, LABEL), "block long, at binary, slot binary, value binary")
     scored = (
-        rows.join(received, F.col("pos") == F.col("to"))
-        .select("CustomerID", LABEL, F.posexplode(probs).alias("k", "prob"))
+        sent.groupBy("block")
+        .applyInArrow(_rescore(model, params.n_repeats, n), "k int, prob double, label int")
         .select(
             F.floor((F.col("k") - 1) / params.n_repeats).cast("int").alias("feature_idx"),  # -1: as it is
             F.when(F.col("k") > 0, (F.col("k") - 1) % params.n_repeats).otherwise(-1).alias("repeat"),
-            "CustomerID",
-            LABEL,
+            F.col("label").alias(LABEL),
             "prob",
         )
     )
-    aucs = reliable_checkpoint(auc_by_group(scored, ["feature_idx", "repeat"], "prob", LABEL, "CustomerID"))
+    aucs = reliable_checkpoint(auc_by_group(scored, ["feature_idx", "repeat"], "prob", LABEL))
     # the unpermuted AUC is one number: read it once instead of joining a one-row frame
     base = aucs.where(F.col("feature_idx") == -1).first()
     drop = F.lit(base["auc"] if base else None).cast("double") - F.col("auc")

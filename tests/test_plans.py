@@ -89,3 +89,20 @@ def test_a_ledger_commit_reads_its_month_only(spark, tmp_path):
 def test_histogram_reads_its_source_once(spark):
     plan = _final_plan(QUERIES["quantity_histogram"](spark, SF001))
     assert "ReusedExchange" in plan
+
+
+def test_summary_with_a_model_folds_from_the_stored_grain(spark, monkeypatch):
+    from tillroll.plans import catalog
+
+    monkeypatch.setattr(catalog.M, "ltv_study", lambda scored, params: None)
+    monkeypatch.setattr(catalog, "summary_frame", lambda a, ltv: a)
+    a = catalog.q_summary(spark, SF001)
+    assert "lineitem" not in a.features._jdf.queryExecution().toString()
+
+
+def test_orders_meet_customers_before_lines(spark):
+    from tillroll.sources import tpch_adapter
+
+    plan = tpch_adapter.line_items(spark, SF001)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {k: next(row.index("Join") for row in plan if "Join" in row and k in row) for k in ("o_custkey", "l_orderkey")}
+    assert depth["o_custkey"] > depth["l_orderkey"]

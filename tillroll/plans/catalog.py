@@ -368,6 +368,7 @@ def q_summary_core(spark, sf_dir):
 
 def q_summary(spark, sf_dir):
     a = _a(spark, sf_dir)
+    a.grain  # stored first: the scored customers and the cleaning log are folded from it as well
     return summary_frame(a, M.ltv_study(a.scored, a.params))
 
 

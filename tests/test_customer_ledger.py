@@ -91,3 +91,14 @@ def test_empty_month_and_bad_batch_name(spark, tmp_path):
     assert ledger.features(P).count() == 0
     with pytest.raises(ValueError):
         ledger.commit("2011-05", "a/b", empty)
+
+
+def test_a_base_alone_is_not_merged_again(spark, tmp_path):
+    ledger = CustomerLedger(spark, str(tmp_path / "ledger"))
+    of = lambda *ls: CL.clean_line_items(frame(spark, ls), P)
+    for month in (5, 6):
+        ledger.commit(f"2011-0{month}", "x", of(line(str(month), "A", 2, f"2011-0{month}-01 10:00:00", 3.0, 7)))
+    assert "Aggregate" in ledger.state()._jdf.queryExecution().optimizedPlan().toString()
+    ledger.compact()
+    assert "Aggregate" not in ledger.state()._jdf.queryExecution().optimizedPlan().toString()
+    assert float(ledger.features(P).first()["Monetary"]) == 12.0

@@ -72,7 +72,8 @@ class CustomerLedger:
         return None
 
     def state(self) -> DataFrame | None:
-        """The merged state of all months; None before the first commit."""
+        """The merged state of all months; None before the first commit. A base or a month alone
+        is merged already."""
         months = self.months()
         base = self._base(months)
         covered = base[1] if base else {}
@@ -81,7 +82,7 @@ class CustomerLedger:
         if not paths:
             return None
         parts = [self.spark.read.parquet(p) for p in paths]
-        return merge_facets(reduce(DataFrame.unionByName, parts))
+        return parts[0] if len(parts) == 1 else merge_facets(reduce(DataFrame.unionByName, parts))
 
     def features(self, params: AnalysisParams) -> DataFrame | None:
         """C1-C10 of all customers over all months."""

@@ -220,18 +220,24 @@ def best_split(hist: np.ndarray, min_rows: int, l2: float) -> Split | None:
 
 def histogram(bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     """(feature, bin, 3) sums of rows that are at hand; ``g`` and ``h`` are whole numbers."""
-    out = np.empty((bins.shape[1], _BINS, 3), np.int64)
+    return histograms(bins, g, h, [len(bins)])[0]
+
+
+def histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+    """(cell, feature, bin, 3) sums of rows that lie cell by cell, so many of each."""
+    out = np.empty((len(sizes), bins.shape[1], _BINS, 3), np.int64)
+    first = np.repeat(np.arange(len(sizes)) * _BINS, sizes)
     for f in range(bins.shape[1]):
-        at = bins[:, f].astype(np.intp)
+        at = first + bins[:, f]
         for c, weights in enumerate((None, g, h)):
-            out[f, :, c] = np.bincount(at, weights, _BINS)  # far below 2^53: exact
+            out[:, f, :, c] = np.bincount(at, weights, len(sizes) * _BINS).reshape(-1, _BINS)  # far below 2^53: exact
     return out
 
 
 @dataclass
 class Found:
-    """What a round answers of one node: its sums, its best split and, if its rows were at hand,
-    the nodes below it (``low`` and ``high`` are both set or both not)."""
+    """What a round answers of one node: its sums, its best split and, if its rows were at hand or
+    its split was guessed, the nodes below it (``low`` and ``high`` are both set or both not)."""
 
     sums: tuple[int, int, int]  # rows, gradients, hessians
     split: Split | None
@@ -345,6 +351,37 @@ class GrowingTree:
             else:
                 self.asked.append(child)
 
+    def remember(self, seen: dict[tuple, tuple[int, int, bool]]) -> None:
+        """Notes the split of every node of more than ``local_rows`` rows by the splits on the way to it."""
+        t, open_nodes = self.tree, [(0, ())]
+        while open_nodes:
+            node, way = open_nodes.pop()
+            if node in self.kept and self.sums[node][0] > self.local_rows:
+                cut = seen[way] = t.feature[node], t.bin[node], t.missing_left[node]
+                open_nodes += [(t.left[node], (way, cut, 0)), (t.right[node], (way, cut, 1))]
+
+    def with_guesses(self, seen: dict[tuple, tuple[int, int, bool]]) -> Tree:
+        """A copy of the tree in which the asked nodes are cut on as the last tree that came by the same
+        way was cut, nodes nearer to the asked ones first, by less than ``max_leaves`` cuts in all."""
+        t = self.tree
+        out = Tree(*(list(column) for column in (t.feature, t.bin, t.missing_left, t.left, t.right, t.value)))
+        asked, open_nodes, guessed = set(self.asked), [(0, ())], []
+        while open_nodes:
+            node, way = open_nodes.pop()
+            if node in asked:
+                guessed.append((node, way))
+            elif t.left[node] >= 0:
+                cut = t.feature[node], t.bin[node], t.missing_left[node]
+                open_nodes += [(t.left[node], (way, cut, 0)), (t.right[node], (way, cut, 1))]
+        cuts = 0
+        for node, way in guessed:  # grows on the way
+            if way in seen and cuts < self.max_leaves - 1:
+                cuts += 1
+                cut = out.feature[node], out.bin[node], out.missing_left[node] = seen[way]
+                out.left[node], out.right[node] = out.add(), out.add()
+                guessed += [(out.left[node], (way, cut, 0)), (out.right[node], (way, cut, 1))]
+        return out
+
     def grown(self, rate: float) -> Tree:
         """The tree without the expansions that were not chosen, with leaf values."""
         out = Tree()
@@ -409,14 +446,30 @@ class BoostedTrees:
 
 
 # ------------------------------------------------------------------------------- blocks
-_BLOCK = pa.schema(
-    [("n", pa.int64())] + [(c, pa.binary()) for c in ("id", "bins", "label", "member", "valid", "margin")]
-)
-_BLOCK_DDL = "n long, id binary, bins binary, label binary, member binary, valid binary, margin binary"
+_PARTS = "id", "bins", "label", "member", "valid"
+
+
+def _margins(n_models: int) -> list[str]:
+    """A column per model: a round reads those of the models that still grow a tree."""
+    return [f"margin{m}" for m in range(n_models)]
+
+
+def _block_schema(n_models: int) -> pa.Schema:
+    return pa.schema([("n", pa.int64())] + [(c, pa.binary()) for c in (*_PARTS, *_margins(n_models))])
+
+
+def _block_ddl(n_models: int) -> str:
+    return ", ".join(["n long", *(f"{c} binary" for c in (*_PARTS, *_margins(n_models)))])
+
+
+def _bits(n_models: int) -> type:
+    """A bit per model."""
+    return np.uint8 if n_models <= 8 else np.int64
 
 
 def _pack(thresholds: list[np.ndarray], n_models: int, baselines: np.ndarray):
     """(id, label, member, valid, features...) batches to blocks."""
+    schema = _block_schema(n_models)
 
     def block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         pdf = pa.Table.from_batches(batches).to_pandas()
@@ -425,12 +478,11 @@ def _pack(thresholds: list[np.ndarray], n_models: int, baselines: np.ndarray):
             pdf["id"].to_numpy(np.int64),
             to_bins(values, thresholds),
             pdf["label"].to_numpy(np.uint8),
-            pdf["member"].to_numpy(np.int64),
-            pdf["valid"].to_numpy(np.int64),
-            np.broadcast_to(baselines[:, None], (n_models, len(pdf))).astype(np.float64),
+            *(pdf[c].to_numpy(np.int64).astype(_bits(n_models)) for c in ("member", "valid")),
+            *(np.full(len(pdf), b) for b in baselines),
         ]
         arrays = [pa.array([len(pdf)], pa.int64()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)]
-        return pa.RecordBatch.from_arrays(arrays, schema=_BLOCK)
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -449,15 +501,18 @@ def _pack(thresholds: list[np.ndarray], n_models: int, baselines: np.ndarray):
 
 
 class _Block:
+    """A row of the blocks; a round does not read all of its columns."""
+
     def __init__(self, row: dict, n_features: int, n_models: int):
-        n = row["n"]
-        self.row = row
-        self.id = np.frombuffer(row["id"], np.int64)
-        self.bins = np.frombuffer(row["bins"], np.uint8).reshape(n, n_features)
-        self.label = np.frombuffer(row["label"], np.uint8)
-        self.member = np.frombuffer(row["member"], np.int64)
-        self.valid = np.frombuffer(row["valid"], np.int64)
-        self.margin = np.frombuffer(row["margin"], np.float64).reshape(n_models, n)
+        self.row, self.n = row, row["n"]
+        bits = _bits(n_models)
+        kinds = {"id": np.int64, "bins": np.uint8, "label": np.uint8, "member": bits, "valid": bits}
+        read = {c: np.frombuffer(row[c], kind) for c, kind in kinds.items() if c in row}
+        self.id, self.label, self.member, self.valid = (read.get(c) for c in ("id", "label", "member", "valid"))
+        self.bins = read["bins"].reshape(self.n, n_features)
+
+    def margin(self, model: int) -> np.ndarray:
+        return np.frombuffer(self.row[f"margin{model}"], np.float64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], n_features: int, n_models: int) -> Iterator[_Block]:
@@ -468,8 +523,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], n_features: int, n_models: int) -
 
 @dataclass(frozen=True)
 class _Task:
-    """What a round asks of one model: the growing tree, the nodes whose sums are counted, those
-    whose rows are read (with the splits that they may be given), and whether the validation loss is due."""
+    """What a round asks of one model: the growing tree with its guesses, the nodes whose sums are counted,
+    those whose rows are read (with the splits that they may be given), and whether the validation loss is due."""
 
     model: int
     growing: Tree
@@ -482,52 +537,70 @@ class _Task:
         """By place in the keys of the round."""
         return (*self.asked, *(node for node, _ in self.wanted))
 
-    def rows(self, block: _Block) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(place, bins, g, h) of the block's rows in each of the nodes."""
-        bit = 1 << self.model
-        place = {node: k for k, node in enumerate(self.nodes)}
-        use = np.flatnonzero((block.member & ~block.valid & bit) != 0)
-        margin = block.margin[self.model]
-        for node, rows in self.growing.spread(block.bins, use, place):
-            p = _sigmoid(margin[rows])
-            yield place[node], block.bins[rows], np.rint((p - block.label[rows]) * _ONE), np.rint(p * (1 - p) * _ONE)
+    def ends(self) -> dict[int, int]:
+        """The place by node: a node whose rows are read, or one at the end of an asked node's guesses."""
+        t, out, open_nodes = self.growing, {}, list(enumerate(self.nodes))
+        while open_nodes:
+            place, node = open_nodes.pop()
+            if t.left[node] < 0:
+                out[node] = place
+            else:
+                open_nodes += [(place, t.left[node]), (place, t.right[node])]
+        return out
+
+
+    def training(self, block: _Block) -> np.ndarray:
+        return np.flatnonzero((block.member & ~block.valid & (1 << self.model)) != 0)
+
+    def weights(self, block: _Block, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients and hessians, whole numbers of at most 2^30."""
+        p = _sigmoid(block.margin(self.model)[rows])
+        return np.rint((p - block.label[rows]) * _ONE), np.rint(p * (1 - p) * _ONE)
 
     def loss(self, block: _Block) -> np.ndarray:
         """(rows, loss) of the block's validation rows."""
-        bit = 1 << self.model
-        held = np.flatnonzero(((block.member & block.valid & bit) != 0) & self.with_loss)
-        margin = block.margin[self.model][held]
+        held = np.flatnonzero((block.member & block.valid & (1 << self.model)) != 0)
+        margin = block.margin(self.model)[held]
         each = np.logaddexp(0, margin) - block.label[held] * margin
         return np.array([len(held), np.rint(each * _ONE).sum()], np.int64)
 
 
-# of a counted node its sums over a task's blocks, of a read node its rows of a block
-_SENT = pa.schema([("key", pa.int64())] + [(c, pa.binary()) for c in ("sums", "bins", "g", "h")])
-_SENT_DDL = "key long, sums binary, bins binary, g binary, h binary"
+# the sums of an end over a task's blocks, of a read node its rows of a block; dealt by ``task``
+_SENT = pa.schema(
+    [("task", pa.int32()), ("key", pa.int64()), ("node", pa.int32())] + [(c, pa.binary()) for c in ("sums", "bins", "g", "h")]
+)
+_SENT_DDL = "task int, key long, node int, sums binary, bins binary, g binary, h binary"
 
 
-def _send(tasks: Sequence[_Task], n_features: int, n_models: int) -> Callable:
-    """Per partition: the sums of the counted nodes, the rows of the read nodes and the losses."""
+def _send(tasks: Sequence[_Task], n_features: int, n_models: int, dealt: dict[int, int]) -> Callable:
+    """Per partition: the sums of the asked nodes, the rows of the read nodes and the losses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        ends = [task.ends() for task in tasks]
         for block in _blocks(batches, n_features, n_models):
             read = []
-            for task in tasks:
-                first = task.model * _SLOTS
-                for place, bins, g, h in task.rows(block):
-                    if place < len(task.asked):
-                        mine = histogram(bins, g, h)
-                        sums[first + place] = sums[first + place] + mine if first + place in sums else mine
-                    else:  # at most 2^30: four bytes hold them
-                        read.append((first + place, None, bins.tobytes(), g.astype(np.int32).tobytes(), h.astype(np.int32).tobytes()))
-                loss = task.loss(block)
+            for task, places in zip(tasks, ends, strict=True):
+                first, cells = task.model * _SLOTS, []
+                for node, rows in task.growing.spread(block.bins, task.training(block), places):
+                    if places[node] < len(task.asked):
+                        cells.append((node, rows))
+                    else:
+                        key, sent = first + places[node], [x.astype(np.int32) for x in task.weights(block, rows)]
+                        read.append((dealt[key], key, node, None, *(x.tobytes() for x in (block.bins[rows], *sent))))
+                if cells:
+                    rows = np.concatenate([rows for _, rows in cells])
+                    counted = histograms(block.bins[rows], *task.weights(block, rows), [len(rows) for _, rows in cells])
+                    for (node, _), mine in zip(cells, counted, strict=True):
+                        at = first + places[node], node
+                        sums[at] = sums[at] + mine if at in sums else mine
+                loss = task.loss(block) if task.with_loss else (0, 0)
                 if loss[0]:
-                    sums[first + _LOSS] = sums.get(first + _LOSS, 0) + loss
+                    sums[first + _LOSS, 0] = sums.get((first + _LOSS, 0), 0) + loss
             if read:
                 yield _sent(read)
         if sums:
-            yield _sent([(key, x.tobytes(), None, None, None) for key, x in sums.items()])
+            yield _sent([(dealt[key], key, node, x.tobytes(), None, None, None) for (key, node), x in sums.items()])
 
     def _sent(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(_SENT.types)], schema=_SENT)
@@ -536,7 +609,7 @@ def _send(tasks: Sequence[_Task], n_features: int, n_models: int) -> Callable:
 
 
 def _summed(table: pa.Table) -> np.ndarray:
-    """The sums of a counted node, or a loss, over all tasks."""
+    """The sums of a counted node over all tasks."""
     return sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
 
 
@@ -553,23 +626,44 @@ _FOUND_DDL = (
 
 
 def _find(tasks: Sequence[_Task], n_features: int, min_rows: int, l2: float) -> Callable:
-    """Per key: the node and the nodes grown below it (``below`` is the first of a node's two, which
+    """Per key: the node and the nodes known below it (``below`` is the first of a node's two, which
     stand side by side), each with its sums and its best split; a loss is a node without a split."""
-    splits = {t.model * _SLOTS + len(t.asked) + k: n for t in tasks for k, (_, n) in enumerate(t.wanted)}
-
-    def find(key: int, table: pa.Table) -> Found:
-        if key % _SLOTS == _LOSS:
-            return Found((*_summed(table).tolist(), 0), None)
-        if key not in splits:
-            hist = _summed(table).reshape(n_features, _BINS, 3)
-            return Found(tuple(hist[0].sum(0).tolist()), best_split(hist, min_rows, l2))
-        joined = (b"".join(table.column(c).to_pylist()) for c in ("bins", "g", "h"))
-        bins, g, h = (np.frombuffer(x, kind) for x, kind in zip(joined, (np.uint8, np.int32, np.int32), strict=True))
-        return grow_from_rows(bins.reshape(-1, n_features), g, h, splits[key], min_rows, l2)
+    of = {t.model: t for t in tasks}
 
-    def run(table: pa.Table) -> pa.Table:
-        key = table.column("key")[0].as_py()
-        nodes, rows = [find(key, table)], []
+    def counted(task: _Task, root: int, sums: dict[int, np.ndarray]) -> Found:
+        """The asked node, and the nodes below it as far as its guesses are its best splits."""
+        t, hists = task.growing, {}
+
+        def add_up(node: int) -> np.ndarray:
+            if t.left[node] < 0:
+                hist = sums[node].reshape(n_features, _BINS, 3) if node in sums else np.zeros((n_features, _BINS, 3), np.int64)
+            else:
+                hist = add_up(t.left[node]) + add_up(t.right[node])
+            hists[node] = hist
+            return hist
+
+        def found(node: int) -> Found:
+            s = best_split(hists[node], min_rows, l2)
+            out = Found(tuple(hists[node][0].sum(0).tolist()), s)
+            if s and t.left[node] >= 0 and (s.feature, s.bin, s.missing_left) == (t.feature[node], t.bin[node], t.missing_left[node]):
+                out.low, out.high = found(t.left[node]), found(t.right[node])
+            return out
+
+        add_up(root)
+        return found(root)
+
+    def find(key: int, sums: dict[int, np.ndarray], read: list[tuple]) -> Found:
+        model, place = divmod(key, _SLOTS)
+        if place == _LOSS:
+            return Found((*sums[0].tolist(), 0), None)
+        task = of[model]
+        if place < len(task.asked):
+            return counted(task, task.asked[place], sums)
+        bins, g, h = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*read, strict=True), (np.uint8, np.int32, np.int32), strict=True))
+        return grow_from_rows(bins.reshape(-1, n_features), g, h, task.wanted[place - len(task.asked)][1], min_rows, l2)
+
+    def answer(key: int, node: Found) -> pa.RecordBatch:
+        nodes, rows = [node], []
         for k, x in enumerate(nodes):  # grows on the way
             below = len(nodes) if x.low else None
             if x.low:
@@ -577,7 +671,20 @@ def _find(tasks: Sequence[_Task], n_features: int, min_rows: int, l2: float) ->
             s = x.split
             best = (s.gain, s.feature, s.bin, s.missing_left, *s.left) if s else (None,) * 7
             rows.append((key, k, below, *x.sums, *best))
-        return pa.Table.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(_FOUND.types)], schema=_FOUND)
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(_FOUND.types)], schema=_FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, dict[int, np.ndarray]] = {}
+        read: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["sums"] is None:
+                    read.setdefault(r["key"], []).append((r["bins"], r["g"], r["h"]))
+                else:
+                    mine, part = sums.setdefault(r["key"], {}), np.frombuffer(r["sums"], np.int64)
+                    mine[r["node"]] = mine[r["node"]] + part if r["node"] in mine else part
+        for key in (*sums, *read):
+            yield answer(key, find(key, sums.get(key), read.pop(key, [])))
 
     return run
 
@@ -613,15 +720,18 @@ def _by_bin(n_features: int) -> Callable:
 
 def _add_trees(recent: Sequence[Sequence[Tree]], n_features: int):
     """Blocks with their margins brought up to date."""
+    schema = _block_schema(len(recent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, n_features, len(recent)):
-            margin = block.margin.copy()
+            row = dict(block.row)
             for m, trees in enumerate(recent):
-                for tree in trees:
-                    margin[m] += tree.values(block.bins)
-            row = {**block.row, "margin": margin.tobytes()}
-            yield pa.RecordBatch.from_pylist([row], schema=_BLOCK)
+                if trees:
+                    margin = block.margin(m).copy()
+                    for tree in trees:
+                        margin += tree.values(block.bins)
+                    row[f"margin{m}"] = margin.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([row[c]], schema.field(c).type) for c in schema.names], schema=schema)
 
     return run
 
@@ -632,7 +742,7 @@ def _unpack(n_features: int, n_models: int):
             # the model that left the row out, by the lowest bit that is not set
             out = [(~b.member >> m) & 1 for m in range(n_models)]
             model = np.argmax(out, axis=0)
-            prob = _sigmoid(b.margin[model, np.arange(len(b.id))])
+            prob = _sigmoid(np.stack([b.margin(m) for m in range(n_models)])[model, np.arange(b.n)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(b.id), pa.array(model.astype(np.int32)), pa.array(prob)], names=["id", "model", "prob"]
             )
@@ -649,6 +759,7 @@ class _Model:
     growing: GrowingTree | None
     recent: list[Tree] = field(default_factory=list)
     losses: list[float] = field(default_factory=list)
+    seen: dict[tuple, tuple[int, int, bool]] = field(default_factory=dict)  # the last split by the splits above it
 
     def stopped(self, params: AnalysisParams) -> bool:
         wait = params.gbt_no_change
@@ -670,7 +781,7 @@ class Boosting:
         # the rounds are small jobs over a fixed set of keys: no re-planning between their two stages
         self.session: SparkSession = spark.newSession()
         self.session.conf.set("spark.sql.adaptive.enabled", "false")
-        self.session.conf.set("spark.sql.shuffle.partitions", str(max(1, 2 * n_models)))
+        self.finders = max(1, min(2 * n_models, spark.sparkContext.defaultParallelism))  # tasks that look for splits
         self.folder = f"{ensure_checkpoint_dir(spark)}/boosting-{uuid.uuid4().hex}"
         self.jobs = 0
         bits = [F.sum(F.when(F.col("member").bitwiseAND(1 << m) != 0, x)) for m in range(n_models) for x in (F.lit(1), F.col(label))]
@@ -700,7 +811,7 @@ class Boosting:
         # a task for every core, but none for a few rows; by id, so that a lost task packs the same rows again
         n_rows, cores = counted["rows"], spark.sparkContext.defaultParallelism
         parts = max(1, min(cores, n_rows // _TASK_ROWS[0]), n_rows // _TASK_ROWS[1])
-        packed = packed.repartition(parts, "id").mapInArrow(_pack(thresholds, n_models, np.array(baselines)), _BLOCK_DDL)
+        packed = packed.repartition(parts, "id").mapInArrow(_pack(thresholds, n_models, np.array(baselines)), _block_ddl(n_models))
         self.version = 0
         packed.write.parquet(self._path())
         self.blocks = self._read()
@@ -714,10 +825,30 @@ class Boosting:
         return f"{self.folder}/{self.version}"
 
     def _read(self) -> DataFrame:
-        return self.session.read.schema(_BLOCK_DDL).parquet(self._path())
+        return self.session.read.schema(_block_ddl(self.n_models)).parquet(self._path())
 
     def _sent(self, tasks: Sequence[_Task]) -> DataFrame:
-        return self.blocks.mapInArrow(_send(tasks, len(self.features), self.n_models), _SENT_DDL)
+        columns = ["n", *_PARTS[1:], *(f"margin{t.model}" for t in tasks)]
+        sent = _send(tasks, len(self.features), self.n_models, self._deal(tasks))
+        return self.blocks.select(*columns).mapInArrow(sent, _SENT_DDL)
+
+    def _deal(self, tasks: Sequence[_Task]) -> dict[int, int]:
+        """The task that looks for a key's splits, by key: those with most to do first, each to the
+        task that has least. A read node counts by its rows, a counted one as a few thousand."""
+        weight = {}
+        for t in tasks:
+            sums = self.models[t.model].growing.sums
+            for place in range(len(t.nodes)):
+                node = t.nodes[place]
+                rows = 0 if place < len(t.asked) else sums[node][0] if node in sums else self.models[t.model].n_rows
+                weight[t.model * _SLOTS + place] = 4000 + rows
+            weight[t.model * _SLOTS + _LOSS] = 0
+        load, dealt = [(0, k) for k in range(self.finders)], {}
+        for key in sorted(weight, key=lambda key: (-weight[key], key)):
+            least, k = heapq.heappop(load)
+            dealt[key] = k
+            heapq.heappush(load, (least + weight[key], k))
+        return dealt
 
     def first_histogram(self, model: int = 0) -> DataFrame:
         """(feature, bin, customers, gradient, hessian) of the first round of one model."""
@@ -735,7 +866,7 @@ class Boosting:
     def _tasks(self) -> list[_Task]:
         """A task for every model whose tree is not grown."""
         return [
-            _Task(m, x.growing.tree, tuple(x.growing.asked), tuple(x.growing.wanted.items()), x.early and x.growing.starts)
+            _Task(m, x.growing.with_guesses(x.seen), tuple(x.growing.asked), tuple(x.growing.wanted.items()), x.early and x.growing.starts)
             for m, x in enumerate(self.models)
             if x.growing and x.growing.kept is None
         ]
@@ -743,7 +874,7 @@ class Boosting:
     def _round(self, tasks: list[_Task]) -> None:
         """One round, one job, for all models that still grow a tree."""
         p = self.params
-        found = self._sent(tasks).groupBy("key").applyInArrow(
+        found = self._sent(tasks).repartitionById(self.finders, F.col("task")).mapInArrow(
             _find(tasks, len(self.features), p.gbt_min_rows_per_leaf, p.gbt_l2), _FOUND_DDL
         )
         rows = found.toArrow().to_pylist()  # at most a split per node of the trees
@@ -771,12 +902,15 @@ class Boosting:
             x.recent = []
             if x.growing:
                 tree = x.growing.grown(self.params.gbt_step_size)
+                x.growing.remember(x.seen)
                 x.recent.append(tree)
                 x.model.trees.append(tree)
                 more = len(x.model.trees) < self.params.gbt_max_iter and x.growing.kept
                 x.growing = self._tree(x.n_rows) if more else None
         if any(x.recent for x in self.models):
-            self.blocks = self.blocks.mapInArrow(_add_trees([x.recent for x in self.models], len(self.features)), _BLOCK_DDL)
+            self.blocks = self.blocks.mapInArrow(
+                _add_trees([x.recent for x in self.models], len(self.features)), _block_ddl(self.n_models)
+            )
 
     def _refresh(self) -> None:
         """Write the blocks with the margins of all trees so far; the older ones go."""

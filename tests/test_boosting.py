@@ -322,3 +322,37 @@ def test_importance_stores_no_copies_of_the_rows(spark, monkeypatch):
             changed[order[(a * np.arange(n) + b) % n], f] = bins[order, f]
             drops.append(auc(model.margins(bins)) - auc(model.margins(changed)))
         assert got[name] == pytest.approx(np.mean(drops), abs=1e-9)
+
+
+def test_guessed_splits_save_rounds_and_change_no_tree(spark, monkeypatch):
+    """A round answers the nodes below an asked one where the guess is its best split; a wrong guess costs nothing."""
+    cols = data(1500, 14)
+    p = P.with_(gbt_max_iter=8, gbt_max_leaves=12, gbt_local_rows=60, gbt_max_bins=64)
+    member = np.array([1 + 2 * (i % 3 > 0) for i in range(1500)])
+
+    def fit():
+        out = B.Boosting(frame(spark, cols, member), M.LABEL, "CustomerID", p, 2)
+        return [m.trees for m in out.fit()], out.jobs
+
+    def wrong(self, seen):
+        t = self.tree
+        out = B.Tree(*(list(c) for c in (t.feature, t.bin, t.missing_left, t.left, t.right, t.value)))
+        for node in self.asked:
+            out.feature[node], out.bin[node], out.left[node], out.right[node] = 2, 200, out.add(), out.add()
+        return out
+
+    trees, jobs = fit()
+    monkeypatch.setattr(B.GrowingTree, "with_guesses", lambda self, seen: self.tree, raising=False)
+    plain, plain_jobs = fit()
+    monkeypatch.setattr(B.GrowingTree, "with_guesses", wrong, raising=False)
+    misled, misled_jobs = fit()
+    assert trees == plain == misled
+    assert jobs < plain_jobs == misled_jobs
+
+
+def test_a_round_reads_the_margins_of_its_models_only(spark):
+    cols = data(300, 15)
+    fit = B.Boosting(frame(spark, cols, np.full(300, 7)), M.LABEL, "CustomerID", P, 3)
+    sent = fit._sent(fit._tasks()[1:2])
+    read = sent._jdf.queryExecution().executedPlan().toString().split("ReadSchema:")[1]
+    assert "margin1" in read and "margin0" not in read and "margin2" not in read and ",id:" not in read

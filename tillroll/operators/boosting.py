@@ -3,9 +3,9 @@
 Features are cut into at most ``max_bins`` bins at exact quantiles (midpoints between the
 neighbouring values; every distinct value if there are fewer) and packed, a block of
 customers per row, with one byte per feature, spread over the cores. A round is one DataFrame
-aggregation: every task adds up counts, gradients and hessians per (model, leaf, feature, bin)
-over its blocks, the sums of a (model, leaf) meet in one group of at most features x bins of them
-per task, and the group answers with its best split. The driver reads the splits only.
+job: every task adds up counts, gradients and hessians per (model, leaf, feature, bin)
+over its blocks, the sums of a (model, leaf) meet in one group, dealt by the work it has, and
+the group answers with its best split. The driver reads the splits only.
 Gradients are whole multiples of 2^-30, so the sums, and with them the trees, do not depend on
 the order of the rows.
 
@@ -17,6 +17,11 @@ group, which grows the subtree below it, as far as the tree could still take it,
 the splits. The sums are the same whole numbers either way, so the bound decides on the number of
 rounds, not on the trees.
 
+An asked node is cut on by guesses: as the last tree cut the same region, else as its parent's
+sums suggest. The tasks add up the sums of the guessed pieces, each row once, and the group puts
+them together again: as far as a guess is the best split found, the nodes below it are answered
+in the same round; a wrong guess is of no consequence.
+
 All models of a study (one per fold, one for the hold-out split) share the blocks and the
 rounds: a row carries a bit per model that trains on it and one margin per model. Once all models
 have grown a tree, the margins are brought up to date in a persisted frame of blocks; every few
@@ -186,6 +191,17 @@ class Tree:
         return {f for f, k in zip(self.feature, self.left, strict=True) if k >= 0}
 
 
+Cut = tuple[int, int, bool]  # feature, bin, missing_left
+Region = dict[int, tuple[int, int, bool]]  # by feature: above which bin, up to which, missing values too
+
+
+def _part(region: Region, cut: Cut, low: bool) -> Region:
+    feature, b, missing_left = cut
+    above, upto, missing = region.get(feature, (-1, MISSING, True))
+    side = (above, min(upto, b), missing and missing_left) if low else (max(above, b), upto, missing and not missing_left)
+    return {**region, feature: side}
+
+
 @dataclass(frozen=True)
 class Split:
     gain: float
@@ -194,6 +210,10 @@ class Split:
     missing_left: bool
     left: tuple[int, int, int]  # rows, gradients, hessians
 
+    @property
+    def cut(self) -> Cut:
+        return self.feature, self.bin, self.missing_left
+
 
 def best_split(hist: np.ndarray, min_rows: int, l2: float) -> Split | None:
     """The split of largest gain of a (feature, bin, 3) histogram; the first of equals."""
@@ -223,6 +243,19 @@ def histogram(bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return histograms(bins, g, h, [len(bins)])[0]
 
 
+def likely_split(hist: np.ndarray, split: Split, low: bool, min_rows: int, l2: float) -> Split | None:
+    """A guess of a child's best split from its parent's sums: the cut feature's bins are the child's
+    own, of the other features each bin loses rows, gradients and hessians in proportion to its rows."""
+    total = hist[0].sum(0)
+    left = np.array(split.left)
+    gone = total - left if low else left
+    child = np.rint(hist - hist[..., :1] / total[0] * gone)
+    mine = (np.arange(_BINS) <= split.bin) == low
+    mine[MISSING] = split.missing_left == low
+    child[split.feature] = np.where(mine[:, None], hist[split.feature], 0)
+    return best_split(child, min_rows, l2)
+
+
 def histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
     """(cell, feature, bin, 3) sums of rows that lie cell by cell, so many of each."""
     out = np.empty((len(sizes), bins.shape[1], _BINS, 3), np.int64)
@@ -243,6 +276,7 @@ class Found:
     split: Split | None
     low: Found | None = None
     high: Found | None = None
+    guesses: tuple[Cut | None, Cut | None] = None, None  # of the splits of its two children
 
 
 def grow_from_rows(bins: np.ndarray, g: np.ndarray, h: np.ndarray, splits: int, min_rows: int, l2: float) -> Found:
@@ -286,6 +320,8 @@ class GrowingTree:
         self.tree = Tree()
         self.sums: dict[int, tuple[int, int, int]] = {}
         self.split: dict[int, Split | None] = {}
+        self.guess: dict[int, Cut] = {}  # of the splits of nodes that are not known yet
+        self.guesses: dict[int, tuple[Cut | None, Cut | None]] = {}  # by parent
         self.path: dict[int, str] = {}  # orders equal gains, however the nodes came
         root = self.tree.add()
         self.path[root] = ""
@@ -302,7 +338,7 @@ class GrowingTree:
         self._choose()
 
     def _know(self, node: int, found: Found) -> None:
-        self.sums[node], self.split[node] = found.sums, found.split
+        self.sums[node], self.split[node], self.guesses[node] = found.sums, found.split, found.guesses
         if found.low:
             for child, below in zip(self._branch(node), (found.low, found.high), strict=True):
                 self._know(child, below)
@@ -342,7 +378,7 @@ class GrowingTree:
                 return
 
     def _expand(self, node: int, splits: int) -> None:
-        for child in self._branch(node):
+        for child, guess in zip(self._branch(node), self.guesses[node], strict=True):
             n = self.sums[child][0]
             if not splits or n < 2 * self.min_rows:
                 self.split[child] = None
@@ -350,36 +386,44 @@ class GrowingTree:
                 self.wanted[child] = splits
             else:
                 self.asked.append(child)
+                if guess:
+                    self.guess[child] = guess
+
+    def _cut(self, node: int) -> Cut:
+        return self.tree.feature[node], self.tree.bin[node], self.tree.missing_left[node]
 
-    def remember(self, seen: dict[tuple, tuple[int, int, bool]]) -> None:
-        """Notes the split of every node of more than ``local_rows`` rows by the splits on the way to it."""
-        t, open_nodes = self.tree, [(0, ())]
+    def remember(self, seen: dict[frozenset, Cut]) -> None:
+        """Notes how the regions of more than ``local_rows`` rows were cut."""
+        open_nodes: list[tuple[int, Region]] = [(0, {})]
         while open_nodes:
-            node, way = open_nodes.pop()
+            node, region = open_nodes.pop()
             if node in self.kept and self.sums[node][0] > self.local_rows:
-                cut = seen[way] = t.feature[node], t.bin[node], t.missing_left[node]
-                open_nodes += [(t.left[node], (way, cut, 0)), (t.right[node], (way, cut, 1))]
+                cut = seen[frozenset(region.items())] = self._cut(node)
+                open_nodes += [(self.tree.left[node], _part(region, cut, True)), (self.tree.right[node], _part(region, cut, False))]
 
-    def with_guesses(self, seen: dict[tuple, tuple[int, int, bool]]) -> Tree:
-        """A copy of the tree in which the asked nodes are cut on as the last tree that came by the same
-        way was cut, nodes nearer to the asked ones first, by less than ``max_leaves`` cuts in all."""
+    def with_guesses(self, seen: dict[frozenset, Cut]) -> Tree:
+        """A copy of the tree in which the asked nodes are cut on as the last tree cut the same region, or
+        else as their parent's sums suggest; nodes nearer to the asked ones first, by less than
+        ``max_leaves`` cuts in all."""
         t = self.tree
         out = Tree(*(list(column) for column in (t.feature, t.bin, t.missing_left, t.left, t.right, t.value)))
-        asked, open_nodes, guessed = set(self.asked), [(0, ())], []
+        asked, guessed = set(self.asked), []
+        open_nodes: list[tuple[int, Region]] = [(0, {})]
         while open_nodes:
-            node, way = open_nodes.pop()
+            node, region = open_nodes.pop()
             if node in asked:
-                guessed.append((node, way))
+                guessed.append((node, region))
             elif t.left[node] >= 0:
-                cut = t.feature[node], t.bin[node], t.missing_left[node]
-                open_nodes += [(t.left[node], (way, cut, 0)), (t.right[node], (way, cut, 1))]
+                cut = self._cut(node)
+                open_nodes += [(t.left[node], _part(region, cut, True)), (t.right[node], _part(region, cut, False))]
         cuts = 0
-        for node, way in guessed:  # grows on the way
-            if way in seen and cuts < self.max_leaves - 1:
+        for node, region in guessed:  # grows on the way
+            cut = seen.get(frozenset(region.items())) or (self.guess.get(node) if node in asked else None)
+            if cut and cuts < self.max_leaves - 1:
                 cuts += 1
-                cut = out.feature[node], out.bin[node], out.missing_left[node] = seen[way]
+                out.feature[node], out.bin[node], out.missing_left[node] = cut
                 out.left[node], out.right[node] = out.add(), out.add()
-                guessed += [(out.left[node], (way, cut, 0)), (out.right[node], (way, cut, 1))]
+                guessed += [(out.left[node], _part(region, cut, True)), (out.right[node], _part(region, cut, False))]
         return out
 
     def grown(self, rate: float) -> Tree:
@@ -613,19 +657,22 @@ def _summed(table: pa.Table) -> np.ndarray:
     return sum(np.frombuffer(x, np.int64) for x in table.column("sums").to_pylist())
 
 
+_CUT = "feature", "bin", "missing_left"
 _FOUND = pa.schema(
     [("key", pa.int64()), ("node", pa.int32()), ("below", pa.int32())]
     + [(c, pa.int64()) for c in ("n", "g", "h")]
     + [("gain", pa.float64()), ("feature", pa.int32()), ("bin", pa.int32()), ("missing_left", pa.bool_())]
     + [(c, pa.int64()) for c in ("left_n", "left_g", "left_h")]
+    + [(f"{c}_{side}", kind) for side in ("low", "high") for c, kind in zip(_CUT, (pa.int32(), pa.int32(), pa.bool_()), strict=True)]
 )
 _FOUND_DDL = (
     "key long, node int, below int, n long, g long, h long, gain double, feature int, bin int, "
-    "missing_left boolean, left_n long, left_g long, left_h long"
+    "missing_left boolean, left_n long, left_g long, left_h long, "
+    "feature_low int, bin_low int, missing_left_low boolean, feature_high int, bin_high int, missing_left_high boolean"
 )
 
 
-def _find(tasks: Sequence[_Task], n_features: int, min_rows: int, l2: float) -> Callable:
+def _find(tasks: Sequence[_Task], n_features: int, min_rows: int, l2: float, local_rows: int) -> Callable:
     """Per key: the node and the nodes known below it (``below`` is the first of a node's two, which
     stand side by side), each with its sums and its best split; a loss is a node without a split."""
     of = {t.model: t for t in tasks}
@@ -645,10 +692,18 @@ def _find(tasks: Sequence[_Task], n_features: int, min_rows: int, l2: float) ->
         def found(node: int) -> Found:
             s = best_split(hists[node], min_rows, l2)
             out = Found(tuple(hists[node][0].sum(0).tolist()), s)
-            if s and t.left[node] >= 0 and (s.feature, s.bin, s.missing_left) == (t.feature[node], t.bin[node], t.missing_left[node]):
+            if s and t.left[node] >= 0 and s.cut == (t.feature[node], t.bin[node], t.missing_left[node]):
                 out.low, out.high = found(t.left[node]), found(t.right[node])
+            elif s:
+                out.guesses = guess(hists[node], out, True), guess(hists[node], out, False)
             return out
 
+        def guess(hist: np.ndarray, x: Found, low: bool) -> Cut | None:
+            if (x.split.left[0] if low else x.sums[0] - x.split.left[0]) <= local_rows:
+                return None
+            s = likely_split(hist, x.split, low, min_rows, l2)
+            return s.cut if s else None
+
         add_up(root)
         return found(root)
 
@@ -670,7 +725,7 @@ def _find(tasks: Sequence[_Task], n_features: int, min_rows: int, l2: float) ->
                 nodes += [x.low, x.high]
             s = x.split
             best = (s.gain, s.feature, s.bin, s.missing_left, *s.left) if s else (None,) * 7
-            rows.append((key, k, below, *x.sums, *best))
+            rows.append((key, k, below, *x.sums, *best, *(v for cut in x.guesses for v in cut or (None,) * 3)))
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(_FOUND.types)], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -697,6 +752,9 @@ def _answer(rows: list[dict]) -> Found:
             None
             if r["gain"] is None
             else Split(r["gain"], r["feature"], r["bin"], r["missing_left"], (r["left_n"], r["left_g"], r["left_h"])),
+            guesses=tuple(
+                None if r[f"bin_{side}"] is None else tuple(r[f"{c}_{side}"] for c in _CUT) for side in ("low", "high")
+            ),
         )
         for r in rows
     ]
@@ -759,7 +817,7 @@ class _Model:
     growing: GrowingTree | None
     recent: list[Tree] = field(default_factory=list)
     losses: list[float] = field(default_factory=list)
-    seen: dict[tuple, tuple[int, int, bool]] = field(default_factory=dict)  # the last split by the splits above it
+    seen: dict[frozenset, Cut] = field(default_factory=dict)  # how the last trees cut a region
 
     def stopped(self, params: AnalysisParams) -> bool:
         wait = params.gbt_no_change
@@ -875,7 +933,7 @@ class Boosting:
         """One round, one job, for all models that still grow a tree."""
         p = self.params
         found = self._sent(tasks).repartitionById(self.finders, F.col("task")).mapInArrow(
-            _find(tasks, len(self.features), p.gbt_min_rows_per_leaf, p.gbt_l2), _FOUND_DDL
+            _find(tasks, len(self.features), p.gbt_min_rows_per_leaf, p.gbt_l2, p.gbt_local_rows), _FOUND_DDL
         )
         rows = found.toArrow().to_pylist()  # at most a split per node of the trees
         self.jobs += 1
